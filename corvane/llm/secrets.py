@@ -47,7 +47,7 @@ ENCODINGS = (
 LETTERS = (80, 15, 30, 38, 130, 17, 17, 40, 72, 3, 7, 42, 26, 75, 68, 22, 6, 68, 70, 78, 34, 11, 12, 3, 14, 5)
 #: Share of digits in an ordinary identifier, of capitals among its letters, and of class changes between neighbours.
 ORDINARY_DIGITS, ORDINARY_CAPITALS, ORDINARY_CHANGES, ORDINARY_SERIAL = 0.08, 0.12, 0.18, 0.45
-FALSE_DISCOVERY, REJECT_RANDOM = 0.01, 1e-4
+FALSE_DISCOVERY, REJECT_RANDOM = 0.001, 1e-4
 _NORMAL = NormalDist()
 
 
