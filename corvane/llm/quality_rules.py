@@ -80,25 +80,18 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(r"^[ \t]*[-*•]"))).cast("long").alias("n_bullets"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*stop))).cast("long").alias("n_stop_words"),
-        # sorted windows with their place: equal windows become neighbours
-        F.when(
-            n >= 3,
-            F.sort_array(
-                F.transform(
-                    F.sequence(F.lit(0), n - 3),
-                    lambda i: F.struct(
-                        F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("w"),
-                        i.alias("i"),
-                    ),
-                )
-            ),
-        ).alias("windows"),
+        "words",
     )
-    same = lambda x, j: F.coalesce(F.get("windows", j)["w"] == x["w"], F.lit(False))
-    repeated = F.filter("windows", lambda x, j: same(x, j + 1) | ((j > 0) & same(x, j - 1)))
-    places = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+    # Three-word windows with their place, sorted: equal windows become neighbours.  Shifted arrays are zipped rather than
+    # looked up by place, so that no expression is evaluated once per element wherever the optimizer puts it.
+    shifted = F.arrays_zip(F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b"), F.expr("slice(words, 3, size(words))").alias("c"))
+    window = lambda x, i: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("w"), i.alias("i"))
+    rows = rows.select("*", F.when(F.col("n_words") >= 3, F.sort_array(F.transform(F.slice(shifted, F.lit(1), F.size("words") - 2), window))).alias("windows"))
+    pairs = F.arrays_zip(F.col("windows").alias("x"), F.expr("slice(windows, 2, size(windows))").alias("y"))
+    repeated = F.filter(pairs, lambda p: p["x"]["w"] == p["y"]["w"])
+    places = F.flatten(F.transform(repeated, lambda p: F.array(*[p[k]["i"] + j for k in "xy" for j in (0, 1, 2)])))
     return rows.select(
-        *[c for c in rows.columns if c != "windows"],
+        *[c for c in rows.columns if c not in ("words", "windows")],
         F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
