@@ -98,7 +98,8 @@ def compound_parts(word: Column) -> Column:
 def query_terms(question: Column) -> Column:
     """Sorted set of a question's words (three or more characters, no stop words), neighbours joined by _, and synonyms."""
     plain = F.filter(F.flatten(F.transform(identifiers(question), compound_parts)), lambda w: (F.length(w) > 2) & ~w.isin(QUERY_STOP))
-    pairs = F.when(F.size(plain) > 1, F.transform(F.sequence(F.lit(0), F.size(plain) - 2), lambda i: F.concat_ws("_", F.get(plain, i), F.get(plain, i + 1)))).otherwise(F.array().cast("array<string>"))
+    neighbours = F.arrays_zip(plain.alias("a"), F.slice(plain, F.lit(2), F.greatest(F.size(plain), F.lit(1))).alias("b"))
+    pairs = F.transform(F.filter(neighbours, lambda p: p["b"].isNotNull()), lambda p: F.concat_ws("_", p["a"], p["b"]))
     synonyms = F.array_compact(F.flatten(F.array(*[F.when(F.array_contains(plain, k), F.array(*map(F.lit, v))).otherwise(F.array(F.lit(None).cast("string"))) for k, v in SYNONYMS.items()])))
     return F.array_sort(F.array_distinct(F.concat(plain, pairs, synonyms)))
 
