@@ -45,33 +45,30 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None, cut: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
     """node, rank: power method; the mass of dangling nodes is spread evenly, ranks sum to one.
 
-    Stops after ``rounds``, or earlier where the total change falls below tolerance * nodes.
-    The lineage is cut every ``cut`` rounds by a written table.
+    A round is one join and one sum by target, written to the shared folder; ranks sum to one, so what was not handed on
+    is the dangling mass.  Stops after ``rounds``, or earlier where the total change falls below tolerance * nodes.
     """
     nodes = materialise((nodes if nodes is not None else nodes_of(edges)).select("node").distinct(), "rank-nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    degree = edges.groupBy("source").agg(F.count("*").alias("out"))
-    links = materialise(edges.join(degree, "source"), "rank-links")
-    state = nodes.join(degree.select(F.col("source").alias("node"), F.lit(True).alias("leads")), "node", "left")
-    state = state.select("node", F.lit(1.0 / n).alias("rank"), F.coalesce("leads", F.lit(False)).alias("leads"))
-    for turn in range(1, rounds + 1):
-        # one global number a round: the mass that dangling nodes hold
-        hanging = state.where(~F.col("leads")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass"))
-        given = links.join(state.select(F.col("node").alias("source"), "rank"), "source").groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        new = state.join(given.withColumnRenamed("target", "node"), "node", "left").crossJoin(F.broadcast(hanging))
-        rank = alpha * (F.coalesce("given", F.lit(0.0)) + F.col("mass") / n) + (1 - alpha) / n
-        new = new.select("node", rank.alias("rank"), "leads", F.col("rank").alias("old"))
-        if turn % cut == 0 or turn == rounds:
-            new = materialise(new, "rank")
-            if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance * n:
-                return new.select("node", "rank")
-        state = new.drop("old")
-    return state.select("node", "rank")
+    links = materialise(edges.join(edges.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", "out"), "rank-links")
+    zero = nodes.select("node", F.lit(0.0).alias("given"))
+    now = nodes.select("node", F.lit(1.0 / n).alias("rank"))
+    for _ in range(rounds):
+        sent = links.join(now.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), (F.col("rank") / F.col("out")).alias("given"))
+        given = materialise(sent.unionByName(zero).groupBy("node").agg(F.sum("given").alias("given")), "rank")
+        mass = 1 - given.agg(F.sum("given")).first()[0]
+        new = given.select("node", (alpha * (F.col("given") + mass / n) + (1 - alpha) / n).alias("rank"))
+        if tolerance:
+            change = new.join(now.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if change < tolerance * n:
+                return new
+        now = new
+    return now
 
 
 def undirected(edges: DataFrame) -> DataFrame:
