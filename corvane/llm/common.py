@@ -38,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words of a text: maximal runs of anything but space, tab, LF, VT, FF, CR; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")

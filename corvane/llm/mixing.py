@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise, word_count
+from corvane.llm.common import free_name, materialise, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_COPIES = 1.5, 2
@@ -134,7 +134,8 @@ def _join_small(rows: DataFrame, small: DataFrame, keys: list[str], n: int) -> D
 
 def mix(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS) -> DataFrame:
     """The mixed corpus: docs' columns plus mix_shard and mix_copy, one row per copy taken, shuffled inside shards."""
-    chosen = decide(docs, seed, shard_words, weights).select(F.col("doc_id").alias("__id"), F.col("shards").alias("__shards"))
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    rows = rows.select("*", F.posexplode("__shards").alias("mix_copy", "mix_shard")).drop("__shards")
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), "doc_id", "mix_copy"))
+    own, shards, copy, shard = (free_name(docs, n) for n in ("mixed_id", "mix_shards", "mix_copy", "mix_shard"))
+    chosen = decide(docs, seed, shard_words, weights).select(F.col("doc_id").alias(own), F.col("shards").alias(shards))
+    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(own))).drop(own)
+    rows = rows.select("*", F.posexplode(shards).alias(copy, shard)).drop(shards)
+    return rows.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), "doc_id", copy))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches, materialise
+from corvane.llm.common import batches, free_name, materialise
 
 ORDER = 5
 QUANTILE, MARGIN, LEAST = 0.99, 1.25, 20
@@ -167,11 +167,11 @@ def mean_lp(texts: list[str | None], keys: np.ndarray, lp: np.ndarray) -> list[f
     return [None if not n else float(10 ** (-(sums[e] - sums[e - n]) / n)) for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
 
 
-def with_perplexity(docs: DataFrame, model: Model, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
-    """docs and a column __ppl."""
+def with_perplexity(docs: DataFrame, model: Model, name: str, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
+    """docs and a new column of that name."""
     names = docs.columns
     at = names.index("text")
-    schema = docs.select("*", F.lit(None).cast("double").alias("__ppl")).schema
+    schema = docs.select("*", F.lit(None).cast("double").alias(name)).schema
     asked = materialise(ngram_counts(docs).select("key"), "kn-asked")
     table = materialise(model.probabilities(asked), "kn-probabilities")
     if table.count() <= broadcast_limit:
@@ -182,39 +182,38 @@ def with_perplexity(docs: DataFrame, model: Model, broadcast_limit: int = BROADC
             keys, lp = held.value
             for batch in batches(frames):
                 ppl = mean_lp(batch.column(at).to_pylist(), keys, lp)
-                yield pa.record_batch([*batch.columns, pa.array(ppl, pa.float64())], names=[*names, "__ppl"])
+                yield pa.record_batch([*batch.columns, pa.array(ppl, pa.float64())], names=[*names, name])
 
         return docs.mapInArrow(run, schema)
-    return _by_shards(docs, table, schema)
+    return _by_shards(docs, table, schema, name)
 
 
-def _by_shards(docs: DataFrame, table: DataFrame, schema) -> DataFrame:
+def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFrame:
     """The same with documents and probabilities meeting in shards."""
     names, at = docs.columns, docs.columns.index("text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(chars // SHARD_CHARS + 1)
-    dealt = docs.withColumn("__shard", F.pmod(F.xxhash64("text"), F.lit(n)).cast("int"))
-    wide = dealt.schema
+    shard = free_name(docs, "shard")
+    dealt = docs.withColumn(shard, F.pmod(F.xxhash64(*[c for c in names if c in ("doc_id", "text")]), F.lit(n)).cast("int"))
 
     def distinct(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Combiner] = {}
         for batch in batches(frames):
-            for shard, text in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                held.setdefault(shard, _Combiner()).add(keys_of(text))
-        for shard, x in held.items():
+            for x, text in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                held.setdefault(x, _Combiner()).add(keys_of(text))
+        for place, x in held.items():
             keys = x.take().column(0)
-            yield pa.record_batch([pa.array(np.full(len(keys), shard, np.int32)), keys], names=["__shard", "key"])
+            yield pa.record_batch([pa.array(np.full(len(keys), place, np.int32)), keys], names=[shard, "key"])
 
-    dealt = dealt.repartition(n, "__shard")
-    asked = dealt.mapInArrow(distinct, "__shard int, key long").distinct().join(table, "key")
+    dealt = dealt.repartition(n, shard)
+    asked = dealt.mapInArrow(distinct, f"{shard} int, key long").distinct().join(table, "key")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("key")
         ppl = mean_lp(left["text"].to_pylist(), right["key"].to_numpy(), right["lp"].to_numpy())
-        return left.select(names).append_column("__ppl", pa.array(ppl, pa.float64()))
+        return left.select(names).append_column(name, pa.array(ppl, pa.float64()))
 
-    assert len(wide) == len(names) + 1
-    return dealt.groupBy("__shard").cogroup(asked.groupBy("__shard")).applyInArrow(score, schema)
+    return dealt.groupBy(shard).cogroup(asked.groupBy(shard)).applyInArrow(score, schema)
 
 
 def thresholds(scores: DataFrame, labels: DataFrame) -> dict[str | None, float]:
@@ -239,7 +238,8 @@ def classify(docs: DataFrame, labels: DataFrame, broadcast_limit: int = BROADCAS
     """doc_id, lang, perplexity, threshold and kept, one row per row of docs."""
     rows = docs.select("doc_id", "lang", "text")
     model = Model(trusted(rows, labels).select("text"))
-    scores = with_perplexity(rows, model, broadcast_limit).select("doc_id", "lang", "__ppl")
+    scores = with_perplexity(rows, model, "__ppl", broadcast_limit)
+    scores = scores.select("doc_id", "lang", "__ppl")
     scores = materialise(scores, "kn-scores")
     limit = _limit(thresholds(scores, labels))
     return scores.select("doc_id", "lang", F.col("__ppl").alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("__ppl") <= limit, F.lit(False)).alias("kept"))
@@ -248,6 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame, broadcast_limit: int = BROADCAS
 def keep_good(docs: DataFrame, labels: DataFrame, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
     """The rows of docs that the classifier keeps; columns stay."""
     model = Model(trusted(docs.select("doc_id", "text"), labels).select("text"))
-    scored = with_perplexity(docs, model, broadcast_limit)
-    limits = thresholds(materialise(scored.select("doc_id", "lang", "__ppl"), "kn-scores"), labels)
-    return scored.where(F.coalesce(F.col("__ppl") <= _limit(limits), F.lit(False))).drop("__ppl")
+    name = free_name(docs, "perplexity")
+    scored = with_perplexity(docs, model, name, broadcast_limit)
+    limits = thresholds(materialise(scored.select("doc_id", "lang", F.col(name).alias("__ppl")), "kn-scores"), labels)
+    return scored.where(F.coalesce(F.col(name) <= _limit(limits), F.lit(False))).drop(name)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches, materialise
+from corvane.llm.common import batches, free_name, materialise
 
 SHINGLE, SEED, LINK_BITS = 4, 42, 4
 #: Fingerprints of one slice of a bucket, and children of an index node.
@@ -260,5 +260,6 @@ def near_dedup(docs: DataFrame, limit: int = LINK_BITS) -> DataFrame:
 
     Rows that repeat that doc_id are the same document and stay; rows without an id cannot be named and stay.
     """
-    keep = near_duplicates(docs, limit).where("doc_id <=> component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    name = free_name(docs, "kept_id")
+    keep = near_duplicates(docs, limit).where("doc_id <=> component_id OR doc_id IS NULL").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

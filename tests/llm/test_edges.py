@@ -14,7 +14,7 @@ ROWS = [
     (5, LONG, "en", "a", len(LONG)), (6, "le chat est sur la table et il est bon", "fr", "b", 38), (7, "été Ünïcode ſecret: 漢字 🎉", None, "c", 20),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = "n_words __shard shard row key n word k size block fp score kept __ppl a b".split()
+CLASHES = "n_words __shard shard row key n word k size block fp score kept __ppl perplexity kept_id mixed_id mix_shards a b".split()
 
 
 @pytest.fixture(scope="module")
