@@ -35,10 +35,18 @@ def doc_stats(chunks: DataFrame, fields: list[str] | None = None, key: str = "id
 def matches(chunks: DataFrame, terms: list[str], fields: dict[str, float] | None = None, key: str = "id") -> DataFrame:
     """id, length and f: array of the weighted counts of each term, for all chunks, in one scan without a shuffle."""
     fields = fields or {"content": 1.0}
-    held = chunks.select(F.col(key).alias("id"), *[tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
-    count = lambda i, term: F.size(F.filter(f"t{i}", lambda t: t == term))
+    held = once(chunks.select(F.col(key).alias("id"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]), ["id"], {f"t{i}": tokens(F.col(f"_{i}")) for i in range(len(fields))})
+    length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0))
+    hits = {f"h{i}": F.filter(f"t{i}", lambda t: t.isin(terms)) for i in range(len(fields))}
+    held = once(held, ["id"], {"length": length} | hits)
+    count = lambda i, term: F.size(F.filter(f"h{i}", lambda t: t == term))
     f = F.array(*[sum((w * count(i, term) for i, w in enumerate(fields.values())), F.lit(0.0)) for term in terms])
-    return held.select("id", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).alias("length"), f.alias("f"))
+    return once(held, ["id", "length"], {"f": f})
+
+
+def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """keep and the new columns, each computed once a row: a generated row is a step the optimizer does not copy expressions through."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def _idf(n: int, total: int) -> float:
@@ -59,7 +67,8 @@ def bm25(chunks: DataFrame, terms: list[str], fields: dict[str, float] | None =
     idf = [_idf(stats[2 + i], total) for i in range(len(terms))]
     norm = K1 * (1 - B + B * F.col("length") / F.lit(float(mean)))
     part = lambda i: F.lit(idf[i]) * F.get("f", F.lit(i)) * (K1 + 1) / (F.get("f", F.lit(i)) + norm)
-    return found.where(F.exists("f", lambda x: x > 0)).withColumn("parts", F.array(*[part(i) for i in range(len(terms))]))
+    hits = found.where(F.exists("f", lambda x: x > 0))
+    return once(hits, ["id", "length", "f"], {"parts": F.array(*[part(i) for i in range(len(terms))])})
 
 
 def or_search(chunks: DataFrame, terms: list[str], k: int, fields: dict[str, float] | None = None) -> DataFrame:
