@@ -40,6 +40,8 @@ QUANTILE, MARGIN, LEAST = 0.99, 1.25, 20
 BROADCAST_NGRAMS = 4_000_000
 #: Characters of one shard of documents on the shuffled path.
 SHARD_CHARS = 16_000_000
+#: Bytes of texts a task turns into n-grams at once; an n-gram takes some 60 bytes meanwhile.
+BATCH = 1 << 20
 
 
 def keys_of(text: str | None) -> np.ndarray:
@@ -56,7 +58,7 @@ def keys_of(text: str | None) -> np.ndarray:
 class _Combiner:
     """Counts of keys, merged whenever the buffer is full, given out when the table is large."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 500_000):
         self.parts, self.held, self.limit = [], 0, limit
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -75,7 +77,7 @@ class _Combiner:
             self.parts, self.held = [], 0
 
     def full(self) -> bool:
-        return len(self.keys) > self.limit
+        return len(self.keys) > 4 * self.limit
 
     def take(self) -> pa.RecordBatch:
         self.merge()
@@ -89,7 +91,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Combiner()
-        for batch in batches(frames):
+        for batch in batches(frames, BATCH):
             for text in batch.column(0).to_pylist():
                 held.add(keys_of(text))
             if held.full():
@@ -180,7 +182,7 @@ def with_perplexity(docs: DataFrame, model: Model, name: str, broadcast_limit: i
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, lp = held.value
-            for batch in batches(frames):
+            for batch in batches(frames, BATCH):
                 ppl = mean_lp(batch.column(at).to_pylist(), keys, lp)
                 yield pa.record_batch([*batch.columns, pa.array(ppl, pa.float64())], names=[*names, name])
 
@@ -198,7 +200,7 @@ def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFram
 
     def distinct(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Combiner] = {}
-        for batch in batches(frames):
+        for batch in batches(frames, BATCH):
             for x, text in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), strict=True):
                 held.setdefault(x, _Combiner()).add(keys_of(text))
         for place, x in held.items():
