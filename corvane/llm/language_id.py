@@ -34,13 +34,13 @@ SAMPLE = 300
 #: Share of a language's training texts that are as near to its centroids as the limit asks.
 REJECT_QUANTILE, REJECT_SLACK = 0.01, 0.5
 SALT = 4
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and counts of a text's hashed n-grams; empty if it has no letter."""
     line = _OTHER.sub(" ", (text or "").lower())
-    if not line.strip():
+    if not _LETTER.search(line):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {line.strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)).astype(np.int64)

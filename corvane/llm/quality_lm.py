@@ -44,15 +44,17 @@ SHARD_CHARS = 16_000_000
 BATCH = 1 << 20
 
 
-def keys_of(text: str | None) -> np.ndarray:
-    """The packed 5-byte n-grams of a text, four zero bytes before it; as many as it has bytes."""
-    data = (text or "").encode()
-    b = np.frombuffer(b"\0" * (ORDER - 1) + data, np.uint8).astype(np.int64)
-    n = len(data)
-    out = np.zeros(n, np.int64)
-    for i in range(ORDER):
-        out = (out << 8) | b[i : i + n]
-    return out
+def keys_of(text: str | None, size: int = BATCH) -> Iterator[np.ndarray]:
+    """The packed 5-byte n-grams of a text, four zero bytes before it; as many as it has bytes, in arrays of at most ``size``."""
+    data = b"\0" * (ORDER - 1) + (text or "").encode()
+    total = len(data) - ORDER + 1
+    for at in range(0, total, size):
+        n = min(size, total - at)
+        b = np.frombuffer(data, np.uint8, n + ORDER - 1, at).astype(np.int64)
+        out = np.zeros(n, np.int64)
+        for i in range(ORDER):
+            out = (out << 8) | b[i : i + n]
+        yield out
 
 
 class _Combiner:
@@ -93,9 +95,10 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         held = _Combiner()
         for batch in batches(frames, BATCH):
             for text in batch.column(0).to_pylist():
-                held.add(keys_of(text))
-            if held.full():
-                yield held.take()
+                for keys in keys_of(text):
+                    held.add(keys)
+                    if held.full():
+                        yield held.take()
         yield held.take()
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -159,14 +162,28 @@ def discounts(of) -> tuple[float, float, float]:
 
 def mean_lp(texts: list[str | None], keys: np.ndarray, lp: np.ndarray) -> list[float | None]:
     """Perplexity of each text from sorted keys and their log-probabilities."""
-    held = [keys_of(t) for t in texts]
-    size = np.array([len(x) for x in held])
-    every = np.concatenate(held) if held else np.zeros(0, np.int64)
-    some, place = np.unique(every, return_inverse=True)
-    values = lp[np.searchsorted(keys, some)][place] if len(some) else np.zeros(0)
-    ends = np.cumsum(size)
-    sums = np.concatenate(([0.0], np.cumsum(values)))
-    return [None if not n else float(10 ** (-(sums[e] - sums[e - n]) / n)) for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
+    sums, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    parts: list[tuple[int, np.ndarray]] = []
+    held = 0
+
+    def look_up() -> None:
+        some, place = np.unique(np.concatenate([p for _, p in parts]), return_inverse=True)
+        values = lp[np.searchsorted(keys, some)][place]
+        starts = np.cumsum([0, *(len(p) for _, p in parts[:-1])])
+        np.add.at(sums, [i for i, _ in parts], np.add.reduceat(values, starts))
+        parts.clear()
+
+    for i, text in enumerate(texts):
+        for part in keys_of(text):
+            parts.append((i, part))
+            size[i] += len(part)
+            held += len(part)
+            if held >= BATCH:
+                look_up()
+                held = 0
+    if parts:
+        look_up()
+    return [float(10 ** (-s / n)) if n else None for s, n in zip(sums.tolist(), size.tolist(), strict=True)]
 
 
 def with_perplexity(docs: DataFrame, model: Model, name: str, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
@@ -202,7 +219,8 @@ def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFram
         held: dict[int, _Combiner] = {}
         for batch in batches(frames, BATCH):
             for x, text in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                held.setdefault(x, _Combiner()).add(keys_of(text))
+                for keys in keys_of(text):
+                    held.setdefault(x, _Combiner()).add(keys)
         for place, x in held.items():
             keys = x.take().column(0)
             yield pa.record_batch([pa.array(np.full(len(keys), place, np.int32)), keys], names=[shard, "key"])

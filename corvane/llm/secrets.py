@@ -20,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from statistics import NormalDist
 
 import pyarrow as pa
@@ -147,8 +149,9 @@ def spans_of(text: str) -> list[tuple[int, int, int, int]]:
     out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     tokens = [m.span() for m in CANDIDATE.finditer(text)]
     if tokens:
-        base = [(x[0], x[2]) for x in out]
-        tests = [(a, b, t) for a, b in tokens if not any(s < b and a < e for s, e in base) and (t := battery(text[a:b]))]
+        base = sorted((x[0], x[2]) for x in out)
+        starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max, initial=-1))
+        tests = [(a, b, t) for a, b in tokens if reach[bisect_left(starts, b)] <= a and (t := battery(text[a:b]))]
         hits = discoveries([(b - a, t[1]) for a, b, t in tests])
         out += [(a, 3, b, a) for (a, b, t), hit in zip(tests, hits, strict=True) if hit and t[0] > REJECT_RANDOM]
     return sorted(out)
