@@ -81,3 +81,14 @@ def effective_budget(total: Column, budget: int) -> Column:
     """All tokens if they fit, the budget from three times of it on, a straight line between."""
     b = F.lit(budget)
     return F.when(total <= b, total).when(total >= 3 * b, b).otherwise(F.floor(total - (total - b) * ((total - b) / (2 * b)))).cast("long")
+
+
+def relevance(lexical: Column, boost: Column) -> Column:
+    """The lexical score, else the neighbour's boost, else zero; a lexical score of zero counts as none."""
+    return F.coalesce(F.nullif(lexical, F.lit(0.0)), boost, F.lit(0.0))
+
+
+def normalised(hits: DataFrame, score: str = "score") -> DataFrame:
+    """hits with the score over the best one (unchanged where that is not positive); the best is one broadcast row."""
+    best = hits.agg(F.max(score).alias("__best"))
+    return hits.join(F.broadcast(best)).withColumn(score, F.when(F.col("__best") > 0, F.col(score) / F.col("__best")).otherwise(F.col(score))).drop("__best")

@@ -65,3 +65,11 @@ def summary(changes: DataFrame, total: int) -> DataFrame:
 def lacks_ids(chunks: DataFrame) -> DataFrame:
     """One row, reindex: whether any chunk has no symbol_id."""
     return chunks.agg((F.count(F.when(F.col("symbol_id").isNull(), 1)) > 0).alias("reindex"))
+
+
+def views(changes: DataFrame) -> DataFrame:
+    """view, path: every change under its own view, and under ``affected`` (renames with both paths)."""
+    own = F.when(F.col("status") == "M", "modified").when(F.col("status") == "A", "added").when(F.col("status") == "D", "deleted").otherwise("renamed")
+    entry = lambda view, path: F.when(path.isNotNull(), F.struct(view.alias("view"), path.alias("path")))
+    every = F.array_compact(F.array(entry(own, F.col("path")), entry(F.lit("affected"), F.col("path")), entry(F.lit("affected"), F.col("old_path"))))
+    return changes.select(F.explode(every).alias("x")).select("x.*")

@@ -148,3 +148,8 @@ def common_folder(rows: DataFrame, key: str, path: str = "path") -> DataFrame:
     ends = rows.groupBy(key).agg(F.min(path).alias("lo"), F.max(path).alias("hi"))
     shared = F.expr("substring(lo, 1, size(filter(sequence(1, greatest(1, least(length(lo), length(hi)))), i -> substring(lo, 1, i) = substring(hi, 1, i))))")
     return ends.select(key, F.element_at(F.split(F.regexp_replace(shared, "/+$", ""), "/"), -1).alias("name"))
+
+
+def build(imports: DataFrame) -> DataFrame:
+    """source, target, location from rows with a ``place``: one edge a pair, the last place's location; no loops."""
+    return imports.where("source <> target").groupBy("source", "target").agg(F.max_by("location", "place").alias("location"))

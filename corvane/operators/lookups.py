@@ -102,3 +102,9 @@ def rename(rows: DataFrame, renames: DataFrame, column: str = "file_path") -> Da
     """Paths replaced by (old_path, new_path) where one is given; ids stay."""
     out = rows.join(renames, rows[column] == renames["old_path"], "left")
     return out.withColumn(column, F.coalesce("new_path", column)).drop("old_path", "new_path")
+
+
+def replace_files(rows: DataFrame, fresh: DataFrame, files: DataFrame | None = None, column: str = "file_path") -> DataFrame:
+    """rows with those of some files (those of ``fresh`` unless named) replaced by the fresh ones; rows without a file stay."""
+    gone = (fresh if files is None else files).select(column).distinct()
+    return rows.join(gone, column, "left_anti").select(rows.columns).unionByName(fresh)

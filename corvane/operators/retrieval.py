@@ -134,3 +134,14 @@ def grep(chunks: DataFrame, keywords: list[str]) -> DataFrame:
     lowered = F.lower("content")
     hits = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(k.lower())), F.lit(i)) for i, k in enumerate(keywords)]))
     return chunks.select("id", F.array_min(hits).alias("first")).where("first IS NOT NULL")
+
+
+def k_schedule(chunks: Column) -> Column:
+    """How many hits to ask for, by the number of chunks."""
+    return F.when(chunks <= 100, 30).when(chunks <= 500, 50).when(chunks <= 2000, 100).otherwise(150)
+
+
+def longest_first(terms: Column) -> Column:
+    """Terms by falling length; those of one length keep their order."""
+    keyed = F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
+    return F.transform(F.array_sort(keyed), lambda x: x["t"])

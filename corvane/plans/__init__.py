@@ -1,6 +1,6 @@
 """All queries over the driver's tables, with their SQL twins."""
 
-from corvane.plans import architecture, core, retrieval
+from corvane.plans import architecture, core, retrieval, steps
 from corvane.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "architecture", "core", "retrieval"]
+__all__ = ["QUERIES", "SQL", "architecture", "core", "retrieval", "steps"]
