@@ -122,6 +122,28 @@ def test_kneser_ney(spark):
         assert all(abs(got[i] - ppl(t)) < 1e-9 * ppl(t) for i, t in asked if t)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["abcabcabd" * 5, None, "x", "", "é" * 11]
+    whole = np.concatenate([x for t in texts for x in quality_lm.keys_of(t)])
+    pieces = [x for t in texts for x in quality_lm.keys_of(t, 7)]
+    assert max(map(len, pieces)) == 7 and np.array_equal(np.concatenate(pieces), whole)
+    keys = np.unique(whole)
+    lp = -np.linspace(0.5, 3, len(keys))
+    once = quality_lm.mean_lp(texts, keys, lp)
+    monkeypatch.setattr(quality_lm, "BATCH", 20)
+    again = quality_lm.mean_lp(texts, keys, lp)
+    assert all(a is b or a == pytest.approx(b, rel=1e-12) for a, b in zip(again, once, strict=True))
+    logs = dict(zip(keys.tolist(), lp.tolist(), strict=True))
+    for t, p in zip(texts, once, strict=True):
+        own = [logs[k] for part in quality_lm.keys_of(t) for k in part.tolist()]
+        assert p is None if not own else p == pytest.approx(10 ** (-sum(own) / len(own)))
+
+
+def test_no_letter_is_no_language():
+    assert all(not len(language_id.counts(t)[0]) for t in (None, "", "12 !", "\u0301\u0301"))
+    assert len(language_id.counts("e\u0301")[0])
+
+
 def test_classifier_separates(spark, sf, docs):
     labels = table(spark, sf, "labels")
     rows = quality_lm.classify(docs, labels).join(labels, "doc_id").collect()
