@@ -4,8 +4,10 @@ A page becomes a tree of nodes.  Every node gets its composite text density:
 characters per tag, lowered by the share of link characters and link tags,
 against the balance of the whole body.  The node whose children have the largest
 sum of densities anchors the article; the threshold is the smallest density on
-the path from the body to that node, and what the anchor holds is kept unless its
-element or its label says it is furniture.
+the path from the body to that node.  Kept are the anchor and, of every other node
+that reaches the threshold, the part with the largest sum of densities; an article
+or main element around the anchor is kept whole instead.  What an element or its
+label says is furniture goes.
 
 White space inside a block becomes one space; blocks are joined by one line feed
 in page order.  Null or empty html: empty text.  Unclosed, crossed or cut-off
@@ -49,7 +51,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "skip", "text", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("name", "parent", "children", "skip", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, name, parent, skip):
         self.name, self.parent, self.children, self.skip = name, parent, [], skip
@@ -167,6 +169,31 @@ def anchor(root: Node) -> tuple[Node, float]:
     return best, least if least < math.inf else 0.0
 
 
+def dense(root: Node, top: Node, least: float) -> list[Node]:
+    """top, and of every node with a density of ``least`` or more the node below it (or itself) with the largest sum of
+    child densities; in page order, none inside another."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in reversed(node.children) if not c.skip and c.name != "#text"]
+    for node in reversed(order):
+        inner = [c for c in node.children if not c.skip and c.name != "#text"]
+        node.total, node.best = sum(c.density for c in inner), node
+        for c in inner:
+            if c.best.total > node.best.total:
+                node.best = c.best
+    taken = {id(top)} | {id(node.best) for node in order if node.chars and node.density >= least > 0}
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in taken:
+            out.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if not c.skip and c.name != "#text"]
+    return out
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below node, in page order, without furniture."""
     out, words = [], []
@@ -202,20 +229,21 @@ def main_text(page: str) -> str:
     if not root.chars:
         return ""
     found, least = anchor(root)
-    # An article or main element that holds the anchor bounds it; else the highest dense node above it does.
-    node, top = found, found
+    # An article or main element that holds the anchor bounds it.
+    node, top = found, found if found.name in ("article", "main") else None
     while node.parent is not None and not node.parent.skip:
         node = node.parent
         if node.name in ("article", "main"):
             top = node
             break
-        if top.name not in ("article", "main", "body", "html", "#root") and top.name in BLOCKS and node.name in ("div", "section", "td", "table") and node.density >= least > 0 and node.chars <= 1.5 * top.chars:
-            top = node
+    if top is not None:
+        return "\n".join(blocks(top))
+    top = found
     while top.name not in BLOCKS and top.parent is not None:  # an inline anchor stands for the block around it
         top = top.parent
     if top.name in ("p", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "pre", "td", "tr", "dd", "dt", "dl") and top.parent is not None:
         top = top.parent
-    return "\n".join(blocks(top))
+    return "\n".join(line for x in dense(root, top, least) for line in blocks(x))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
