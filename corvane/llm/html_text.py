@@ -7,7 +7,8 @@ sum of densities anchors the article; the threshold is the smallest density on
 the path from the body to that node.  Kept are the anchor and, of every other node
 that reaches the threshold, the part with the largest sum of densities; an article
 or main element around the anchor is kept whole instead.  What an element or its
-label says is furniture goes.
+label says is furniture goes; a label that is only part of a class does so where
+density and share of the page's text agree.
 
 White space inside a block becomes one space; blocks are joined by one line feed
 in page order.  Null or empty html: empty text.  Unclosed, crossed or cut-off
@@ -29,8 +30,8 @@ from corvane.llm.common import batches
 
 # Element names and label words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select".split())
-FURNITURE = frozenset("nav header footer aside form button menu dialog head object audio video canvas figure_nav".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
+FURNITURE = frozenset("nav header footer aside form button menu dialog head object audio video canvas figure_nav select svg annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -38,12 +39,14 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": ("td", "th", "li", "div", "article", "section", "body", "blockquote", "button")}
-LABELS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|comment-list|respond|cookies?|consent|disclaimer|footer|gdpr|"
+LABEL = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|comment-list|respond|cookies?|consent|disclaimer|footer|gdpr|"
     r"header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|share|sharing|sidebar|"
-    r"skip|social|sponsored|sponsor|subscribe|toolbar|topbar|widget|replies|signup|login|overlay|modal|alert)(?:$|[\s_-])",
-    re.I,
+    r"skip|social|sponsored|sponsor|subscribe|toolbar|topbar|widget|replies|signup|login|overlay|modal|alert)"
 )
+LABELS = re.compile(rf"(?:^|[\s_-]){LABEL}(?:$|[\s_-])", re.I)
+#: A class that is labels and nothing else, among the classes of an element.
+WHOLE = re.compile(rf"(?:^|\s){LABEL}(?:[_-]{LABEL})*(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -51,33 +54,37 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "skip", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "parent", "children", "skip", "hint", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, name, parent, skip):
-        self.name, self.parent, self.children, self.skip = name, parent, [], skip
+        self.name, self.parent, self.children, self.skip, self.hint = name, parent, [], skip, False
         self.text, self.chars, self.tags, self.link_chars, self.link_tags, self.density = "", 0, 0, 0, 0, 0.0
 
 
-def _furniture(name: str, attributes: str) -> bool:
+def _furniture(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether a label within a longer class hints that it may be."""
+    hint = False
     if name in FURNITURE:
-        return True
+        return True, False
     if not attributes.strip():
-        return False
+        return False, False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if key in ("class", "id") and name not in ("body", "html", "article", "main") and LABELS.search(value):
-            return True
+            if WHOLE.search(value):
+                return True, False
+            hint = True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, hint
 
 
 def tree(page: str) -> Node:
     """The page as nodes; text is kept in nodes named #text, furniture is marked."""
     root = Node("#root", None, False)
-    here, at, size = root, 0, len(page)
+    here, at, size, drawn = root, 0, len(page), False
 
     def add(raw: str) -> None:
         if raw:
@@ -108,11 +115,20 @@ def tree(page: str) -> Node:
                 node = node.parent
             if ends and node.name in ends:
                 here = node.parent
+        if drawn and name in CLOSES_P:  # a block ends an svg or math that was left open
+            node = here
+            while node is not root and node.name not in ("svg", "math", "foreignobject"):
+                node = node.parent
+            if node.name in ("svg", "math"):
+                here = node.parent
+        drawn = drawn or name in ("svg", "math")
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else size
             continue
-        node = Node(name, here, _furniture(name, m[3]))
+        skip, hint = _furniture(name, m[3])
+        node = Node(name, here, skip)
+        node.hint = hint
         here.children.append(node)
         if name not in VOID and not m[3].endswith("/"):
             here = node
@@ -132,6 +148,8 @@ def measure(root: Node) -> None:
             node.chars = len(" ".join(node.text.split()))
             node.link_chars = node.chars if link else 0
             continue
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         for c in node.children:
             if not c.skip:
                 node.chars += c.chars
@@ -149,6 +167,23 @@ def measure(root: Node) -> None:
         node.density = c / t * math.log(max(value, 1.0 + 1e-9)) / max(base, 1e-9)
 
 
+def judge(root: Node) -> None:
+    """Measure, rule out what a label hints at and density and share of the page's text confirm, and measure again."""
+    measure(root)
+    hinted, body, stack = [], root, [root]
+    while stack:
+        node = stack.pop()
+        if node.name == "body":
+            body = node
+        if node.hint:
+            hinted.append(node)
+        stack += [c for c in node.children if not c.skip and c.name != "#text"]
+    for node in hinted:
+        node.skip = 2 * node.chars < root.chars and (node.density < body.density or 2 * node.link_chars > node.chars)
+    if any(node.skip for node in hinted):
+        measure(root)
+
+
 def anchor(root: Node) -> tuple[Node, float]:
     """The node with the largest sum of child densities, and the least density from the body to it."""
     body, best, most, stack = root, root, -1.0, [root]
@@ -225,7 +260,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str) -> str:
     """The article of a page as lines of text; empty if it has none."""
     root = tree(page)
-    measure(root)
+    judge(root)
     if not root.chars:
         return ""
     found, least = anchor(root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from corvane.llm import html_text
 
 
@@ -15,3 +16,25 @@ def test_equal_sections():
     links = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(12)) + "</ul>"
     page = f"<html><body><div>{links}</div><div>{sections}</div><div>{links}</div></body></html>"
     assert html_text.main_text(page) == "\n".join(p for part in parts for p in part)
+
+
+ARTICLE = "".join(f"<p>{words(30, 10 * k)}.</p>" for k in range(5))
+TEXT = "\n".join(f"{words(30, 10 * k)}." for k in range(5))
+
+
+@pytest.mark.parametrize("before", ["<svg class='icon'/>", "<svg><path d='M0'/></svg>", "<svg><title>x</title><path>", "<p><math/></p>", "<select><option>one<option>two</select>"])
+def test_drawing_before_the_text(before):
+    assert html_text.main_text(f"<body><div>{before}</div><div>{ARTICLE}</div></body>") == TEXT
+    assert html_text.main_text(f"<body>{before}<article>{ARTICLE}</article></body>") == TEXT
+
+
+def test_math_is_text():
+    page = f"<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be <svg/>given.</p>{ARTICLE}</article></body>"
+    assert html_text.main_text(page) == "Let x=2 be given.\n" + TEXT
+
+
+@pytest.mark.parametrize("label", ["content with-sidebar", "page no-comments", "has-header", "content-sidebar-wrap"])
+def test_label_within_a_class(label):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(5)) + "</ul>"
+    assert html_text.main_text(f"<body><div class='{label}'><div>{ARTICLE}</div></div></body>") == TEXT
+    assert html_text.main_text(f"<body><div class='site-header'>{links}</div><div id='{label}'>{ARTICLE}<div class='post-related'>{links}</div><div class='x cookie-notice'>We use cookies</div></div></body>") == TEXT
