@@ -1,8 +1,9 @@
 """Secret scans: fixed shapes, then a randomness test battery over unknown tokens.
 
 Three shapes (assignments, access keys, hex runs) are always reported.  Any other
-run of 20 or more token characters is a candidate: its encoding is inferred (the
-smallest alphabet holding all its characters), and three tests are made of it: a
+run of 20 or more token characters is a candidate, cut at each "=" but those at its
+end, and, where no alphabet holds a piece, at "/" and "+" and again at "-" and "_".
+Its encoding is inferred (the smallest alphabet holding all its characters), and three tests are made of it: a
 chi-squared test of a uniform alphabet, a runs test and a lag-one serial
 correlation.  Each test is read two ways: does it reject "drawn at random", and
 how unlikely is its value for an ordinary word or identifier of the same length?
@@ -39,6 +40,7 @@ KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE, CUTS = re.compile(r"[^=]{20,}"), (re.compile(r"[^+/]{20,}"), re.compile(r"[^_-]{20,}"))
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     ("hex", DIGITS + "abcdef"), ("hex_upper", DIGITS + "ABCDEF"), ("lower", LOWER), ("upper", UPPER),
@@ -124,6 +126,20 @@ def battery(token: str) -> tuple[float, float] | None:
     return min(1.0, min(p_random) * len(p_random)), _NORMAL.cdf(sum(z) / math.sqrt(len(z)))
 
 
+def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans to test of the candidate at a to b, sorted; two may overlap where no alphabet holds the whole."""
+    end = a + len(text[a:b].rstrip("="))
+    out = []
+    for m in PIECE.finditer(text, a, end):
+        if encoding_of(m[0]) or m[0].isdigit():
+            out.append(m.span())
+        else:
+            out += sorted({x.span() for cut in CUTS for x in cut.finditer(text, *m.span()) if encoding_of(x[0])})
+    if not out and end - a < 20:  # short but for what ends it
+        out = [(a, end)]
+    return [(x, b if y == end else y) for x, y in out]
+
+
 def discoveries(found: list[tuple[int, float]], level: float = FALSE_DISCOVERY) -> list[bool]:
     """Benjamini-Hochberg over (length, p), weights by length with mean one."""
     if not found:
@@ -151,9 +167,13 @@ def spans_of(text: str) -> list[tuple[int, int, int, int]]:
     if tokens:
         base = sorted((x[0], x[2]) for x in out)
         starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max, initial=-1))
-        tests = [(a, b, t) for a, b in tokens if reach[bisect_left(starts, b)] <= a and (t := battery(text[a:b]))]
+        tests = [(a, b, t) for c, d in tokens for a, b in pieces(text, c, d) if reach[bisect_left(starts, b)] <= a and (t := battery(text[a:b]))]
         hits = discoveries([(b - a, t[1]) for a, b, t in tests])
-        out += [(a, 3, b, a) for (a, b, t), hit in zip(tests, hits, strict=True) if hit and t[0] > REJECT_RANDOM]
+        last = -1
+        for a, b in sorted(((a, b) for (a, b, t), hit in zip(tests, hits, strict=True) if hit and t[0] > REJECT_RANDOM), key=lambda x: (x[0], -x[1])):
+            if b > last:  # not inside one already listed
+                out.append((a, 3, b, a))
+                last = b
     return sorted(out)
 
 
