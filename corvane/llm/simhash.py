@@ -5,10 +5,11 @@ XXH64 values of its word shingles.  Fingerprints within ``LINK_BITS`` bits link;
 documents are grouped by reachability.
 
 Equal fingerprints are one node from the start.  Nodes meet in buckets: the 64
-bits are cut into LINK_BITS + 1 blocks, two linked fingerprints agree on a block.
-Inside a bucket the fingerprints are sorted by Gray rank and a tree is built over
-the order: a node keeps the bits all fingerprints below it share (mask and
-values).  Pairs of nodes are walked from the top; a pair is dropped as soon as the
+bits are cut into LINK_BITS + 2 blocks, two linked fingerprints agree on two of
+them, so there is a bucket for each two blocks and their values (15 rows a node,
+21 bits a bucket at 4 bits).  Inside a bucket the fingerprints are sorted by Gray
+rank and a tree is built over the order: a node keeps the bits all fingerprints
+below it share (mask and values).  Pairs of nodes are walked from the top; a pair is dropped as soon as the
 differences among bits that both sides share exceed the limit, and so are whole
 groups already known to be one component.  A bucket gives a spanning forest, never
 all pairs.  Buckets that are large are cut into slices that are joined two by
@@ -16,22 +17,26 @@ two, so no task holds one.  The forests' edges are joined into components by
 large-star and small-star rounds over written tables.
 
 Null or empty text: fingerprint zero, linked like any other.  Fewer words than a
-shingle: the whole sequence is one shingle.  Repeated rows and ids: the same
-fingerprint, the same component.  Empty table: no rows.  Extra columns are not
-read, and pass through ``near_dedup``.
+shingle: the whole sequence is one shingle.  A text of any length is hashed whole,
+its shingles in pieces of bounded size.  Repeated rows: the same fingerprint, the
+same component.  Links are between fingerprints, so rows that share an id but not
+a text do not link, and rows without an id link like any others; a component in
+which no row has an id has none itself.  A bit set in just half of the values is 0.
+Empty table: no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches, free_name, materialise
+from corvane.llm.common import batches, materialise
 
 SHINGLE, SEED, LINK_BITS = 4, 42, 4
 #: Fingerprints of one slice of a bucket, and children of an index node.
@@ -53,12 +58,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
     n = len(words) - size + 1
+    return majority(np.fromiter((digest(line[a:b], SEED) for a, b in pairs), _U, n))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in more than half of the values."""
     total = np.zeros(64, np.int64)
-    values = np.fromiter((digest(line[a:b], SEED) for a, b in pairs), _U, n)
-    for at in range(0, n, 65536):
+    for at in range(0, len(values), 65536):
         bits = np.unpackbits(values[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(values), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -127,20 +136,19 @@ class Forest:
             self.edges += list(zip(a[first].tolist(), b[first].tolist(), strict=True))
 
 
-def links(left: np.ndarray, right: np.ndarray | None, limit: int = LINK_BITS) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of all pairs within ``limit`` bits (left against right, or against itself).
+def walk(left: np.ndarray, right: np.ndarray | None, limit: int, roots: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``limit`` bits (left against right, or against itself) whose roots differ, in chunks of two arrays of places.
 
-    Places count through left, then right.
+    Places count through left, then right.  ``roots`` gives the group of each place as known by then; whole tree nodes
+    of one group are not walked against each other.
     """
     one = GrayIndex(left)
     two = one if right is None else GrayIndex(right)
-    base = 0 if right is None else len(left)
-    forest = Forest(base + len(two.order))
-    names = one.order, two.order + base
+    names = one.order, two.order + (0 if right is None else len(left))
 
-    def grouped(index: GrayIndex, order: np.ndarray, level: int) -> np.ndarray:
+    def grouped(index: GrayIndex, order: np.ndarray, level: int, known: np.ndarray) -> np.ndarray:
         """Root of each node of a level if all leaves below share it, else -1."""
-        r = forest.roots()[order]
+        r = known[order]
         for _ in range(level):
             cuts = np.arange(0, len(r), FAN)
             r = np.where(np.minimum.reduceat(r, cuts) == np.maximum.reduceat(r, cuts), r[cuts], -1)
@@ -156,7 +164,8 @@ def links(left: np.ndarray, right: np.ndarray | None, limit: int = LINK_BITS) ->
         a, b = a[near], b[near]
         if not len(a):
             continue
-        ga, gb = grouped(one, names[0], la)[a], grouped(two, names[1], lb)[b]
+        known = roots()
+        ga, gb = grouped(one, names[0], la, known)[a], grouped(two, names[1], lb, known)[b]
         open_ = (ga != gb) | (ga < 0)
         a, b = a[open_], b[open_]
         if not len(a):
@@ -164,7 +173,7 @@ def links(left: np.ndarray, right: np.ndarray | None, limit: int = LINK_BITS) ->
         if la == 0 and lb == 0:
             if right is None:
                 a, b = a[a != b], b[a != b]
-            forest.add(names[0][a], names[1][b])
+            yield names[0][a], names[1][b]
             continue
         down_a, down_b = la >= lb, lb >= la
         for n, down, which in ((len(one.levels[la - 1][0]) if down_a else 0, down_a, 0), (len(two.levels[lb - 1][0]) if down_b else 0, down_b, 1)):
@@ -182,27 +191,43 @@ def links(left: np.ndarray, right: np.ndarray | None, limit: int = LINK_BITS) ->
             a, b = a[a <= b], b[a <= b]
         step = 1 << 14
         stack += [(la, lb, a[i : i + step], b[i : i + step]) for i in range(0, len(a), step)][::-1]
+
+
+def links(left: np.ndarray, right: np.ndarray | None, limit: int = LINK_BITS) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all pairs within ``limit`` bits (left against right, or against itself)."""
+    forest = Forest(len(left) + (0 if right is None else len(right)))
+    for a, b in walk(left, right, limit, forest.roots):
+        forest.add(a, b)
     return forest.edges
 
 
-def block_values(fp: str = "fp", blocks: int = LINK_BITS + 1):
-    """Array of (block, value) of a fingerprint: two within blocks - 1 bits agree on one."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft(F.col(fp), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]).alias("value")) for i in range(blocks)]
+def block_values(limit: int, fp: str = "fp"):
+    """Array of (block, value) of a fingerprint: two within ``limit`` bits agree on one.
+
+    The bits are cut into limit + 2 blocks; differing bits touch ``limit`` of them at most, so two blocks agree whole.
+    """
+    n = limit + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    parts = []
+    for number, pair in enumerate(combinations(range(n), 2)):
+        mask = sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in pair)
+        parts.append(F.struct(F.lit(number).alias("block"), F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("value")))
     return F.array(*parts)
 
 
+def sliced(keyed: DataFrame, keys: list[str], slices: Column, member: str) -> DataFrame:
+    """keyed with slice, i and j: a large bucket is cut into slices by a hash of its members, and every two slices meet once."""
+    cut = keyed.withColumn("slices", slices.cast("int")).withColumn("slice", F.pmod(F.xxhash64(member), F.col("slices")).cast("int"))
+    both = lambda k: F.struct(F.least(k, F.col("slice")).alias("i"), F.greatest(k, F.col("slice")).alias("j"))
+    met = cut.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), both)))
+    return met.select(*keys, "pair.i", "pair.j", "slice", *[c for c in keyed.columns if c not in keys])
+
+
 def edges(nodes: DataFrame, limit: int = LINK_BITS) -> DataFrame:
     """a, b: edges between fp values that connect whatever is within ``limit`` bits."""
-    keyed = nodes.select("fp", F.explode(block_values("fp", limit + 1)).alias("at")).select("at.block", "at.value", "fp")
+    keyed = nodes.select("fp", F.explode(block_values(limit)).alias("at")).select("at.block", "at.value", "fp")
     counts = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(counts, ["block", "value"])
-    # a large bucket is cut into slices by hash; every two slices meet once
-    cut = keyed.withColumn("slices", F.ceil(F.col("n") / F.lit(SLICE)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
-    meet = cut.select(
-        "block", "value", "fp", "slice",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.least(j, F.col("slice")).alias("i"), F.greatest(j, F.col("slice")).alias("j")))).alias("pair"),
-    ).select("block", "value", "pair.i", "pair.j", "slice", "fp")
+    meet = sliced(keyed.join(counts, ["block", "value"]), ["block", "value"], F.ceil(F.col("n") / F.lit(SLICE)), "fp")
     cells = meet.groupBy("block", "value", "i", "j").agg(F.collect_list(F.struct("slice", "fp")).alias("members"))  # at most about 2 * SLICE
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,18 +273,8 @@ def near_duplicates(docs: DataFrame, limit: int = LINK_BITS) -> DataFrame:
     """doc_id, fingerprint and component_id (the least doc_id reachable) per row of docs."""
     marked = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    pairs = edges(nodes, limit)
-    named = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    roots = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    group = nodes.join(roots, nodes["least"] == roots["node"], "left").select("fp", F.coalesce("root", "least").alias("component_id"))
+    roots = components(edges(nodes.select("fp"), limit))  # over fingerprints: ids may be missing or name several texts
+    group = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = group.groupBy("root").agg(F.min("least").alias("component_id"))
+    group = group.join(least, "root").select("fp", "component_id")
     return marked.join(group, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, limit: int = LINK_BITS) -> DataFrame:
-    """docs with one document of each group, the one with the least doc_id; columns stay.
-
-    Rows that repeat that doc_id are the same document and stay; rows without an id cannot be named and stay.
-    """
-    name = free_name(docs, "kept_id")
-    keep = near_duplicates(docs, limit).where("doc_id <=> component_id OR doc_id IS NULL").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
