@@ -2,32 +2,40 @@
 
 1. Every source gets a word target by weight; no target exceeds twice its source,
    the excess is reshared by weight (water filling).
-2. The documents of a source are dealt into blocks by a hash of their id, up to
-   ``MAX_BLOCKS`` per source, so a hot source is many blocks and no task holds it.
+2. The documents of a source are dealt into blocks by a hash of id, source and text,
+   up to ``MAX_BLOCKS`` per source, so a hot source is many blocks and no task holds
+   it.  One pass over the texts sums words by source and block.
 3. Blocks are permuted by hash.  A source gives every block once per whole pass
-   and, for the rest of its target, the first blocks of the permutation; the block
-   that crosses the target gives single documents.  Blocks drawn in one pass are
-   disjoint, so no document is taken more than twice.
+   and, for the rest of its target, the first blocks of the permutation; of the
+   block that crosses the target it gives the documents with the least hashes.
+   Blocks drawn in one pass are disjoint, so no document is taken more than twice.
 4. The exact numbers of drawn blocks per source are split among the output shards
    by a binary tree: each node draws its left half's share of every source from a
    multivariate hypergeometric distribution, seeded by its place in the tree.
 5. Inside a shard rows are shuffled by a hash.
 
-The same rows and seed give the same mix.  Null text: size 0, never taken.
-Repeated rows with the same id are taken together.  A null source is a source of
-its own, last in order.  Empty table: empty mix.  Extra columns pass through.
+Every row is a document: rows that share an id, or have none, are told apart by
+source and text, and only rows equal in all three share their place in the draw.
+The same rows and seed give the same mix, however they are stored.  Null text:
+size 0, never taken.  A null source is a source of its own, last in order.  Empty
+table: empty mix.  A very long text is one document of its block.  Extra columns
+pass through, whatever their names.
+
+To the driver come a row per source and the numbers of blocks drawn from it, never
+blocks or documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import free_name, materialise, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_COPIES = 1.5, 2
+#: A power of two; and documents a block has on average, at least.
 MAX_BLOCKS, DOCS_PER_BLOCK = 4096, 32
 #: Words of one output shard, and the most shards.
 SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
@@ -52,40 +60,45 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return out
 
 
-def split(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """shards x sources: how many blocks of each source each shard gets; columns add up to counts."""
-    out = np.zeros((shards, len(counts)), dtype=np.int64)
+def split(counts: list[int], shards: int, seed: int) -> list[tuple[list[int], list[int]]]:
+    """Per source the shards that get any of its blocks, and how many blocks; a node of the tree holds only sources it has blocks of."""
+    out: list[tuple[list[int], list[int]]] = [([], []) for _ in counts]
 
-    def node(first: int, last: int, have: np.ndarray) -> None:
+    def node(first: int, last: int, who: np.ndarray, have: np.ndarray) -> None:
+        who, have = who[have > 0], have[have > 0]
+        if not len(who):
+            return
         if last - first == 1:
-            out[first] = have
+            for x, n in zip(who.tolist(), have.tolist(), strict=True):
+                out[x][0].append(first)
+                out[x][1].append(n)
             return
         middle = (first + last) // 2
-        total = int(have.sum())
-        want = total * (middle - first) // (last - first)
-        draw = np.random.default_rng([seed, first, last]).multivariate_hypergeometric(have, want, method="marginals") if total else have * 0
-        node(first, middle, draw)
-        node(middle, last, have - draw)
+        want = int(have.sum()) * (middle - first) // (last - first)
+        draw = np.random.default_rng([seed, first, last]).multivariate_hypergeometric(have, want, method="marginals")
+        node(first, middle, who, draw)
+        node(middle, last, who, have - draw)
 
-    node(0, shards, np.asarray(counts, dtype=np.int64))
+    node(0, shards, np.arange(len(counts)), np.asarray(counts, dtype=np.int64))
     return out
 
 
-def decide(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS) -> DataFrame:
-    """doc_id, size, source, source_size, target and shards: one output shard per copy taken, one row per doc_id."""
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
+def planned(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS, prefix: str = "") -> DataFrame:
+    """docs with size, source_size, target and shards (one output shard per copy taken), one row per row; ``prefix`` precedes the new names."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = materialise(rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size")), "mix-sizes")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()  # one row per source
+    cell = F.pmod(_hash(seed), F.lit(MAX_BLOCKS)).cast("int")
+    cells = docs.select("source", cell.alias("cell"), word_count(F.col("text")).alias("size"))
+    cells = materialise(cells.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-cells")
+    stats = cells.groupBy("source").agg(F.sum("words").alias("words"), F.sum("docs").alias("docs")).collect()  # one row per source
     goal = targets([(r["source"], r["words"]) for r in stats], weights)
-    per = spark.createDataFrame(
-        [(r["source"], int(r["words"]), goal[r["source"]], int(min(MAX_BLOCKS, r["docs"] // DOCS_PER_BLOCK + 1))) for r in stats],
-        "source string, source_size long, target double, n_blocks int",
-    )
-    rows = _join_small(rows, per, ["source"], len(stats))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int"))
-
-    blocks = rows.groupBy("source", "source_size", "target", "block").agg(F.sum("size").alias("words"))
+    n_blocks = lambda docs: int(min(MAX_BLOCKS, 1 << (docs // DOCS_PER_BLOCK).bit_length()))
+    per = spark.createDataFrame([(r["source"], int(r["words"]), goal[r["source"]], n_blocks(r["docs"])) for r in stats], "source string, source_size long, target double, n_blocks int")
+    blocks = _join_small(cells, per, ["source"], len(stats)).withColumn("block", F.col("cell") % F.col("n_blocks"))
+    blocks = blocks.groupBy("source", "source_size", "target", "n_blocks", "block").agg(F.sum("words").alias("words"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block"), "block")
     blocks = (
         blocks.withColumn("whole", (F.col("target") >= F.col("source_size")).cast("int"))
@@ -99,43 +112,62 @@ def decide(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weig
     blocks = materialise(blocks, "mix-blocks")  # at most MAX_BLOCKS rows a source
     drawn = blocks.groupBy("source").agg(F.sum(F.col("whole") + F.col("again")).alias("n"), F.sum("whole").alias("n_whole"), F.count("*").alias("blocks")).collect()
     drawn.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    total = sum(r["blocks"] for r in drawn)
     shards = int(min(MAX_SHARDS, max(1, -(-sum(goal.values()) // shard_words))))
     quota = split([r["n"] for r in drawn], shards, seed)
-    ends = spark.createDataFrame([(r["source"], r["n_whole"], quota[:, i].cumsum().tolist()) for i, r in enumerate(drawn)], "source string, n_whole long, ends array<long>")
+    ends = spark.createDataFrame([(r["source"], r["n_whole"], at, np.cumsum(n).tolist()) for r, (at, n) in zip(drawn, quota, strict=True)], "source string, n_whole long, at array<int>, ends array<long>")
     # the draw of rank r goes to the shard whose quota it falls in
-    shard = lambda rank: F.size(F.filter("ends", lambda e: e < rank))
+    shard = lambda rank: F.element_at("at", F.size(F.filter("ends", lambda e: e < rank)) + 1)
+    # in the crossing block: the largest hash still taken, so that the words taken come nearest to the room
+    crossing = blocks.where("room IS NOT NULL").select("source", "block", "n_blocks", "room")
+    rank = F.xxhash64(F.lit(seed + 1), "doc_id", "source", "text")
+    inside = docs.select("source", cell.alias("cell"), rank.alias("rank"), word_count(F.col("text")).alias("size"))
+    inside = _join_small(inside, crossing, ["source"], len(drawn)).where(F.col("cell") % F.col("n_blocks") == F.col("block"))
+    inside = inside.groupBy("source", "room", "rank").agg(F.sum("size").alias("size"))
+    order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    cuts = inside.withColumn("end", F.sum("size").over(order)).where(F.col("end") - F.col("size") / 2 <= F.col("room")).groupBy("source").agg(F.max("rank").alias("cut"))
+    none = F.array().cast("array<int>")
     blocks = _join_small(blocks, ends, ["source"], len(drawn)).select(
-        "source",
-        "block",
-        "room",
-        F.when(F.col("whole") == 1, F.array(shard(F.col("place")))).otherwise(F.array().cast("array<int>")).alias("first"),
-        F.when(F.col("again") == 1, shard(F.col("place") + F.col("n_whole"))).alias("second"),
-    )
-    rows = _join_small(rows, blocks, ["source", "block"], sum(r["blocks"] for r in drawn))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    crossing = rows.where("room IS NOT NULL").withColumn("before", F.sum("size").over(inside) - F.col("size"))
-    crossing = crossing.withColumn("second", F.when(F.col("before") + F.col("size") / 2 <= F.col("room"), F.col("second"))).drop("before")
-    rows = rows.where("room IS NULL").unionByName(crossing)
-    return rows.select(
-        "doc_id", "size", "source", "source_size", "target",
-        F.when(F.col("size") == 0, F.array().cast("array<int>")).otherwise(F.concat("first", F.array_compact(F.array("second")))).alias("shards"),
+        "source", "block", "n_blocks", "source_size", "target", "room",
+        F.when(F.col("whole") == 1, F.array(shard(F.col("place")))).otherwise(none).alias("first"),
+        F.when(F.col("again") == 1, F.array(shard(F.col("place") + F.col("n_whole")))).otherwise(none).alias("second"),
     )
+    plan = materialise(_join_small(blocks, cuts, ["source"], len(drawn), "left").withColumn("part", F.when(F.col("room").isNull(), True).otherwise(False)), "mix-plan")
+    new = {n: free_name(docs, f"{prefix}{n}") for n in ("size", "source_size", "target", "shards")}
+    held, count = free_name(docs, "__plan"), free_name(docs, "__blocks")
+    # every row finds its number of blocks by source, then its block's plan
+    rows = _join_small(docs, plan.groupBy("source").agg(F.first("n_blocks").alias(count)), ["source"], len(drawn), "left")
+    packed = plan.select("source", F.col("block").alias("__block"), F.struct("source_size", "target", "first", "second", "part", "cut").alias(held))
+    block = free_name(rows, "__block")
+    rows = rows.withColumn(block, cell % F.col(count))
+    rows = _join_small(rows, packed.withColumnRenamed("__block", block), ["source", block], total, "left")
+    of = lambda n: F.col(f"{held}.{n}")
+    second = F.when(of("part") | F.coalesce(rank <= of("cut"), F.lit(False)), of("second")).otherwise(none)
+    shards_of = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]"), F.concat(of("first"), second)).otherwise(none)
+    made = [word_count(F.col("text")).alias(new["size"]), of("source_size").alias(new["source_size"]), of("target").alias(new["target"]), shards_of.alias(new["shards"])]
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *made)
+
+
+def decide(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS) -> DataFrame:
+    """doc_id, size, source, source_size, target and shards: one output shard per copy taken, one row per row of docs."""
+    rows = planned(docs.select("doc_id", "source", "text"), seed, shard_words, weights)
+    return rows.select("doc_id", "size", "source", "source_size", "target", "shards")
 
 
-def _join_small(rows: DataFrame, small: DataFrame, keys: list[str], n: int) -> DataFrame:
+def _join_small(rows: DataFrame, small: DataFrame, keys: list[str], n: int, how: str = "inner") -> DataFrame:
     """Null-safe join with a table of n rows: sent to every task up to BROADCAST_BLOCKS rows, else shuffled."""
-    names = {k: f"__{k}" for k in keys}
+    names = {k: f"__of_{k}" for k in keys}
     small = small.withColumnsRenamed(names)
     on = F.lit(True)
     for k, other in names.items():
         on = on & F.col(k).eqNullSafe(F.col(other))
-    return rows.join(F.broadcast(small) if n <= BROADCAST_BLOCKS else small, on).drop(*names.values())
+    return rows.join(F.broadcast(small) if n <= BROADCAST_BLOCKS else small, on, how).drop(*names.values())
 
 
 def mix(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS) -> DataFrame:
     """The mixed corpus: docs' columns plus mix_shard and mix_copy, one row per copy taken, shuffled inside shards."""
-    own, shards, copy, shard = (free_name(docs, n) for n in ("mixed_id", "mix_shards", "mix_copy", "mix_shard"))
-    chosen = decide(docs, seed, shard_words, weights).select(F.col("doc_id").alias(own), F.col("shards").alias(shards))
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(own))).drop(own)
+    shards, copy, shard = (free_name(docs, n) for n in ("mix_shards", "mix_copy", "mix_shard"))
+    rows = planned(docs, seed, shard_words, weights, "__mix_")
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(rows.columns[-1]).alias(shards))
     rows = rows.select("*", F.posexplode(shards).alias(copy, shard)).drop(shards)
-    return rows.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), "doc_id", copy))
+    return rows.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), "doc_id", "source", "text", copy))

@@ -26,7 +26,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.decide(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.size("shards")).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shards")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
