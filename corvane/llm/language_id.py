@@ -10,10 +10,13 @@ from every centroid than nearly all training texts of that language is marked
 
 Document frequencies are counted over all training texts.  The clusters are fitted
 on a sample of at most about ``SAMPLE`` texts a language (chosen by hash), the only
-sample here; every text is scored whole.
+sample here; each language is fitted in a task.  Every text of any length is scored
+whole.
 
-Null text or no letter: ``und``, score 0.  Nothing to learn from: ``und`` for all.
-Repeated rows: each is scored.  Extra columns are not read.
+Null or empty text or no letter: ``und``, score 0.  Nothing to learn from: ``und``
+for all.  Equal cosines: the language first by code point.  Repeated rows: each is
+scored, and each counts in training.  Empty table: no rows.  Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -88,7 +91,7 @@ def learn(train: DataFrame, sample: int = SAMPLE) -> dict | None:
         return None
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     held = train.sparkSession.sparkContext.broadcast(idf)
-    share = F.pmod(F.xxhash64(F.lit(SALT), "doc_id"), F.lit(1_000_000))
+    share = F.pmod(F.xxhash64(F.lit(SALT), "doc_id", "text"), F.lit(1_000_000))
     rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(math.ceil(1e6 * min(1.0, sample / v))))])
     picked = train.where(share < F.element_at(rate, F.col("lang"))).select("lang", "text")
 
@@ -98,21 +101,20 @@ def learn(train: DataFrame, sample: int = SAMPLE) -> dict | None:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], names=["lang", "v"])
 
-    rows = picked.mapInArrow(vectors, "lang string, v binary").toArrow()  # about SAMPLE rows a language
-    langs = np.array(rows["lang"].to_pylist(), object)
-    if not len(langs):
+    def fit(group: pa.Table) -> pa.Table:
+        """One language's centroids; about SAMPLE vectors, in the order of their bytes, so that no other order of rows or layout of files shows."""
+        own = np.frombuffer(b"".join(sorted(group["v"].to_pylist())), np.float32).reshape(-1, DIMENSIONS)
+        centres = clusters(own, CENTROIDS)
+        least = float(np.quantile((own @ centres.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SLACK
+        n = len(centres)
+        return pa.table([pa.array([group["lang"][0].as_py()] * n), pa.array(range(n), pa.int32()), pa.array([c.tobytes() for c in centres]), pa.array([least] * n)], names=["lang", "place", "centre", "least"])
+
+    fitted = picked.mapInArrow(vectors, "lang string, v binary").groupBy("lang").applyInArrow(fit, "lang string, place int, centre binary, least double")
+    rows = sorted(fitted.collect())  # CENTROIDS rows a language
+    if not rows:
         return None
-    points = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float32).reshape(len(langs), DIMENSIONS)
-    centres, names, limits = [], [], []
-    for lang in sorted(set(langs)):
-        own = points[langs == lang]
-        own = own[np.lexsort(own[:, :8].T)]
-        fit = clusters(own, CENTROIDS)
-        best = (own @ fit.T).max(axis=1)
-        centres.append(fit)
-        names += [lang] * len(fit)
-        limits += [float(np.quantile(best, REJECT_QUANTILE)) * REJECT_SLACK] * len(fit)
-    return {"idf": idf, "centres": np.concatenate(centres), "names": names, "limits": np.array(limits)}
+    centres = np.frombuffer(b"".join(bytes(r.centre) for r in rows), np.float32).reshape(-1, DIMENSIONS)
+    return {"idf": idf, "centres": centres, "names": [r.lang for r in rows], "limits": np.array([r.least for r in rows])}
 
 
 def clusters(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
