@@ -1,24 +1,35 @@
 """LM scoring with Brown class-based bigrams.
 
 Tokens are the words of a text with A-Z lowered, then one end token.  Counts are
-gathered over all training texts.  Words with at least ``CLUSTER_SHARE`` of all
-tokens (so at most 1 / CLUSTER_SHARE of them) are assigned to ``CLASSES`` classes
-by exchange: from the bigram counts each round gives every word the class that
-gains most mutual information, until few move.  All rarer words share one more
-class, the end of a text has its own.  The score of a text is
+gathered over all training texts.  Words are assigned to ``CLASSES`` classes:
 
-    sum of log10 P(class | class before) + log10 P(word | class)
+1. Words with at least ``CLUSTER_SHARE`` of all tokens (at most 1 / CLUSTER_SHARE)
+   by exchange: from the bigram counts each round gives every word the class that
+   gains most mutual information, until few move; a round that loses is undone.
+2. Every other word with at least ``LEAST`` tokens, however many there are, by the
+   class that makes what stands before it likeliest under the classes of step 1:
+   its counts by class before are gathered by shuffle, tasks pick the class, and
+   the word's class stays in a table that is joined by shuffle.
+3. Words seen less often, and unseen ones, share one more class; the end of a text
+   has its own.
 
-with P(class | class before) interpolated with P(class), and word emissions from
-counts (in the class of rare words with added mass for unseen words).
+The score of a text is
+
+    sum of log10 P(class | history before) + log10 P(word | class)
+
+where the history of a word of step 1 is its class, that of any other word one more
+history, and that of a text's start the end token's.  P(class | history) is
+interpolated with P(class); word emissions come from counts (in the class of rare
+words with added mass for unseen words).
 
 Words with at least ``LOCAL_SHARE`` of all tokens (at most 1 / LOCAL_SHARE) are
 looked up in the task; all others are sent to their counts by a shuffle on the
 word, which also holds for a vocabulary of any size.
 
-Null or empty text: the end token alone.  No training text: all counts are 0, one
-rare class.  Repeated rows: each is scored and each counts in training.  Extra
-columns are not read.
+Null or empty text: the end token alone.  A very long text is scored whole.  No
+training text: all counts are 0, one rare class.  Equal counts: words by their
+bytes.  Equal gains: the first class.  Repeated rows: each is scored and each
+counts in training.  Empty table: no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +47,8 @@ from corvane.llm.common import batches, id_bucket, materialise
 
 CLASSES, ROUNDS = 32, 4
 CLUSTER_SHARE, LOCAL_SHARE = 2e-5, 2e-6
+#: Tokens a word must have for a class of its own choice.
+LEAST = 3
 ADD, WEIGHT = 0.1, 50.0
 
 
@@ -92,6 +105,60 @@ def pair_counts(train: DataFrame, ids: dict[bytes, int], rare: int, end: int) ->
     return rows.select(F.expr(f"CAST(key DIV {width} AS INT)").alias("a"), (F.col("key") % width).cast("int").alias("b"), "n")
 
 
+def context_counts(train: DataFrame, place: dict[bytes, int], classes: int) -> DataFrame:
+    """word, h, n: how often a word that is not in ``place`` stands after history h."""
+    held = train.sparkSession.sparkContext.broadcast(place)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = held.value.get
+
+        def out(found: Counter) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([w for w, _ in found], pa.binary()), pa.array([h for _, h in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "h", "n"])
+
+        found: Counter = Counter()
+        for batch in batches(frames):
+            for text in batch.column(0).to_pylist():
+                line = tokens(text)
+                seen = [of(w, classes) for w in line]
+                found.update((w, h) for w, h, c in zip(line, [classes + 1, *seen], seen, strict=False) if c == classes)
+            if len(found) > 500_000:
+                yield out(found)
+                found = Counter()
+        if found:
+            yield out(found)
+
+    return train.select("text").mapInArrow(run, "word binary, h int, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+
+
+def assigned(contexts: DataFrame, table: np.ndarray, classes: int, least: int = LEAST) -> DataFrame:
+    """word, n, c, near (its counts by history): the class under which what stands before a word is likeliest, given the classes' table.
+
+    That is sum over h of n(h, word) * log(N(h, c) / (N(h) N(c))), with N the table; a word seen less than ``least`` times has
+    the rare class.
+    """
+    smooth = table[:, :classes] + ADD
+    gain = np.log(smooth / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0, keepdims=True)) if classes else np.zeros((2, 0))
+    words = contexts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("h", "n")).alias("near"))  # classes + 2 entries a word
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            near = batch.column(2)
+            flat, offsets = near.flatten(), near.offsets.to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            counts = np.zeros((batch.num_rows, len(gain)))
+            np.add.at(counts, (rows, flat.field(0).to_numpy()), flat.field(1).to_numpy())
+            best = (counts @ gain).argmax(axis=1) if classes else np.zeros(batch.num_rows)
+            best = np.where(batch.column(1).to_numpy() >= least, best, classes)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), near], names=["word", "n", "c", "near"])
+
+    return words.mapInArrow(run, "word binary, n long, c int, near array<struct<h:int,n:bigint>>")
+
+
+def information(table: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, up to what no exchange changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum())
+
+
 def _xlogx(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -100,11 +167,12 @@ def exchange(pairs: DataFrame, start: np.ndarray, classes: int, movable: int, ro
     """Class of each token number after rounds of exchange; numbers from ``movable`` on keep theirs.
 
     A round sums the pairs by (word, class of its neighbour) on the executors and lets tasks pick each word's best class
-    against the class table of the round.  Half the words (by turns) may move, so that neighbours do not swap in step.
+    against the class table of the round.  Half the words (by turns) may move, so that neighbours do not swap in step; a
+    turn after which the mutual information is less is undone and ends the rounds.
     """
     spark = pairs.sparkSession
-    now = start.copy()
-    for turn in range(2 * rounds):
+    now, best_so_far, most = start.copy(), start.copy(), -math.inf
+    for turn in range(2 * rounds + 1):
         held = spark.createDataFrame(list(enumerate(now.tolist())), "id int, c int")  # at most 1 / CLUSTER_SHARE + 2 rows
         at = lambda side: F.broadcast(held.select(F.col("id").alias(side), F.col("c").alias(f"c{side}")))
         rows = pairs.join(at("a"), "a").join(at("b"), "b")
@@ -112,6 +180,12 @@ def exchange(pairs: DataFrame, start: np.ndarray, classes: int, movable: int, ro
         table = np.zeros((classes, classes))
         for r in both:
             table[r["ca"], r["cb"]] = r["n"]
+        gained = information(table)
+        if gained < most:
+            return best_so_far
+        most, best_so_far = gained, now.copy()
+        if turn == 2 * rounds:
+            break
         sides = rows.where(F.col("a") < movable).select(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("cb").alias("c"), F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("n")).alias("n"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("own"))
         other = rows.where((F.col("b") < movable) & (F.col("a") != F.col("b"))).select(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("ca").alias("c"), "n", F.lit(0).alias("own"))
         sums = sides.unionByName(other).where(F.col("w") % 2 == turn % 2).groupBy("w", "side", "c").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
@@ -175,37 +249,49 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> dict:
     place = exchange(pairs, start, classes + 2, len(top), rounds) if top else start
     held = train.sparkSession.createDataFrame(list(enumerate(place.tolist())), "id int, c int")
     rows = pairs.join(F.broadcast(held.select(F.col("id").alias("a"), F.col("c").alias("ca"))), "a").join(F.broadcast(held.select(F.col("id").alias("b"), F.col("c").alias("cb"))), "b")
-    table = np.zeros((classes + 2, classes + 2))
+    table = np.zeros((classes + 2, classes + 2))  # history by class
     for r in rows.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
         table[r["ca"], r["cb"]] = r["n"]
+    # all words beyond the clustered ones choose a class, and the table's column of rare words is dealt out among the classes
+    contexts = context_counts(train, {w: int(place[i]) for w, i in ids.items()}, classes)
+    others = materialise(assigned(contexts, table, classes), "lm-classes")
+    table[:, classes] = 0
+    spread = others.select("c", F.explode("near").alias("x")).groupBy("x.h", "c").agg(F.sum("x.n").alias("n"))
+    for r in spread.collect():  # a table of classes
+        table[r["h"], r["c"]] += r["n"]
     in_class = table.sum(axis=0)
     prior = (in_class + ADD) / (in_class.sum() + ADD * len(in_class))
     after = (table + WEIGHT * prior) / (table.sum(axis=1, keepdims=True) + WEIGHT)
-    rare_total = in_class[classes] + ADD * (int(total[1]) - len(top) + 1)
+    n_rare = others.where(F.col("c") == classes).count()
+    rare_total = in_class[classes] + ADD * (n_rare + 1)
+    local = others.where(F.col("n") >= n * LOCAL_SHARE).select("word", "c").toArrow()  # at most 1 / LOCAL_SHARE words
+    chosen = dict(zip(local["word"].to_pylist(), local["c"].to_pylist(), strict=True))
     number = {w: i + 1 for i, (w, _) in enumerate(known)}  # 0: not looked up in the task
     count = np.array([c for _, c in known], float)
-    kind = np.array([int(place[ids[w]]) if w in ids else classes for w, _ in known], np.int64)
+    kind = np.array([int(place[ids[w]]) if w in ids else chosen[w] for w, _ in known], np.int64)
+    history = np.array([int(place[ids[w]]) if w in ids else classes for w, _ in known], np.int64)
     emit = np.log10(np.where(kind == classes, (count + ADD) / rare_total, count / np.maximum(in_class[kind], 1)))
     return {
-        "counts": counts, "n": n, "distinct": distinct, "ends": ends, "number": number, "rare": classes, "end": classes + 1,
-        "count": np.append(0, count), "kind": np.append(classes, kind), "emit": np.append(0.0, emit), "after": np.log10(after), "rare_total": float(rare_total),
+        "counts": others.select("word", "n", "c"), "n": n, "distinct": distinct, "ends": ends, "number": number, "rare": classes, "end": classes + 1,
+        "count": np.append(0, count), "kind": np.append(classes, kind), "history": np.append(classes, history), "emit": np.append(0.0, emit), "after": np.log10(after),
+        "rare_total": float(rare_total), "in_class": in_class,
     }
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
-    n, base_total, rare_total = model["n"], model["n"] + ADD * (model["distinct"] + 1), model["rare_total"]
+    n, base_total, rare_total, rare = model["n"], model["n"] + ADD * (model["distinct"] + 1), model["rare_total"], model["rare"]
     held = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2, pa.binary(), pa.int64()]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, k long"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2, pa.binary(), pa.int32(), pa.int64()]
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, h int, k long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two kinds of rows: what a text has in the task (its word is no word: it starts with a space), and words to look up elsewhere."""
+        """Two kinds of rows: what a text has in the task (its word is no word: it starts with a space), and words to look up elsewhere, by history."""
         m = held.value
-        place, kind, emit, after, end = m["number"].get, m["kind"], m["emit"], m["after"], m["end"]
+        place, kind, history, emit, after, end = m["number"].get, m["kind"], m["history"], m["emit"], m["after"], m["end"]
         log_base = np.log10((m["count"] + ADD) / base_total)
         log_base[0] = 0.0
         log_end = math.log10((m["ends"] + ADD) / base_total)
@@ -213,32 +299,38 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             one, two = [], []
             for doc_id, out, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 line = tokens(text)
-                at = [place(w, 0) for w in line]
-                x = np.array(at, np.int64)
-                path = np.concatenate(([end], kind[x], [end]))
-                away = Counter(w for w, i in zip(line, at, strict=True) if not i)
-                k = sum(away.values())
-                total = float(after[path[:-1], path[1:]].sum() + emit[x].sum()) - k * math.log10(rare_total)
+                x = np.array([place(w, 0) for w in line], np.int64)
+                before = np.concatenate(([end], history[x]))
+                here = x > 0
+                away = Counter((line[i], h) for i, h in zip(np.flatnonzero(~here).tolist(), before[:-1][~here].tolist(), strict=True))
+                k = len(line) - int(here.sum())
+                total = float(after[before[:-1][here], kind[x[here]]].sum() + emit[x].sum() + after[before[-1], end])
                 base = float(log_base[x].sum()) + log_end - k * math.log10(base_total)
-                one.append((row, doc_id, out, len(line) + 1, len(line) - k + (m["ends"] > 0), base, total, b" %d" % row, None))
-                two += [(row, w, j) for w, j in away.items()]
+                one.append((row, doc_id, out, len(line) + 1, len(line) - k + (m["ends"] > 0), base, total, b" %d" % row, None, None))
+                two += [(row, w, h, j) for (w, h), j in away.items()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*one, strict=True), kinds, strict=True)], names=names)
             if two:
-                row, word, k = zip(*two, strict=True)
-                yield pa.record_batch([pa.array(row, kinds[0]), *[pa.nulls(len(row), t) for t in kinds[1:7]], pa.array(word, kinds[7]), pa.array(k, kinds[8])], names=names)
+                row, word, h, k = zip(*two, strict=True)
+                yield pa.record_batch([pa.array(row, kinds[0]), *[pa.nulls(len(row), t) for t in kinds[1:7]], *[pa.array(c, t) for c, t in zip((word, h, k), kinds[7:], strict=True)]], names=names)
 
-    counts = model["counts"].where(F.col("n") < n * LOCAL_SHARE).withColumnRenamed("n", "c")
+    counts = model["counts"].where(F.col("n") < n * LOCAL_SHARE).withColumnRenamed("n", "count")
     found = rows.mapInArrow(run, schema).join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    # per history and class: what a word adds besides its own count
+    width = rare + 2
+    emission = np.where(np.arange(width) == rare, math.log10(rare_total), np.log10(np.maximum(model["in_class"], 1)))
+    steps = F.array(*[F.lit(float(v)) for v in (model["after"] - emission).ravel()])
+    count, kind = F.coalesce("count", F.lit(0)), F.coalesce("c", F.lit(rare))
+    step = F.element_at(steps, F.col("h") * width + kind + 1) + F.log10(count + F.when(kind == rare, ADD).otherwise(0.0))
     one = lambda name: F.max(name).alias(name)  # noqa: E731  a single row has it
     found = found.groupBy("row").agg(
         one("doc_id"), one("held_out"), one("n_tokens"), one("base_score"), one("score"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(c > 0, F.col("k"))), F.lit(0))).alias("n_known"),
-        F.coalesce(F.sum(F.col("k") * F.log10(c + ADD)), F.lit(0.0)).alias("away"),
+        (F.max("n_known") + F.coalesce(F.sum(F.when(count > 0, F.col("k"))), F.lit(0))).alias("n_known"),
+        F.coalesce(F.sum(F.col("k") * F.log10(count + ADD)), F.lit(0.0)).alias("away"),
+        F.coalesce(F.sum(F.col("k") * step), F.lit(0.0)).alias("away_class"),
     )
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("away")).alias("base_score"), (F.col("score") + F.col("away")).alias("score"),
+        (F.col("base_score") + F.col("away")).alias("base_score"), (F.col("score") + F.col("away_class")).alias("score"),
     )
 
 
