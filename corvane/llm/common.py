@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset and Spark runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-")
         _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
@@ -71,3 +75,38 @@ def batches(frames: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
         step = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+#: Bits of the filter that ``sieve`` sends to every task, at least and at most (16 MB).
+SIEVE_BITS = 1 << 16, 1 << 27
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[str], Column]:
+    """A Bloom filter over hashed keys: the function makes, of the name of a column, the condition that it may be among them.
+
+    Rows that pass still have to be joined; rows that don't need no shuffle.  The filter has a bound, and past about ten
+    million keys more and more rows pass that need not; what comes out stays the same.
+    """
+    least, most = SIEVE_BITS
+    bits = least
+    wanted = 16 * keys.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    place = lambda x: [F.col(x).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(bits - 1))]
+    at = F.explode(F.array(*place(column)))
+    words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most bits / 64 rows
+    held = np.zeros(bits // 64, np.int64)
+    held[found["word"].to_numpy()] = found["bit"].to_numpy()
+    table = keys.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        values = x.to_numpy(np.int64).view(np.uint64)
+        passed = np.ones(len(values), bool)
+        for at in (values & np.uint64(bits - 1), (values >> np.uint64(32)) & np.uint64(bits - 1)):
+            at = at.astype(np.int64)
+            passed &= (table.value[at >> 6] >> (at & 63)) & 1 == 1
+        return pd.Series(passed)
+
+    return lambda name: among(F.col(name))

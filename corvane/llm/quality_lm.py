@@ -9,14 +9,17 @@ Scoring joins counts by shard of n-grams as well: the distinct n-grams of all
 texts are joined with the count tables, order by order, which gives each its
 smoothed log-probability.  A text's perplexity is 10 ** (-mean of its n-grams).
 
-A text is rejected where its perplexity is above the ``QUANTILE`` of the trusted
-texts of its language times ``MARGIN`` (a language with fewer than ``LEAST``
-trusted texts, or none: the quantile over all).
-
-Null or empty text: no perplexity, rejected.  Repeated rows: each is judged, and
-trusted ones count as often as they stand.  No trusted text at all: all perplexities are those of the
-uniform model, nothing but empty texts is rejected.  Extra columns pass through
-``keep_good``.
+A text is rejected where its perplexity is above the ``QUANTILE`` of trusted texts
+of its language.  These are one in ``FOLDS`` of the trusted texts, which training
+leaves out, so the quantile is not one of texts the model knows.  A language with
+fewer than ``LEAST`` of them, or none, has the quantile over all.
+
+Null or empty text: no perplexity, rejected.  Very long texts are counted and
+scored whole, in pieces.  Repeated rows: each is judged, and trusted ones count as
+often as they stand.  A perplexity equal to the threshold is kept.  No trusted text
+at all: all perplexities are those of the uniform model; with fewer than ``LEAST``
+left out, nothing but empty texts is rejected.  Empty tables: no rows.  Extra
+columns pass through ``keep_good``, whatever their names.
 
 The table of n-gram probabilities is sent to every task while it has no more than
 ``BROADCAST_NGRAMS`` rows, which is checked; beyond, texts and their n-grams meet
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import batches, free_name, materialise
 
 ORDER = 5
-QUANTILE, MARGIN, LEAST = 0.99, 1.25, 20
-#: 16 bytes each: 64 MB at most.
+QUANTILE, LEAST, FOLDS, SALT = 0.995, 10, 4, 11
+#: 12 bytes each: 48 MB at most.
 BROADCAST_NGRAMS = 4_000_000
 #: Characters of one shard of documents on the shuffled path.
 SHARD_CHARS = 16_000_000
@@ -124,11 +127,10 @@ class Model:
             self.orders[order] = (counts, discounts(of))
 
     def probabilities(self, queried: DataFrame) -> DataFrame:
-        """key, lp: log10 probability of the last byte after the four before, for each distinct key asked."""
-        keys = {ORDER: queried}
-        for order in range(ORDER - 1, 0, -1):
-            mask = (1 << 8 * order) - 1
-            keys[order] = keys[order + 1].select(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).distinct()
+        """key, lp: log10 probability of the last byte after the four before, for each distinct key asked.
+
+        Order by order, each written, so that no plan holds more than the joins of one order.
+        """
         lower = None
         for order in range(1, ORDER + 1):
             counts, (d1, d2, d3) = self.orders[order]
@@ -137,7 +139,8 @@ class Model:
                 F.sum("n").alias("total"),
                 (d1 * F.count(F.when(n == 1, 1)) + d2 * F.count(F.when(n == 2, 1)) + d3 * F.count(F.when(n >= 3, 1))).alias("left"),
             )
-            rows = keys[order].join(counts, "key", "left").withColumn("context", shift()).join(context, "context", "left")
+            keys = queried if order == ORDER else queried.select(F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("key")).distinct()
+            rows = keys.join(counts, "key", "left").withColumn("context", shift()).join(context, "context", "left")
             if lower is None:
                 rows = rows.withColumn("below", F.lit(1 / 256))
             else:
@@ -147,6 +150,8 @@ class Model:
             own = F.coalesce(F.greatest(n - off, F.lit(0.0)), F.lit(0.0))
             p = F.when(F.col("total").isNull(), F.col("below")).otherwise((own + F.col("left") * F.col("below")) / F.col("total"))
             lower = rows.select("key", p.alias("p"))
+            if order < ORDER:
+                lower = materialise(lower, "kn-lower")
         return lower.select("key", F.log10("p").alias("lp"))
 
 
@@ -186,16 +191,25 @@ def mean_lp(texts: list[str | None], keys: np.ndarray, lp: np.ndarray) -> list[f
     return [float(10 ** (-s / n)) if n else None for s, n in zip(sums.tolist(), size.tolist(), strict=True)]
 
 
-def with_perplexity(docs: DataFrame, model: Model, name: str, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
-    """docs and a new column of that name."""
-    names = docs.columns
-    at = names.index("text")
-    schema = docs.select("*", F.lit(None).cast("double").alias(name)).schema
-    asked = materialise(ngram_counts(docs).select("key"), "kn-asked")
-    table = materialise(model.probabilities(asked), "kn-probabilities")
-    if table.count() <= broadcast_limit:
-        rows = table.toArrow().sort_by("key")
-        held = docs.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), rows["lp"].to_numpy()))
+class Scorer:
+    """The model's probabilities of all n-grams of docs, ready to score any of their rows."""
+
+    def __init__(self, docs: DataFrame, model: Model, broadcast_limit: int = BROADCAST_NGRAMS):
+        self.table = materialise(model.probabilities(materialise(ngram_counts(docs).select("key"), "kn-asked")), "kn-probabilities")
+        self.held = None
+        if self.table.count() <= broadcast_limit:
+            rows = self.table.toArrow()
+            keys = rows["key"].to_numpy()
+            order = np.argsort(keys)
+            self.held = docs.sparkSession.sparkContext.broadcast((keys[order], rows["lp"].to_numpy().astype(np.float32)[order]))
+
+    def score(self, docs: DataFrame, name: str) -> DataFrame:
+        """docs and a new column of that name, the perplexity."""
+        names, held = docs.columns, self.held
+        at = names.index("text")
+        schema = docs.select("*", F.lit(None).cast("double").alias(name)).schema
+        if held is None:
+            return _by_shards(docs, self.table, schema, name)
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, lp = held.value
@@ -204,7 +218,6 @@ def with_perplexity(docs: DataFrame, model: Model, name: str, broadcast_limit: i
                 yield pa.record_batch([*batch.columns, pa.array(ppl, pa.float64())], names=[*names, name])
 
         return docs.mapInArrow(run, schema)
-    return _by_shards(docs, table, schema, name)
 
 
 def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFrame:
@@ -236,13 +249,20 @@ def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFram
     return dealt.groupBy(shard).cogroup(asked.groupBy(shard)).applyInArrow(score, schema)
 
 
-def thresholds(scores: DataFrame, labels: DataFrame) -> dict[str | None, float]:
+def fold(docs: DataFrame, held_out: bool) -> DataFrame:
+    """The rows of docs that are (or are not) among the one in ``FOLDS`` kept from training, by a hash of id and text."""
+    mine = F.pmod(F.xxhash64(F.lit(SALT), "doc_id", "text"), F.lit(FOLDS)) == 0
+    return docs.where(mine if held_out else ~mine)
+
+
+def thresholds(scorer: Scorer, docs: DataFrame, labels: DataFrame) -> dict[str | None, float]:
     """Greatest perplexity kept, by language; None holds for the others. One row per language comes to the driver."""
-    known = trusted(scores, labels).where("__ppl IS NOT NULL").groupBy("lang")
-    known = known.agg(F.count("*").alias("n"), F.percentile_approx("__ppl", QUANTILE, 10_000).alias("q"))
-    every = trusted(scores, labels).agg(F.percentile_approx("__ppl", QUANTILE, 10_000)).first()[0]
-    out = {r["lang"]: r["q"] * MARGIN for r in known.where(F.col("n") >= LEAST).collect() if r["lang"] is not None}
-    out[None] = every * MARGIN if every is not None else float("inf")
+    held = scorer.score(trusted(fold(docs.select("doc_id", "lang", "text"), True), labels), "__ppl").where("__ppl IS NOT NULL")
+    held = materialise(held.select("lang", "__ppl"), "kn-held-out")
+    cut = lambda rows: rows.agg(F.count("*").alias("n"), F.percentile_approx("__ppl", QUANTILE, 10_000).alias("q"))
+    out = {r["lang"]: r["q"] for r in cut(held.groupBy("lang")).where(F.col("n") >= LEAST).collect() if r["lang"] is not None}
+    every = cut(held).first()
+    out[None] = every["q"] if every["n"] >= LEAST else float("inf")
     return out
 
 
@@ -256,19 +276,20 @@ def _limit(limits: dict[str | None, float]) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept, one row per row of docs."""
-    rows = docs.select("doc_id", "lang", "text")
-    model = Model(trusted(rows, labels).select("text"))
-    scores = with_perplexity(rows, model, "__ppl", broadcast_limit)
-    scores = scores.select("doc_id", "lang", "__ppl")
-    scores = materialise(scores, "kn-scores")
-    limit = _limit(thresholds(scores, labels))
-    return scores.select("doc_id", "lang", F.col("__ppl").alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("__ppl") <= limit, F.lit(False)).alias("kept"))
+    scorer, limits = _fitted(docs, labels, broadcast_limit)
+    scores = scorer.score(docs.select("doc_id", "lang", "text"), "perplexity").drop("text")
+    limit = _limit(limits)
+    return scores.select("doc_id", "lang", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, broadcast_limit: int = BROADCAST_NGRAMS) -> DataFrame:
     """The rows of docs that the classifier keeps; columns stay."""
-    model = Model(trusted(docs.select("doc_id", "text"), labels).select("text"))
+    scorer, limits = _fitted(docs, labels, broadcast_limit)
     name = free_name(docs, "perplexity")
-    scored = with_perplexity(docs, model, name, broadcast_limit)
-    limits = thresholds(materialise(scored.select("doc_id", "lang", F.col(name).alias("__ppl")), "kn-scores"), labels)
-    return scored.where(F.coalesce(F.col(name) <= _limit(limits), F.lit(False))).drop(name)
+    return scorer.score(docs, name).where(F.coalesce(F.col(name) <= _limit(limits), F.lit(False))).drop(name)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, broadcast_limit: int) -> tuple[Scorer, dict[str | None, float]]:
+    model = Model(trusted(fold(docs.select("doc_id", "text"), False), labels).select("text"))
+    scorer = Scorer(docs, model, broadcast_limit)
+    return scorer, thresholds(scorer, docs, labels)
