@@ -1,19 +1,28 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree of nodes.  Every node gets its composite text density:
-characters per tag, lowered by the share of link characters and link tags,
-against the balance of the whole body.  The node whose children have the largest
-sum of densities anchors the article; the threshold is the smallest density on
-the path from the body to that node.  Kept are the anchor and, of every other node
-that reaches the threshold, the part with the largest sum of densities; an article
-or main element around the anchor is kept whole instead.  What an element or its
-label says is furniture goes; a label that is only part of a class does so where
-density and share of the page's text agree.
-
-White space inside a block becomes one space; blocks are joined by one line feed
-in page order.  Null or empty html: empty text.  Unclosed, crossed or cut-off
-markup is read as browsers do (a new paragraph ends the open one, a stray end tag
-is dropped).  Each row is read alone; repeated rows and extra columns do no harm.
+characters per tag, lowered by the share of link characters and link tags, against
+the balance of the whole page.  What the densities decide:
+
+1. The anchor is the node whose children have the largest sum of densities.
+2. The threshold is the smallest density on the path from the body to the anchor.
+3. Kept are the anchor and, of every other node that reaches the threshold, the part
+   with the largest sum of child densities.  A kept part takes in what stands around
+   it in the same parent (titles, bylines, short lines) while that is less than half
+   of it and no link list.  Headings above the anchor on the path stay.
+4. Below what is kept, navigation and link lists under the threshold go.
+
+Names and labels decide only what density cannot: a notice, an advert or a reader's
+comment is as dense as an article.  Elements and whole class names that say so are
+ruled out before densities are summed, unless they hold most of the page's text; a
+label that is only part of a class counts where the density is under the page's.
+
+White space inside a block becomes one space; blocks are joined by one line feed in
+page order.  Null or empty html: empty text.  Unclosed, crossed or cut-off markup is
+read as browsers do (a new paragraph ends the open one, a stray end tag is dropped),
+in time linear in the page, however long or deep it is.  Equal sums: the node first
+in the page.  Each row is read alone; repeated rows and extra columns do no harm.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,67 +41,97 @@ from corvane.llm.common import batches
 # Element names and label words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-FURNITURE = frozenset("nav header footer aside form button menu dialog head object audio video canvas figure_nav select svg annotation annotation-xml".split())
+#: Never text of an article.
+HIDDEN = frozenset("head form button select dialog object audio video canvas svg annotation annotation-xml".split())
+#: Furniture by name; a header inside an article is the article's.
+FURNITURE = frozenset("header footer aside".split())
+LISTS = frozenset("nav menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("p li blockquote h1 h2 h3 h4 h5 h6 ul ol pre td th tr tbody dd dt dl".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": ("td", "th", "li", "div", "article", "section", "body", "blockquote", "button")}
 LABEL = (
     r"(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|comment-list|respond|cookies?|consent|disclaimer|footer|gdpr|"
     r"header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|share|sharing|sidebar|"
-    r"skip|social|sponsored|sponsor|subscribe|toolbar|topbar|widget|replies|signup|login|overlay|modal|alert)"
+    r"skip|social|sponsored|sponsor|subscribe|toolbar|topbar|replies|signup|login|overlay|modal|alert)"
 )
-LABELS = re.compile(rf"(?:^|[\s_-]){LABEL}(?:$|[\s_-])", re.I)
+LABELS = re.compile(rf"(?:^|[\s_-])(?:{LABEL}|widget)(?:$|[\s_-])", re.I)
 #: A class that is labels and nothing else, among the classes of an element.
 WHOLE = re.compile(rf"(?:^|\s){LABEL}(?:[_-]{LABEL})*(?:$|\s)", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset("banner contentinfo complementary search form dialog alert alertdialog toolbar".split())
+
+#: Share of the page's characters from which a ruled-out node is the page itself.
+MOST = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "skip", "hint", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "parent", "children", "skip", "named", "hint", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "open_in")
 
-    def __init__(self, name, parent, skip):
-        self.name, self.parent, self.children, self.skip, self.hint = name, parent, [], skip, False
+    def __init__(self, name, parent, skip=False):
+        self.name, self.parent, self.children, self.skip, self.named, self.hint = name, parent, [], skip, False, False
         self.text, self.chars, self.tags, self.link_chars, self.link_tags, self.density = "", 0, 0, 0, 0, 0.0
+        self.open_in = ()  # searches upward from here that are known to find nothing
 
 
-def _furniture(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether a label within a longer class hints that it may be."""
-    hint = False
-    if name in FURNITURE:
-        return True, False
+def _marks(node: Node, attributes: str) -> None:
+    """Sets skip (never text), named (furniture by name or label) and hint (a label within a longer class) of a new node."""
+    node.skip = node.name in HIDDEN
+    node.named = node.name in FURNITURE
     if not attributes.strip():
-        return False, False
+        return
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
-            return True, False
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and LABELS.search(value):
-            if WHOLE.search(value):
-                return True, False
-            hint = True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
-    return False, hint
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            node.skip = True
+        elif key == "role" and value.lower() in ROLES or key in ("class", "id") and node.name not in ("body", "html", "article", "main") and WHOLE.search(value):
+            node.named = True
+        elif key in ("class", "id") and LABELS.search(value):
+            node.hint = True
+
+
+def _above(node: Node, root: Node, ends: tuple, scope: tuple, key: str) -> Node | None:
+    """The nearest of node and its ancestors named in ends, below any named in scope; what is found missing is remembered."""
+    passed = []
+    while node is not root and key not in node.open_in:
+        if node.name in ends:
+            return node
+        passed.append(node)
+        if node.name in scope:
+            break
+        node = node.parent
+    for x in passed:
+        x.open_in += (key,)
+    return None
 
 
 def tree(page: str) -> Node:
-    """The page as nodes; text is kept in nodes named #text, furniture is marked."""
-    root = Node("#root", None, False)
-    here, at, size, drawn = root, 0, len(page), False
+    """The page as nodes; text is kept in nodes named #text."""
+    root = Node("#root", None)
+    here, at, size, drawn, opened = root, 0, len(page), False, Counter()
 
     def add(raw: str) -> None:
         if raw:
-            leaf = Node("#text", here, False)
+            leaf = Node("#text", here)
             leaf.text = html.unescape(raw)
             here.children.append(leaf)
 
+    def close(node: Node) -> Node:
+        """Everything up to node ends; what is open then."""
+        x = here
+        while True:
+            opened[x.name] -= 1
+            if x is node:
+                return node.parent
+            x = x.parent
+
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -103,40 +143,41 @@ def tree(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if opened[name]:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                here = close(node)
             continue
-        for ends, scope in (((*SAME_ENDS.get(name, ()),), SCOPES.get(name, ())), (("p",) if name in CLOSES_P else (), SCOPES["p"])):
-            node = here
-            while ends and node is not root and node.name not in ends and node.name not in scope:
-                node = node.parent
-            if ends and node.name in ends:
-                here = node.parent
-        if drawn and name in CLOSES_P:  # a block ends an svg or math that was left open
-            node = here
-            while node is not root and node.name not in ("svg", "math", "foreignobject"):
-                node = node.parent
-            if node.name in ("svg", "math"):
-                here = node.parent
-        drawn = drawn or name in ("svg", "math")
+        if name in SAME_ENDS and (node := _above(here, root, SAME_ENDS[name], SCOPES.get(name, ()), name)):
+            here = close(node)
+        if name in CLOSES_P:
+            if opened["p"] and (node := _above(here, root, ("p",), SCOPES["p"], "p")):
+                here = close(node)
+            if drawn and (node := _above(here, root, ("svg", "math"), ("foreignobject",), "svg")):  # a block ends an svg or math that was left open
+                here = close(node)
+        foreign = name in ("svg", "math") or opened["svg"] + opened["math"] > 0
+        drawn = drawn or foreign
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = end.end() if end else size
             continue
-        skip, hint = _furniture(name, m[3])
-        node = Node(name, here, skip)
-        node.hint = hint
+        node = Node(name, here)
+        _marks(node, m[3])
         here.children.append(node)
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not (foreign and m[3].endswith("/")):
             here = node
+            opened[name] += 1
     return root
 
 
+def inner(node: Node) -> list[Node]:
+    """The element children that can hold text of the article."""
+    return [c for c in node.children if not c.skip and c.name != "#text"]
+
+
 def measure(root: Node) -> None:
-    """Counts of every node, children first; furniture has no characters."""
+    """Counts and density of every node, children first; what is skipped has no characters."""
     order, stack = [], [(root, False)]
     while stack:
         node, link = stack.pop()
@@ -156,31 +197,37 @@ def measure(root: Node) -> None:
                 node.link_chars += c.link_chars
                 node.tags += c.tags + (c.name != "#text")
                 node.link_tags += c.link_tags + (c.name == "a")
-    chars, links = max(1, root.chars), root.link_chars
     for node, _ in order:
-        if node.name == "#text" or not node.chars:
-            continue
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.link_tags
-        plain = max(1, c - lc)
-        base = math.log(c / plain * lc + links / chars * c + math.e)
-        value = c / max(1, lc) * t / max(1, lt)
-        node.density = c / t * math.log(max(value, 1.0 + 1e-9)) / max(base, 1e-9)
+        if node.name != "#text" and node.chars:
+            node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, root.link_chars / max(1, root.chars))
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, page_links: float) -> float:
+    """Composite text density: characters per tag times the logarithm of how few of both are links, to a base that grows with links."""
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + page_links * chars + math.e)
+    few = chars / max(1, link_chars) * tags / max(1, link_tags)
+    return chars / tags * math.log(max(few, 1.0 + 1e-9)) / base
 
 
 def judge(root: Node) -> None:
-    """Measure, rule out what a label hints at and density and share of the page's text confirm, and measure again."""
+    """Rule out what names and labels say and density cannot, then measure."""
     measure(root)
-    hinted, body, stack = [], root, [root]
+    body, marked, stack = root, [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, within = stack.pop()
         if node.name == "body":
             body = node
-        if node.hint:
-            hinted.append(node)
-        stack += [c for c in node.children if not c.skip and c.name != "#text"]
-    for node in hinted:
-        node.skip = 2 * node.chars < root.chars and (node.density < body.density or 2 * node.link_chars > node.chars)
-    if any(node.skip for node in hinted):
+        if node.named and not (node.name == "header" and within) or node.hint:
+            marked.append(node)
+        within = within or node.name in ("article", "main")
+        stack += [(c, within) for c in inner(node)]
+    for node in marked:
+        if node.named:
+            node.skip = node.chars < MOST * root.chars
+        else:
+            node.skip = 2 * node.chars < root.chars and (node.density < body.density or 2 * node.link_chars > node.chars)
+    if any(node.skip for node in marked):
         measure(root)
 
 
@@ -191,10 +238,11 @@ def anchor(root: Node) -> tuple[Node, float]:
         node = stack.pop()
         if node.name == "body":
             body = node
-        total = sum(c.density for c in node.children if not c.skip and c.name != "#text")
+        children = inner(node)
+        total = sum(c.density for c in children)
         if total > most:
             best, most = node, total
-        stack += [c for c in reversed(node.children) if not c.skip and c.name != "#text"]
+        stack += children[::-1]
     least, node = math.inf, best
     while node is not None and node is not root:
         least = min(least, node.density)
@@ -204,33 +252,56 @@ def anchor(root: Node) -> tuple[Node, float]:
     return best, least if least < math.inf else 0.0
 
 
+def widened(node: Node) -> Node:
+    """node, or a node around it: a single line stands for its block, and a part takes in the less that stands beside it."""
+    while (node.name not in BLOCKS or node.name in PARTS) and node.parent is not None:
+        node = node.parent
+    while (up := node.parent) is not None and up.name not in ("body", "html", "#root"):
+        rest, links = up.chars - node.chars, up.link_chars - node.link_chars
+        if 2 * rest >= node.chars or 2 * links > rest and rest:
+            break
+        node = up
+    return node
+
+
 def dense(root: Node, top: Node, least: float) -> list[Node]:
-    """top, and of every node with a density of ``least`` or more the node below it (or itself) with the largest sum of
-    child densities; in page order, none inside another."""
+    """What is kept: top, headings on the path to it, and of every node with a density of ``least`` or more the node below it
+    (or itself) with the largest sum of child densities, widened; in page order, none inside another."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [c for c in reversed(node.children) if not c.skip and c.name != "#text"]
+        stack += inner(node)[::-1]
     for node in reversed(order):
-        inner = [c for c in node.children if not c.skip and c.name != "#text"]
-        node.total, node.best = sum(c.density for c in inner), node
-        for c in inner:
+        children = inner(node)
+        node.total, node.best = sum(c.density for c in children), node
+        for c in children:
             if c.best.total > node.best.total:
                 node.best = c.best
-    taken = {id(top)} | {id(node.best) for node in order if node.chars and node.density >= least > 0}
+    path, node = set(), top
+    while node is not None:
+        path.add(id(node))
+        node = node.parent
+    taken = {id(top)}
+    for node in order:
+        if node.chars and node.density >= least > 0 and id(node) not in path:
+            part = node.best
+            taken.add(id(wide if id(wide := widened(part)) not in path else node))
+        elif node.name in HEADINGS and 2 * node.link_chars <= node.chars and node.parent is not None and id(node.parent) in path and node.parent.name not in ("body", "html", "#root"):
+            taken.add(id(node))
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         if id(node) in taken:
             out.append(node)
         else:
-            stack += [c for c in reversed(node.children) if not c.skip and c.name != "#text"]
+            stack += inner(node)[::-1]
     return out
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below node, in page order, without furniture."""
+def blocks(node: Node, least: float = 0.0, page: bool = False) -> list[str]:
+    """Texts of the blocks below node, in page order, without what is skipped and without navigation under the density
+    ``least``; in a whole page, any block of mostly links under it."""
     out, words = [], []
 
     def close():
@@ -246,7 +317,7 @@ def blocks(node: Node) -> list[str]:
             words.append(x.text)
         elif done:
             close()
-        elif not x.skip:
+        elif not x.skip and not (x.density < least and 2 * x.link_chars > x.chars and (x.name in LISTS or page and x.name in BLOCKS and x.link_tags > 1)):
             if x.name in BLOCKS:
                 close()
                 stack.append((x, True))
@@ -264,21 +335,9 @@ def main_text(page: str) -> str:
     if not root.chars:
         return ""
     found, least = anchor(root)
-    # An article or main element that holds the anchor bounds it.
-    node, top = found, found if found.name in ("article", "main") else None
-    while node.parent is not None and not node.parent.skip:
-        node = node.parent
-        if node.name in ("article", "main"):
-            top = node
-            break
-    if top is not None:
-        return "\n".join(blocks(top))
-    top = found
-    while top.name not in BLOCKS and top.parent is not None:  # an inline anchor stands for the block around it
-        top = top.parent
-    if top.name in ("p", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "pre", "td", "tr", "dd", "dt", "dl") and top.parent is not None:
-        top = top.parent
-    return "\n".join(line for x in dense(root, top, least) for line in blocks(x))
+    top = widened(found)
+    whole = top.name in ("body", "html", "#root")
+    return "\n".join(line for x in dense(root, top, least) for line in blocks(x, least, whole))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 import pytest
 from corvane.llm import html_text
 
@@ -38,3 +41,84 @@ def test_label_within_a_class(label):
     links = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(5)) + "</ul>"
     assert html_text.main_text(f"<body><div class='{label}'><div>{ARTICLE}</div></div></body>") == TEXT
     assert html_text.main_text(f"<body><div class='site-header'>{links}</div><div id='{label}'>{ARTICLE}<div class='post-related'>{links}</div><div class='x cookie-notice'>We use cookies</div></div></body>") == TEXT
+
+
+def plain_density(node, page):
+    """Composite text density from its definition, by recursion."""
+
+    def counts(x, link):
+        if x.name == "#text":
+            n = len(" ".join(x.text.split()))
+            return n, 0, n if link else 0, 0
+        out = [0, 0, 0, 0]
+        for c in x.children:
+            if not c.skip:
+                chars, tags, link_chars, link_tags = counts(c, link or c.name == "a")
+                out = [out[0] + chars, out[1] + tags + (c.name != "#text"), out[2] + link_chars, out[3] + link_tags + (c.name == "a")]
+        return tuple(out)
+
+    above, link = node, False
+    while above is not None:
+        link, above = link or above.name == "a", above.parent
+    c, t, lc, lt = counts(node, link)
+    body_c, _, body_lc, _ = counts(page, False)
+    t = max(1, t)
+    return c / t * math.log(max(c / max(1, lc) * t / max(1, lt), 1 + 1e-9)) / math.log(c / max(1, c - lc) * lc + body_lc / body_c * c + math.e) if c else 0.0
+
+
+def test_densities(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect():
+        root = html_text.tree(r.html)
+        html_text.judge(root)
+        stack, seen = [root], 0
+        while stack:
+            x = stack.pop()
+            if x.name != "#text" and not x.skip:
+                assert x.density == pytest.approx(plain_density(x, root), rel=1e-12)
+                seen += 1
+                stack += x.children
+        assert seen > 10
+
+
+def test_density_decides(spark, sf, monkeypatch):
+    """No article, no navigation element, no label: the link list goes by its density, and stays where densities are gone."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = [html_text.main_text(p) for p in pages]
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>").replace("<nav>", "<div>").replace("</nav>", "</div>") for p in pages]
+    assert [html_text.main_text(p) for p in bare] == want and "<article" not in "".join(bare)
+    monkeypatch.setattr(html_text, "density", lambda *counts: 0.0)
+    assert all(html_text.main_text(p) != w for p, w in zip(bare, want, strict=True))
+
+
+def test_equal_sums_take_the_first():
+    part = "".join(f"<p>{words(20, 10 * k)}.</p>" for k in range(3))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i} of the list</a></li>" for i in range(30)) + "</ul>"
+    root = html_text.tree(f"<body>{links}<div id=a>{part}</div>{links}<div id=b>{part}</div></body>")
+    html_text.judge(root)
+    found, _ = html_text.anchor(root)
+    assert found.parent.children.index(found) == 1
+
+
+def test_names_inside_the_article():
+    assert html_text.main_text(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header>{ARTICLE}</article></body>") == "Title\n" + TEXT
+    assert html_text.main_text(f"<body><div class='post'><div class='share-price widget'><p>{words(40, 500)}.</p></div>{ARTICLE}</div></body>") == f"{words(40, 500)}.\n" + TEXT
+    assert html_text.main_text(f"<body><div>{ARTICLE}<p>See <a href=foo/>this</a> and that.</p></div></body>") == TEXT + "\nSee this and that."
+
+
+def test_comments_longer_than_the_article():
+    page = f"<body><div><h1>T</h1>{ARTICLE}</div><section class=comments>{''.join(f'<div><p>{words(40, 900 + 50 * k)}</p></div>' for k in range(5))}</section></body>"
+    assert html_text.main_text(page) == "T\n" + TEXT
+
+
+@pytest.mark.parametrize("shape", ["<b>{n}</i>{n}", "<p><button><i>{n}<h1></h1>{n}", "<i>{n}<div><p>x</i>{n}", "<a href='{n}", "<svg><foreignobject>{n}<p>{n}"])
+def test_time_is_linear_in_stray_markup(shape):
+    def took(n):
+        page = "".join(tag * n for tag in shape.split("{n}"))
+        best = math.inf
+        for _ in range(3):
+            start = time.process_time()
+            html_text.main_text(page)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert took(12000) < 10 * took(3000) + 0.2  # four times the page; a quadratic walk takes sixteen times as long
