@@ -3,17 +3,27 @@
 Three shapes (assignments, access keys, hex runs) are always reported.  Any other
 run of 20 or more token characters is a candidate, cut at each "=" but those at its
 end, and, where no alphabet holds a piece, at "/" and "+" and again at "-" and "_".
-Its encoding is inferred (the smallest alphabet holding all its characters), and three tests are made of it: a
-chi-squared test of a uniform alphabet, a runs test and a lag-one serial
-correlation.  Each test is read two ways: does it reject "drawn at random", and
-how unlikely is its value for an ordinary word or identifier of the same length?
-A token is a secret if no test rejects randomness and the combined p-value of
-"ordinary" passes a Benjamini-Hochberg procedure over the document's candidates,
-weighted by length (long tokens carry more power).
-
-Each text is scanned alone, in one pass over the rows: no shuffle.  Null or empty
-text: no spans.  Repeated rows: each is scanned.  Extra columns pass through
-``redact`` and are not read by ``scan``.
+Its encoding is inferred (the smallest alphabet holding all its characters), and
+three tests are made of it: a chi-squared test of a uniform alphabet, a runs test of
+capitals, small letters, digits and signs, and a test of the serial correlation of
+vowels, which words alternate with other letters and drawn letters do not.
+
+Each test is read two ways.  Against "drawn at random from the alphabet" it must not
+reject.  Against "ordinary word, name or path of this length" its value has a mean
+and a spread; the three deviations are added with weights that are what a random
+token of that encoding and length is expected to deviate (Stouffer), which gives one
+p-value of "ordinary".
+
+These p-values are one family over the whole corpus: a first pass counts them by
+length and size, a Benjamini-Hochberg procedure with weights by length (long tokens
+carry more power) sets the limit at a share ``FALSE_DISCOVERY`` of false secrets, and
+a second pass reports what is under it.  ``spans_of`` alone, without a limit, uses
+``LONE``, the limit for a single text.
+
+No shuffle but of the counts.  Null or empty text: no spans.  Very long texts are
+scanned whole, in one walk.  Equal p-values share their fate.  Repeated rows: each is
+scanned, and its tokens count each time.  Empty table: no rows.  Extra columns pass
+through ``redact``, whatever their names, and are not read by ``scan``.
 """
 
 from __future__ import annotations
@@ -24,11 +34,13 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 from statistics import NormalDist
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.llm.common import batches
 
@@ -49,9 +61,17 @@ ENCODINGS = (
 )
 # Rounded shares (per thousand) of the letters a to z in ordinary European text.
 LETTERS = (80, 15, 30, 38, 130, 17, 17, 40, 72, 3, 7, 42, 26, 75, 68, 22, 6, 68, 70, 78, 34, 11, 12, 3, 14, 5)
-#: Share of digits in an ordinary identifier, of capitals among its letters, and of class changes between neighbours.
-ORDINARY_DIGITS, ORDINARY_CAPITALS, ORDINARY_CHANGES, ORDINARY_SERIAL = 0.08, 0.12, 0.18, 0.45
-FALSE_DISCOVERY, REJECT_RANDOM = 0.001, 1e-4
+# Fixed values, measured on identifiers, paths and joined words: shares of digits and of capitals among letters; changes of
+# character kind per neighbour with mixed case or signs and without, and of vowel and other letter per two letters, each with the
+# variance between tokens; what the spread of the chi-squared value is multiplied by.
+ORDINARY_DIGITS, ORDINARY_CAPITALS = 0.08, 0.12
+ORDINARY_KINDS, ORDINARY_KINDS_PLAIN, KINDS_SPREAD = 0.27, 0.12, 0.007
+ORDINARY_TURNS, TURNS_SPREAD = 0.60, 0.004
+CHI_SPREAD = 1.2
+VOWELS = frozenset("aeiouyAEIOUY")
+FALSE_DISCOVERY, LONE, REJECT_RANDOM = 0.05, 1e-3, 1e-4
+#: Bins of -log10(p) by which the first pass counts, and the length from which tokens count alike.
+BINS_PER_DECADE, MOST_BIN, LONGEST = 100, 3000, 256
 _NORMAL = NormalDist()
 
 
@@ -95,35 +115,41 @@ def _upper_chi(x: float, k: int) -> float:
 
 
 def battery(token: str) -> tuple[float, float] | None:
-    """(p of random: the least of three tests times three, p of ordinary: Stouffer's sum of three), None if there is no encoding."""
+    """(p of random: the least of three tests times three, p of ordinary: the weighted sum of three), None if there is no encoding."""
     token = token.rstrip("=")
     found = encoding_of(token)
     n = len(token)
     if found is None or n < 2:
         return None
-    _, chars, rank, (drift, offset, spread) = found
+    _, chars, _, (drift, offset, spread) = found
     k = len(chars)
-    ranks = [rank[c] for c in token]
+    tests = []  # deviation from ordinary, towards random; what random is expected to deviate
     chi = sum(v * v for v in Counter(token).values()) * k / n - n
     p_random = [_upper_chi(max(chi, 1e-9), k - 1)]
-    z = [(chi - (n * drift + offset)) / math.sqrt(n * spread + 2 * (k - 1))]
-    kinds = [0 if c in DIGITS else 1 if c.islower() else 2 for c in token]
-    m = Counter(kinds)
-    if len(m) > 1:  # runs of character classes
-        runs = 1 + sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-        share = {0: 10, 1: sum(c.islower() for c in chars), 2: k - 10 - sum(c.islower() for c in chars)}
-        stay = sum((v / k) ** 2 for v in share.values() if v > 0)
-        mean, sd = (n - 1) * (1 - stay), math.sqrt(max((n - 1) * stay * (1 - stay), 0.25))
-        p_random.append(_NORMAL.cdf((runs - 1 - mean) / sd))  # too few changes only: many are no sign of words
-        z.append(((n - 1) * ORDINARY_CHANGES - (runs - 1)) / math.sqrt((n - 1) * ORDINARY_CHANGES * (1 - ORDINARY_CHANGES)))
-    mean = sum(ranks) / n
-    var = sum((r - mean) ** 2 for r in ranks)
-    if var:
-        serial = sum((a - mean) * (b - mean) for a, b in zip(ranks, ranks[1:], strict=False)) / var
-        p_random.append(2 * (1 - _NORMAL.cdf(abs(serial) * math.sqrt(n))))
-        if len(m) > 1:
-            z.append((abs(serial) - ORDINARY_SERIAL) * math.sqrt(n))
-    return min(1.0, min(p_random) * len(p_random)), _NORMAL.cdf(sum(z) / math.sqrt(len(z)))
+    usual, sd = n * drift + offset, CHI_SPREAD * math.sqrt(n * spread + 2 * (k - 1))
+    tests.append(((usual - chi) / sd, (usual - (k - 1)) / sd))
+    kinds = [0 if c in DIGITS else 1 if c.islower() else 2 if c.isupper() else 3 for c in token]
+    lower, upper, digits = (sum(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit))
+    share = [x / k for x in (lower, upper, digits, k - lower - upper - digits)]
+    change = 1 - sum(x * x for x in share)
+    if change > 0 and len(set(kinds)) > 1:  # runs of character kinds
+        rate = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / (n - 1)
+        sd = math.sqrt(max(change * (1 - change), 0.05) / (n - 1))
+        p_random.append(_NORMAL.cdf((rate - change) / sd))  # too few changes only: many are no sign of words
+        usual = ORDINARY_KINDS if share[0] and share[1] or share[3] else ORDINARY_KINDS_PLAIN
+        sd = math.sqrt(KINDS_SPREAD + usual * (1 - usual) / (4 * (n - 1)))
+        tests.append(((rate - usual) / sd, (change - usual) / sd))
+    turns = [(a in VOWELS) != (b in VOWELS) for a, b in zip(token, token[1:], strict=False) if a.isalpha() and b.isalpha()]
+    letters = [c for c in chars if c.isalpha()]
+    if len(turns) > 2:  # serial correlation of vowels
+        rate, vowels = sum(turns) / len(turns), sum(c in VOWELS for c in letters) / len(letters)
+        turn = 2 * vowels * (1 - vowels)
+        p_random.append(2 * (1 - _NORMAL.cdf(abs(rate - turn) / math.sqrt(max(turn * (1 - turn), 0.05) * 1.5 / len(turns)))))
+        sd = math.sqrt(TURNS_SPREAD + ORDINARY_TURNS * (1 - ORDINARY_TURNS) / len(turns))
+        tests.append(((ORDINARY_TURNS - rate) / sd, (ORDINARY_TURNS - turn) / sd))
+    weights = [max(w, 0.1) for _, w in tests]
+    z = sum(w * x for w, (x, _) in zip(weights, tests, strict=True)) / math.sqrt(sum(w * w for w in weights))
+    return min(1.0, min(p_random) * len(p_random)), _NORMAL.cdf(-z)
 
 
 def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -140,43 +166,89 @@ def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [(x, b if y == end else y) for x, y in out]
 
 
-def discoveries(found: list[tuple[int, float]], level: float = FALSE_DISCOVERY) -> list[bool]:
-    """Benjamini-Hochberg over (length, p), weights by length with mean one."""
-    if not found:
+def weight(n: int) -> float:
+    """What a token of n characters counts in the false-discovery procedure, before all are scaled to a mean of one."""
+    return math.log2(min(n, LONGEST))
+
+
+@dataclass(frozen=True)
+class Limit:
+    """A token is a secret where its p-value, divided by its weight over the mean weight, is in this bin or beyond."""
+
+    bin: int
+    mean: float
+
+    def holds(self, p: float, n: int) -> bool:
+        return bin_of(p * self.mean / weight(n)) >= self.bin
+
+
+def bin_of(p: float) -> int:
+    return MOST_BIN if p <= 0 else min(MOST_BIN, max(0, math.floor(-math.log10(p) * BINS_PER_DECADE)))
+
+
+def discoveries(found: list[tuple[int, float, int]], level: float = FALSE_DISCOVERY) -> Limit:
+    """The limit of a weighted Benjamini-Hochberg procedure over (length, p, how many)."""
+    total = sum(n for _, _, n in found)
+    mean = sum(weight(size) * n for size, _, n in found) / total if total else 1.0
+    counts: Counter = Counter()
+    for size, p, n in found:
+        counts[bin_of(p * mean / weight(size))] += n
+    limit, seen = MOST_BIN + 1, 0
+    for x in sorted(counts, reverse=True):
+        seen += counts[x]
+        if 10 ** (-x / BINS_PER_DECADE) <= level * seen / total:  # the largest p-value of the bin
+            limit = x
+    return Limit(limit, mean)
+
+
+def tested(text: str, out: list[tuple[int, int, int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, p of ordinary) of every candidate outside the spans of out that could be random."""
+    tokens = [m.span() for m in CANDIDATE.finditer(text)]
+    if not tokens:
         return []
-    weight = [math.log2(n) for n, _ in found]
-    mean = sum(weight) / len(weight)
-    scaled = [p * mean / w for (_, p), w in zip(found, weight, strict=True)]
-    limit = 0.0
-    for i, p in enumerate(sorted(scaled), 1):
-        if p <= level * i / len(scaled):
-            limit = p
-    return [p <= limit for p in scaled]
+    base = sorted((x[0], x[2]) for x in out)
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max, initial=-1))
+    tests = ((a, b, battery(text[a:b])) for c, d in tokens for a, b in pieces(text, c, d) if reach[bisect_left(starts, b)] <= a)
+    return [(a, b, t[1] if t[0] > REJECT_RANDOM else 1.0) for a, b, t in tests if t]
 
 
-def spans_of(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, place in KINDS, end, start of what to blank out), sorted."""
+def base_spans(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, place in KINDS, end, start of what to blank out) of the fixed shapes."""
     out = []
     lowered = text.lower()
     if any(k in lowered for k in KEYWORDS):
         out += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
-    tokens = [m.span() for m in CANDIDATE.finditer(text)]
-    if tokens:
-        base = sorted((x[0], x[2]) for x in out)
-        starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max, initial=-1))
-        tests = [(a, b, t) for c, d in tokens for a, b in pieces(text, c, d) if reach[bisect_left(starts, b)] <= a and (t := battery(text[a:b]))]
-        hits = discoveries([(b - a, t[1]) for a, b, t in tests])
-        last = -1
-        for a, b in sorted(((a, b) for (a, b, t), hit in zip(tests, hits, strict=True) if hit and t[0] > REJECT_RANDOM), key=lambda x: (x[0], -x[1])):
-            if b > last:  # not inside one already listed
-                out.append((a, 3, b, a))
-                last = b
+    return out + [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
+
+
+def spans_of(text: str, limit: Limit = Limit(bin_of(LONE), weight(32))) -> list[tuple[int, int, int, int]]:
+    """(start, place in KINDS, end, start of what to blank out), sorted."""
+    out = base_spans(text)
+    last = -1
+    for a, b, p in sorted(tested(text, out), key=lambda x: (x[0], -x[1])):
+        if b > last and limit.holds(p, b - a):  # not inside one already listed
+            out.append((a, 3, b, a))
+            last = b
     return sorted(out)
 
 
+def discovery_limit(docs: DataFrame, level: float = FALSE_DISCOVERY) -> Limit:
+    """The limit for all candidates of docs; the driver gets their numbers by length and bin."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches(frames):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    found.update((min(b - a, LONGEST), bin_of(p)) for a, b, p in tested(text, base_spans(text)))
+        yield pa.record_batch([*(pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)), pa.array(list(found.values()), pa.int64())], names=["size", "bin", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "size int, bin int, n long").groupBy("size", "bin").agg(F.sum("n").alias("n")).collect()
+    return discoveries([(r["size"], 10 ** (-r["bin"] / BINS_PER_DECADE) * (1 - 1e-9), r["n"]) for r in counts], level)
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
@@ -186,12 +258,13 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long,
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, spans by kind, a digest of the base spans, all spans as text."""
+    limit = discovery_limit(docs)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                spans = spans_of(text or "")
+                spans = spans_of(text or "", limit)
                 n = Counter(k for _, k, _, _ in spans)
                 digest = hashlib.sha256(_joined([x for x in spans if x[1] < 3]).encode()).hexdigest()
                 rows.append((doc_id, n[0], n[1], n[2], n[3], digest, _joined(spans)))
@@ -202,10 +275,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def blanked(text: str, mark: str = "[SECRET]") -> str:
+def blanked(text: str, limit: Limit | None = None, mark: str = "[SECRET]") -> str:
     """The text with each secret replaced; of an assignment only the value, overlapping ones once."""
     out, at = [], 0
-    for _, _, end, start in sorted(spans_of(text), key=lambda x: (x[3], -x[2])):
+    for _, _, end, start in sorted(spans_of(text, limit) if limit else spans_of(text), key=lambda x: (x[3], -x[2])):
         if end <= at:
             continue
         if start >= at:
@@ -217,12 +290,13 @@ def blanked(text: str, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the secrets in ``text`` blanked out and ``n_chars`` following; rows and other columns stay."""
     names = docs.columns
+    limit = discovery_limit(docs)
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             texts = batch.column(at).to_pylist()
-            clean = [t if t is None else blanked(t) for t in texts]
+            clean = [t if t is None else blanked(t, limit) for t in texts]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, batch.schema.field(at).type)
             if count is not None:
