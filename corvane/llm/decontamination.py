@@ -6,19 +6,25 @@ up to ``k = floor(m * max_error)`` edits.  It is cut into k + 1 pieces; k edits
 leave one of them whole, so every match holds an exact piece.  One automaton over
 all pieces finds the piece hits; the window around each hit is verified with
 Myers' bit-parallel distance, which gives the least number of edits that turn the
-item into some part of the text.
+item into some part of the text.  The space before and after an item belongs to it,
+so an item is found as whole words; what stands in place of such a space is an edit.
 
 Null or empty texts match nothing; items without a letter or digit are left out;
-equal items are each reported; repeated rows of documents each report; extra
-columns are not read by ``leaks`` and pass through ``decontaminate``.
-
-The items are collected in blocks of at most ``BLOCK_CHARS`` characters (rows
-of a test set larger than that are handled in several passes over the texts).
+equal items are each reported; repeated rows of documents each report; of several
+places with equally few edits one number is given.  Very long texts are read whole,
+in one walk of the automaton.  No items: no rows, and every document stays; no
+documents: no rows.  Extra columns are not read by ``leaks`` and pass through
+``decontaminate``, whatever their names.
+
+The items come in blocks of about ``BLOCK_CHARS`` characters; a test set larger than
+that takes several passes over the texts, each with one block in the driver and the
+tasks, which build the automaton once a worker.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches
+from corvane.llm.common import batches, materialise
 
 MAX_ERROR = 0.05
 #: Characters of test items held by a task at once.
@@ -83,7 +89,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], max_error: float = MAX_ERROR):
         import ahocorasick
 
-        self.items = [(i, t, budget(len(t), max_error)) for i, t in items if t]
+        self.items = [(i, f" {t} ", budget(len(t), max_error)) for i, t in items if t]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for x, (_, text, k) in enumerate(self.items):
             for offset, piece in pieces(text, k):
@@ -98,6 +104,7 @@ class Matcher:
         """(item_id, least edits) of every item within its budget."""
         if not self.items or not text:
             return []
+        text = f" {text} "
         windows: dict[int, list[list[int]]] = defaultdict(list)
         for end, (size, at) in self.automaton.iter(text):
             for x, offset in at:
@@ -122,46 +129,70 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of a bounded number of characters."""
-    rows = benchmark.select("item_id", "text")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = total // BLOCK_CHARS + 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, normalised(r.text)) for r in rows.where(part == i).collect()] for i in range(n)]
+#: The automaton of the block a worker is at; tasks of one pass share it.
+_LAST: dict[str, Matcher] = {}
+
+
+class Block:
+    """One block of items, sent to the tasks."""
+
+    def __init__(self, benchmark: DataFrame, part: int, parts: int, max_error: float):
+        rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        self.held = benchmark.sparkSession.sparkContext.broadcast([(r.item_id, normalised(r.text)) for r in rows.collect()])
+        self.name, self.max_error = uuid.uuid4().hex, max_error
+
+    def matcher(self) -> Matcher:
+        if self.name not in _LAST:
+            _LAST.clear()
+            _LAST[self.name] = Matcher(self.held.value, self.max_error)
+        return _LAST[self.name]
+
+
+def n_blocks(benchmark: DataFrame) -> int:
+    return (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
     """doc_id, item_id, edits: every item found in a text within its budget, the least edits of each."""
-    schema = "doc_id long, item_id long, edits int"
+    kinds = (pa.int64(), pa.int64(), pa.int32())
 
-    def find(items: list[tuple[int, str]]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    def find(part: int) -> DataFrame:
+        block = Block(benchmark, part, n, max_error)
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, max_error)
+            matcher = block.matcher()
             for batch in batches(frames):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = [(d, i, e) for d, t in zip(ids, texts, strict=True) for i, e in matcher.find(normalised(t))]
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "edits"])
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "edits"])
+
+        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits int")
+        return found if n == 1 else _done(found, block)
+
+    n = n_blocks(benchmark)
+    return reduce(DataFrame.unionByName, map(find, range(n)))
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(find, item_blocks(benchmark)))
+def _done(rows: DataFrame, block: Block) -> DataFrame:
+    """rows, written, so that the block is needed no more."""
+    out = materialise(rows, "leaks")
+    block.held.destroy()
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
     """The rows of docs whose text holds no test item within its budget; columns stay."""
-    at = docs.columns.index("text")
-    for items in item_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    at, n = docs.columns.index("text"), n_blocks(benchmark)
+    for part in range(n):
+        block = Block(benchmark, part, n, max_error)
 
-        def run(frames: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, max_error)
+        def run(frames: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            matcher = block.matcher()
             for batch in batches(frames):
                 keep = [not matcher.find(normalised(t)) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if n == 1 else _done(docs, block)
     return docs
