@@ -14,20 +14,23 @@ becomes ``\\c``.  So no text can forge a control string.
 
 Rows of a conversation are ordered by turn (nulls first), then role, then text;
 repeated rows stay.  Null role or text: empty.  A null conv_id is one more
-conversation.  Empty table: no rows.  Extra columns are not read.
+conversation.  A very long text is rendered and encoded whole.  Empty table: no rows.
+Extra columns are not read.
 
 Rows are shuffled by conversation and sorted inside partitions; a task streams
-over them and holds one conversation at a time.
+over them and holds about a million characters at a time (one conversation at least).
+The tokenizer file is a parameter; ``corvane.tokenizer`` in the session's settings
+names another one for the query.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\e"))
 _BACK = {"\\": "\\", "h": "###", "e": "</turn>", "c": ":"}
 _BLOCK = re.compile(r"### ((?:\\.|[^\\:])*): (.*?)</turn>\n", re.S)
+#: From the end of an answer to the begin of the next; neither string can stand inside a text.
+_BETWEEN = re.compile(r"</turn>\n(?:### (?!assistant: )(?:\\.|[^\\:])*: .*?</turn>\n)*### assistant: ", re.S)
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -65,29 +70,29 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _BLOCK.finditer(formatted)]
 
 
-def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Per token the first and last covered character ((0, 0) if none), by binary search in the sorted spans."""
-    starts, ends = [a for a, _ in spans], [b for _, b in spans]
-    out = []
-    for a, b in offsets:
-        i, j = bisect_right(ends, a), bisect_left(starts, b)  # spans that end after a and begin before b
-        out.append((max(a, starts[i]), min(b, ends[j - 1])) if i < j else (0, 0))
-    return out
+def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Per token (a row of offsets) the first and past the last covered character (0 and 0 if none), by binary search in the sorted spans."""
+    a, b = offsets[:, 0], offsets[:, 1]
+    starts, ends = np.array([x for x, _ in spans], np.int64), np.array([x for _, x in spans], np.int64)
+    i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")  # spans that end after a and begin before b
+    some = i < j
+    first, last = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    first[some] = np.maximum(a[some], starts[i[some]])
+    last[some] = np.minimum(b[some], ends[j[some] - 1])
+    return first, last
 
 
-def masked_text(formatted: str, cover: list[tuple[int, int]], offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> str:
+def masked_text(formatted: str, first: np.ndarray, last: np.ndarray) -> str:
     """What stands under the mask, each character once (several tokens can share one), between spans nothing."""
-    out, done = [], 0
-    starts = [a for a, _ in spans]
-    for a, b in cover:
-        while a < b:  # a token can reach over several spans
-            k = bisect_right(starts, a) - 1
-            end = min(b, spans[k][1])
-            if end > max(a, done):
-                out.append(formatted[max(a, done) : end])
-                done = end
-            a = starts[k + 1] if k + 1 < len(spans) and end < b else b
-    return "".join(out)
+    some = last > first
+    first, last = first[some].astype(np.int64), last[some].astype(np.int64)
+    if not len(first):
+        return ""
+    done = np.concatenate(([0], np.maximum.accumulate(last)[:-1]))
+    begins = np.concatenate(([True], first[1:] > done[1:]))  # runs of tokens without a gap
+    at, end = first[begins], np.maximum.reduceat(last, np.flatnonzero(begins))
+    parts = [formatted[x:y] for x, y in zip(np.maximum(at, done[begins]).tolist(), end.tolist(), strict=True)]
+    return "".join(_BETWEEN.sub("", x) for x in parts)  # a token that reaches over several answers holds what stands between them
 
 
 def encoder(path: str):
@@ -118,16 +123,20 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER) -
         stream = (r for f in frames for r in zip(*(c.to_pylist() for c in f.columns), strict=True))
         out, chars = [], 0
 
-        def flush():
-            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        def flush() -> pa.RecordBatch:
+            codes = encode.encode_batch([formatted for _, _, formatted, _ in out], add_special_tokens=False)
+            offsets = [np.array(code.offsets, np.int64).reshape(-1, 2) for code in codes]
+            cover = [mask(x, spans) for x, (_, _, _, spans) in zip(offsets, out, strict=True)]
+            ends = pa.array(np.cumsum([0, *map(len, offsets)]), pa.int32())
+            lists = ([code.ids for code in codes], [a for a, _ in cover], [b for _, b in cover])
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in lists]
+            return pa.record_batch(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for conv_id, group in groupby(stream, key=lambda r: r[0]):
             turns = [(role, text) for _, role, text in group]
             formatted, spans = render(turns)
-            code = encode.encode(formatted, add_special_tokens=False)
-            cover = mask(code.offsets, spans)
-            out.append((conv_id, len(turns), formatted, code.ids, [a for a, _ in cover], [b for _, b in cover]))
+            out.append((conv_id, len(turns), formatted, spans))
             chars += len(formatted)
             if chars > 1 << 20:
                 yield flush()
@@ -147,17 +156,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             rows = []
-            for conv_id, _, text, ids, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            first, last = (np.asarray(batch.column(i).flatten()) for i in (4, 5))
+            ends = batch.column(3).offsets.to_numpy()
+            ends = ends - ends[0]
+            for i, (conv_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                a, b = first[ends[i] : ends[i + 1]], last[ends[i] : ends[i + 1]]
                 turns = parse(text)
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
-                pieces, done = [], 0
-                for x, y in zip(a, b, strict=True):
-                    if y > max(x, done):
-                        pieces.append(text[max(x, done) : y])
-                        done = y
-                loss = unescape("".join(pieces))
+                loss = unescape(masked_text(text, a, b))
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                rows.append((conv_id, len(turns), sha(said), len(loss), sha(loss), len(text), len(ids), sum(y > x for x, y in zip(a, b, strict=True))))
+                rows.append((conv_id, len(turns), sha(said), len(loss), sha(loss), len(text), len(a), int((b > a).sum())))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
