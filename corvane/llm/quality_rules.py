@@ -5,8 +5,10 @@ in repeated three-word windows, stop words, exclamation marks) are built-in
 expressions over the row alone: no shuffle, no Python.  The rules compare whole
 numbers (``scale * count <= percent * base``), so every engine agrees on them.
 
-Null text: no words, base_failed.  Empty text: the same.  Repeated rows and ids:
-each row is judged alone.  Extra columns are not read.
+Null text: no words, base_failed.  Empty text: the same.  A null language counts as
+listed.  Values equal to a bound pass.  Very long texts are counted whole, in time
+that grows with their length (windows are sorted).  Repeated rows and ids: each row
+is judged alone.  Empty table: no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -132,7 +134,7 @@ def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
         ok += [f"100 * {r.count} <= {r.high} * {r.base}"] * (r.high is not None)
         text = " AND ".join(ok)
         if r.name in LISTED_LANGUAGES_ONLY:
-            text = f"({text}) OR lang NOT IN ({', '.join(repr(k) for k in STOP_WORDS)})"
+            text = f"({text}) OR coalesce(lang NOT IN ({', '.join(repr(k) for k in STOP_WORDS)}), false)"
         parts.append(f"({text})")
     return " AND ".join(parts)
 

@@ -68,12 +68,22 @@ def test_leaks(spark):
     want = {}
     for d, t in docs:
         for i, x in items:
-            n = semi_global(decontamination.normalised(x), decontamination.normalised(t))
+            n = semi_global(f" {decontamination.normalised(x)} ", f" {decontamination.normalised(t)} ")
             if n <= decontamination.budget(len(decontamination.normalised(x)), 0.05):
                 want[d, i] = n
     assert got == want and want
 
 
+def test_items_match_whole_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "bathe cattle in a banana"), (2, "So: THE CAT, sat"), (3, "the cat"), (4, None), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "The cat"), (2, "an"), (3, None)], "item_id long, text string")
+    want = [(2, 1, 0), (3, 1, 0)]
+    assert sorted(map(tuple, decontamination.leaks(docs, items).collect())) == want
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 3)  # several passes
+    assert sorted(map(tuple, decontamination.leaks(docs, items).collect())) == want
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, items).collect()) == [1, 4, 5]
+
+
 # quality classifier
 
 
@@ -230,14 +240,20 @@ def test_chat_round_trip(turns):
     formatted, spans = chat.render(turns)
     code = encode.encode(formatted, add_special_tokens=False)
     assert chat.parse(formatted) == turns
-    cover = chat.mask(code.offsets, spans)
-    for (a, b), got in zip(code.offsets, cover, strict=True):  # against a scan over all spans
+    cover = chat.mask(np.array(code.offsets).reshape(-1, 2), spans)
+    for (a, b), got in zip(code.offsets, zip(*(x.tolist() for x in cover), strict=True), strict=True):  # against a scan over all spans
         hit = [(max(a, x), min(b, y)) for x, y in spans if x < b and y > a]
         assert got == ((hit[0][0], hit[-1][1]) if hit else (0, 0))
-    assert chat.unescape(chat.masked_text(formatted, cover, code.offsets, spans)) == "".join(t for r, t in turns if r == "assistant")
+    assert chat.unescape(chat.masked_text(formatted, *cover)) == "".join(t for r, t in turns if r == "assistant")
     assert encode.decode(code.ids) == formatted
 
 
+def test_one_token_over_several_answers():
+    formatted, spans = chat.render([("assistant", "ab"), ("user", "x"), ("assistant", "c</turn>d"), ("assistant", "e")])
+    cover = chat.mask(np.array([[0, 14], [14, len(formatted)]]), spans)
+    assert chat.unescape(chat.masked_text(formatted, *cover)) == "abc</turn>de"
+
+
 # secrets
 
 
@@ -260,15 +276,40 @@ def test_battery():
     assert hits(drawn) > 180 and hits(words) == 0
 
 
-def test_false_discovery():
-    assert secrets.discoveries([]) == []
-    assert secrets.discoveries([(30, 1e-9), (30, 0.5), (30, 0.9)]) == [True, False, False]
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(20, 300), st.floats(1e-12, 1)), max_size=40))
+def test_false_discovery(found):
+    """The binned procedure against Benjamini-Hochberg as defined, on p-values rounded up to their bins."""
+    limit = secrets.discoveries([(n, p, 1) for n, p in found], 0.05)
+    mean = sum(secrets.weight(n) for n, _ in found) / max(1, len(found))
+    scaled = [10 ** (-secrets.bin_of(p * mean / secrets.weight(n)) / secrets.BINS_PER_DECADE) for n, p in found]
+    passed = max((p for i, p in enumerate(sorted(scaled), 1) if p <= 0.05 * i / len(scaled)), default=-1.0)
+    assert [limit.holds(p, n) for n, p in found] == [p <= passed for p in scaled]
+
+
+#: Share of random tokens found at least where half of all candidates are random: measured 0.99, 1.00, 0.99, 1.00, 0.92, 0.99, 0.76, 0.97, 0.96, 0.48.
+RECALL = [("base62", 20, 0.95), ("base62", 32, 0.99), ("base64", 20, 0.95), ("base64url", 43, 0.99), ("base36", 20, 0.85), ("base36", 32, 0.95), ("base32", 20, 0.6), ("base32", 40, 0.9), ("hex_upper", 20, 0.9), ("lower", 20, 0.3)]
+
+
+@pytest.mark.parametrize("name,n,least", RECALL)
+def test_recall_and_false_rate(spark, name, n, least):
+    rng = random.Random(n)
+    letters = dict(secrets.ENCODINGS)[name]
+    words = "get user profile with count value index name parse table column group stream find all by id make test open close read write session buffer".split()
+    names = ["_".join(rng.choices(words, k=6)) if i % 2 else "".join(w.title() for w in rng.choices(words, k=6)) for i in range(300)]
+    drawn = ["".join(rng.choices(letters, k=n)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(names + drawn)], "doc_id long, text string").repartition(5)
+    hit = {r.doc_id: r.n_random for r in secrets.scan(docs).collect()}
+    limit = secrets.discovery_limit(docs)
+    assert all(hit[i] == sum(k == 3 for _, k, _, _ in secrets.spans_of(f"see {t} here", limit)) for i, t in enumerate(names + drawn))
+    false = sum(hit[i] > 0 for i in range(300) if len(names[i]) >= 20)
+    assert sum(hit[300 + i] > 0 for i in range(300)) / 300 >= least and false <= secrets.FALSE_DISCOVERY * sum(x > 0 for x in hit.values())
 
 
 def test_redact(docs, rows):
-    clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    clean, limit = {r.doc_id: r for r in secrets.redact(docs).collect()}, secrets.discovery_limit(docs)
     for r in rows:
-        spans = secrets.spans_of(r.text or "")
+        spans = secrets.spans_of(r.text or "", limit)
         assert ("[SECRET]" in clean[r.doc_id].text) == bool(spans) and clean[r.doc_id].n_chars == len(clean[r.doc_id].text)
         assert all(r.text[start:b] not in clean[r.doc_id].text for a, _, b, start in spans)
     assert secrets.blanked("token = abcdef0123456789abcdef0123456789 x") == "token = [SECRET] x"
