@@ -7,10 +7,13 @@ evidence; ``patterns`` sums them up.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Detector = Callable[[DataFrame], DataFrame]
 DETECTORS: dict[str, Detector] = {}
@@ -25,6 +28,12 @@ DIMENSIONS = {
     "testing": "test fixture mock assert spec setup teardown".split(),
 }
 MIN_DECISION = 0.5
+#: Named patterns and what could stand in their place; any other has the default of ``decisions``.
+ALTERNATIVES = {
+    "middleware_chain": ["Decorators", "Event bus"], "plugin_system": ["Static imports", "Entry points"], "event_bus": ["Direct calls", "Message queue"],
+    "repository": ["Active record", "Direct queries"], "strategy": ["Conditional branches", "Template method"],
+}
+_MARKS = re.compile(r"[,()\[\]{}]")
 
 
 def detector(name: str) -> Callable[[Detector], Detector]:
@@ -140,20 +149,28 @@ def return_type(signature: Column) -> Column:
     return F.when(F.contains(signature, F.lit("->")), F.trim(F.regexp_replace(F.substring_index(signature, "->", -1), r":\s*$", "")))
 
 
-def parameters(signature: Column) -> Column:
-    """array of (name, type, default, required) from the text in the outer brackets of a signature.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_outside(texts: pd.Series) -> pd.Series:
+    """Parts of each text at the commas outside of brackets, in one walk over the brackets and commas."""
 
-    Commas inside brackets do not split: they are hidden by a fold over the characters that tracks depth.
-    """
-    inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    def parts(text: str | None) -> list[str]:
+        out, depth, at = [], 0, 0
+        for m in _MARKS.finditer(text or ""):
+            if m[0] == ",":
+                if not depth:
+                    out.append(text[at : m.start()])
+                    at = m.end()
+            else:
+                depth += 1 if m[0] in "([{" else -1
+        return [*out, (text or "")[at:]]
+
+    return texts.map(parts)
 
-    def step(acc: Column, c: Column) -> Column:
-        depth = acc["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
-        return F.struct(depth.alias("depth"), F.concat(acc["out"], F.when((c == ",") & (acc["depth"] == 0), "\x01").otherwise(c)).alias("out"))
 
-    marked = F.aggregate(F.filter(F.split(inner, ""), lambda c: c != ""), start, step, lambda a: a["out"])
-    parts = F.filter(F.transform(F.split(marked, "\x01"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.isin("self", "cls", "*", "/", "*args", "**kwargs"))
+def parameters(signature: Column) -> Column:
+    """array of (name, type, default, required) from the text in the outer brackets of a signature; commas inside brackets do not split."""
+    inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
+    parts = F.filter(F.transform(split_outside(inner), lambda p: F.trim(p)), lambda p: (p != "") & ~p.isin("self", "cls", "*", "/", "*args", "**kwargs"))
     pattern = r"^\*{0,2}(\w+)\s*(?::\s*([^=]+?))?\s*(?:=\s*(.+))?$"
     field = lambda p, i: F.nullif(F.regexp_extract(p, pattern, i), F.lit(""))
     return F.transform(parts, lambda p: F.struct(field(p, 1).alias("name"), field(p, 2).alias("type"), field(p, 3).alias("default"), field(p, 3).isNull().alias("required")))
@@ -165,6 +182,16 @@ def decisions(found: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("alternatives", F.coalesce("alternatives", F.array(F.lit("Custom implementation"))))
 
 
+def known_alternatives(spark) -> DataFrame:
+    """pattern, alternatives."""
+    return spark.createDataFrame(list(ALTERNATIVES.items()), "pattern string, alternatives array<string>")
+
+
+def unsupported(asked: DataFrame) -> DataFrame:
+    """The dimensions asked that comparisons do not know."""
+    return asked.select("dimension").distinct().where(~F.col("dimension").isin(*DIMENSIONS))
+
+
 def dimension_evidence(items: DataFrame, text: str = "text") -> DataFrame:
     """items and dimension: one row per dimension whose keywords stand in the text."""
     hits = F.array_compact(F.array(*[F.when(F.lower(text).rlike("|".join(k)), F.lit(d)) for d, k in DIMENSIONS.items()]))

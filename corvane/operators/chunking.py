@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_TOKENS, MIN_TOKENS = 500, 50
 
@@ -29,16 +31,23 @@ def uncovered(spans: DataFrame, files: DataFrame) -> DataFrame:
     return gaps.unionByName(tail)
 
 
-def groups_by_budget(costs: Column, most: int = MAX_TOKENS) -> Column:
-    """Group number of each element of an array of costs: a new group begins where the running sum would pass the limit."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _groups(costs: pd.Series, most: pd.Series) -> pd.Series:
+    def numbered(values, limit: int) -> list[int]:
+        out, total, group = [], 0, 0
+        for x in values.tolist():
+            if total + x > limit and total > 0:
+                total, group = 0, group + 1
+            total += x
+            out.append(group)
+        return out
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["sum"] + x > most) & (acc["sum"] > 0)
-        group = F.when(full, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(F.when(full, x).otherwise(acc["sum"] + x).cast("long").alias("sum"), group.alias("group"), F.concat(acc["out"], F.array(group)).alias("out"))
+    return pd.Series([numbered(c, m) for c, m in zip(costs, most, strict=True)])
 
-    return F.aggregate(costs, start, step, lambda acc: acc["out"])
+
+def groups_by_budget(costs: Column, most: int = MAX_TOKENS) -> Column:
+    """Group number of each element of an array of costs: a new group begins where the running sum would pass the limit (one walk)."""
+    return _groups(costs, F.lit(most))
 
 
 def split_lines(chunks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.sources.store import shared_folder
 
 K1, B = 1.2, 0.75
 #: Weights by field.
 FIELDS = {"content": 3.0, "symbol_name": 1.5, "file_path": 1.0}
 GRADUATED = 10
+#: Partitions of a stored index, and tasks a bucket is written by.
+BUCKETS, SPREAD = 64, 8
 PATH_BOOST, SYMBOL_EXACT, SYMBOL_PARTIAL = 0.5, 0.60, 0.15
 PATH_CAP, PER_TERM, SYMBOL_CAP = 30, 20, 20
 
@@ -50,8 +58,6 @@ def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFr
 
 
 def _idf(n: int, total: int) -> float:
-    import math
-
     x = math.log((total - n + 0.5) / (n + 0.5))
     return x if x > 0 else 1e-6
 
@@ -63,21 +69,71 @@ def bm25(chunks: DataFrame, terms: list[str], fields: dict[str, float] | None =
     """
     found = matches(chunks, terms, fields, key)
     stats = found.agg(F.count("*"), F.avg("length"), *[F.count(F.when(F.get("f", F.lit(i)) > 0, 1)) for i in range(len(terms))]).first()
-    total, mean = stats[0], stats[1] or 1.0
-    idf = [_idf(stats[2 + i], total) for i in range(len(terms))]
+    return _shares(found.where(F.exists("f", lambda x: x > 0)), [_idf(stats[2 + i], stats[0]) for i in range(len(terms))], stats[1] or 1.0)
+
+
+def _shares(hits: DataFrame, idf: list[float], mean: float) -> DataFrame:
+    """hits (id, length, f) with parts."""
     norm = K1 * (1 - B + B * F.col("length") / F.lit(float(mean)))
     part = lambda i: F.lit(idf[i]) * F.get("f", F.lit(i)) * (K1 + 1) / (F.get("f", F.lit(i)) + norm)
-    hits = found.where(F.exists("f", lambda x: x > 0))
-    return once(hits, ["id", "length", "f"], {"parts": F.array(*[part(i) for i in range(len(terms))])})
+    return once(hits, ["id", "length", "f"], {"parts": F.array(*[part(i) for i in range(len(idf))])})
+
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored inverted index: postings (bucket, term, id, f, length) in ``BUCKETS`` partitions by a hash of the term, sorted by term.
 
-def or_search(chunks: DataFrame, terms: list[str], k: int, fields: dict[str, float] | None = None) -> DataFrame:
+    A question reads the partitions of its terms, and in them the blocks that hold the terms; it never reads a text.
+    """
+
+    postings: DataFrame
+    total: int
+    mean: float
+
+    @classmethod
+    def build(cls, chunks: DataFrame, fields: dict[str, float] | None = None, key: str = "id", analyse: Callable[[Column], Column] = tokens) -> TextIndex:
+        """One scan and one shuffle of term counts; weights by field go into f."""
+        fields = fields or {"content": 1.0}
+        held = once(chunks.select(F.col(key).alias("id"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]), ["id"], {f"t{i}": analyse(F.col(f"_{i}")) for i in range(len(fields))})
+        length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).cast("long")
+        weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+        terms = [F.transform(f"t{i}", weighted(w)) for i, w in enumerate(fields.values())]
+        rows = held.select("id", length.alias("length"), F.explode_outer(F.concat(*terms)).alias("x"))
+        rows = rows.groupBy(F.col("x.term").alias("term"), "id", "length").agg(F.sum("x.w").alias("f")).withColumn("bucket", bucket_of(F.col("term")))
+        path = f"{shared_folder(chunks.sparkSession)}/postings-{uuid.uuid4().hex}"
+        # a bucket is many tasks: a term in a third of all texts is spread by id
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+        stored = chunks.sparkSession.read.schema(rows.schema).parquet(path)
+        sizes = stored.groupBy("id").agg(F.max("length").alias("length")).agg(F.count("*"), F.avg("length")).first()
+        return cls(stored, sizes[0], sizes[1] or 1.0)
+
+    def bm25(self, terms: list[str]) -> DataFrame:
+        """id, length, f and parts, as of ``bm25`` over texts."""
+        spark = self.postings.sparkSession
+        if not terms:
+            return self.postings.limit(0).select("id", "length", F.array().cast("array<double>").alias("f"), F.array().cast("array<double>").alias("parts"))
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).distinct().collect()]
+        rows = self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        found = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        f = F.array(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("f"))), F.lit(0.0)) for t in terms])
+        return _shares(rows.groupBy("id", "length").agg(f.alias("f")), [_idf(found.get(t, 0), self.total) for t in terms], self.mean or 1.0)
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def scored(source: DataFrame | TextIndex, terms: list[str], fields: dict[str, float] | None = None) -> DataFrame:
+    return source.bm25(terms) if isinstance(source, TextIndex) else bm25(source, terms, fields)
+
+
+def or_search(chunks: DataFrame | TextIndex, terms: list[str], k: int, fields: dict[str, float] | None = None) -> DataFrame:
     """id, score: sum of the shares, best first, by id among equals."""
     score = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
-    return bm25(chunks, terms, fields).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return scored(chunks, terms, fields).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def graduated(chunks: DataFrame, terms: list[str], k: int, threshold: int = GRADUATED) -> DataFrame:
+def graduated(chunks: DataFrame | TextIndex, terms: list[str], k: int, threshold: int = GRADUATED) -> DataFrame:
     """id, score, stage: all terms; then all but one; then pairs; then any, each only while too few are found.
 
     One scan gives each chunk the shares of its terms; a stage is a set of subsets of terms, and a chunk's score in a stage
@@ -86,7 +142,7 @@ def graduated(chunks: DataFrame, terms: list[str], k: int, threshold: int = GRAD
     n = len(terms)
     every = tuple(range(n))
     stages = ([[every]] if n >= 2 else []) + ([list(combinations(every, n - 1))] if n >= 3 else []) + ([list(combinations(every, 2))] if n >= 4 else [])
-    rows = bm25(chunks, terms)
+    rows = scored(chunks, terms)
     has = lambda s: F.forall(F.array(*[F.get("f", F.lit(i)) for i in s]), lambda x: x > 0)
     total = lambda s: sum((F.get("parts", F.lit(i)) for i in s), F.lit(0.0))
     best = [F.greatest(*[F.when(has(s), total(s)) for s in subsets], F.lit(None).cast("double")) for subsets in stages]
@@ -106,8 +162,6 @@ def graduated(chunks: DataFrame, terms: list[str], k: int, threshold: int = GRAD
 def path_boost(chunks: DataFrame, terms: list[str], hits: DataFrame, top: float) -> DataFrame:
     """id, score: chunks whose path holds a term (first PER_TERM a term by id, PATH_CAP in all), without the hits."""
     term = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("term")) for i, t in enumerate(terms)]))
-    from pyspark.sql import Window
-
     rows = chunks.select("id", "file_path", term.alias("t")).where(F.contains(F.lower("file_path"), F.col("t.term"))).select("id", "t.pos")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("pos").orderBy("id"))).where(F.col("n") <= PER_TERM)
     rows = rows.join(hits.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("pos", "n")).alias("first"))
@@ -141,6 +195,32 @@ def k_schedule(chunks: Column) -> Column:
     return F.when(chunks <= 100, 30).when(chunks <= 500, 50).when(chunks <= 2000, 100).otherwise(150)
 
 
+def and_join(terms: Column) -> Column:
+    """The terms as one text that asks for all of them."""
+    return F.array_join(terms, " AND ")
+
+
+def has_data(chunks: DataFrame) -> DataFrame:
+    """One row, has_data: whether anything is indexed."""
+    return chunks.agg((F.count("*") > 0).alias("has_data"))
+
+
+def symbol_phrases(question: str, noise: list[str]) -> list[str]:
+    """What a question may name as a symbol: neighbours joined by _ and words of six or more characters, no noise."""
+    words = [w for w in re.findall(r"[a-z][a-z0-9_]{2,}", question.lower()) if w not in noise]
+    return list(dict.fromkeys([f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)] + [w for w in words if len(w) >= 6]))
+
+
+def symbol_seeds(chunks: DataFrame, phrases: list[str], top: float, per_term: int = 20, limit: int = 20) -> DataFrame:
+    """id, score: chunks whose symbol or qualified name holds a phrase, the first per_term a phrase by id, best score of each."""
+    if not phrases:
+        return chunks.limit(0).select("id", F.lit(0.0).alias("score"))
+    rows = chunks.where("symbol_name IS NOT NULL").select("id", "symbol_name", "qualified_name", F.explode(F.array(*map(F.lit, phrases))).alias("phrase"))
+    rows = rows.withColumn("score", symbol_score(F.col("symbol_name"), F.coalesce("qualified_name", "symbol_name"), F.col("phrase"), top)).where("score IS NOT NULL")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("phrase").orderBy("id"))).where(F.col("n") <= per_term)
+    return rows.groupBy("id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def longest_first(terms: Column) -> Column:
     """Terms by falling length; those of one length keep their order."""
     keyed = F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))

@@ -96,13 +96,13 @@ def surrogate(chunks: DataFrame) -> Column:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic 64-dimensional embedding from the SHA-256 bytes of a text."""
 
     def one(t: str) -> np.ndarray:
         data = np.frombuffer(hashlib.sha256((t or "").encode()).digest(), np.uint8)
-        return (np.tile(data, 2) / 255 * 2 - 1).astype(np.float32)
+        return np.tile(data, 2) / 255 * 2 - 1
 
     return texts.map(one)
 
@@ -110,6 +110,17 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
 EMBEDDERS = {"hash": hash_embedding}
 
 
+def hits_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of hits (id, score), with the score; hits without a chunk are left out."""
+    return chunks.join(hits.select("id", "score"), "id")
+
+
+def search_texts(chunks: DataFrame, question: str, k: int, embedder: str = "hash") -> DataFrame:
+    """id, score: chunks embedded and searched in one go."""
+    asked = embed(chunks.sparkSession.createDataFrame([(0, question)], "id long, content string"), F.col("content"), embedder).first()["embedding"]
+    return top_k(embed(chunks, F.col("content"), embedder), asked, k, key="id")
+
+
 def embed(chunks: DataFrame, text: Column, embedder: str = "hash") -> DataFrame:
     """id, embedding (unit length)."""
     if embedder not in EMBEDDERS:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.operators import analytics, chunking, delta, graph, hierarchy, metrics
-from corvane.plans.registry import query, read
+from corvane.plans.registry import SQL, query, read
 from corvane.sources import bindings as b
 from corvane.sources.bindings import PAGE_EDGES_SQL, RANKED_SQL, RESULTS_SQL, SYMBOLS_SQL, USER_EDGES_SQL
 
@@ -86,7 +86,7 @@ FROM nodes LEFT JOIN (SELECT target AS node, sum(rank / out) AS given FROM edges
 
 @query(_rank_sql(PAGE_EDGES_SQL, 8))
 def g4_pagerank(spark, sf_dir):
-    return graph.page_rank(b.page_edges(spark, sf_dir), rounds=8).select("node", F.round("rank", 6).alias("rank"))
+    return graph.page_rank(b.page_edges(spark, sf_dir), rounds=8, tolerance=None).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {USER_EDGES_SQL}, changed AS (SELECT unnest({SEEDS}) AS node), fresh AS (SELECT target AS source, source AS target FROM edges WHERE source IN (SELECT node FROM changed)) SELECT source, target FROM edges WHERE source NOT IN (SELECT node FROM changed) AND target NOT IN (SELECT node FROM changed) UNION SELECT source, target FROM fresh")
@@ -102,9 +102,19 @@ def g6_counts(spark, sf_dir):
     return e.agg(F.count("*").alias("edges")).join(graph.nodes_of(e).agg(F.count("*").alias("nodes")))
 
 
-@query()
+def _labels_sql(rounds: int) -> str:
+    out = [PAGE_EDGES_SQL, "both_ AS (SELECT DISTINCT source, target FROM (SELECT source, target FROM edges UNION ALL SELECT target, source FROM edges) WHERE source <> target)", "s0 AS (SELECT DISTINCT source AS node, source AS label FROM both_)"]
+    for i in range(rounds):
+        out.append(
+            f"""s{i + 1} AS MATERIALIZED (SELECT node, CASE WHEN ascii(substr(md5(node), 32, 1)) % 2 = {i % 2} THEN best ELSE label END AS label FROM s{i} JOIN (
+SELECT node, label AS best FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) AS r FROM (SELECT source AS node, label FROM both_ JOIN s{i} ON target = node UNION ALL SELECT node, label FROM s{i}) GROUP BY node, label) WHERE r = 1) USING (node))"""
+        )
+    return "WITH " + ", ".join(out) + f" SELECT node, label AS community FROM s{rounds}"
+
+
+@query(_labels_sql(8))
 def g7_communities(spark, sf_dir):
-    """Label propagation; its labels depend on the hash that splits the rounds, so there is no twin in SQL."""
+    """Label propagation; the halves that move by turns are split by a digest."""
     return graph.communities(b.page_edges(spark, sf_dir))
 
 
@@ -233,9 +243,13 @@ def n6_strategy(spark, sf_dir):
     return analytics.strategy(_code(spark, sf_dir))
 
 
-@query()
+_FOUND = " UNION ALL ".join(f"SELECT '{name}' AS pattern, count(*) AS n FROM ({SQL[key]})" for name, key in zip(analytics.DETECTORS, ("n2_middleware", "n3_plugin", "n4_event_bus", "n5_repository", "n6_strategy"), strict=True))
+PATTERNS_SQL = f"SELECT pattern, n, CASE WHEN n >= 3 THEN 0.85 WHEN n = 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM ({_FOUND}) WHERE n > 0"
+
+
+@query(PATTERNS_SQL)
 def n1_patterns(spark, sf_dir):
-    """All detectors in order; each has its own twin above."""
+    """All detectors in order; the twin is the union of theirs."""
     return analytics.patterns(_code(spark, sf_dir))
 
 

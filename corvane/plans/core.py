@@ -333,10 +333,10 @@ def u3_diff(spark, sf_dir):
     return old.join(gone, "o_orderkey", "left_anti")
 
 
-@query("WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 49 AND l_discount > 0.09), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 49 AND l_discount > 0.09) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'added' ELSE 'removed' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F') SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'added' ELSE 'removed' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def u4_symdiff(spark, sf_dir):
     from corvane.operators.delta import symmetric_difference
 
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.09")
-    part = lambda s: rows.where(F.col("l_linestatus") == s).select(F.col("l_suppkey").alias("k")).distinct()
+    rows = read(spark, sf_dir, "lineitem")
+    part = lambda s: rows.where(F.col("l_linestatus") == s).select(F.col("l_orderkey").alias("k")).distinct()
     return symmetric_difference(part("O"), part("F"), ["k"])

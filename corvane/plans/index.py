@@ -34,9 +34,13 @@ def chunks_of(files: DataFrame, symbols: DataFrame, most: int = chunking.MAX_TOK
     gaps = chunking.uncovered(symbols.select("file_path", "start_line", "end_line"), lines.select("file_path", F.size("lines").alias("lines")))
     null = F.lit(None).cast("string")
     rest = gaps.select("file_path", null.alias("symbol_name"), null.alias("qualified_name"), null.alias("kind"), null.alias("visibility"), null.alias("signature"), null.alias("docstring"), F.col("first_line").cast("int").alias("start_line"), F.col("last_line").cast("int").alias("end_line"))
-    rows = spans.unionByName(rest).join(lines, "file_path")
-    own = F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    rows = rows.withColumn("own", own).drop("lines").withColumn("group", chunking.groups_by_budget(F.transform("own", lambda x: F.size(F.split(F.trim(x), r"\s+")).cast("long")), most))
+    # a file's spans come to its row, where each takes its own lines; the lines of a file move once, not once a symbol
+    spans = spans.unionByName(rest)
+    fields = [c for c in spans.columns if c != "file_path"]
+    held = spans.groupBy("file_path").agg(F.collect_list(F.struct(*fields)).alias("spans")).join(lines, "file_path")
+    cut = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in fields], F.slice("lines", s["start_line"], s["end_line"] - s["start_line"] + 1).alias("own")))
+    rows = held.select("file_path", "language", F.explode(cut).alias("s")).select("file_path", *[f"s.{c}" for c in fields], "language", "s.own")
+    rows = rows.withColumn("group", chunking.groups_by_budget(F.transform("own", lambda x: F.size(F.split(F.trim(x), r"\s+")).cast("long")), most))
     rows = rows.select("*", F.explode(F.array_distinct("group")).alias("part"))
     place = F.array_position("group", F.col("part"))
     taken = F.size(F.filter("group", lambda g: g == F.col("part")))

@@ -53,9 +53,9 @@ def b4_sanitize(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.search_terms(F.col("text")), " ").alias("terms"))
 
 
-@query(f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents WHERE lang = 'es') GROUP BY ALL")
+@query(f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents) GROUP BY ALL")
 def b6_postings(spark, sf_dir):
-    return retrieval.postings(b.chunks(spark, sf_dir).where("language = 'es'")).select("term", "id", "tf")
+    return retrieval.postings(b.chunks(spark, sf_dir)).select("term", "id", "tf")
 
 
 def _bm25_sql(terms: list[str], where: str = "TRUE") -> str:
@@ -69,15 +69,27 @@ bm AS (SELECT id, i, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n -
        FROM f JOIN df USING (i) CROSS JOIN st WHERE f > 0)"""
 
 
+#: Stored indexes of this application, by folder.
+_BUILT: dict[tuple[str, str], retrieval.TextIndex] = {}
+
+
+def _index(spark, sf_dir) -> retrieval.TextIndex:
+    """The inverted index of all documents, built by the first question and kept for the others."""
+    name = spark.sparkContext.applicationId, sf_dir
+    if name not in _BUILT:
+        _BUILT[name] = retrieval.TextIndex.build(b.chunks(spark, sf_dir), {"content": 1.0})
+    return _BUILT[name]
+
+
 @query(f"WITH {_bm25_sql(TERMS)} SELECT id, round(sum(share), 6) AS score FROM bm GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50")
 def search(spark, sf_dir):
     """The flagship: ranked retrieval of any of the terms."""
-    return retrieval.or_search(b.chunks(spark, sf_dir), TERMS, 50)
+    return retrieval.or_search(_index(spark, sf_dir), TERMS, 50)
 
 
 @query(f"WITH {_bm25_sql(TERMS)} SELECT id, round(sum(share), 6) AS score FROM bm GROUP BY id")
 def b7_bm25(spark, sf_dir):
-    rows = retrieval.bm25(b.chunks(spark, sf_dir), TERMS)
+    rows = _index(spark, sf_dir).bm25(TERMS)
     return rows.select("id", F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
 
@@ -107,7 +119,7 @@ c AS (SELECT CASE WHEN count(s0) >= 10 THEN 1 WHEN count(s1) >= 10 THEN 2 WHEN c
 SELECT id, round(CASE stage WHEN 1 THEN s0 WHEN 2 THEN s1 WHEN 3 THEN greatest(s1, s2) ELSE greatest(any_, s1, s2) END, 6) AS score, stage FROM s, c
 WHERE CASE stage WHEN 1 THEN s0 WHEN 2 THEN s1 WHEN 3 THEN greatest(s1, s2) ELSE any_ END IS NOT NULL ORDER BY score DESC, id LIMIT 30""")
 def b8_graduated(spark, sf_dir):
-    return retrieval.graduated(b.chunks(spark, sf_dir), GRADED, 30)
+    return retrieval.graduated(_index(spark, sf_dir), GRADED, 30)
 
 
 STEMS_SQL = "list_distinct(list_concat(base, list_filter(flatten(list_transform(base, lambda w: list_transform(" + _list(text.STEM_SUFFIXES) + ", lambda s: CASE WHEN ends_with(w, s) AND length(w) - length(s) >= 4 THEN left(w, length(w) - length(s)) END))), lambda x: x IS NOT NULL)))"
@@ -203,19 +215,20 @@ def v1_normalise(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"), F.round(F.get(vectors.normalised(F.col("embedding")), F.lit(0)), 5).alias("first"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id AS id, sha256(text) AS h FROM documents), v AS (SELECT id, list_transform(range(32), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) / 255.0::DOUBLE * 2 - 1) AS v FROM h)
+SELECT id, 64 AS n, round(v[1] / sqrt(2 * list_dot_product(v, v)), 5) AS first FROM v""")
 def v10_hash_embedder(spark, sf_dir):
     return vectors.embed(b.chunks(spark, sf_dir), F.col("content")).select("id", F.size("embedding").alias("n"), F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
 
 
 LISTS_SQL = """lex AS (SELECT doc_id AS id, n_chars AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS a FROM documents QUALIFY a <= 40),
-den AS (SELECT doc_id AS id, doc_id % 97 AS score, row_number() OVER (ORDER BY doc_id % 97 DESC, doc_id) AS b FROM documents WHERE n_chars > 4000 QUALIFY b <= 40)"""
+den AS (SELECT doc_id AS id, doc_id % 97 AS score, row_number() OVER (ORDER BY doc_id % 97 DESC, doc_id) AS b FROM documents QUALIFY b <= 40)"""
 
 
 def _lists(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars", "source")
     lex = d.select("id", F.col("n_chars").alias("score"), "source").orderBy(F.desc("score"), "id").limit(40)
-    den = d.where("n_chars > 4000").select("id", (F.col("id") % 97).alias("score"), "source").orderBy(F.desc("score"), "id").limit(40)
+    den = d.select("id", (F.col("id") % 97).alias("score"), "source").orderBy(F.desc("score"), "id").limit(40)
     return lex, den
 
 
@@ -268,12 +281,13 @@ def v8_surrogate(spark, sf_dir):
 
 # context
 
-SEEDS_SQL = f"{USER_EDGES_SQL}, seeds AS (SELECT user_id AS file, round(sum(value) / (SELECT max(s) FROM (SELECT sum(value) AS s FROM events WHERE user_id % 7 = 0 GROUP BY user_id)), 6) AS score FROM events WHERE user_id % 7 = 0 GROUP BY user_id)"
+SEEDS_SQL = f"{USER_EDGES_SQL}, seeds AS (SELECT file, round(s / max(s) OVER (), 6) AS score FROM (SELECT user_id AS file, sum(value) AS s FROM events GROUP BY user_id ORDER BY round(s, 4) DESC, file LIMIT 20))"
 
 
 def _seeds(spark, sf_dir):
-    s = read(spark, sf_dir, "events").where("user_id % 7 = 0").groupBy(F.col("user_id").alias("file")).agg(F.sum("value").alias("s"))
-    return s.select("file", F.round(F.col("s") / F.max("s").over(Window.partitionBy()), 6).alias("score"))
+    """The seeds of a question: the best twenty, over the best one."""
+    s = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("file")).agg(F.sum("value").alias("score")).orderBy(F.desc(F.round("score", 4)), "file").limit(20)
+    return context.normalised(s).select("file", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {SEEDS_SQL}, strong AS (SELECT file FROM seeds WHERE score >= 0.05),
@@ -305,13 +319,15 @@ def w8_file_cut(spark, sf_dir):
     return context.file_cut(rows, "f", "s").select("f", F.round("total", 2).alias("total"))
 
 
-@query(f"""WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT id, round(token_count % 211 / 211.0, 6)::DOUBLE AS score, token_count, row_number() OVER (ORDER BY round(token_count % 211 / 211.0, 6) DESC, id) AS r FROM chunks WHERE source = 'src4'),
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, {_bm25_sql(TERMS)}, hit AS (SELECT id, round(sum(share), 6) AS score FROM bm GROUP BY id ORDER BY 2 DESC, 1 LIMIT 100),
+c AS (SELECT id, score, token_count, row_number() OVER (ORDER BY score DESC, id) AS r FROM hit JOIN chunks USING (id)),
 top AS (SELECT max(score) AS top FROM c),
 fold AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, false AS taken UNION ALL
   SELECT c.r, CASE WHEN score >= 0.3 * top AND used + token_count <= 8192 THEN used + token_count ELSE used END, score >= 0.3 * top AND used + token_count <= 8192 FROM fold JOIN c ON c.r = fold.r + 1, top)
 SELECT c.id, score, token_count FROM c JOIN fold USING (r) WHERE taken""")
 def t9_pack(spark, sf_dir):
-    rows = b.chunks(spark, sf_dir).where("source = 'src4'").select("id", F.round(F.col("token_count") % 211 / F.lit(211.0), 6).alias("score"), "token_count")
+    """The best hundred hits of a question, packed into its budget."""
+    rows = retrieval.or_search(_index(spark, sf_dir), TERMS, 100).join(b.chunks(spark, sf_dir).select("id", "token_count"), "id")
     return context.pack(rows, 8192)
 
 
@@ -330,7 +346,7 @@ def context_bundle(spark, sf_dir):
     """One question from words to packed chunks: BM25, graph signals, scores, file cut, budget."""
     chunks = b.chunks(spark, sf_dir)
     hits = retrieval.or_search(chunks, TERMS, 100)
-    rank = graph.page_rank(b.page_edges(spark, sf_dir).select(F.substring("source", 1, 1).alias("source"), F.substring("target", 2, 1).alias("target")).distinct(), rounds=10)
+    rank = graph.page_rank(b.page_edges(spark, sf_dir).select(F.substring("source", 1, 1).alias("source"), F.substring("target", 2, 1).alias("target")).distinct(), rounds=10, tolerance=None)
     rows = hits.join(chunks.select("id", "file_path", "source", "token_count"), "id").join(F.broadcast(rank.withColumn("node", F.lower("node"))).dropDuplicates(["node"]), F.substring("source", 1, 1) == F.col("node"), "left")
     relevance = F.col("score") / F.max("score").over(Window.partitionBy())
     scored = rows.select("id", "source", "token_count", F.round(context.final_score(relevance, F.coalesce("rank", F.lit(0.0)), F.lit(0.0), F.lit(0.0), F.lit(False)), 6).alias("score"))

@@ -59,12 +59,12 @@ def g1_build(spark, sf_dir):
     return graph.build(imports)
 
 
-@query(f"WITH {USER_EDGES_SQL}, low AS (SELECT source, target FROM edges WHERE source < 20 AND target < 20) SELECT DISTINCT user_id AS node, user_id NOT IN (SELECT source FROM low UNION SELECT target FROM low) AS isolated FROM events")
+@query("SELECT c_custkey AS node, c_custkey NOT IN (SELECT o_custkey FROM orders) AS isolated FROM customer")
 def g2_isolated(spark, sf_dir):
     """Nodes that edges alone would lose."""
-    low = b.user_edges(spark, sf_dir).where("source < 20 AND target < 20")
-    seen = graph.nodes_of(low).distinct().withColumn("seen", F.lit(True))
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("node")).distinct().join(seen, "node", "left").select("node", F.col("seen").isNull().alias("isolated"))
+    edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (-F.col("o_orderkey")).alias("target"))
+    seen = graph.nodes_of(edges).withColumn("seen", F.lit(True))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")).join(seen, "node", "left").select("node", F.col("seen").isNull().alias("isolated"))
 
 
 # summaries

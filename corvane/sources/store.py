@@ -19,9 +19,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and Spark runs on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-")
         _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
