@@ -31,6 +31,28 @@ def to_markdown(question: str, chunks: DataFrame) -> str:
     return "\n".join(out)
 
 
+def profile_markdown(profile: dict) -> str:
+    """A profile (name, totals, languages, modules, patterns, exports) in sections; the first ten exports."""
+    out = [f"# Profile: {profile['name']}", "", f"{profile['files']} files, {profile['lines']} lines"]
+    if profile.get("languages"):
+        out += ["", "## Languages", *(f"- {r['language']}: {r['files']} files ({r['percentage']:.1f}%)" for r in profile["languages"])]
+    if profile.get("modules"):
+        out += ["", "## Modules", *(f"- {r['module']}: {r['file_count']} files, {r['line_count']} lines" for r in profile["modules"])]
+    if profile.get("patterns"):
+        out += ["", "## Patterns", *(f"- {r['pattern']} ({r['confidence']:.0%})" for r in profile["patterns"])]
+    if profile.get("exports"):
+        out += ["", "## Interface", *(f"- `{r['name']}` in {r['file_path']}" for r in profile["exports"][:10])]
+    return "\n".join(out)
+
+
+def comparison_markdown(a: str, b: str, rows: list[dict]) -> str:
+    """A table for every dimension: evidence on either side and the trade-off."""
+    out = [f"# {a} against {b}"]
+    for r in sorted(rows, key=lambda r: r["dimension"]):
+        out += ["", f"## {r['dimension'].replace('_', ' ').capitalize()}", "", f"| | {a} | {b} |", "|-|-|-|", f"| evidence | {r['a']} | {r['b']} |", "", r["trade_off"]]
+    return "\n".join(out)
+
+
 FORMATS = {"json": to_json, "xml": to_xml, "markdown": to_markdown}
 
 

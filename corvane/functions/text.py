@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,6 +121,13 @@ def anchors(text: Column, n: int = 8) -> Column:
     return F.slice(F.array_distinct(identifiers(text)), 1, n)
 
 
+def import_line(module: Column, names: Column, alias: Column) -> Column:
+    """An import as a line of code: names (array of name, alias) from a module, or the module itself."""
+    one = lambda n: F.concat(n["name"], F.when(n["alias"].isNotNull(), F.concat(F.lit(" as "), n["alias"])).otherwise(""))
+    whole = F.concat(F.lit("import "), module, F.when(alias.isNotNull(), F.concat(F.lit(" as "), alias)).otherwise(""))
+    return F.when(F.size(names) > 0, F.concat(F.lit("from "), module, F.lit(" import "), F.array_join(F.transform(names, one), ", "))).otherwise(whole)
+
+
 def estimated_tokens(text: Column) -> Column:
     """Whole part of 1.3 tokens a word."""
     return F.floor(F.size(words(text)) * F.lit(13) / F.lit(10)).cast("long")
@@ -186,6 +195,29 @@ def porter(word: str) -> str:
     return w
 
 
+def folded(word: str) -> str:
+    """The word without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)) if not word.isascii() else word
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_stems(tokens: pd.Series) -> pd.Series:
+    """Stems of the tokens without their accents."""
+    known: dict[str, str] = {}
+
+    def stem(w: str) -> str:
+        if w not in known:
+            known[w] = porter(folded(w))
+        return known[w]
+
+    return tokens.map(lambda ws: [stem(w) for w in ws])
+
+
+def analysed(text: Column) -> Column:
+    """What the index of code holds of a text, and what a question is asked by."""
+    return folded_stems(tokens(text))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}

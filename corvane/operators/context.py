@@ -77,6 +77,30 @@ def pack(scored: DataFrame, budget: int, floor: float = SCORE_FLOOR, key: str =
     return kept.select(F.col("x.id").alias(key), (-F.col("x.neg")).alias("score"), F.col("x.tokens").alias("token_count"))
 
 
+def second_hop(edges: DataFrame, seeds: DataFrame, architecture: bool, room: int) -> DataFrame:
+    """node: for a question about architecture, files two imports away, as many as there is room for; else none."""
+    from corvane.operators import graph
+
+    found = graph.two_hop(edges, seeds)
+    return found.orderBy("node").limit(room) if architecture and room > 0 else found.limit(0)
+
+
+def structure(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The import graph among the files (node) of an answer, and the types they define."""
+    from corvane.operators import graph, lookups
+
+    types = lookups.type_like(symbols.join(files.select(F.col("node").alias("file_path")), "file_path", "left_semi"))
+    return graph.subgraph(edges, files), types
+
+
+def metadata(candidates: DataFrame, included: DataFrame, expanded: int, budget: int, question: str) -> DataFrame:
+    """One row: how many chunks and files were looked at and taken, the tokens taken, the budget and the weights."""
+    looked = candidates.agg(F.count("*").alias("candidates"), F.count_distinct("file_path").alias("candidate_files"))
+    taken = included.agg(F.count("*").alias("included"), F.count_distinct("file_path").alias("included_files"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("tokens"))
+    weights = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
+    return looked.join(taken).select("*", F.lit(expanded).alias("expanded_files"), F.lit(budget).alias("budget"), F.lit(question).alias("question"), weights.alias("weights"))
+
+
 def effective_budget(total: Column, budget: int) -> Column:
     """All tokens if they fit, the budget from three times of it on, a straight line between."""
     b = F.lit(budget)

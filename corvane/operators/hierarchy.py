@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +30,21 @@ def outline_parents(symbols: DataFrame) -> DataFrame:
     return named.join(parents, (named["file_path"] == parents["file_path"]) & (named["__parent"] == parents["parent"]), "left").select(named["file_path"], "qname", "parent")
 
 
+def root_order(tree: DataFrame) -> DataFrame:
+    """place, path, is_dir of the top level: folders first, then by path."""
+    top = tree.where("depth = 1").select("path", "is_dir")
+    return top.select(F.row_number().over(Window.partitionBy().orderBy(F.desc("is_dir"), "path")).alias("place"), "path", "is_dir")  # the entries of one folder
+
+
+def draw_outline(rows: list[dict]) -> str:
+    """Lines of an outline from (qname, kind, start_line) rows, indented by the parts of the name."""
+    out = []
+    for r in sorted(rows, key=lambda r: (r["start_line"], r["qname"])):
+        depth = len(re.findall(r"::|\.", r["qname"]))
+        out.append(f"{'  ' * depth}{r['kind']} {re.split(r'::|[.]', r['qname'])[-1]}:{r['start_line']}")
+    return "\n".join(out)
+
+
 def draw_tree(rows: list[dict]) -> str:
     """Lines of a tree from (path, depth, is_dir) rows of file_tree, folders first."""
     by: dict[str, list[dict]] = {}

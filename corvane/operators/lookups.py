@@ -38,9 +38,11 @@ def with_path_keyword(chunks: DataFrame, keyword: str, limit: int) -> DataFrame:
     return chunks.where(F.contains(F.lower("file_path"), F.lit(keyword.lower()))).orderBy("id").limit(limit)
 
 
-def symbol_search(symbols: DataFrame, phrase: list[str], kind: str | None, limit: int, filter_first: bool = True) -> DataFrame:
+def symbol_search(symbols: DataFrame, phrase: list[str], kind: str | None, limit: int, filter_first: bool = True, language: str | None = None) -> DataFrame:
     """Rows where the phrase's tokens stand side by side in the tokens of ``text``; by id."""
     found = symbols.where(F.contains(F.concat(F.lit(" "), F.array_join(F.col("tokens"), " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} ")))
+    if language is not None:
+        found = found.where(F.col("language") == language)
     if kind is None:
         return found.orderBy("id").limit(limit)
     if filter_first:
@@ -48,6 +50,28 @@ def symbol_search(symbols: DataFrame, phrase: list[str], kind: str | None, limit
     return found.orderBy("id").limit(limit).where(F.col("kind") == kind)
 
 
+PUBLIC = "symbol_id symbol_name qualified_name kind file_path start_line end_line language signature visibility docstring".split()
+
+
+def public_record(chunks: DataFrame) -> DataFrame:
+    """The fields of a symbol that callers see, as far as the table has them."""
+    return chunks.select(*[c for c in PUBLIC if c in chunks.columns])
+
+
+def surrogate_scan(rows: DataFrame, ids: list | None = None, files: list[str] | None = None) -> DataFrame:
+    """Surrogates of some chunks or files, or all in order of the chunk."""
+    if ids is not None:
+        rows = rows.where(F.col("id").isin(ids))
+    if files is not None:
+        rows = rows.where(F.col("file_path").isin(files))
+    return rows if ids is not None or files is not None else rows.orderBy("id")
+
+
+def chunk_order(chunks: DataFrame) -> DataFrame:
+    """chunks with their place in their file, by the first line."""
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id")))
+
+
 def batch(chunks: DataFrame, ids: list) -> DataFrame:
     """pos, id and the chunk's columns: in the order asked, repeats kept, null for misses."""
     if len(ids) > MAX_BATCH:

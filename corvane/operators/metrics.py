@@ -58,6 +58,20 @@ def backfill_savings(results: DataFrame, raw_strategy: str) -> DataFrame:
     return results.withColumn("raw", F.coalesce(raw, F.lit(0))).withColumn("savings", savings(F.col("tokens"), F.col("raw"))).drop("raw")
 
 
+def derived(results: DataFrame) -> DataFrame:
+    """results (tokens_in, tokens_out, seeds, files) with efficiency, expanded and seed_share; 0 where nothing can be divided by."""
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(0.0)
+    return results.withColumns({"efficiency": ratio("tokens_out", "tokens_in"), "expanded": F.greatest(F.col("files") - F.col("seeds"), F.lit(0)), "seed_share": ratio("seeds", "files")})
+
+
+def delta_lines(runs: DataFrame) -> DataFrame:
+    """task_id and line of a report about delta runs (task_id, delta_ms, full_ms, correct): whole milliseconds and the speedup."""
+    ms = lambda c: F.floor(c).cast("string")
+    speed = F.floor(F.col("full_ms") / F.greatest("delta_ms", F.lit(1.0)) * 10)
+    text = F.concat(ms(F.col("delta_ms")), F.lit(" ms / "), ms(F.col("full_ms")), F.lit(" ms, x"), F.floor(speed / 10).cast("string"), F.lit("."), (speed % 10).cast("string"))
+    return runs.select("task_id", F.concat(text, F.when(F.col("correct"), ", correct").otherwise(", differs")).alias("line"))
+
+
 def long_form(results: DataFrame, metrics: list[str], value: str = "value") -> DataFrame:
     return results.unpivot([c for c in ("task_id", "strategy") if c in results.columns], metrics, "metric", value)
 

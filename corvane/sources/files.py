@@ -68,6 +68,11 @@ def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("task_id string, question string, expected_files array<string>, token_budget int, category string").json(path)
 
 
+def load_delta_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Delta benchmark tasks from JSON lines (task_id, source, base_commit, delta_commit)."""
+    return spark.read.schema("task_id string, source string, base_commit string, delta_commit string").json(path)
+
+
 def check_tasks(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """task_id, problem: blank questions, no expectations, expected files that do not exist."""
     blank = tasks.where(F.trim(F.coalesce("question", F.lit(""))) == "").select("task_id", F.lit("blank question").alias("problem"))

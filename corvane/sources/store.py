@@ -7,7 +7,10 @@ any store Spark reads.
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +75,76 @@ class Store:
         return {r["key"]: r["value"] for r in latest.collect()}
 
 
+def save_vectors(store: Store, vectors: DataFrame, embedder: str, mode: str, version: str) -> None:
+    """Vectors (id, embedding) with what made them; none at all are refused."""
+    first = vectors.select(F.size("embedding").alias("n"), "id").first()
+    if first is None:
+        raise ValueError("no vectors to save")
+    store.put("vectors", vectors.select("id", "embedding"))
+    store.set_meta("vectors", json.dumps({"embedder": embedder, "mode": mode, "version": version, "dim": first["n"]}))
+
+
+def load_vectors(store: Store, **wanted) -> DataFrame:
+    """The stored vectors, if they were made as wanted (embedder, mode, version, dim; what is not named is not asked, and vectors
+    without such a record are taken)."""
+    made = json.loads(store.meta().get("vectors", "{}"))
+    for key, value in wanted.items():
+        if made and made.get(key) != value:
+            raise ValueError(f"stored vectors have {key} {made.get(key)!r}, not {value!r}")
+    rows = store.get("vectors")
+    if rows.where("id IS NULL OR embedding IS NULL").take(1):
+        raise ValueError("stored vectors lack ids or values")
+    return rows
+
+
+class Cache:
+    """Stored indexes by content: an entry is named by what was indexed and its commit."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.store = spark, Store(spark, root)
+
+    def put(self, identity: str, commit: str, tables: dict[str, DataFrame]) -> str:
+        key = cache_key(identity, commit, self.spark)
+        rows = 0
+        for name, df in tables.items():
+            self.store.put(f"{key}/{name}", df)
+            rows += self.store.get(f"{key}/{name}").count()
+        self.store.set_meta(f"entry:{key}", json.dumps({"identity": identity, "commit": commit, "rows": rows, "at": time.time()}))
+        return key
+
+    def get(self, key: str, table: str) -> DataFrame:
+        if not re.fullmatch("[0-9a-f]{64}", key):
+            raise ValueError("a key has 64 hexadecimal digits")
+        if key not in self.entries():
+            raise KeyError(key)
+        return self.store.get(f"{key}/{table}")
+
+    def entries(self) -> dict[str, dict]:
+        """Key to identity, commit, rows and time, of all entries that hold."""
+        found = {k.removeprefix("entry:"): json.loads(v) for k, v in self.store.meta().items() if k.startswith("entry:")}
+        return {k: v for k, v in found.items() if v}
+
+    def find(self, identity: str) -> list[str]:
+        """Keys of a source, the latest first."""
+        return [k for k, v in sorted(self.entries().items(), key=lambda x: -x[1]["at"]) if v["identity"] == identity]
+
+    def stale(self, key: str, hours: float) -> bool:
+        return time.time() - self.entries()[key]["at"] > 3600 * hours
+
+    def invalidate(self, key: str) -> None:
+        self.store.set_meta(f"entry:{key}", "null")
+
+    def clean(self, hours: float) -> int:
+        """Invalidates what is older; how many."""
+        old = [k for k, v in self.entries().items() if time.time() - v["at"] > 3600 * hours]
+        for key in old:
+            self.invalidate(key)
+        return len(old)
+
+    def info(self) -> dict:
+        return {"entries": len(self.entries()), "rows": sum(v["rows"] for v in self.entries().values())}
+
+
 def cache_key(identity: str, commit: str, spark: SparkSession) -> str:
     """64 hexadecimal digits that name a source at a commit."""
     return spark.range(1).select(F.sha2(F.concat_ws("@", F.lit(identity), F.lit(commit)), 256)).first()[0]
