@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text
@@ -81,6 +80,13 @@ def _index(spark, sf_dir) -> retrieval.TextIndex:
     return _BUILT[name]
 
 
+@query(f"SELECT count(*) AS texts, round(avg(len(t)), 4) AS mean, CAST(sum(len(list_distinct(t))) AS BIGINT) AS postings FROM (SELECT {TOKENS_SQL.format('text')} AS t FROM documents)")
+def b6_index(spark, sf_dir):
+    """Builds the inverted index that the questions below read, and says how large it is."""
+    found = _index(spark, sf_dir)
+    return found.postings.agg(F.lit(found.total).cast("long").alias("texts"), F.lit(round(found.mean, 4)).alias("mean"), F.count("term").alias("postings"))
+
+
 @query(f"WITH {_bm25_sql(TERMS)} SELECT id, round(sum(share), 6) AS score FROM bm GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50")
 def search(spark, sf_dir):
     """The flagship: ranked retrieval of any of the terms."""
@@ -345,10 +351,9 @@ def c17_estimate(spark, sf_dir):
 def context_bundle(spark, sf_dir):
     """One question from words to packed chunks: BM25, graph signals, scores, file cut, budget."""
     chunks = b.chunks(spark, sf_dir)
-    hits = retrieval.or_search(chunks, TERMS, 100)
+    hits = retrieval.or_search(_index(spark, sf_dir), TERMS, 100)
     rank = graph.page_rank(b.page_edges(spark, sf_dir).select(F.substring("source", 1, 1).alias("source"), F.substring("target", 2, 1).alias("target")).distinct(), rounds=10, tolerance=None)
     rows = hits.join(chunks.select("id", "file_path", "source", "token_count"), "id").join(F.broadcast(rank.withColumn("node", F.lower("node"))).dropDuplicates(["node"]), F.substring("source", 1, 1) == F.col("node"), "left")
-    relevance = F.col("score") / F.max("score").over(Window.partitionBy())
-    scored = rows.select("id", "source", "token_count", F.round(context.final_score(relevance, F.coalesce("rank", F.lit(0.0)), F.lit(0.0), F.lit(0.0), F.lit(False)), 6).alias("score"))
+    scored = context.normalised(rows).select("id", "source", "token_count", F.round(context.final_score(F.col("score"), F.coalesce("rank", F.lit(0.0)), F.lit(0.0), F.lit(0.0), F.lit(False)), 6).alias("score"))
     files = context.file_cut(scored, "source")
     return context.pack(scored.join(files.select("source"), "source", "left_semi").select("id", "score", "token_count"), 8192)
