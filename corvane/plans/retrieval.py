@@ -8,7 +8,7 @@ from corvane.functions import text
 from corvane.operators import context, graph, retrieval, vectors
 from corvane.plans.registry import query, read
 from corvane.sources import bindings as b
-from corvane.sources.bindings import CHUNKS_SQL, USER_EDGES_SQL
+from corvane.sources.bindings import CHUNKS_SQL, PAGE_EDGES_SQL, USER_EDGES_SQL
 
 TOKENS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 TERMS = ["the", "token", "eaux", "idiot"]
@@ -347,13 +347,33 @@ def c17_estimate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+def _bundle_sql(rounds: int) -> str:
+    """The same question in SQL: hits, ranks of letters of hosts, scores, the best sources, and the fold of the budget."""
+    ranks = ["edges AS (SELECT DISTINCT substr(source, 1, 1) AS source, substr(target, 2, 1) AS target FROM pages_)", "nodes AS (SELECT source AS node FROM edges UNION SELECT target FROM edges)", "deg AS (SELECT source AS node, count(*) AS out FROM edges GROUP BY source)", "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+    for i in range(1, rounds + 1):
+        ranks.append(
+            f"""r{i} AS MATERIALIZED (SELECT nodes.node, 0.85 * (coalesce(g.given, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE node NOT IN (SELECT node FROM deg)) / (SELECT count(*) FROM nodes)) + 0.15 / (SELECT count(*) FROM nodes) AS rank
+FROM nodes LEFT JOIN (SELECT target AS node, sum(rank / out) AS given FROM edges JOIN r{i - 1} ON source = r{i - 1}.node JOIN deg ON deg.node = source GROUP BY target) g ON g.node = nodes.node)"""
+        )
+    return f"""WITH RECURSIVE {CHUNKS_SQL}, {_bm25_sql(TERMS)}, hit AS (SELECT id, round(sum(share), 6) AS score FROM bm GROUP BY id ORDER BY 2 DESC, 1 LIMIT 100),
+{PAGE_EDGES_SQL.replace("edges AS", "pages_ AS", 1)}, {", ".join(ranks)}, letter AS (SELECT lower(node) AS node, max(rank) AS rank FROM r{rounds} GROUP BY 1),
+sc AS (SELECT id, source, token_count, round(0.80 * score / (SELECT max(score) FROM hit) + 0.08 * coalesce(rank, 0), 6) AS score FROM hit JOIN chunks USING (id) LEFT JOIN letter ON substr(source, 1, 1) = letter.node),
+tot AS (SELECT source, round(sum(score), 6) AS total FROM sc GROUP BY source), pl AS (SELECT *, row_number() OVER (ORDER BY total DESC, source) AS place, count(*) OVER () AS n, max(total) OVER () AS top FROM tot),
+md AS (SELECT *, max(CASE WHEN place = n // 2 + 1 THEN total END) OVER () AS median FROM pl),
+cut AS (SELECT source FROM md WHERE place <= CASE WHEN n < 3 THEN n WHEN median > 0 AND top / median > 5 THEN 4 WHEN median > 0 AND top / median > 3 THEN 5 ELSE 8 END AND total >= 0.15 * top),
+c AS (SELECT id, score, token_count, row_number() OVER (ORDER BY score DESC, id) AS r FROM sc WHERE source IN (SELECT source FROM cut)), best AS (SELECT max(score) AS top FROM c),
+fold AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, false AS taken UNION ALL
+  SELECT c.r, CASE WHEN score >= 0.3 * top AND used + token_count <= 8192 THEN used + token_count ELSE used END, score >= 0.3 * top AND used + token_count <= 8192 FROM fold JOIN c ON c.r = fold.r + 1, best)
+SELECT c.id, score, token_count FROM c JOIN fold USING (r) WHERE taken"""
+
+
+@query(_bundle_sql(10))
 def context_bundle(spark, sf_dir):
     """One question from words to packed chunks: BM25, graph signals, scores, file cut, budget."""
     chunks = b.chunks(spark, sf_dir)
     hits = retrieval.or_search(_index(spark, sf_dir), TERMS, 100)
     rank = graph.page_rank(b.page_edges(spark, sf_dir).select(F.substring("source", 1, 1).alias("source"), F.substring("target", 2, 1).alias("target")).distinct(), rounds=10, tolerance=None)
-    rows = hits.join(chunks.select("id", "file_path", "source", "token_count"), "id").join(F.broadcast(rank.withColumn("node", F.lower("node"))).dropDuplicates(["node"]), F.substring("source", 1, 1) == F.col("node"), "left")
+    rows = hits.join(chunks.select("id", "file_path", "source", "token_count"), "id").join(F.broadcast(rank.groupBy(F.lower("node").alias("node")).agg(F.max("rank").alias("rank"))), F.substring("source", 1, 1) == F.col("node"), "left")
     scored = context.normalised(rows).select("id", "source", "token_count", F.round(context.final_score(F.col("score"), F.coalesce("rank", F.lit(0.0)), F.lit(0.0), F.lit(0.0), F.lit(False)), 6).alias("score"))
     files = context.file_cut(scored, "source")
     return context.pack(scored.join(files.select("source"), "source", "left_semi").select("id", "score", "token_count"), 8192)
