@@ -62,23 +62,40 @@ def split_lines(chunks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     return parts.select("id", "part", (F.col("first") + 1).cast("long").alias("first"), "content", estimated_tokens(F.col("content")).alias("token_count"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _joined(costs: pd.Series, least: pd.Series) -> pd.Series:
+    def numbered(values, limit: int) -> list[int]:
+        out, total, group = [], 0, 0
+        for x in values.tolist():
+            out.append(group)
+            total += x
+            if total >= limit:
+                total, group = 0, group + 1
+        return [min(g, group - 1) for g in out] if group else out
+
+    return pd.Series([numbered(c, m) for c, m in zip(costs, least, strict=True)])
+
+
+def _pieces(chunks: DataFrame, least: int, *fields: str) -> DataFrame:
+    """file_path, group, p (start_line, token_count, fields): the pieces of each file in groups of at least ``least`` tokens.
+
+    A piece joins the next ones until they have enough; a rest that has not joins the group before.  One walk a file.
+    """
+    held = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", F.coalesce(F.col("token_count").cast("long"), F.lit(0)).alias("token_count"), *fields))).alias("pieces"))
+    groups = _joined(F.transform("pieces", lambda p: p["token_count"]), F.lit(least))
+    return held.withColumn("groups", groups).select("file_path", F.explode(F.arrays_zip("pieces", "groups")).alias("x")).select("file_path", F.col("x.groups").alias("group"), F.col("x.pieces").alias("p"))
+
+
 def merge_small(chunks: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
-    """file_path, group, n, token_count: file-level pieces under ``least`` tokens join the next piece, the last one the piece before.
+    """file_path, group, token_count: file-level pieces under ``least`` tokens join the next piece, the last one the piece before.
 
     chunks: file_path, start_line, token_count of file-level pieces.
     """
-    rows = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "token_count"))).alias("pieces"))
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("long").alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["open"] + x["token_count"]
-        full = now >= least
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"), F.when(full, F.lit(0)).otherwise(now).cast("long").alias("open"))
+    return _pieces(chunks, least).groupBy("file_path", "group").agg(F.sum("p.token_count").alias("token_count"))
 
-    def finish(acc: Column) -> Column:
-        last = F.element_at(acc["done"], -1) + acc["open"]
-        merged = F.when(F.size(acc["done"]) == 0, F.array(acc["open"])).otherwise(F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1), F.array(last)))
-        return F.when(acc["open"] > 0, merged).otherwise(acc["done"])
 
-    out = rows.select("file_path", F.posexplode(F.aggregate("pieces", start, step, finish)).alias("group", "token_count"))
-    return out
+def merge_texts(chunks: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """file_path, language, start_line, end_line, content: file-level pieces (with token_count) joined as in ``merge_small``."""
+    own = _pieces(chunks, least, "end_line", "content", "language").groupBy("file_path", "group")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("p.start_line", "p.content"))), lambda x: x["content"])
+    return own.agg(F.first("p.language").alias("language"), F.min("p.start_line").alias("start_line"), F.max("p.end_line").alias("end_line"), F.array_join(texts, "\n").alias("content")).drop("group")

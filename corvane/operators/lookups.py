@@ -95,9 +95,9 @@ def is_test_path(path: Column) -> Column:
 
 
 def import_is_relevant(content: Column, alias: Column, names: Column, module: Column) -> Column:
-    """The alias, any imported name, or the last part of the module stands in the content."""
-    last = F.element_at(F.split(module, r"\."), -1)
-    return F.coalesce(F.contains(content, alias), F.lit(False)) | F.exists(names, lambda s: F.contains(content, s)) | F.contains(content, last)
+    """The alias or any imported name stands in the content; without names, the last part of the module."""
+    named = F.when(F.size(names) > 0, F.exists(names, lambda s: F.contains(content, s))).otherwise(F.contains(content, F.substring_index(module, ".", -1)))
+    return F.coalesce(F.contains(content, alias), F.lit(False)) | named
 
 
 def interfaces(symbols: DataFrame) -> DataFrame:

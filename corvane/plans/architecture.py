@@ -166,14 +166,14 @@ def w4_token_split(spark, sf_dir):
     return parts.select("id", "part", "first", F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT source AS f, doc_id, n_chars % 60 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
-s AS (SELECT f, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS open, CAST(NULL AS BIGINT) AS done, CAST(0 AS BIGINT) AS g UNION ALL
-  SELECT p.f, p.i, CASE WHEN s.open + t >= 50 THEN 0 ELSE s.open + t END, CASE WHEN s.open + t >= 50 THEN s.open + t END, CASE WHEN s.done IS NOT NULL THEN g + 1 ELSE g END FROM s JOIN p ON p.f = s.f AND p.i = s.i + 1),
-start AS (SELECT 1)
-SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY i) - 1 AS INTEGER) AS "group", CAST(done + CASE WHEN lead(done) OVER (PARTITION BY file_path ORDER BY i) IS NULL THEN tail ELSE 0 END AS BIGINT) AS token_count
-FROM (SELECT f AS file_path, i, done FROM r WHERE done IS NOT NULL) JOIN (SELECT f AS file_path, arg_max(open, i) AS tail FROM r GROUP BY f) USING (file_path)""".replace("s AS (SELECT f, CAST(0 AS BIGINT) AS i", "r AS (SELECT DISTINCT f, CAST(0 AS BIGINT) AS i").replace("AS g UNION ALL", "AS g FROM p UNION ALL").replace("FROM s JOIN p ON p.f = s.f AND p.i = s.i + 1", "FROM r s JOIN p ON p.f = s.f AND p.i = s.i + 1").replace(",\nstart AS (SELECT 1)", ""))
+@query("""WITH RECURSIVE p AS (SELECT doc_id // 40 AS f, n_chars % 60 AS t, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT f, i, t, CAST(0 AS BIGINT) AS g, CAST(t AS BIGINT) AS open FROM p WHERE i = 1 UNION ALL
+  SELECT p.f, p.i, p.t, CASE WHEN r.open >= 50 THEN g + 1 ELSE g END, CASE WHEN r.open >= 50 THEN 0 ELSE r.open END + p.t FROM r JOIN p ON p.f = r.f AND p.i = r.i + 1),
+q AS (SELECT f, g, sum(t) AS t FROM r GROUP BY f, g)
+SELECT CAST(f AS VARCHAR) AS file_path, CAST(CASE WHEN t < 50 THEN greatest(g - 1, 0) ELSE g END AS INTEGER) AS "group", CAST(sum(t) AS BIGINT) AS token_count FROM q GROUP BY 1, 2""")
 def w6_merge_small(spark, sf_dir):
-    pieces = read(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("start_line"), (F.col("n_chars") % 60).alias("token_count"))
+    """Runs of 40 ids stand for files, which have a bounded number of pieces."""
+    pieces = read(spark, sf_dir, "documents").select(F.expr("CAST(doc_id DIV 40 AS STRING)").alias("file_path"), F.col("doc_id").alias("start_line"), (F.col("n_chars") % 60).alias("token_count"))
     return chunking.merge_small(pieces)
 
 

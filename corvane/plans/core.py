@@ -89,10 +89,11 @@ def f14_test_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("doc_id", lookups.is_test_path(F.col("p")).alias("is_test"))
 
 
-@query("""SELECT doc_id, contains(text, 'idiot') OR contains(text, 'token') OR contains(text, 'ingthe') OR contains(text, 'und') AS relevant FROM documents""")
+@query("""SELECT doc_id, contains(text, 'idiot') OR contains(text, 'token') OR contains(text, 'ingthe') AS relevant, contains(text, 'idiot') OR contains(text, 'und') AS bare FROM documents""")
 def f15_import_relevance(spark, sf_dir):
-    names = F.array(F.lit("token"), F.lit("ingthe"))
-    return read(spark, sf_dir, "documents").select("doc_id", lookups.import_is_relevant(F.col("text"), F.lit("idiot"), names, F.lit("a.b.und")).alias("relevant"))
+    names, none = F.array(F.lit("token"), F.lit("ingthe")), F.array().cast("array<string>")
+    held = lambda n: lookups.import_is_relevant(F.col("text"), F.lit("idiot"), n, F.lit("a.b.und"))
+    return read(spark, sf_dir, "documents").select("doc_id", held(names).alias("relevant"), held(none).alias("bare"))
 
 
 SYMS_SQL = "syms AS (SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN '_' ELSE '' END || p_name AS name, ['function', 'class', 'method', 'interface'][p_size % 4 + 1] AS kind, CASE WHEN p_size % 3 = 0 THEN 'private' ELSE 'public' END AS visibility, CASE WHEN p_partkey % 7 = 0 THEN p_brand END AS parent FROM part)"

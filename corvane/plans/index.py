@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import estimated_tokens
-from corvane.operators import chunking
+from corvane.functions.text import estimated_tokens, import_line
+from corvane.operators import chunking, lookups
 from corvane.sources import parsing
 
 
@@ -27,8 +27,22 @@ def edges_of(imports: DataFrame) -> DataFrame:
     return rows.select("source", "target", F.lit("imports").alias("kind"), F.concat_ws(":", "source", F.col("line").cast("string")).alias("location"))
 
 
-def chunks_of(files: DataFrame, symbols: DataFrame, most: int = chunking.MAX_TOKENS) -> DataFrame:
-    """A chunk per symbol and per run of lines no symbol covers; long ones are split at lines, blank ones dropped."""
+def import_context(chunks: DataFrame, imports: DataFrame) -> DataFrame:
+    """chunks with imports_context: the imports of their file that their text uses, a line each, in order of place."""
+    listed = F.struct("line", "module", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "alias")
+    held = imports.groupBy("file_path").agg(F.array_sort(F.collect_list(listed)).alias("imports"))
+    single = lambda x: F.size(x["names"]) == 1
+    named = lambda x: F.transform(x["names"], lambda n: F.struct(n.alias("name"), F.when(single(x), x["alias"]).alias("alias")))
+    used = F.filter("imports", lambda x: lookups.import_is_relevant(F.col("content"), x["alias"], x["names"], x["module"]))
+    lines = F.transform(used, lambda x: import_line(x["module"], named(x), x["alias"]))
+    return chunks.join(held, "file_path", "left").withColumn("imports_context", F.coalesce(F.array_join(lines, "\n"), F.lit(""))).drop("imports")
+
+
+def chunks_of(files: DataFrame, symbols: DataFrame, imports: DataFrame, most: int = chunking.MAX_TOKENS) -> DataFrame:
+    """A chunk per symbol and per run of lines no symbol covers; long ones are split at lines, small runs of lines join, blank ones are dropped.
+
+    Tokens are those of a chunk with the imports it uses.
+    """
     lines = files.select(F.col("path").alias("file_path"), "language", F.split("content", "\n").alias("lines"))
     spans = symbols.select("file_path", F.col("name").alias("symbol_name"), "qualified_name", "kind", "visibility", "signature", "docstring", "start_line", "end_line")
     gaps = chunking.uncovered(symbols.select("file_path", "start_line", "end_line"), lines.select("file_path", F.size("lines").alias("lines")))
@@ -45,10 +59,14 @@ def chunks_of(files: DataFrame, symbols: DataFrame, most: int = chunking.MAX_TOK
     place = F.array_position("group", F.col("part"))
     taken = F.size(F.filter("group", lambda g: g == F.col("part")))
     rows = rows.withColumns({"content": F.array_join(F.slice("own", place.cast("int"), taken), "\n"), "start_line": (F.col("start_line") + place - 1).cast("int")})
-    rows = rows.withColumn("end_line", F.col("start_line") + taken - 1).where(F.trim(F.regexp_replace("content", r"\s+", "")) != "").drop("own", "group", "part")
+    rows = rows.withColumn("end_line", F.col("start_line") + taken - 1).drop("own", "group", "part")
+    loose = chunking.merge_texts(rows.where("qualified_name IS NULL").withColumn("token_count", estimated_tokens(F.col("content"))))
+    rows = rows.where("qualified_name IS NOT NULL").unionByName(loose, allowMissingColumns=True).where(F.regexp_replace("content", r"\s+", "") != "")
+    rows = import_context(rows, imports)
+    whole = F.when(F.col("imports_context") != "", F.concat_ws("\n", "imports_context", "content")).otherwise(F.col("content"))
     rows = rows.withColumns({
         "id": F.concat_ws(":", "file_path", F.coalesce("symbol_name", F.lit("_module")), F.col("start_line").cast("string")),
-        "symbol_id": chunking.symbol_id(F.col("file_path"), F.col("qualified_name"), F.col("kind")), "token_count": estimated_tokens(F.col("content")),
+        "symbol_id": chunking.symbol_id(F.col("file_path"), F.col("qualified_name"), F.col("kind")), "token_count": estimated_tokens(whole),
     })
     return chunking.disambiguate(rows, ["symbol_id"])
 
@@ -56,4 +74,4 @@ def chunks_of(files: DataFrame, symbols: DataFrame, most: int = chunking.MAX_TOK
 def build(files: DataFrame) -> Index:
     symbols, imports = parsing.parse(files)
     imports = parsing.resolve(imports, files)
-    return Index(files, symbols, imports, edges_of(imports), chunks_of(files, symbols))
+    return Index(files, symbols, imports, edges_of(imports), chunks_of(files, symbols, imports))

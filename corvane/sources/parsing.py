@@ -2,8 +2,10 @@
 
 One pass over the files gives both.  Python is read with the standard library's
 syntax tree; other languages line by line with a table of declarations, where a
-block ends at the next line that is indented no deeper.  The line reader is an
-approximation: declarations spread over lines or several on one line are missed.
+block ends at the next line that is indented no deeper.  Comments are blanked
+first, and a declaration or import whose brackets stay open is read together with
+the lines that close them.  The line reader is an approximation: of several
+declarations on one line it sees the first.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.store import materialise
+
 SYMBOLS = "file_path string, name string, qualified_name string, kind string, start_line int, end_line int, visibility string, signature string, docstring string, decorators array<string>, parent string"
 IMPORTS = "file_path string, module string, names array<string>, alias string, line int, is_relative boolean"
 _FIELDS = "what string, " + SYMBOLS + ", module string, names array<string>, alias string, line int, is_relative boolean"
@@ -43,10 +47,13 @@ DECLARATIONS["javascript"] = DECLARATIONS["typescript"]
 IMPORT_LINES = {
     "typescript": [r"(?:import|export)\b.*?\bfrom\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]", r".*\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"],
     "go": [r"import\s+(?:\w+\s+|_\s+|\.\s+)?\"([^\"]+)\"", r"(?:\w+\s+|_\s+|\.\s+)?\"([\w./-]+)\"$"],
-    "rust": [r"(?:pub\s+)?use\s+([\w:]+)"],
-    "java": [r"import\s+(?:static\s+)?([\w.]+)"], "kotlin": [r"import\s+([\w.]+)"], "csharp": [r"using\s+(?:static\s+)?([\w.]+)\s*;"], "swift": [r"(?:@testable\s+)?import\s+(\w+)"],
+    "rust": [r"(?:pub(?:\([a-z]+\))?\s+)?use\s+(\w+(?:::\w+)*)"],
+    "java": [r"import\s+(?:static\s+)?([\w.]+)"], "kotlin": [r"import\s+([\w.]+)"], "csharp": [r"using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"], "swift": [r"(?:@testable\s+)?import\s+(\w+)"],
 }
 IMPORT_LINES["javascript"] = IMPORT_LINES["typescript"]
+#: Strings, which stay, and comments, which go.
+_LEXICAL = re.compile(r"""(?P<keep>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?(?:\*/|\Z)""", re.S)
+_REACH = 60  # lines that a declaration may take
 _OWNERS = {"class", "interface", "enum", "type", "impl"}
 
 
@@ -64,15 +71,59 @@ def _visibility(language: str, name: str, line: str, parent: str | None) -> str:
     return {"java": "internal", "kotlin": "public", "csharp": "private" if parent else "internal", "swift": "internal"}[language]
 
 
+def without_comments(text: str) -> str:
+    """The text with its // and /* */ comments blanked; lines stay where they are."""
+    return _LEXICAL.sub(lambda m: m[0] if m["keep"] else re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def _whole(lines: list[str], i: int) -> tuple[str, int]:
+    """The declaration that begins at line i as one line, and its last line (numbered from zero).
+
+    Lines join while round brackets, or the braces of an import, are open at a line that ends in an opening one or a comma.
+    """
+    line = lines[i]
+    brackets = "({" if re.match(r"\s*(?:pub(?:\([a-z]+\))?\s+)?(?:import|export|use)\b\s*(?:type\s*)?[\w:]*\s*,?\s*\{", line) else "("
+    depth = lambda s: sum(s.count(b) - s.count({"(": ")", "{": "}"}[b]) for b in brackets)
+    open_, last = depth(line), i
+    if open_ <= 0 or not line.rstrip().endswith((*brackets, ",")):
+        return line, i
+    parts = [line.rstrip()]
+    while open_ > 0 and last + 1 < min(len(lines), i + _REACH):
+        last += 1
+        parts.append(lines[last].strip())
+        open_ += depth(lines[last])
+    return (" ".join(parts), last) if open_ <= 0 else (line, i)
+
+
+def _names(language: str, line: str) -> tuple[list[str], str | None]:
+    """Imported names and the alias of the one or of the module, as far as the line states them."""
+    inside = re.search(r"\{(.*)\}", line)
+    if language in ("typescript", "javascript"):
+        head = line.split(" from ")[0] if " from " in line else line
+        star, default = re.search(r"\*\s+as\s+(\w+)", head), re.match(r"\s*import\s+(?:type\s+)?(\w+)\s*(?:,|$)", head)
+        items = ([f"default as {default[1]}"] if default else []) + (inside[1].split(",") if inside else [])
+        pairs = [re.split(r"\s+as\s+", re.sub(r"^type\s+", "", x.strip())) for x in items if x.strip()]
+        return [p[0] for p in pairs], star[1] if star else pairs[0][-1] if len(pairs) == 1 and len(pairs[0]) > 1 else None
+    if language == "rust":
+        renamed = re.search(r"\bas\s+(\w+)\s*;", line)
+        return [re.split(r"\s+as\s+", x.strip())[0] for x in re.split(r",(?![^{]*\})", inside[1]) if x.strip()] if inside else [], renamed[1] if renamed else None
+    if language == "go":
+        named = re.match(r"\s*(?:import\s+)?(\w+|_|\.)\s+\"", line)
+        return [], named[1] if named and named[1] != "import" else None
+    renamed = re.search(r"\bas\s+(\w+)\s*$", line) or re.match(r"\s*using\s+(\w+)\s*=", line)
+    return [], renamed[1] if renamed else None
+
+
 def parse_lines(path: str, language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """Symbols and imports by the tables above."""
     rules = [(kind, re.compile(rf"\s*{pattern}")) for kind, pattern in DECLARATIONS[language]]
-    lines, out, imports, open_ = text.rstrip("\n").split("\n"), [], [], []
-    in_imports = False
+    lines, out, imports, open_ = without_comments(text).rstrip("\n").split("\n"), [], [], []
+    in_imports, read = False, 0
     for i, line in enumerate(lines, 1):
-        bare = line.strip()
-        if not bare or bare.startswith(("//", "*", "/*", "#")):
+        if i <= read or line.strip() in ("", "{") or line.strip().startswith("#"):
             continue
+        line, last = _whole(lines, i - 1)
+        bare = line.strip()
         depth = len(line) - len(line.lstrip())
         if not re.match(r"[})\]]", bare):
             while open_ and open_[-1][0] >= depth:
@@ -81,7 +132,8 @@ def parse_lines(path: str, language: str, text: str) -> tuple[list[tuple], list[
         for pattern in IMPORT_LINES[language]:
             m = re.match(rf"\s*{pattern}", line)
             if m and (language != "go" or in_imports or bare.startswith("import")):
-                imports.append((path, m[1], [], None, i, m[1].startswith(".")))
+                imports.append((path, m[1], *_names(language, line), i, m[1].startswith(".")))
+                read = last + 1
                 break
         else:
             for kind, pattern in rules:
@@ -95,9 +147,11 @@ def parse_lines(path: str, language: str, text: str) -> tuple[list[tuple], list[
                 if kind == "function" and parent:
                     kind = "method"
                 open_.append((depth, name, kind))
+                read = last + 1
                 if kind != "impl":
-                    end = next((j for j in range(i, len(lines)) if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= depth), len(lines))
-                    end = end + 1 if end < len(lines) and re.match(r"\s*[})\]]", lines[end]) and "{" in line else max(end, i)
+                    alone = last + 1 < len(lines) and lines[last + 1].strip() == "{"
+                    end = next((j for j in range(last + 1 + alone, len(lines)) if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= depth), len(lines))
+                    end = end + 1 if end < len(lines) and re.match(r"\s*[})\]]", lines[end]) and (alone or "{" in line) else max(end, last + 1)
                     out.append((path, name, f"{parent}.{name}" if parent else name, kind, i, min(end, len(lines)), _visibility(language, name, line, parent), bare.rstrip("{ "), None, [], parent))
                 break
     return out, imports
@@ -144,7 +198,7 @@ def parse_python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
 
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, imports) of files (path, language, content)."""
+    """(symbols, imports) of files (path, language, content); the files are read once, into a written table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.strip().split()[0] for x in _FIELDS.split(", ")]
@@ -156,7 +210,7 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows += [("import", i[0], *[None] * 10, *i[1:]) for i in imports]
             yield pd.DataFrame(rows, columns=names).astype(object)
 
-    both = files.select("path", "language", "content").mapInPandas(run, _FIELDS)
+    both = materialise(files.select("path", "language", "content").mapInPandas(run, _FIELDS), "parsed")
     fields = lambda s: [x.split()[0] for x in s.split(", ")]
     return both.where("what = 'symbol'").select(*fields(SYMBOLS)), both.where("what = 'import'").select(*fields(IMPORTS))
 
@@ -167,7 +221,8 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     Every import has candidate paths in order of preference; a file matches a candidate if its path ends with it.  Both
     meet by base name.
     """
-    here = imports.join(files.select(F.col("path").alias("file_path"), "language"), "file_path").withColumn("__id", F.monotonically_increasing_id())
+    # numbers of rows hold only once they are written: a second run of the join may number them otherwise
+    here = materialise(imports.join(files.select(F.col("path").alias("file_path"), "language"), "file_path").withColumn("__id", F.monotonically_increasing_id()), "imports")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
