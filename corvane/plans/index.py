@@ -59,9 +59,9 @@ def chunks_of(files: DataFrame, symbols: DataFrame, imports: DataFrame, most: in
     place = F.array_position("group", F.col("part"))
     taken = F.size(F.filter("group", lambda g: g == F.col("part")))
     rows = rows.withColumns({"content": F.array_join(F.slice("own", place.cast("int"), taken), "\n"), "start_line": (F.col("start_line") + place - 1).cast("int")})
-    rows = rows.withColumn("end_line", F.col("start_line") + taken - 1).drop("own", "group", "part")
+    rows = rows.withColumn("end_line", F.col("start_line") + taken - 1).where(F.regexp_replace("content", r"\s+", "") != "").drop("own", "group", "part")
     loose = chunking.merge_texts(rows.where("qualified_name IS NULL").withColumn("token_count", estimated_tokens(F.col("content"))))
-    rows = rows.where("qualified_name IS NOT NULL").unionByName(loose, allowMissingColumns=True).where(F.regexp_replace("content", r"\s+", "") != "")
+    rows = rows.where("qualified_name IS NOT NULL").unionByName(loose, allowMissingColumns=True)
     rows = import_context(rows, imports)
     whole = F.when(F.col("imports_context") != "", F.concat_ws("\n", "imports_context", "content")).otherwise(F.col("content"))
     rows = rows.withColumns({

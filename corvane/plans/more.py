@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import analytics, context, delta, hierarchy, lookups, metrics, retrieval, vectors
 from corvane.plans.architecture import PATTERNS_SQL, _code
+from corvane.plans.index import Index, build
 from corvane.plans.registry import SQL, query, read
 from corvane.plans.retrieval import CLEAN_SQL, DENSE_SQL, _query_vector
 from corvane.sources import bindings as b
@@ -54,6 +55,43 @@ def p7_import_line(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k, text.import_line(F.concat(F.lit("m"), "o_orderstatus"), names, F.when(k % 2 == 0, "x")).alias("line"))
 
 
+# parsing: parts as Python modules of up to 50 classes, each importing from the next module
+
+MODULES_SQL = "x AS (SELECT p_partkey AS k, p_partkey // 50 AS f, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS i FROM part), m AS (SELECT DISTINCT f FROM x)"
+
+
+def _indexed(spark, sf_dir) -> Index:
+    k = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("class C"), k, F.lit(":\n    def m(self):\n        return "), F.col("p_size").cast("string"))
+    rows = read(spark, sf_dir, "part").select(F.expr("p_partkey DIV 50").alias("f"), "p_partkey", body.alias("body"))
+    texts = rows.groupBy("f").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "body"))), lambda x: x["body"]).alias("bodies"))
+    head = F.concat(F.lit("from m"), (F.col("f") + 1).cast("string"), F.lit(" import C1\n"))
+    return build(texts.select(F.concat(F.lit("m"), F.col("f").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(head, F.array_join("bodies", "\n"), F.lit("\n")).alias("content")))
+
+
+@query(f"""WITH {MODULES_SQL} SELECT 'm' || f || '.py' AS file_path, 'C' || k AS qualified_name, 'class' AS kind, CAST(3 * i - 1 AS INTEGER) AS start_line, CAST(3 * i + 1 AS INTEGER) AS end_line FROM x
+UNION ALL SELECT 'm' || f || '.py', 'C' || k || '.m', 'method', CAST(3 * i AS INTEGER), CAST(3 * i + 1 AS INTEGER) FROM x""")
+def p2_symbols(spark, sf_dir):
+    return _indexed(spark, sf_dir).symbols.select("file_path", "qualified_name", "kind", "start_line", "end_line")
+
+
+@query(f"WITH {MODULES_SQL} SELECT 'm' || f || '.py' AS file_path, 'm' || (f + 1) AS module, 'C1' AS names, CAST(1 AS INTEGER) AS line FROM m")
+def p3_imports(spark, sf_dir):
+    return _indexed(spark, sf_dir).imports.select("file_path", "module", F.array_join("names", ",").alias("names"), "line")
+
+
+@query(f"WITH {MODULES_SQL} SELECT 'm' || f || '.py' AS source, 'm' || (f + 1) || '.py' AS target, 'm' || f || '.py:1' AS location FROM m WHERE f + 1 IN (SELECT f FROM m)")
+def p4_import_edges(spark, sf_dir):
+    return _indexed(spark, sf_dir).edges.select("source", "target", "location")
+
+
+@query(f"""WITH {MODULES_SQL}, c AS (SELECT f, 'C' || k AS symbol_name, 3 * i - 1 AS start_line, 3 * i + 1 AS end_line, starts_with(CAST(k AS VARCHAR), '1') AS used, 6 AS words FROM x
+UNION ALL SELECT f, 'm', 3 * i, 3 * i + 1, false, 4 FROM x UNION ALL SELECT f, '_module', 1, 1, true, 4 FROM m)
+SELECT 'm' || f || '.py:' || symbol_name || ':' || start_line AS id, CAST(end_line AS INTEGER) AS end_line, CASE WHEN used THEN 'from m' || (f + 1) || ' import C1' ELSE '' END AS imports_context, CAST((words + CASE WHEN used THEN 4 ELSE 0 END) * 13 // 10 AS BIGINT) AS token_count FROM c""")
+def p5_chunks(spark, sf_dir):
+    return _indexed(spark, sf_dir).chunks.select("id", F.col("end_line").cast("int").alias("end_line"), "imports_context", "token_count")
+
+
 # orders
 
 
