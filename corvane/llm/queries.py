@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, class_lm, decontamination, html_text, language_id, mixing, quality_lm, quality_rules, secrets, simhash
+from corvane.llm import chat, class_lm, decontamination, html_text, language_id, mixing, prefix_trie, quality_lm, quality_rules, secrets, simhash, vector_codes
 from corvane.llm.common import table
 
 
@@ -56,11 +56,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality_classifier, op3_language_id, op4_mixing, op5_chat_format,
         op6_secrets, op7_simhash, op8_class_lm, op9_quality_rules, op10_html,
+        op11_prefix_trie, op13_vector_codes,
     )
 }
 
@@ -80,4 +89,4 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
        CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM said
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op9_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op9_quality_rules": quality_rules.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
