@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, class_lm, decontamination, html_text, language_id, mixing, prefix_trie, quality_lm, quality_rules, secrets, simhash, vector_codes
+from corvane.llm import chat, class_lm, decontamination, html_text, language_id, mixing, personal_data, prefix_trie, quality_lm, quality_rules, secrets, simhash, vector_codes
 from corvane.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_decontamination, op2_quality_classifier, op3_language_id, op4_mixing, op5_chat_format,
         op6_secrets, op7_simhash, op8_class_lm, op9_quality_rules, op10_html,
-        op11_prefix_trie, op13_vector_codes,
+        op11_prefix_trie, op12_personal_data, op13_vector_codes,
     )
 }
 
