@@ -1,168 +1,67 @@
-"""Files to symbols and imports.
-
-One pass over the files gives both.  Python is read with the standard library's
-syntax tree; other languages line by line with a table of declarations, where a
-block ends at the next line that is indented no deeper.  Comments are blanked
-first, and a declaration or import whose brackets stay open is read together with
-the lines that close them.  The line reader is an approximation: of several
-declarations on one line it sees the first.
+"""Files to symbols and imports, and imports to the files they mean.
+
+Python is read with the standard library's syntax tree (a file that has none, block
+by block); eight other languages as statements (``statements``), whose heads a table
+of patterns a language sorts into declarations and imports (``declarations``).
+Files are read once for each of the two ways, into written tables.
+
+An import has candidate keys in order of preference: ends of paths, or folders for
+languages whose imports name a package.  Every file has a key for each end of its
+path; of the files that share a key the best is chosen first, so that candidates meet
+at most one row a key, and no pair leaves the join that is no match.
 """
 
 from __future__ import annotations
 
 import ast
+import posixpath
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources import declarations, statements
 from corvane.sources.store import materialise
 
 SYMBOLS = "file_path string, name string, qualified_name string, kind string, start_line int, end_line int, visibility string, signature string, docstring string, decorators array<string>, parent string"
 IMPORTS = "file_path string, module string, names array<string>, alias string, line int, is_relative boolean"
 _FIELDS = "what string, " + SYMBOLS + ", module string, names array<string>, alias string, line int, is_relative boolean"
 
-_MOD = r"(?:(?:public|private|protected|internal|fileprivate|open|static|final|abstract|sealed|data|override|suspend|async|export|default|partial|virtual|readonly|inline|mutating|unsafe|const|extern)\s+)*"
-_PUB = r"(?:pub(?:\([a-z]+\))?\s+)?"
-#: Declarations by language: kind and pattern (first group: the name).
-DECLARATIONS = {
-    "typescript": [
-        ("class", rf"{_MOD}(?:abstract\s+)?class\s+(\w+)"), ("interface", rf"{_MOD}interface\s+(\w+)"), ("enum", rf"{_MOD}(?:const\s+)?enum\s+(\w+)"), ("type", rf"{_MOD}type\s+(\w+)\s*[=<]"),
-        ("function", rf"{_MOD}function\s*\*?\s+(\w+)"), ("constant", r"(?:export\s+)?const\s+(\w+)"), ("variable", r"(?:export\s+)?(?:let|var)\s+(\w+)"), ("method", rf"{_MOD}(?!if|for|while|switch|catch|return|function)(\w+)\s*\([^;]*\)\s*(?::[^={{]+)?\{{"),
-    ],
-    "go": [("method", r"func\s+\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*(\w+)"), ("function", r"func\s+(\w+)"), ("interface", r"type\s+(\w+)\s+interface\b"), ("type", r"type\s+(\w+)\s"), ("constant", r"const\s+(\w+)"), ("variable", r"var\s+(\w+)")],
-    "rust": [
-        ("function", rf"{_PUB}(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"), ("type", rf"{_PUB}(?:struct|type|union)\s+(\w+)"), ("enum", rf"{_PUB}enum\s+(\w+)"), ("interface", rf"{_PUB}(?:unsafe\s+)?trait\s+(\w+)"),
-        ("impl", r"impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"), ("constant", rf"{_PUB}(?:const|static)\s+(?:mut\s+)?(\w+)\s*:"), ("function", r"macro_rules!\s*(\w+)"),
-    ],
-    "java": [("class", rf"{_MOD}(?:class|record)\s+(\w+)"), ("interface", rf"{_MOD}@?interface\s+(\w+)"), ("enum", rf"{_MOD}enum\s+(\w+)"), ("method", rf"{_MOD}(?!return|new|else|throw)(?:<[^>]+>\s*)?[\w<>\[\], ?.]*?\b(\w+)\s*\([^;=]*\)\s*(?:throws [\w, .]+)?\s*[{{;]$"), ("variable", rf"{_MOD}(?!return|package|import)[\w<>\[\], ?]+\s+(\w+)\s*(?:=.*)?;$")],
-    "kotlin": [("interface", rf"{_MOD}(?:fun\s+)?interface\s+(\w+)"), ("enum", rf"{_MOD}enum\s+class\s+(\w+)"), ("class", rf"{_MOD}(?:companion\s+object|class|object)\s+(\w+)"), ("method", rf"{_MOD}fun\s+(?:<[^>]+>\s*)?(?P<owner>\w+)\.(\w+)"), ("function", rf"{_MOD}fun\s+(?:<[^>]+>\s*)?(\w+)"), ("type", r"typealias\s+(\w+)"), ("variable", rf"{_MOD}va[lr]\s+(\w+)")],
-    "csharp": [("class", rf"{_MOD}(?:class|record)\s+(\w+)"), ("interface", rf"{_MOD}interface\s+(\w+)"), ("type", rf"{_MOD}(?:struct|delegate\s+\w+)\s+(\w+)"), ("enum", rf"{_MOD}enum\s+(\w+)"), ("method", rf"{_MOD}(?!return|new|else|throw|using|namespace)[\w<>\[\], ?.]*?\b(\w+)\s*\([^;=]*\)\s*(?:[{{;]|=>)?.*$"), ("variable", rf"{_MOD}(?!return|using|namespace)[\w<>\[\], ?]+\s+(\w+)\s*(?:\{{\s*get|=|;)")],
-    "swift": [("interface", rf"{_MOD}protocol\s+(\w+)"), ("class", rf"{_MOD}(?:class|actor)\s+(?!func|var)(\w+)"), ("type", rf"{_MOD}(?:struct|typealias)\s+(\w+)"), ("enum", rf"{_MOD}(?:indirect\s+)?enum\s+(\w+)"), ("impl", rf"{_MOD}extension\s+(\w+)"), ("function", rf"{_MOD}(?:class\s+)?func\s+(\w+)"), ("method", rf"{_MOD}(init|subscript)\b"), ("variable", rf"{_MOD}(?:let|var)\s+(\w+)")],
-}
-DECLARATIONS["javascript"] = DECLARATIONS["typescript"]
-#: Imports by language; first group: the module.
-IMPORT_LINES = {
-    "typescript": [r"(?:import|export)\b.*?\bfrom\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]", r".*\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"],
-    "go": [r"import\s+(?:\w+\s+|_\s+|\.\s+)?\"([^\"]+)\"", r"(?:\w+\s+|_\s+|\.\s+)?\"([\w./-]+)\"$"],
-    "rust": [r"(?:pub(?:\([a-z]+\))?\s+)?use\s+(\w+(?:::\w+)*)"],
-    "java": [r"import\s+(?:static\s+)?([\w.]+)"], "kotlin": [r"import\s+([\w.]+)"], "csharp": [r"using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;"], "swift": [r"(?:@testable\s+)?import\s+(\w+)"],
-}
-IMPORT_LINES["javascript"] = IMPORT_LINES["typescript"]
-#: Strings, which stay, and comments, which go.
-_LEXICAL = re.compile(r"""(?P<keep>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?(?:\*/|\Z)""", re.S)
-_REACH = 60  # lines that a declaration may take
-_OWNERS = {"class", "interface", "enum", "type", "impl"}
-
-
-def _visibility(language: str, name: str, line: str, parent: str | None) -> str:
-    words = set(re.findall(r"\w+", line.split("(")[0]))
-    if language in ("typescript", "javascript"):
-        return "public" if "export" in words or parent and not words & {"private", "protected"} else "private"
-    if language == "go":
-        return "public" if name[:1].isupper() else "private"
-    if language == "rust":
-        return "internal" if re.match(r"\s*pub\(", line) else "public" if "pub" in words else "private"
-    for kind, keys in (("private", {"private", "fileprivate"}), ("internal", {"protected", "internal"}), ("public", {"public", "open"})):
-        if words & keys:
-            return kind
-    return {"java": "internal", "kotlin": "public", "csharp": "private" if parent else "internal", "swift": "internal"}[language]
-
-
-def without_comments(text: str) -> str:
-    """The text with its // and /* */ comments blanked; lines stay where they are."""
-    return _LEXICAL.sub(lambda m: m[0] if m["keep"] else re.sub(r"[^\n]", " ", m[0]), text)
-
-
-def _whole(lines: list[str], i: int) -> tuple[str, int]:
-    """The declaration that begins at line i as one line, and its last line (numbered from zero).
-
-    Lines join while round brackets, or the braces of an import, are open at a line that ends in an opening one or a comma.
-    """
-    line = lines[i]
-    brackets = "({" if re.match(r"\s*(?:pub(?:\([a-z]+\))?\s+)?(?:import|export|use)\b\s*(?:type\s*)?[\w:]*\s*,?\s*\{", line) else "("
-    depth = lambda s: sum(s.count(b) - s.count({"(": ")", "{": "}"}[b]) for b in brackets)
-    open_, last = depth(line), i
-    if open_ <= 0 or not line.rstrip().endswith((*brackets, ",")):
-        return line, i
-    parts = [line.rstrip()]
-    while open_ > 0 and last + 1 < min(len(lines), i + _REACH):
-        last += 1
-        parts.append(lines[last].strip())
-        open_ += depth(lines[last])
-    return (" ".join(parts), last) if open_ <= 0 else (line, i)
-
-
-def _names(language: str, line: str) -> tuple[list[str], str | None]:
-    """Imported names and the alias of the one or of the module, as far as the line states them."""
-    inside = re.search(r"\{(.*)\}", line)
-    if language in ("typescript", "javascript"):
-        head = line.split(" from ")[0] if " from " in line else line
-        star, default = re.search(r"\*\s+as\s+(\w+)", head), re.match(r"\s*import\s+(?:type\s+)?(\w+)\s*(?:,|$)", head)
-        items = ([f"default as {default[1]}"] if default else []) + (inside[1].split(",") if inside else [])
-        pairs = [re.split(r"\s+as\s+", re.sub(r"^type\s+", "", x.strip())) for x in items if x.strip()]
-        return [p[0] for p in pairs], star[1] if star else pairs[0][-1] if len(pairs) == 1 and len(pairs[0]) > 1 else None
-    if language == "rust":
-        renamed = re.search(r"\bas\s+(\w+)\s*;", line)
-        return [re.split(r"\s+as\s+", x.strip())[0] for x in re.split(r",(?![^{]*\})", inside[1]) if x.strip()] if inside else [], renamed[1] if renamed else None
-    if language == "go":
-        named = re.match(r"\s*(?:import\s+)?(\w+|_|\.)\s+\"", line)
-        return [], named[1] if named and named[1] != "import" else None
-    renamed = re.search(r"\bas\s+(\w+)\s*$", line) or re.match(r"\s*using\s+(\w+)\s*=", line)
-    return [], renamed[1] if renamed else None
-
-
-def parse_lines(path: str, language: str, text: str) -> tuple[list[tuple], list[tuple]]:
-    """Symbols and imports by the tables above."""
-    rules = [(kind, re.compile(rf"\s*{pattern}")) for kind, pattern in DECLARATIONS[language]]
-    lines, out, imports, open_ = without_comments(text).rstrip("\n").split("\n"), [], [], []
-    in_imports, read = False, 0
-    for i, line in enumerate(lines, 1):
-        if i <= read or line.strip() in ("", "{") or line.strip().startswith("#"):
-            continue
-        line, last = _whole(lines, i - 1)
-        bare = line.strip()
-        depth = len(line) - len(line.lstrip())
-        if not re.match(r"[})\]]", bare):
-            while open_ and open_[-1][0] >= depth:
-                open_.pop()
-        in_imports = (in_imports or bare.startswith("import (")) and not bare.startswith(")")
-        for pattern in IMPORT_LINES[language]:
-            m = re.match(rf"\s*{pattern}", line)
-            if m and (language != "go" or in_imports or bare.startswith("import")):
-                imports.append((path, m[1], *_names(language, line), i, m[1].startswith(".")))
-                read = last + 1
-                break
-        else:
-            for kind, pattern in rules:
-                if not (m := pattern.match(line)):
-                    continue
-                name, owner = m.group(m.lastindex), m.groupdict().get("owner")
-                parent = owner or next((n for _, n, k in reversed(open_) if k in _OWNERS), None)
-                inside = bool(open_) and open_[-1][2] not in _OWNERS
-                if inside or kind in ("method", "variable") and not parent and language != "go" and kind == "method":
-                    break
-                if kind == "function" and parent:
-                    kind = "method"
-                open_.append((depth, name, kind))
-                read = last + 1
-                if kind != "impl":
-                    alone = last + 1 < len(lines) and lines[last + 1].strip() == "{"
-                    end = next((j for j in range(last + 1 + alone, len(lines)) if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= depth), len(lines))
-                    end = end + 1 if end < len(lines) and re.match(r"\s*[})\]]", lines[end]) and (alone or "{" in line) else max(end, last + 1)
-                    out.append((path, name, f"{parent}.{name}" if parent else name, kind, i, min(end, len(lines)), _visibility(language, name, line, parent), bare.rstrip("{ "), None, [], parent))
-                break
-    return out, imports
+def _parsed(lines: list[str], first: int) -> list[ast.stmt]:
+    try:
+        return ast.parse("\n" * first + textwrap.dedent("\n".join(lines))).body
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+
+
+def readable(text: str) -> list[ast.stmt]:
+    """What can be read of a file with errors: its blocks one by one, and of a class that cannot be read the methods that can."""
+    lines, out = text.split("\n"), []
+    blocks = lambda own: [i for i, x in enumerate(own) if x[:1].strip() and not re.match(r"[)\]}#]|else|elif|except|finally", x) and not (i and own[i - 1].startswith("@"))] + [len(own)]
+    places = blocks(lines)
+    for a, b in zip(places, places[1:], strict=False):
+        found = _parsed(lines[a:b], a)
+        head = next((i for i in range(a, b) if lines[i].startswith("class ")), None)
+        if not found and head is not None and (named := _parsed([lines[head].split("#")[0].rstrip(), "    pass"], head)):
+            inner = textwrap.dedent("\n".join(x if x.strip() else "" for x in lines[head + 1 : b])).split("\n")
+            steps = blocks(inner)
+            body = [x for c, d in zip(steps, steps[1:], strict=False) for x in _parsed(inner[c:d], head + 1 + c)]
+            named[0].body = body or named[0].body
+            named[0].end_lineno = max([head + 1, *(x.end_lineno for x in body)])
+            found = named
+        out += found
+    return out
 
 
 def parse_python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """Top-level classes and functions, methods of the classes, imports (also inside top-level if bodies)."""
     try:
-        module = ast.parse(text)
+        body = ast.parse(text).body
     except (SyntaxError, ValueError, RecursionError):
-        return [], []
+        body = readable(text)
     out, imports = [], []
 
     def level(name: str) -> str:
@@ -193,55 +92,82 @@ def parse_python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 walk(node.body)
                 walk(node.orelse)
 
-    walk(module.body)
+    walk(body)
     return out, imports
 
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, imports) of files (path, language, content); the files are read once, into a written table."""
+    """(symbols, imports) of files (path, language, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.strip().split()[0] for x in _FIELDS.split(", ")]
         for frame in frames:
             rows = []
-            for path, language, text in frame[["path", "language", "content"]].itertuples(index=False):
-                found, imports = parse_python(path, text or "") if language == "python" else parse_lines(path, language, text or "") if language in DECLARATIONS else ([], [])
+            for path, text in frame.itertuples(index=False):
+                found, imports = parse_python(path, text or "")
                 rows += [("symbol", *s, None, None, None, None, None) for s in found]
                 rows += [("import", i[0], *[None] * 10, *i[1:]) for i in imports]
             yield pd.DataFrame(rows, columns=names).astype(object)
 
-    both = materialise(files.select("path", "language", "content").mapInPandas(run, _FIELDS), "parsed")
+    both = materialise(files.where("language = 'python'").select("path", "content").mapInPandas(run, _FIELDS), "parsed")
+    read = materialise(statements.read(files), "statements")
     fields = lambda s: [x.split()[0] for x in s.split(", ")]
-    return both.where("what = 'symbol'").select(*fields(SYMBOLS)), both.where("what = 'import'").select(*fields(IMPORTS))
+    symbols = both.where("what = 'symbol'").select(*fields(SYMBOLS)).unionByName(declarations.symbols(read))
+    return symbols, both.where("what = 'import'").select(*fields(IMPORTS)).unionByName(declarations.imports(read))
 
 
-def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports with resolved_path: the known file an import means, null if none.
+#: Beginnings of TypeScript module names and the folders they stand for.
+ALIASES = {"@/": "src/", "~/": "src/"}
+#: Modules of the platform, which no file of a project is.
+PLATFORM = {
+    "csharp": ("System", "Microsoft", "NUnit", "Xunit", "MSTest"),
+    "swift": tuple("Foundation UIKit SwiftUI AppKit Combine CoreData CoreGraphics CoreLocation Dispatch Darwin Glibc XCTest os MapKit AVFoundation WebKit StoreKit Security Network".split()),
+}
+
 
-    Every import has candidate paths in order of preference; a file matches a candidate if its path ends with it.  Both
-    meet by base name.
+def path_keys(files: DataFrame) -> DataFrame:
+    """key, path: of every end of a path (``f:``) and every folder a package can be named by (``go:``, ``csharp:``, ``swift:``) the best file.
+
+    The best is the shortest path, then the first.  One row a key.
+    """
+    parts, folders = F.split("path", "/"), F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    ends = lambda mark, xs: F.transform(F.sequence(F.lit(1), F.size(xs)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(xs, i, F.size(xs)), "/")))
+    some = lambda mark, xs: F.when(F.size(xs) > 0, ends(mark, xs)).otherwise(F.array().cast("array<string>"))
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    packages = (
+        F.when(F.col("language") == "go", some("go:", folders)).when(F.col("language") == "csharp", some("csharp:", folders))
+        .when(F.col("language") == "swift", F.transform(F.concat(folders, F.array(stem)), lambda x: F.concat(F.lit("swift:"), F.lower(x)))).otherwise(F.array().cast("array<string>"))
+    )
+    keys = F.array_distinct(F.concat(ends("f:", parts), packages))
+    rows = files.select("path", "language").select("path", F.explode(keys).alias("key"))
+    return rows.groupBy("key").agg(F.min(F.struct(F.length("path").alias("n"), "path"))["path"].alias("path"))
+
+
+def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """imports with resolved_path: the known file an import means, null if none (or the importing file itself).
+
+    What is asked for is resolved once, however many files ask for it.
     """
-    # numbers of rows hold only once they are written: a second run of the join may number them otherwise
-    here = materialise(imports.join(files.select(F.col("path").alias("file_path"), "language"), "file_path").withColumn("__id", F.monotonically_increasing_id()), "imports")
+    known = ALIASES if aliases is None else aliases
+    scope = F.when(F.col("is_relative"), F.col("file_path")).otherwise("")
+    here = materialise(imports.join(files.select(F.col("path").alias("file_path"), "language"), "file_path").withColumn("scope", scope), "imports")
+    asked = here.select("language", "module", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "scope").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, n, c, c.rsplit("/", 1)[-1]) for i, p, lang, m, names in frame[["__id", "file_path", "language", "module", "names"]].itertuples(index=False) for n, c in enumerate(candidates(p, lang, m, names))]
-            yield pd.DataFrame(rows, columns=["__id", "n", "candidate", "base"])
-
-    wanted = here.mapInPandas(run, "__id long, n int, candidate string, base string")
-    known = files.select("path", F.element_at(F.split("path", "/"), -1).alias("base"))
-    fits = (F.col("path") == F.col("candidate")) | F.col("path").endswith(F.concat(F.lit("/"), "candidate"))
-    best = wanted.join(known, "base").where(fits).groupBy("__id").agg(F.min_by("path", F.struct("n", F.length("path"), "path")).alias("resolved_path"))
-    out = here.join(best, "__id", "left").drop("__id", "language")
-    return out.withColumn("resolved_path", F.when(F.col("resolved_path") != F.col("file_path"), F.col("resolved_path")))
+            rows = [(language, module, list(names), path, n, key) for language, module, names, path in frame.itertuples(index=False) for n, key in enumerate(candidates(path, language, module, names, known))]
+            yield pd.DataFrame(rows, columns=["language", "module", "names", "scope", "n", "key"])
 
+    wanted = asked.mapInPandas(run, "language string, module string, names array<string>, scope string, n int, key string")
+    best = wanted.join(path_keys(files), "key").groupBy("language", "module", "names", "scope").agg(F.min_by("path", "n").alias("resolved_path"))
+    own = here.withColumn("asked", F.coalesce("names", F.array().cast("array<string>")))
+    out = own.join(best.withColumnRenamed("names", "asked"), ["language", "module", "asked", "scope"], "left").select(*imports.columns, "resolved_path")
+    return out.withColumn("resolved_path", F.when(F.col("resolved_path") != F.col("file_path"), F.col("resolved_path")))
 
-def candidates(path: str, language: str, module: str, names) -> list[str]:
-    """Paths an import could mean, best first."""
-    import posixpath
 
-    folder = posixpath.dirname(path)
+def candidates(path: str, language: str, module: str, names, aliases: dict[str, str] = ALIASES) -> list[str]:
+    """Keys of files an import could mean, best first; ``path`` is the importing file of a relative import."""
+    folder, names = posixpath.dirname(path), [n for n in (names if names is not None else []) if n]
     if language == "python":
         level = len(module) - len(module.lstrip("."))
         parts = [p for p in module.lstrip(".").split(".") if p]
@@ -250,18 +176,37 @@ def candidates(path: str, language: str, module: str, names) -> list[str]:
             base = folder
             for _ in range(level - 1):
                 base = posixpath.dirname(base)
-        tails = [[*parts, n] for n in (names if names is not None else [])] + [parts[:k] for k in range(len(parts), 0, -1)] if not level else [*([*parts, n] for n in (names if names is not None else [])), parts]
-        return [posixpath.join(base, *t) + end for t in tails if t for end in (".py", "/__init__.py")]
-    if language in ("typescript", "javascript") and module.startswith("."):
-        base = re.sub(r"\.jsx?$", "", posixpath.normpath(posixpath.join(folder, module)))
-        return [base + end for end in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")]
+        tails = [[*parts, n] for n in names] + [parts[:k] for k in range(len(parts), 0, -1)] if not level else [*([*parts, n] for n in names), parts]
+        return ["f:" + posixpath.join(base, *t) + end for t in tails if t for end in (".py", "/__init__.py")]
+    if language in ("typescript", "javascript"):
+        alias = next((a for a in aliases if module.startswith(a)), None)
+        if module.startswith("."):
+            base = posixpath.normpath(posixpath.join(folder, module))
+        elif alias or "/" in module and not module.startswith("@"):
+            base = aliases[alias] + module[len(alias) :] if alias else module
+        else:
+            return []
+        base = re.sub(r"\.[cm]?jsx?$", "", base)
+        return ["f:" + base + end for end in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")]
     if language == "rust":
         parts = module.split("::")
         if parts[0] not in ("crate", "self", "super"):
             return []
-        return ["/".join(parts[1:k]) + end for k in range(len(parts), 1, -1) for end in (".rs", "/mod.rs", "/lib.rs")]
-    if language in ("java", "kotlin", "csharp"):
+        while parts and parts[0] in ("crate", "self", "super"):
+            parts = parts[1:]
+        tails = [[*parts, n] for n in names if n not in ("*", "self")] + [parts[:k] for k in range(len(parts), 0, -1)]
+        return ["f:" + "/".join(t) + end for t in tails for end in (".rs", "/mod.rs", "/lib.rs")]
+    if language in ("java", "kotlin"):
+        parts = module.split(".")
+        return ["f:" + "/".join(parts[k:]) + end for k in range(len(parts)) for end in ((".java",) if language == "java" else (".kt", ".java"))]
+    if language == "csharp":
         parts = module.split(".")
-        ends = {"java": (".java",), "kotlin": (".kt", ".java"), "csharp": (".cs",)}[language]
-        return ["/".join(parts[k:]) + end for k in range(len(parts)) for end in ends]
+        if parts[0] in PLATFORM["csharp"]:
+            return []
+        return [key for k in range(len(parts)) for key in ("csharp:" + "/".join(parts[k:]), "f:" + "/".join(parts[k:]) + ".cs")]
+    if language == "go":
+        parts = module.split("/")
+        return ["go:" + "/".join(parts[k:]) for k in range(len(parts))] if len(parts) > 1 else []
+    if language == "swift":
+        return [] if module.split(".")[0] in PLATFORM["swift"] else ["swift:" + module.split(".")[0].lower()]
     return []

@@ -61,7 +61,7 @@ def test_symbols(engine):
         ("main.py", "run", "function", 7, 9, "public"), ("models.py", "User", "class", 5, 10, "public"), ("models.py", "User.__init__", "method", 6, 7, "public"),
         ("models.py", "User._hidden", "method", 9, 10, "private"), ("services/auth.py", "AuthService.login", "method", 8, 9, "public"),
         ("web/app.ts", "App", "class", 2, 6, "public"), ("web/app.ts", "App.start", "method", 3, 5, "public"), ("web/app.ts", "boot", "function", 7, 9, "public"), ("web/helper.ts", "LIMIT", "constant", 1, 1, "public"),
-        ("lib/geo.rs", "Box", "type", 2, 4, "public"), ("lib/geo.rs", "Box.area", "method", 6, 8, "public"), ("lib/geo.rs", "hidden", "function", 10, 10, "private"),
+        ("lib/geo.rs", "Box", "type", 2, 4, "public"), ("lib/geo.rs", "impl_Box::area", "method", 6, 8, "public"), ("lib/geo.rs", "hidden", "function", 10, 10, "private"),
         ("go/server.go", "Server", "type", 7, 9, "public"), ("go/server.go", "Server.Start", "method", 11, 13, "public"), ("go/server.go", "helper", "function", 15, 15, "private"),
         ("J/App.java", "App", "class", 2, 7, "public"), ("J/App.java", "App.main", "method", 4, 6, "public"), ("J/App.java", "App.count", "variable", 3, 3, "private"),
         ("k/M.kt", "M.go", "method", 3, 5, "public"), ("k/M.kt", "String.shout", "method", 7, 7, "public"), ("s/V.swift", "V.draw", "method", 4, 5, "public"), ("s/V.swift", "V.more", "method", 8, 9, "internal"),
