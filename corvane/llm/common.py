@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The same rows with columns named c0, c1 and so on, for functions that look columns up by name; ``toDF`` names them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores added until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -201,7 +201,7 @@ class Scorer:
             rows = self.table.toArrow()
             keys = rows["key"].to_numpy()
             order = np.argsort(keys)
-            self.held = docs.sparkSession.sparkContext.broadcast((keys[order], rows["lp"].to_numpy().astype(np.float32)[order]))
+            self.held = docs.sparkSession.sparkContext.broadcast((keys[order], rows["lp"].to_numpy()[order]))
 
     def score(self, docs: DataFrame, name: str) -> DataFrame:
         """docs and a new column of that name, the perplexity."""
