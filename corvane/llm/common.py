@@ -51,6 +51,11 @@ def plain_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores added until df has no such column."""
     taken = {c.lower() for c in df.columns}

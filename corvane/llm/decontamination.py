@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches, materialise
+from corvane.llm.common import batches, materialise, plain_names
 
 MAX_ERROR = 0.05
 #: Characters of test items held by a task at once.
@@ -183,7 +183,8 @@ def _done(rows: DataFrame, block: Block) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
     """The rows of docs whose text holds no test item within its budget; columns stay."""
-    at, n = docs.columns.index("text"), n_blocks(benchmark)
+    names, at, n = docs.columns, docs.columns.index("text"), n_blocks(benchmark)
+    docs = plain_names(docs)
     for part in range(n):
         block = Block(benchmark, part, n, max_error)
 
@@ -195,4 +196,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_
 
         docs = docs.mapInArrow(run, docs.schema)
         docs = docs if n == 1 else _done(docs, block)
-    return docs
+    return docs.toDF(*names)

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import free_name, materialise, word_count
+from corvane.llm.common import free_name, materialise, named, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_COPIES = 1.5, 2
@@ -145,7 +145,7 @@ def planned(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, wei
     second = F.when(of("part") | F.coalesce(rank <= of("cut"), F.lit(False)), of("second")).otherwise(none)
     shards_of = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]"), F.concat(of("first"), second)).otherwise(none)
     made = [word_count(F.col("text")).alias(new["size"]), of("source_size").alias(new["source_size"]), of("target").alias(new["target"]), shards_of.alias(new["shards"])]
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *made)
+    return rows.select(*(named(c) for c in docs.columns), *made)
 
 
 def decide(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS) -> DataFrame:
@@ -168,6 +168,6 @@ def mix(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights
     """The mixed corpus: docs' columns plus mix_shard and mix_copy, one row per copy taken, shuffled inside shards."""
     shards, copy, shard = (free_name(docs, n) for n in ("mix_shards", "mix_copy", "mix_shard"))
     rows = planned(docs, seed, shard_words, weights, "__mix_")
-    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(rows.columns[-1]).alias(shards))
+    rows = rows.select(*(named(c) for c in docs.columns), F.col(rows.columns[-1]).alias(shards))
     rows = rows.select("*", F.posexplode(shards).alias(copy, shard)).drop(shards)
     return rows.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), "doc_id", "source", "text", copy))

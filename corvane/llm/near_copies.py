@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import batches, free_name, materialise, sieve
+from corvane.llm.common import named as by_name
 from corvane.llm.simhash import components, majority, sliced, walk
 
 SHINGLE, SIMILAR_NUM, SIMILAR_DEN = 5, 4, 5
@@ -231,7 +232,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = materialise(kept, "kept")  # so that the join below has no sums under it, and its hot groups can be split
     shared = materialise(groups.join(kept, "root").select(F.col("k1").alias(k1), F.col("k2").alias(k2), ((F.col("k1") == F.col("k.k1")) & (F.col("k2") == F.col("k.k2"))).alias("stays")).distinct(), "shared")
     maybe = sieve(shared, k1)(k1)
-    alone = named.where(~maybe).select(*(F.col(f"`{c}`") for c in docs.columns))
+    alone = named.where(~maybe).select(*(by_name(c) for c in docs.columns))
     stays = free_name(docs, "stays")
     rest = named.where(maybe).join(shared.withColumnRenamed("stays", stays), [k1, k2], "left").where(F.coalesce(F.col(stays), F.lit(True))).dropDuplicates([k1, k2])
-    return alone.unionByName(rest.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return alone.unionByName(rest.select(*(by_name(c) for c in docs.columns)))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches
+from corvane.llm.common import batches, plain_names
 
 # The four shapes (written so that each scan is linear; what they match is as listed), in the order of their kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -413,7 +413,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in ``text`` masked; rows and other columns stay."""
     names, at = docs.columns, docs.columns.index("text")
     weights = train(docs)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots and the like are none of the tasks' business
+    plain = plain_names(docs)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches, free_name, materialise
+from corvane.llm.common import batches, free_name, materialise, plain_names
 
 ORDER = 5
 QUANTILE, LEAST, FOLDS, SALT = 0.995, 10, 4, 11
@@ -206,27 +206,27 @@ class Scorer:
     def score(self, docs: DataFrame, name: str) -> DataFrame:
         """docs and a new column of that name, the perplexity."""
         names, held = docs.columns, self.held
-        at = names.index("text")
-        schema = docs.select("*", F.lit(None).cast("double").alias(name)).schema
+        at, docs = names.index("text"), plain_names(docs)
+        schema = docs.select("*", F.lit(None).cast("double").alias("ppl")).schema
         if held is None:
-            return _by_shards(docs, self.table, schema, name)
+            return _by_shards(docs, self.table, schema, at).toDF(*names, name)
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, lp = held.value
             for batch in batches(frames, BATCH):
                 ppl = mean_lp(batch.column(at).to_pylist(), keys, lp)
-                yield pa.record_batch([*batch.columns, pa.array(ppl, pa.float64())], names=[*names, name])
+                yield pa.record_batch([*batch.columns, pa.array(ppl, pa.float64())], names=schema.names)
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema).toDF(*names, name)
 
 
-def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFrame:
-    """The same with documents and probabilities meeting in shards."""
-    names, at = docs.columns, docs.columns.index("text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+def _by_shards(docs: DataFrame, table: DataFrame, schema, at: int) -> DataFrame:
+    """The same with documents (plain names, text at ``at``) and probabilities meeting in shards."""
+    names, text, shard = docs.columns, f"c{at}", "shard"
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     n = int(chars // SHARD_CHARS + 1)
-    shard = free_name(docs, "shard")
-    dealt = docs.withColumn(shard, F.pmod(F.xxhash64(*[c for c in names if c in ("doc_id", "text")]), F.lit(n)).cast("int"))
+    hashed = [c for c, kind in docs.dtypes if kind in ("bigint", "string")]
+    dealt = docs.withColumn(shard, F.pmod(F.xxhash64(*hashed), F.lit(n)).cast("int"))
 
     def distinct(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Combiner] = {}
@@ -243,8 +243,8 @@ def _by_shards(docs: DataFrame, table: DataFrame, schema, name: str) -> DataFram
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("key")
-        ppl = mean_lp(left["text"].to_pylist(), right["key"].to_numpy(), right["lp"].to_numpy())
-        return left.select(names).append_column(name, pa.array(ppl, pa.float64()))
+        ppl = mean_lp(left[text].to_pylist(), right["key"].to_numpy(), right["lp"].to_numpy())
+        return left.select(names).append_column("ppl", pa.array(ppl, pa.float64()))
 
     return dealt.groupBy(shard).cogroup(asked.groupBy(shard)).applyInArrow(score, schema)
 

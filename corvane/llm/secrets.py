@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches
+from corvane.llm.common import batches, plain_names
 
 # The three shapes, in the order their kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -292,6 +292,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
     limit = discovery_limit(docs)
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    plain = plain_names(docs)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
@@ -304,4 +305,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[count] = pa.array([o if a == b else len(b) for o, a, b in zip(old, texts, clean, strict=True)], batch.schema.field(count).type)
             yield pa.record_batch(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

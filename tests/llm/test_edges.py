@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corvane.llm import chat, class_lm, decontamination, html_text, language_id, mixing, quality_lm, quality_rules, secrets, simhash
 
 LONG = "the quick token = abcdef123456 jumps over 0123456789abcdef0123456789abcdef and so on\n" * 6000
@@ -14,7 +15,7 @@ ROWS = [
     (5, LONG, "en", "a", len(LONG)), (6, "le chat est sur la table et il est bon", "fr", "b", 38), (7, "été Ünïcode ſecret: 漢字 🎉", None, "c", 20),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = "n_words __shard shard row key n word k size block fp score kept __ppl perplexity kept_id mixed_id mix_shards a b".split()
+CLASHES = "n_words __shard shard row key n word k size block fp score kept __ppl perplexity kept_id mixed_id mix_shards a b a.b `q` A.B.c Text_ ppl c0 c1 shard_".split()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,15 @@ def docs(spark):
     return df.select("*", *[F.lit("x").alias(c) for c in CLASHES]).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def folder(spark, labels, items, tmp_path_factory):
+    """The tables that the pipeline's stages read beside the documents."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    labels.write.parquet(f"{at}/labels.parquet")
+    items.write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
 @pytest.fixture(scope="module")
 def none(docs):
     return docs.limit(0)
@@ -93,6 +103,26 @@ def test_secrets(docs, none):
     assert secrets.redact(docs).columns == docs.columns and count(secrets.redact(docs)) == len(ROWS)
 
 
+def test_both_ways_of_scoring_are_equal_to_the_bit(spark, sf, docs, labels):
+    rows = lambda df: sorted((str(r.doc_id), r.lang, r.perplexity, r.threshold, r.kept) for r in df.collect())
+    assert rows(quality_lm.classify(docs, labels)) == rows(quality_lm.classify(docs, labels, 0))
+    whole, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert rows(quality_lm.classify(whole, marks)) == rows(quality_lm.classify(whole, marks, 0))
+    assert quality_lm.keep_good(docs, labels, 0).columns == docs.columns
+
+
+def test_whole_pipeline(spark, docs, folder):
+    """Null ids, null, empty and repeated texts, null sources and odd names go through all stages; an empty table gives an empty mix."""
+    for given in (docs, docs.limit(0)):
+        rows, at = given, f"{folder}/out-{given.count()}"
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, folder)
+            assert out.columns[: len(docs.columns)] == docs.columns
+            out.write.parquet(f"{at}/{i}")
+            rows = spark.read.parquet(f"{at}/{i}")
+        assert rows.count() <= 2 * given.count() and rows.where("text IS NULL").count() == 0
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS)
