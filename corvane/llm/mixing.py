@@ -7,8 +7,9 @@
    it.  One pass over the texts sums words by source and block.
 3. Blocks are permuted by hash.  A source gives every block once per whole pass
    and, for the rest of its target, the first blocks of the permutation; of the
-   block that crosses the target it gives the documents with the least hashes.
-   Blocks drawn in one pass are disjoint, so no document is taken more than twice.
+   block that crosses the target it gives the documents with the least hashes, and
+   after the first that does not fit each later one that still does; one more ends
+   it where that comes nearer to the target.  Blocks drawn in one pass are disjoint, so no document is taken more than twice.
 4. The exact numbers of drawn blocks per source are split among the output shards
    by a binary tree: each node draws its left half's share of every source from a
    multivariate hypergeometric distribution, seeded by its place in the tree.
@@ -28,6 +29,7 @@ blocks or documents.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,14 +120,13 @@ def planned(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, wei
     ends = spark.createDataFrame([(r["source"], r["n_whole"], at, np.cumsum(n).tolist()) for r, (at, n) in zip(drawn, quota, strict=True)], "source string, n_whole long, at array<int>, ends array<long>")
     # the draw of rank r goes to the shard whose quota it falls in
     shard = lambda rank: F.element_at("at", F.size(F.filter("ends", lambda e: e < rank)) + 1)
-    # in the crossing block: the largest hash still taken, so that the words taken come nearest to the room
+    # in the crossing block: the largest hash up to which all are taken, and the hashes beyond of what still fits
     crossing = blocks.where("room IS NOT NULL").select("source", "block", "n_blocks", "room")
     rank = F.xxhash64(F.lit(seed + 1), "doc_id", "source", "text")
     inside = docs.select("source", cell.alias("cell"), rank.alias("rank"), word_count(F.col("text")).alias("size"))
     inside = _join_small(inside, crossing, ["source"], len(drawn)).where(F.col("cell") % F.col("n_blocks") == F.col("block"))
     inside = inside.groupBy("source", "room", "rank").agg(F.sum("size").alias("size"))
-    order = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = inside.withColumn("end", F.sum("size").over(order)).where(F.col("end") - F.col("size") / 2 <= F.col("room")).groupBy("source").agg(F.max("rank").alias("cut"))
+    cuts = inside.groupBy("source").applyInPandas(_fitting, "source string, cut long, more array<long>")  # a source's block: its words over MAX_BLOCKS, as hashes and sizes
     none = F.array().cast("array<int>")
     blocks = _join_small(blocks, ends, ["source"], len(drawn)).select(
         "source", "block", "n_blocks", "source_size", "target", "room",
@@ -137,17 +138,35 @@ def planned(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, wei
     held, count = free_name(docs, "__plan"), free_name(docs, "__blocks")
     # every row finds its number of blocks by source, then its block's plan
     rows = _join_small(docs, plan.groupBy("source").agg(F.first("n_blocks").alias(count)), ["source"], len(drawn), "left")
-    packed = plan.select("source", F.col("block").alias("__block"), F.struct("source_size", "target", "first", "second", "part", "cut").alias(held))
+    packed = plan.select("source", F.col("block").alias("__block"), F.struct("source_size", "target", "first", "second", "part", "cut", "more").alias(held))
     block = free_name(rows, "__block")
     rows = rows.withColumn(block, cell % F.col(count))
     rows = _join_small(rows, packed.withColumnRenamed("__block", block), ["source", block], total, "left")
     of = lambda n: F.col(f"{held}.{n}")
-    second = F.when(of("part") | F.coalesce(rank <= of("cut"), F.lit(False)), of("second")).otherwise(none)
+    taken = of("part") | F.coalesce(rank <= of("cut"), F.lit(False)) | F.coalesce(F.array_contains(of("more"), rank), F.lit(False))
+    second = F.when(taken, of("second")).otherwise(none)
     shards_of = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]"), F.concat(of("first"), second)).otherwise(none)
     made = [word_count(F.col("text")).alias(new["size"]), of("source_size").alias(new["source_size"]), of("target").alias(new["target"]), shards_of.alias(new["shards"])]
     return rows.select(*(named(c) for c in docs.columns), *made)
 
 
+def _fitting(block: pd.DataFrame) -> pd.DataFrame:
+    """cut and more of one crossing block (source, room, rank, size)."""
+    block = block.sort_values("rank")
+    room, sizes, ranks = float(block["room"].iloc[0]), block["size"].tolist(), block["rank"].tolist()
+    n = int(np.searchsorted(np.cumsum(sizes), room, "right"))
+    left, more, rest = room - sum(sizes[:n]), [], []
+    for size, rank in zip(sizes[n:], ranks[n:], strict=True):
+        if size <= left:
+            more.append(rank)
+            left -= size
+        else:
+            rest.append((size, rank))
+    if rest and min(rest)[0] - left < left:
+        more.append(min(rest)[1])
+    return pd.DataFrame({"source": [block["source"].iloc[0]], "cut": pd.array([ranks[n - 1] if n else None], "Int64"), "more": [more]})
+
+
 def decide(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, weights=WEIGHTS) -> DataFrame:
     """doc_id, size, source, source_size, target and shards: one output shard per copy taken, one row per row of docs."""
     rows = planned(docs.select("doc_id", "source", "text"), seed, shard_words, weights)

@@ -108,7 +108,7 @@ def test_mixing_of_odd_ids(spark):
 
 
 def test_block_draw(docs):
-    """Whole blocks once a pass, the crossing block by the least hashes: recomputed from the rows alone."""
+    """Whole blocks once a pass, the crossing block by the least hashes and what still fits: recomputed from the rows alone."""
     rows = docs.withColumn("h", F.xxhash64(F.lit(17), "doc_id", "source", "text")).withColumn("rank", F.xxhash64(F.lit(18), "doc_id", "source", "text")).collect()
     out = {r.doc_id: r for r in mixing.decide(docs, shard_words=20_000).collect()}
     by = defaultdict(lambda: defaultdict(list))
@@ -119,15 +119,25 @@ def test_block_draw(docs):
     for source, blocks in by.items():
         some = out[next(iter(blocks.values()))[0].doc_id]
         whole = int(some.target >= some.source_size)
-        crossing = 0
+        crossing, slack = 0, 0
         for members in blocks.values():
             taken = {r.doc_id: len(out[r.doc_id].shards) for r in members if out[r.doc_id]["size"]}
             if set(taken.values()) - {whole} and set(taken.values()) - {whole + 1}:  # neither none nor all again: the crossing one
                 crossing += 1
-                again = [r.rank for r in members if taken.get(r.doc_id) == whole + 1]
-                left = [r.rank for r in members if taken.get(r.doc_id) == whole]
-                assert max(again, default=-math.inf) < min(left, default=math.inf)
+                again = {r.doc_id for r in members if taken.get(r.doc_id) == whole + 1}
+                others = sum(out[r.doc_id]["size"] * len(out[r.doc_id].shards) for b in blocks.values() for r in b) - sum(out[d]["size"] for d in again)
+                room, want, sizes = some.target - others, set(), {}
+                for r in sorted(members, key=lambda r: r.rank):
+                    sizes[r.doc_id] = out[r.doc_id]["size"]
+                    if 0 < sizes[r.doc_id] <= room:
+                        want.add(r.doc_id)
+                        room -= sizes[r.doc_id]
+                least = min((n for d, n in sizes.items() if n and d not in want), default=math.inf)
+                extra, slack = again - want, least if least < math.inf else 0
+                assert want <= again and len(extra) <= 1 and (not extra or sizes[extra.pop()] == least < 2 * room)
         assert crossing <= 1
+        words = sum(out[r.doc_id]["size"] * len(out[r.doc_id].shards) for b in blocks.values() for r in b)
+        assert abs(words - some.target) <= max(0.01 * some.target, slack)
 
 
 def test_components_of_odd_ids(spark):
