@@ -137,7 +137,7 @@ def test_block_draw(docs):
                 assert want <= again and len(extra) <= 1 and (not extra or sizes[extra.pop()] == least < 2 * room)
         assert crossing <= 1
         words = sum(out[r.doc_id]["size"] * len(out[r.doc_id].shards) for b in blocks.values() for r in b)
-        assert abs(words - some.target) <= max(0.01 * some.target, slack)
+        assert abs(words - some.target) <= max(0.01 * some.target, slack, max(min((out[r.doc_id]["size"] for r in b if out[r.doc_id]["size"]), default=0) for b in blocks.values()))
 
 
 def test_components_of_odd_ids(spark):
