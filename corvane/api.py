@@ -35,6 +35,7 @@ class Engine:
         self._rank: DataFrame | None = None
         self._cohesion: DataFrame | None = None
         self._text: retrieval.TextIndex | None = None
+        self._names: retrieval.TextIndex | None = None
 
     def rank(self) -> DataFrame:
         """node, rank of every file, isolated ones included; computed once."""
@@ -64,9 +65,10 @@ class Engine:
     def _asked(self, question: str) -> dict:
         """What a question asks by: stems, path terms, names of symbols, words of the context, and whether it is about architecture."""
         words = text.search_terms(F.lit(question))
-        stems = text.analysed(F.array_join(words, " "))
-        found = self.spark.range(1).select(stems.alias("stems"), retrieval.longest_first(text.path_terms(F.lit(question))).alias("paths"), text.query_terms(F.lit(question)).alias("terms"), text.is_architecture_question(F.lit(question)).alias("architecture")).first()
-        return found.asDict() | {"stems": list(dict.fromkeys(found["stems"])), "symbols": retrieval.symbol_phrases(question, text.SYMBOL_NOISE)}
+        found = self.spark.range(1).select(words.alias("words"), retrieval.longest_first(text.path_terms(F.lit(question))).alias("paths"), text.query_terms(F.lit(question)).alias("terms"), text.is_architecture_question(F.lit(question)).alias("architecture")).first()
+        stems = self.spark.createDataFrame([(w,) for w in found["words"]], "w string").select(text.analysed(F.col("w")).alias("s")).collect() if found["words"] else []
+        # a word of several parts (foo_bar, a.b) is a phrase
+        return found.asDict() | {"stems": list(dict.fromkeys(tuple(r["s"]) for r in stems if r["s"])), "symbols": retrieval.symbol_phrases(question, text.SYMBOL_NOISE)}
 
     def seeds(self, asked: dict, k: int | None = None, embedder: str | None = None, question: str = "") -> DataFrame:
         """id, file_path, score (over the best): what the words find, then paths and symbols they name, fused with dense hits where these disagree."""
@@ -154,8 +156,13 @@ class Engine:
         return hierarchy.outline_parents(own.select("file_path", F.col("qualified_name").alias("qname")))
 
     def symbols(self, words: str, kind: str | None = None, limit: int = 20, language: str | None = None) -> DataFrame:
-        rows = self.index.chunks.where("symbol_name IS NOT NULL").withColumn("tokens", text.tokens(F.concat_ws(" ", "symbol_id", "symbol_name", "qualified_name", "file_path")))
-        return lookups.symbol_search(rows, [w for w in words.lower().replace("_", " ").split() if w], kind, limit, language=language)
+        """Chunks of symbols in whose names the words stand side by side, from the index of names; by id."""
+        if self._names is None:
+            named = self.index.chunks.where("symbol_name IS NOT NULL")
+            self._names = retrieval.TextIndex.build(named, dict.fromkeys(("symbol_id", "symbol_name", "qualified_name", "file_path"), 1.0))
+        asked = self.spark.range(1).select(text.tokens(F.lit(words)).alias("t")).first()["t"]
+        rows = self.index.chunks.join(self._names.phrase(asked).select("id"), "id", "left_semi") if asked else self.index.chunks.limit(0)
+        return lookups.narrowed(rows, kind, limit, language=language)
 
     def symbol(self, symbol_id: str) -> DataFrame:
         return lookups.public_record(self.index.chunks.where(F.col("symbol_id") == symbol_id).limit(1))

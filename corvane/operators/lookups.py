@@ -41,6 +41,11 @@ def with_path_keyword(chunks: DataFrame, keyword: str, limit: int) -> DataFrame:
 def symbol_search(symbols: DataFrame, phrase: list[str], kind: str | None, limit: int, filter_first: bool = True, language: str | None = None) -> DataFrame:
     """Rows where the phrase's tokens stand side by side in the tokens of ``text``; by id."""
     found = symbols.where(F.contains(F.concat(F.lit(" "), F.array_join(F.col("tokens"), " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} ")))
+    return narrowed(found, kind, limit, filter_first, language)
+
+
+def narrowed(found: DataFrame, kind: str | None, limit: int, filter_first: bool = True, language: str | None = None) -> DataFrame:
+    """The first rows by id, of a kind and language where one is asked for."""
     if language is not None:
         found = found.where(F.col("language") == language)
     if kind is None:

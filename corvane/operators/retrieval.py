@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
-from corvane.sources.store import shared_folder
+from corvane.sources.store import materialise, shared_folder
 
 K1, B = 1.2, 0.75
 #: Weights by field.
@@ -23,6 +25,14 @@ GRADUATED = 10
 BUCKETS, SPREAD = 64, 8
 PATH_BOOST, SYMBOL_EXACT, SYMBOL_PARTIAL = 0.5, 0.60, 0.15
 PATH_CAP, PER_TERM, SYMBOL_CAP = 30, 20, 20
+#: A place in an index is a position in a field, and the number of the field from this bit on.
+FIELD_BIT = 40
+#: What is asked for: a word, or several words side by side.
+Unit = str | tuple[str, ...]
+
+
+def unit_of(unit: Unit | list[str]) -> tuple[str, ...]:
+    return (unit,) if isinstance(unit, str) else tuple(unit)
 
 
 def postings(chunks: DataFrame, fields: list[str] | None = None, key: str = "id") -> DataFrame:
@@ -40,15 +50,25 @@ def doc_stats(chunks: DataFrame, fields: list[str] | None = None, key: str = "id
     return chunks.select(F.col(key).alias("id"), sum((F.size(tokens(F.col(f))) for f in (fields or ["content"])), F.lit(0)).cast("long").alias("length"))
 
 
-def matches(chunks: DataFrame, terms: list[str], fields: dict[str, float] | None = None, key: str = "id") -> DataFrame:
-    """id, length and f: array of the weighted counts of each term, for all chunks, in one scan without a shuffle."""
-    fields = fields or {"content": 1.0}
+def phrase_count(words: Column, phrase: tuple[str, ...]) -> Column:
+    """How often the phrase's words stand side by side in an array of words."""
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda t: t == phrase[0]))
+    shifted = [F.slice(words, j + 1, F.greatest(F.size(words), F.lit(1))).alias(f"w{j}") for j in range(len(phrase))]
+    return F.size(F.filter(F.arrays_zip(*shifted), lambda x: reduce(lambda a, b: a & b, [x[f"w{j}"].eqNullSafe(F.lit(w)) for j, w in enumerate(phrase)])))
+
+
+def matches(chunks: DataFrame, terms: list[Unit], fields: dict[str, float] | None = None, key: str = "id") -> DataFrame:
+    """id, length and f: array of the weighted counts of each word or phrase, for all chunks, in one scan without a shuffle."""
+    fields, units = fields or {"content": 1.0}, [unit_of(t) for t in terms]
     held = once(chunks.select(F.col(key).alias("id"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]), ["id"], {f"t{i}": tokens(F.col(f"_{i}")) for i in range(len(fields))})
     length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0))
-    hits = {f"h{i}": F.filter(f"t{i}", lambda t: t.isin(terms)) for i in range(len(fields))}
-    held = once(held, ["id"], {"length": length} | hits)
-    count = lambda i, term: F.size(F.filter(f"h{i}", lambda t: t == term))
-    f = F.array(*[sum((w * count(i, term) for i, w in enumerate(fields.values())), F.lit(0.0)) for term in terms])
+    if all(len(u) == 1 for u in units):  # only the words asked for are looked at again
+        words = [u[0] for u in units]
+        held = once(held, ["id"], {"length": length} | {f"t{i}": F.filter(f"t{i}", lambda t: t.isin(words)) for i in range(len(fields))})
+    else:
+        held = once(held, ["id"] + [f"t{i}" for i in range(len(fields))], {"length": length})
+    f = F.array(*[sum((w * phrase_count(F.col(f"t{i}"), unit) for i, w in enumerate(fields.values())), F.lit(0.0)) for unit in units])
     return once(held, ["id", "length"], {"f": f})
 
 
@@ -62,8 +82,8 @@ def _idf(n: int, total: int) -> float:
     return x if x > 0 else 1e-6
 
 
-def bm25(chunks: DataFrame, terms: list[str], fields: dict[str, float] | None = None, key: str = "id") -> DataFrame:
-    """id, f, length and parts: each term's BM25 share, for chunks with any term.
+def bm25(chunks: DataFrame, terms: list[Unit], fields: dict[str, float] | None = None, key: str = "id") -> DataFrame:
+    """id, f, length and parts: the BM25 share of each word or phrase, for chunks with any.
 
     Corpus statistics are one aggregate over the chunks; scoring is a second scan.  Neither shuffles rows.
     """
@@ -79,74 +99,139 @@ def _shares(hits: DataFrame, idf: list[float], mean: float) -> DataFrame:
     return once(hits, ["id", "length", "f"], {"parts": F.array(*[part(i) for i in range(len(idf))])})
 
 
+def _postings(frames: Iterator[pa.RecordBatch], weights: list[float]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, words of each field) as (id, length, first, term, f, places): a row a different word of a text, and one without a word for an empty text."""
+    for batch in frames:
+        words, rows, places, weight = [], [], [], []
+        for i, w in enumerate(weights):
+            column = batch.column(i + 1)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words.append(column.flatten())
+            rows.append(np.repeat(np.arange(batch.num_rows), sizes))
+            places.append(np.arange(len(rows[-1])) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (i << FIELD_BIT))
+            weight.append(np.full(len(rows[-1]), w))
+        row, place, weight = map(np.concatenate, (rows, places, weight))
+        coded = pa.concat_arrays(words).dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        order = np.lexsort((place, code, row))
+        row, code, place, weight = row[order], code[order], place[order], weight[order]
+        begins = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
+        lengths = np.bincount(row, minlength=batch.num_rows)
+        empty = np.flatnonzero(lengths == 0)
+        at = np.concatenate((row[begins], empty))
+        first = np.concatenate((np.concatenate(([True], row[begins][1:] != row[begins][:-1]))[: len(begins)], np.ones(len(empty), bool)))
+        terms = pa.concat_arrays([coded.dictionary.take(pa.array(code[begins])), pa.nulls(len(empty), pa.string())])
+        f = np.concatenate((np.add.reduceat(weight, begins) if len(begins) else [], np.zeros(len(empty))))
+        ends = np.concatenate((begins, np.full(len(empty) + 1, len(place)))).astype(np.int32)
+        yield pa.record_batch(
+            [batch.column(0).take(pa.array(at)), pa.array(lengths[at].astype(np.int64)), pa.array(first), terms, pa.array(f.astype(np.float64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int64)))],
+            names=["id", "length", "first", "term", "f", "places"],
+        )
+
+
+def posting_rows(chunks: DataFrame, fields: dict[str, float] | None = None, key: str = "id", analyse: Callable[[Column], Column] = tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, length, first (of its chunk), term, f (weighted count), places: the words of each chunk, made within the row's task."""
+    fields = fields or {"content": 1.0}
+    words = once(chunks.select(F.col(key).alias("id"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]), ["id"], {f"t{i}": analyse(F.col(f"_{i}")) for i in range(len(fields))})
+    weights, kind = list(fields.values()), dict(words.dtypes)["id"]
+    return words.mapInArrow(lambda frames: _postings(frames, weights), f"id {kind}, length long, first boolean, term string, f double, places array<long>")
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """One shuffle into ``BUCKETS`` folders by a hash of the term; a bucket is many tasks, so a term in a third of all texts is spread by id."""
+    rows = rows.withColumn("bucket", bucket_of(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """A stored inverted index: postings (bucket, term, id, f, length) in ``BUCKETS`` partitions by a hash of the term, sorted by term.
+    """A stored inverted index with positions: postings (bucket, term, id, f, length, places) in ``BUCKETS`` partitions by a hash of the term, sorted by term.
 
-    A question reads the partitions of its terms, and in them the blocks that hold the terms; it never reads a text.
+    A question reads the partitions of its words, and in them the blocks that hold the words; it never reads a text.
+    Words of a phrase meet by chunk: places of one word that fall on those of the next, moved back.
     """
 
     postings: DataFrame
     total: int
     mean: float
+    weights: tuple[float, ...] = (1.0,)
 
     @classmethod
     def build(cls, chunks: DataFrame, fields: dict[str, float] | None = None, key: str = "id", analyse: Callable[[Column], Column] = tokens) -> TextIndex:
-        """One scan and one shuffle of term counts; weights by field go into f."""
-        fields = fields or {"content": 1.0}
-        held = once(chunks.select(F.col(key).alias("id"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]), ["id"], {f"t{i}": analyse(F.col(f"_{i}")) for i in range(len(fields))})
-        length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).cast("long")
-        weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-        terms = [F.transform(f"t{i}", weighted(w)) for i, w in enumerate(fields.values())]
-        rows = held.select("id", length.alias("length"), F.explode_outer(F.concat(*terms)).alias("x"))
-        rows = rows.groupBy(F.col("x.term").alias("term"), "id", "length").agg(F.sum("x.w").alias("f")).withColumn("bucket", bucket_of(F.col("term")))
+        """One scan and one shuffle; weights by field go into f."""
+        rows = posting_rows(chunks, fields, key, analyse)
         path = f"{shared_folder(chunks.sparkSession)}/postings-{uuid.uuid4().hex}"
-        # a bucket is many tasks: a term in a third of all texts is spread by id
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-        stored = chunks.sparkSession.read.schema(rows.schema).parquet(path)
-        sizes = stored.groupBy("id").agg(F.max("length").alias("length")).agg(F.count("*"), F.avg("length")).first()
-        return cls(stored, sizes[0], sizes[1] or 1.0)
+        write_postings(rows, path)
+        stored = chunks.sparkSession.read.schema(rows.withColumn("bucket", F.lit(0)).schema).parquet(path)
+        return cls.over(stored, tuple((fields or {"content": 1.0}).values()))
+
+    @classmethod
+    def over(cls, stored: DataFrame, weights: tuple[float, ...]) -> TextIndex:
+        """The index that stored postings are; one pass over their lengths."""
+        sizes = stored.where("first").agg(F.count("*"), F.avg("length")).first()
+        return cls(stored, sizes[0], sizes[1] or 1.0, weights)
+
+    def asked(self, words: list[str]) -> DataFrame:
+        """The postings of the words."""
+        buckets = [r[0] for r in self.postings.sparkSession.createDataFrame([(w,) for w in words], "term string").select(bucket_of(F.col("term"))).distinct().collect()]
+        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
 
-    def bm25(self, terms: list[str]) -> DataFrame:
+    def bm25(self, terms: list[Unit]) -> DataFrame:
         """id, length, f and parts, as of ``bm25`` over texts."""
-        spark = self.postings.sparkSession
-        if not terms:
+        units = [unit_of(t) for t in terms]
+        if not units:
             return self.postings.limit(0).select("id", "length", F.array().cast("array<double>").alias("f"), F.array().cast("array<double>").alias("parts"))
-        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).distinct().collect()]
-        rows = self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-        found = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}
-        f = F.array(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("f"))), F.lit(0.0)) for t in terms])
-        return _shares(rows.groupBy("id", "length").agg(f.alias("f")), [_idf(found.get(t, 0), self.total) for t in terms], self.mean or 1.0)
+        rows = self.asked(sorted({w for u in units for w in u}))
+        if all(len(u) == 1 for u in units):
+            found = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}
+            f = F.array(*[F.coalesce(F.max(F.when(F.col("term") == u[0], F.col("f"))), F.lit(0.0)) for u in units])
+            return _shares(rows.groupBy("id", "length").agg(f.alias("f")), [_idf(found.get(u[0], 0), self.total) for u in units], self.mean or 1.0)
+        hits = materialise(self._held(rows, units), "phrases")
+        counts = hits.agg(*[F.count(F.when(F.get("f", F.lit(i)) > 0, 1)) for i in range(len(units))]).first()
+        return _shares(hits, [_idf(n, self.total) for n in counts], self.mean or 1.0)
+
+    def _held(self, rows: DataFrame, units: list[tuple[str, ...]]) -> DataFrame:
+        """id, length, f (a weighted count a unit) of the chunks that hold any."""
+        words = sorted({w for u in units for w in u})
+        none = F.array().cast("array<long>")
+        held = rows.groupBy("id", "length").agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("places"))), none).alias(f"p{i}") for i, w in enumerate(words)])
+        moved = lambda w, j: F.transform(f"p{words.index(w)}", lambda x: x - j)
+        found = [reduce(F.array_intersect, [moved(w, j) for j, w in enumerate(u)]) if len(u) > 1 else F.col(f"p{words.index(u[0])}") for u in units]
+        weighted = lambda hits: sum((w * F.size(F.filter(hits, lambda x: F.shiftright(x, FIELD_BIT) == i)) for i, w in enumerate(self.weights)), F.lit(0.0))
+        return once(held, ["id", "length"], {"f": F.array(*[weighted(h) for h in found])}).where(F.exists("f", lambda x: x > 0))
+
+    def phrase(self, words: list[str]) -> DataFrame:
+        """id and n, how often the words stand side by side, of the chunks where they do."""
+        hits = self._held(self.asked(sorted(set(words))), [tuple(words)])
+        return hits.select("id", F.get("f", F.lit(0)).alias("n"))
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def scored(source: DataFrame | TextIndex, terms: list[str], fields: dict[str, float] | None = None) -> DataFrame:
+def scored(source: DataFrame | TextIndex, terms: list[Unit], fields: dict[str, float] | None = None) -> DataFrame:
     return source.bm25(terms) if isinstance(source, TextIndex) else bm25(source, terms, fields)
 
 
-def or_search(chunks: DataFrame | TextIndex, terms: list[str], k: int, fields: dict[str, float] | None = None) -> DataFrame:
+def or_search(chunks: DataFrame | TextIndex, terms: list[Unit], k: int, fields: dict[str, float] | None = None) -> DataFrame:
     """id, score: sum of the shares, best first, by id among equals."""
     score = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
     return scored(chunks, terms, fields).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def graduated(chunks: DataFrame | TextIndex, terms: list[str], k: int, threshold: int = GRADUATED) -> DataFrame:
+def graduated(chunks: DataFrame | TextIndex, terms: list[Unit], k: int, threshold: int = GRADUATED) -> DataFrame:
     """id, score, stage: all terms; then all but one; then pairs; then any, each only while too few are found.
 
-    One scan gives each chunk the shares of its terms; a stage is a set of subsets of terms, and a chunk's score in a stage
-    is the best sum over a subset it holds in full.
+    One scan gives each chunk the shares of its terms, sorted once: the best sum over all terms but one leaves out the
+    least share (or nothing, if a term is missing), the best pair are the two largest.
     """
     n = len(terms)
-    every = tuple(range(n))
-    stages = ([[every]] if n >= 2 else []) + ([list(combinations(every, n - 1))] if n >= 3 else []) + ([list(combinations(every, 2))] if n >= 4 else [])
-    rows = scored(chunks, terms)
-    has = lambda s: F.forall(F.array(*[F.get("f", F.lit(i)) for i in s]), lambda x: x > 0)
-    total = lambda s: sum((F.get("parts", F.lit(i)) for i in s), F.lit(0.0))
-    best = [F.greatest(*[F.when(has(s), total(s)) for s in subsets], F.lit(None).cast("double")) for subsets in stages]
-    rows = rows.select("id", *[b.alias(f"s{i}") for i, b in enumerate(best)], F.aggregate("parts", F.lit(0.0), lambda a, x: a + x).alias("any"))
+    stages = [size for size, least in ((n, 2), (n - 1, 3), (2, 4)) if n >= least]
+    rows = once(scored(chunks, terms), ["id", "parts"], {"held": F.sort_array(F.filter("parts", lambda x: x > 0), asc=False)})
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    best = [F.when(F.size("held") >= size, total(F.slice("held", 1, size))) for size in stages]
+    rows = rows.select("id", *[b.alias(f"s{i}") for i, b in enumerate(best)], total("parts").alias("any"))
     if stages:
         counts = rows.agg(*[F.count(f"s{i}") for i in range(len(stages))]).first()
         if counts[0] >= threshold:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import context, graph, retrieval, vectors
+from corvane.operators import context, graph, lookups, retrieval, vectors
 from corvane.plans.registry import query, read
 from corvane.sources import bindings as b
 from corvane.sources.bindings import CHUNKS_SQL, PAGE_EDGES_SQL, USER_EDGES_SQL
@@ -68,13 +68,19 @@ bm AS (SELECT id, i, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n -
        FROM f JOIN df USING (i) CROSS JOIN st WHERE f > 0)"""
 
 
-#: Stored indexes of this application, by folder.
-_BUILT: dict[tuple[str, str], retrieval.TextIndex] = {}
+#: Stored indexes of this application, by the files they were made of.
+_BUILT: dict[tuple, retrieval.TextIndex] = {}
+
+
+def _made_of(rows) -> tuple:
+    """What names the content of a table's files: path, size and time of each."""
+    seen = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(seen.agg(F.sum(F.xxhash64(*seen.columns).cast("decimal(38,0)")), F.count("*")).first())
 
 
 def _index(spark, sf_dir) -> retrieval.TextIndex:
-    """The inverted index of all documents, built by the first question and kept for the others."""
-    name = spark.sparkContext.applicationId, sf_dir
+    """The inverted index of all documents, built by the first question and kept for the others while the files stay as they are."""
+    name = spark.sparkContext.applicationId, sf_dir, _made_of(read(spark, sf_dir, "documents"))
     if name not in _BUILT:
         _BUILT[name] = retrieval.TextIndex.build(b.chunks(spark, sf_dir), {"content": 1.0})
     return _BUILT[name]
@@ -128,6 +134,41 @@ def b8_graduated(spark, sf_dir):
     return retrieval.graduated(_index(spark, sf_dir), GRADED, 30)
 
 
+PHRASES = [("of", "the"), ("the", "the", "and"), "es"]
+
+
+def _phrase_sql(phrase) -> str:
+    words = retrieval.unit_of(phrase)
+    if len(words) == 1:
+        return f"len(list_filter(t, lambda x: x = '{words[0]}'))"
+    return "len(list_filter(range(1, len(t) + 1), lambda i: " + " AND ".join(f"t[i + {j}] = '{w}'" for j, w in enumerate(words)) + "))"
+
+
+@query(f"SELECT id, n FROM (SELECT doc_id AS id, CAST({_phrase_sql(PHRASES[0])} AS DOUBLE) AS n FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS t FROM documents)) WHERE n > 0")
+def b9_phrase(spark, sf_dir):
+    """Words side by side, from positions in the stored index."""
+    return _index(spark, sf_dir).phrase(list(PHRASES[0]))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
+f AS ({" UNION ALL ".join(f"SELECT id, len(t) AS len, {i} AS i, {_phrase_sql(p)} AS f FROM t" for i, p in enumerate(PHRASES))}), df AS (SELECT i, count(*) AS df FROM f WHERE f > 0 GROUP BY i)
+SELECT id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+FROM f JOIN df USING (i) CROSS JOIN st WHERE f > 0 GROUP BY id""")
+def b9_phrase_search(spark, sf_dir):
+    """Ranked retrieval of phrases and words together."""
+    rows = _index(spark, sf_dir).bm25(PHRASES)
+    return rows.select("id", F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+
+
+@query(r"""WITH s AS (SELECT p_partkey AS id, p_type AS kind, ' ' || array_to_string(regexp_extract_all(lower(p_brand || '::' || replace(p_name, ' ', '_') || '#' || p_type), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM part)
+SELECT id, kind FROM s WHERE contains(t, ' red widget ') AND kind = 'ECONOMY' ORDER BY id LIMIT 25""")
+def f8_symbol_index(spark, sf_dir):
+    """Symbols whose names hold the words side by side, read from an index of names."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.concat("p_brand", F.lit("::"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("#"), "p_type").alias("content"))
+    names = retrieval.TextIndex.build(rows)
+    return lookups.narrowed(rows.join(names.phrase(["red", "widget"]).select("id"), "id", "left_semi"), "ECONOMY", 25).select("id", "kind")
+
+
 STEMS_SQL = "list_distinct(list_concat(base, list_filter(flatten(list_transform(base, lambda w: list_transform(" + _list(text.STEM_SUFFIXES) + ", lambda s: CASE WHEN ends_with(w, s) AND length(w) - length(s) >= 4 THEN left(w, length(w) - length(s)) END))), lambda x: x IS NOT NULL)))"
 
 
@@ -148,10 +189,24 @@ def b11_path_boost(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS qname FROM part), x AS (SELECT id, CASE WHEN lower(name) = 'part 12' THEN 6.0 WHEN contains(lower(name), 'part 12') OR contains(lower(qname), 'part 12') THEN 1.5 END AS score FROM s)
-SELECT id, score::DOUBLE AS score FROM x WHERE score IS NOT NULL""")
-def b12_symbol_seeds(spark, sf_dir):
+SELECT id, score::DOUBLE AS score FROM x WHERE score IS NOT NULL""".replace("part 12", "red widget"))
+def b12_symbol_scores(spark, sf_dir):
     s = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qname"))
-    return s.select("id", retrieval.symbol_score(F.col("name"), F.col("qname"), F.lit("part 12"), 10.0).alias("score")).where("score IS NOT NULL")
+    return s.select("id", retrieval.symbol_score(F.col("name"), F.col("qname"), F.lit("red widget"), 10.0).alias("score")).where("score IS NOT NULL")
+
+
+SEEDED = "Where is the red widget or the small gizmo of a connection?"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS id, lower(replace(p_name, ' ', '_')) AS name, lower(p_brand || '.' || replace(p_name, ' ', '_')) AS qname FROM part), q AS (SELECT unnest({_list(retrieval.symbol_phrases(SEEDED, text.SYMBOL_NOISE))}) AS phrase),
+x AS (SELECT id, phrase, CASE WHEN name = phrase THEN 6.0 WHEN contains(name, phrase) OR contains(qname, phrase) THEN 1.5 END AS score FROM s, q),
+n AS (SELECT id, score, row_number() OVER (PARTITION BY phrase ORDER BY id) AS n FROM x WHERE score IS NOT NULL)
+SELECT id, max(score)::DOUBLE AS score FROM n WHERE n <= 20 GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+def b12_symbol_seeds(spark, sf_dir):
+    """Symbols a question names: neighbours joined by an underscore, and long words."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    s = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("symbol_name"), F.concat_ws(".", "p_brand", name).alias("qualified_name"))
+    return retrieval.symbol_seeds(s, retrieval.symbol_phrases(SEEDED, text.SYMBOL_NOISE), 10.0)
 
 
 @query("""WITH u AS (SELECT doc_id AS id, n_chars AS score, 0 AS p FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, -n_chars, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 0, 2 FROM labels)
