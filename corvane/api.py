@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import render, text
 from corvane.operators import analytics, context, graph, hierarchy, lookups, retrieval, vectors
 from corvane.plans.index import Index, build
+from corvane.plans.segments import Segments
 from corvane.sources import files as sources
 from corvane.sources.store import Store, materialise
 
@@ -37,6 +38,27 @@ class Engine:
         self._text: retrieval.TextIndex | None = None
         self._names: retrieval.TextIndex | None = None
 
+    @classmethod
+    def open(cls, spark: SparkSession, stored: str) -> Engine:
+        """A session over the index stored under a folder, as its latest manifest has it."""
+        return cls._over(spark, Segments(spark, stored))
+
+    @classmethod
+    def acquire(cls, spark: SparkSession, root: str, stored: str, **options) -> Engine:
+        """A session over a tree whose index is kept under a folder: read where nothing changed, brought up to date where little did, else built anew (``way``)."""
+        kept = Segments(spark, stored)
+        way = kept.acquire(sources.discover(spark, root, **options))
+        engine = cls._over(spark, kept)
+        engine.way = way
+        return engine
+
+    @classmethod
+    def _over(cls, spark: SparkSession, kept: Segments) -> Engine:
+        engine, manifest = cls.__new__(cls), kept.catalog.head()
+        engine.spark, engine.index, engine._text = spark, kept.index(manifest), kept.text_index(manifest)
+        engine._rank = engine._cohesion = engine._names = None
+        return engine
+
     def rank(self) -> DataFrame:
         """node, rank of every file, isolated ones included; computed once."""
         if self._rank is None:

@@ -125,11 +125,8 @@ PLATFORM = {
 }
 
 
-def path_keys(files: DataFrame) -> DataFrame:
-    """key, path: of every end of a path (``f:``) and every folder a package can be named by (``go:``, ``csharp:``, ``swift:``) the best file.
-
-    The best is the shortest path, then the first.  One row a key.
-    """
+def keys_of(files: DataFrame) -> DataFrame:
+    """path, key: every end of a path (``f:``) and every folder a package can be named by (``go:``, ``csharp:``, ``swift:``)."""
     parts, folders = F.split("path", "/"), F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     ends = lambda mark, xs: F.transform(F.sequence(F.lit(1), F.size(xs)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(xs, i, F.size(xs)), "/")))
     some = lambda mark, xs: F.when(F.size(xs) > 0, ends(mark, xs)).otherwise(F.array().cast("array<string>"))
@@ -138,30 +135,50 @@ def path_keys(files: DataFrame) -> DataFrame:
         F.when(F.col("language") == "go", some("go:", folders)).when(F.col("language") == "csharp", some("csharp:", folders))
         .when(F.col("language") == "swift", F.transform(F.concat(folders, F.array(stem)), lambda x: F.concat(F.lit("swift:"), F.lower(x)))).otherwise(F.array().cast("array<string>"))
     )
-    keys = F.array_distinct(F.concat(ends("f:", parts), packages))
-    rows = files.select("path", "language").select("path", F.explode(keys).alias("key"))
-    return rows.groupBy("key").agg(F.min(F.struct(F.length("path").alias("n"), "path"))["path"].alias("path"))
+    return files.select("path", "language").select("path", F.explode(F.array_distinct(F.concat(ends("f:", parts), packages))).alias("key"))
 
 
-def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """imports with resolved_path: the known file an import means, null if none (or the importing file itself).
+def path_keys(files: DataFrame) -> DataFrame:
+    """key, path: of the files that share a key the best one, the shortest path, then the first.  One row a key."""
+    return keys_of(files).groupBy("key").agg(F.min(F.struct(F.length("path").alias("n"), "path"))["path"].alias("path"))
 
-    What is asked for is resolved once, however many files ask for it.
-    """
-    known = ALIASES if aliases is None else aliases
+
+def _asked(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports with language, asked (names, never null) and scope: what an import is resolved by."""
     scope = F.when(F.col("is_relative"), F.col("file_path")).otherwise("")
-    here = materialise(imports.join(files.select(F.col("path").alias("file_path"), "language"), "file_path").withColumn("scope", scope), "imports")
-    asked = here.select("language", "module", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "scope").distinct()
+    rows = imports.join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
+    return rows.withColumns({"scope": scope, "asked": F.coalesce("names", F.array().cast("array<string>"))})
+
+
+_ASKED = ["language", "module", "asked", "scope"]
+
+
+def _wanted(rows: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """The candidate keys of each different question among the rows, by preference n."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(language, module, list(names), path, n, key) for language, module, names, path in frame.itertuples(index=False) for n, key in enumerate(candidates(path, language, module, names, known))]
-            yield pd.DataFrame(rows, columns=["language", "module", "names", "scope", "n", "key"])
+            out = [(language, module, list(names), path, n, key) for language, module, names, path in frame.itertuples(index=False) for n, key in enumerate(candidates(path, language, module, names, aliases))]
+            yield pd.DataFrame(out, columns=[*_ASKED, "n", "key"])
+
+    return rows.select(*_ASKED).distinct().mapInPandas(run, "language string, module string, asked array<string>, scope string, n int, key string")
+
+
+def asking(imports: DataFrame, files: DataFrame, keys: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """file_path of the imports that ask for one of the keys."""
+    rows = _asked(imports, files)
+    hit = _wanted(rows, ALIASES if aliases is None else aliases).join(keys, "key", "left_semi").select(*_ASKED).distinct()
+    return rows.join(hit, _ASKED, "left_semi").select("file_path").distinct()
+
 
-    wanted = asked.mapInPandas(run, "language string, module string, names array<string>, scope string, n int, key string")
-    best = wanted.join(path_keys(files), "key").groupBy("language", "module", "names", "scope").agg(F.min_by("path", "n").alias("resolved_path"))
-    own = here.withColumn("asked", F.coalesce("names", F.array().cast("array<string>")))
-    out = own.join(best.withColumnRenamed("names", "asked"), ["language", "module", "asked", "scope"], "left").select(*imports.columns, "resolved_path")
+def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """imports with resolved_path: the known file an import means, null if none (or the importing file itself).
+
+    What is asked for is resolved once, however many files ask for it.
+    """
+    rows = materialise(_asked(imports, files), "imports")
+    best = _wanted(rows, ALIASES if aliases is None else aliases).join(path_keys(files), "key").groupBy(*_ASKED).agg(F.min_by("path", "n").alias("resolved_path"))
+    out = rows.join(best, _ASKED, "left").select(*imports.columns, "resolved_path")
     return out.withColumn("resolved_path", F.when(F.col("resolved_path") != F.col("file_path"), F.col("resolved_path")))
 
 
