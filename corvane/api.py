@@ -37,6 +37,7 @@ class Engine:
         self._cohesion: DataFrame | None = None
         self._text: retrieval.TextIndex | None = None
         self._names: retrieval.TextIndex | None = None
+        self._dense: dict = {}
 
     @classmethod
     def open(cls, spark: SparkSession, stored: str) -> Engine:
@@ -56,7 +57,7 @@ class Engine:
     def _over(cls, spark: SparkSession, kept: Segments) -> Engine:
         engine, manifest = cls.__new__(cls), kept.catalog.head()
         engine.spark, engine.index, engine._text = spark, kept.index(manifest), kept.text_index(manifest)
-        engine._rank = engine._cohesion = engine._names = None
+        engine._rank, engine._cohesion, engine._names, engine._dense = None, None, None, {}
         return engine
 
     def rank(self) -> DataFrame:
@@ -77,6 +78,13 @@ class Engine:
             self._text = retrieval.TextIndex.build(self.index.chunks.withColumn("content", text.expanded(F.col("content"))), retrieval.FIELDS, analyse=text.analysed)
         return self._text
 
+    def vectors(self, embedder: str) -> tuple:
+        """The embedder (``words`` is fitted to the chunks) and the stored vectors of all chunks; made once."""
+        if embedder not in self._dense:
+            made = vectors.WordEmbedder(self.index.chunks) if embedder == "words" else embedder
+            self._dense[embedder] = made, materialise(vectors.embed(self.index.chunks, F.col("content"), made), "vectors")
+        return self._dense[embedder]
+
     def cohesion(self) -> DataFrame:
         """file_path, cohesion of the file's module; computed once."""
         if self._cohesion is None:
@@ -100,7 +108,8 @@ class Engine:
         lexical = materialise(lexical.join(chunks.select("id", "file_path"), "id"), "lexical")
         top = lexical.agg(F.max("score")).first()[0]
         if embedder:
-            dense = materialise(vectors.search_texts(chunks, question, k, embedder).join(chunks.select("id", "file_path"), "id"), "dense")
+            made, stored = self.vectors(embedder)
+            dense = materialise(vectors.search_texts(chunks, question, k, made, stored).join(chunks.select("id", "file_path"), "id"), "dense")
             shared, cv = vectors.agreement(lexical, dense).first()[0], vectors.variation(lexical).first()[0]
             gate = self.spark.range(1).select(vectors.fuse_wanted(F.lit(lexical.count()), F.lit(dense.count()), F.lit(shared), F.lit(cv)), vectors.weights(F.lit(shared), F.lit(cv))).first()
             if gate[0] or not top:
@@ -163,7 +172,7 @@ class Engine:
 
     def members(self) -> DataFrame:
         """node, module: every file in a community of the import graph, or in its own."""
-        own = graph.communities(self.index.edges).select("node", F.col("community").alias("module"))
+        own = graph.louvain(self.index.edges).select("node", F.col("community").alias("module"))
         return self.index.files.select(F.col("path").alias("node")).join(own, "node", "left").withColumn("module", F.coalesce("module", "node"))
 
     def languages(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.sources.store import materialise
@@ -27,6 +27,54 @@ def mtime_delta(indexed: DataFrame, current: DataFrame, last: str, key: str, mti
     return both.select(key, status.alias("status")).where("status IS NOT NULL")
 
 
+#: Share of the larger file's lines that two files have in common at least to be one file under two names.
+SIMILAR = 0.5
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """path, token (a line and which of its repeats), size of every line of files."""
+    hashed = F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.xxhash64(x))
+    rows = files.select("path", F.explode(hashed).alias("line")).groupBy("path", "line").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("path").agg(F.sum("n").alias("size"))
+    return rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.xxhash64("line", i))).alias("token")).join(sizes, "path")
+
+
+def similar_files(gone: DataFrame, come: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """old_path, path, share of all pairs of gone and come files (path, content) that share enough lines.
+
+    Pairs meet by their rarest lines: files that share a share ``least`` of the larger one's lines have one in common among
+    the rarest of each (all but that share, and one more), so common lines bring nothing together and no pair is lost.
+    """
+    a, b = materialise(_lines(gone), "gone-lines"), materialise(_lines(come), "come-lines")
+    often = a.select("token").unionByName(b.select("token")).groupBy("token").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("often", "token"))
+    rare = lambda x: x.join(often, "token").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("path", "token")
+    pairs = rare(a).withColumnRenamed("path", "old_path").join(rare(b), "token").select("old_path", "path").distinct()
+    both = pairs.join(a.select(F.col("path").alias("old_path"), "token", F.col("size").alias("n")), "old_path").join(b, ["path", "token"])
+    shares = both.groupBy("old_path", "path").agg((F.count("*") / F.greatest(F.max("n"), F.max("size"))).alias("share"))
+    return shares.where(F.col("share") >= least)
+
+
+def with_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """path, status, old_path: changes in which a deleted and an added file that are alike are one renamed file (R).
+
+    One to one, the best share first (ties: by old path, then new path): in each round pairs that are the best of both
+    their files are taken.
+    """
+    named = lambda status, files: files.select("path", "content").join(changes.where(F.col("status") == status).select("path"), "path", "left_semi")
+    left = materialise(similar_files(named("D", old), named("A", new), least), "alike")
+    taken = left.limit(0)
+    while not left.isEmpty():
+        rank = F.struct(-F.col("share"), F.col("old_path"), F.col("path"))
+        best = left.withColumn("rank", rank).withColumn("a", F.min("rank").over(Window.partitionBy("old_path"))).withColumn("b", F.min("rank").over(Window.partitionBy("path")))
+        found = materialise(best.where((F.col("rank") == F.col("a")) & (F.col("rank") == F.col("b"))).select(left.columns), "renamed")
+        taken = taken.unionByName(found)
+        left = materialise(left.join(found.select("old_path"), "old_path", "left_anti").join(found.select("path"), "path", "left_anti"), "alike")
+    gone = taken.select(F.col("old_path").alias("path")).unionByName(taken.select("path"))
+    rest = changes.join(gone, "path", "left_anti").select("path", "status", F.lit(None).cast("string").alias("old_path"))
+    return rest.unionByName(taken.select("path", F.lit("R").alias("status"), "old_path"))
+
+
 def parse_name_status(lines: DataFrame, column: str = "value") -> DataFrame:
     """path, status, old_path from tab-separated name-status lines; other letters than M, A, D, R are left out."""
     parts = F.split(column, "\t")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,43 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id") -
     return rows.where("score > 0") if size else rows.limit(0)
 
 
+def search_blocks(vectors: DataFrame, queries: list[list[float]], k: int, key: str = "id") -> DataFrame:
+    """query (place in the list), id, score: the k vectors nearest by cosine to each query, best first among equals by id.
+
+    A task multiplies its vectors, a batch at a time as one matrix, with all queries and keeps k a query; the kept rows
+    are merged.  Vectors of length zero or of another length than the query, and scores that are not positive, are no hits.
+    """
+    asked = np.array(queries, np.float64)
+    size = np.linalg.norm(asked, axis=1, keepdims=True)
+    asked = np.divide(asked, size, out=np.zeros_like(asked), where=size > 0)
+    kind = dict(vectors.dtypes)[key]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in asked]
+        for batch in frames:
+            sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(sizes == asked.shape[1])
+            some = batch.take(pa.array(fit))
+            block = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
+            length = np.linalg.norm(block, axis=1)
+            scores = (block @ asked.T) / np.where(length > 0, length, 1.0)[:, None]
+            ids = some.column(0)
+            for q in range(len(asked)):
+                place = np.flatnonzero(scores[:, q] > 0)
+                if len(place) > k:
+                    least = np.partition(scores[place, q], len(place) - k)[len(place) - k]
+                    place = place[scores[place, q] >= least]  # ties at the edge stay until ids decide
+                held[q] += zip((-scores[place, q]).tolist(), ids.take(pa.array(place)).to_pylist(), strict=True)
+                held[q] = heapq.nsmallest(k, held[q])
+        rows = [(q, i, -s) for q, own in enumerate(held) for s, i in own]
+        if rows:
+            yield pa.RecordBatch.from_pylist([{"query": q, "id": i, "score": s} for q, i, s in rows])
+
+    found = vectors.select(F.col(key).alias("id"), "embedding").where("id IS NOT NULL").mapInArrow(run, f"query long, id {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+
+
 def rerank(hits: DataFrame, vectors: DataFrame, query: list[float], k: int, candidates: int = RERANK, key: str = "vec_id") -> DataFrame:
     """The first candidates of hits (id, score) ordered anew by cosine."""
     first = hits.orderBy(F.desc("score"), "id").limit(candidates).select("id")
@@ -108,6 +148,48 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
 
 
 EMBEDDERS = {"hash": hash_embedding}
+#: Size of a word embedding, and the buckets by which words are counted.
+DIM, BUCKETS = 256, 1 << 16
+
+
+def _buckets(words: Column) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def _terms(text: Column) -> Column:
+    from corvane.functions.text import expanded, tokens
+
+    return tokens(expanded(text))
+
+
+class WordEmbedder:
+    """Signed feature hashing of words and parts of identifiers, weighed by how rare they are among the texts fitted to.
+
+    Texts that share rare words are near.  Fitting is one pass that counts texts by bucket (``BUCKETS`` numbers come to the driver).
+    """
+
+    def __init__(self, texts: DataFrame, column: str = "content"):
+        own = texts.select(F.array_distinct(_buckets(_terms(F.col(column)))).alias("b"))
+        counted = own.select(F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()
+        idf = np.full(BUCKETS, np.log(1.0 + texts.count()))
+        idf[counted["b"].to_numpy()] = np.log(1.0 + texts.count() / counted["n"].to_numpy())
+        drawn = np.random.default_rng(7)
+        self.idf, self.place, self.sign = idf, drawn.integers(0, DIM, BUCKETS), drawn.choice([-1.0, 1.0], BUCKETS)
+
+    def __call__(self, text: Column) -> Column:
+        idf, place, sign = self.idf, self.place, self.sign
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def vectors_of(buckets: pd.Series) -> pd.Series:
+            def one(b) -> np.ndarray:
+                found, n = np.unique(np.asarray(b, np.int64), return_counts=True)
+                out = np.zeros(DIM)
+                np.add.at(out, place[found], sign[found] * idf[found] * (1.0 + np.log(n)))
+                return out
+
+            return buckets.map(one)
+
+        return vectors_of(_buckets(_terms(text)))
 
 
 def hits_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -115,15 +197,18 @@ def hits_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(hits.select("id", "score"), "id")
 
 
-def search_texts(chunks: DataFrame, question: str, k: int, embedder: str = "hash") -> DataFrame:
-    """id, score: chunks embedded and searched in one go."""
+def search_texts(chunks: DataFrame, question: str, k: int, embedder: str | WordEmbedder = "hash", stored: DataFrame | None = None) -> DataFrame:
+    """id, score: chunks (or their stored vectors) searched by a question."""
+    embedder = WordEmbedder(chunks) if embedder == "words" else embedder
     asked = embed(chunks.sparkSession.createDataFrame([(0, question)], "id long, content string"), F.col("content"), embedder).first()["embedding"]
-    return top_k(embed(chunks, F.col("content"), embedder), asked, k, key="id")
+    return search_blocks(stored if stored is not None else embed(chunks, F.col("content"), embedder), [asked], k).select("id", "score")
 
 
-def embed(chunks: DataFrame, text: Column, embedder: str = "hash") -> DataFrame:
-    """id, embedding (unit length)."""
-    if embedder not in EMBEDDERS:
+def embed(chunks: DataFrame, text: Column, embedder: str | WordEmbedder = "hash") -> DataFrame:
+    """id, embedding (unit length); ``words`` fits a ``WordEmbedder`` to the chunks."""
+    if embedder == "words":
+        embedder = WordEmbedder(chunks)
+    if isinstance(embedder, str) and embedder not in EMBEDDERS:
         raise ValueError(f"unknown embedder {embedder!r}")
-    raw = chunks.select("id", EMBEDDERS[embedder](text).alias("embedding"))
+    raw = chunks.select("id", (embedder if isinstance(embedder, WordEmbedder) else EMBEDDERS[embedder])(text).alias("embedding"))
     return raw.select("id", normalised(F.col("embedding")).alias("embedding"))

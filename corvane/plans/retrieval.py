@@ -264,6 +264,16 @@ def t2_vector_topk(spark, sf_dir):
     return vectors.top_k(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 40).select("id", F.round("score", 5).alias("score"))
 
 
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query, v AS w FROM n WHERE vec_id < 8),
+x AS (SELECT query, vec_id AS id, list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)) AS score FROM n, q)
+SELECT query, id, round(score, 5) AS score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10""")
+def v3_search_blocks(spark, sf_dir):
+    """The ten nearest stored vectors of eight queries at once, a matrix product a batch."""
+    stored = read(spark, sf_dir, "embeddings")
+    queries = [r["embedding"] for r in stored.where("vec_id < 8").orderBy("vec_id").collect()]
+    return vectors.search_blocks(stored, queries, 10, key="vec_id").select("query", "id", F.round("score", 5).alias("score"))
+
+
 @query(f"WITH {DENSE_SQL}, first AS (SELECT vec_id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 50), top AS (SELECT * FROM dense WHERE id IN (SELECT vec_id FROM first) ORDER BY score DESC, id LIMIT 10) SELECT id, round(score, 5) AS score FROM top WHERE score > 0")
 def t3_rerank(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
