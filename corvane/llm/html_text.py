@@ -13,9 +13,13 @@ the balance of the whole page.  What the densities decide:
 4. Below what is kept, navigation and link lists under the threshold go.
 
 Names and labels decide only what density cannot: a notice, an advert or a reader's
-comment is as dense as an article.  Elements and whole class names that say so are
-ruled out before densities are summed, unless they hold most of the page's text; a
-label that is only part of a class counts where the density is under the page's.
+comment is as dense as an article.  Elements and classes that say so are ruled out
+before densities are summed, however much text they hold; where nothing would be
+left, those that hold the anchor come back.  A class says so by a label word among its parts
+(``comment-body``), unless it speaks of a state (``with-sidebar``) or of the article's
+own header.  A single paragraph is judged by its element, never by its class, nor is
+a box of one paragraph among an article's by a part of one.  A label within a class of the content
+itself (``content-sidebar-wrap``) counts where the density is under the page's.
 
 White space inside a block becomes one space; blocks are joined by one line feed in
 page order.  Null or empty html: empty text.  Unclosed, crossed or cut-off markup is
@@ -60,41 +64,62 @@ LABEL = (
     r"header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|share|sharing|sidebar|"
     r"skip|social|sponsored|sponsor|subscribe|toolbar|topbar|replies|signup|login|overlay|modal|alert)"
 )
-LABELS = re.compile(rf"(?:^|[\s_-])(?:{LABEL}|widget)(?:$|[\s_-])", re.I)
-#: A class that is labels and nothing else, among the classes of an element.
-WHOLE = re.compile(rf"(?:^|\s){LABEL}(?:[_-]{LABEL})*(?:$|\s)", re.I)
+LABELS = re.compile(rf"(?:{LABEL}|adsbox|adsense|adslot|disqus|widget)$", re.I)
+#: Labels only where they are the whole class.
+ALONE = frozenset("legal copyright feedback responses discussion".split())
+#: First parts of classes that speak of a state, and parts that speak of the content.
+STATES = frozenset("with has have no not non without is js hide show hidden visible".split())
+CONTENT = frozenset("content main article post entry story page body-text".split())
+#: Elements that are one paragraph.
+SINGLE = frozenset("p li blockquote h1 h2 h3 h4 h5 h6 pre td th dd dt figcaption".split())
 ROLES = frozenset("banner contentinfo complementary search form dialog alert alertdialog toolbar".split())
 
-#: Share of the page's characters from which a ruled-out node is the page itself.
-MOST = 0.8
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "skip", "named", "hint", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "open_in")
+    __slots__ = ("name", "parent", "children", "skip", "named", "part", "hint", "text", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "open_in")
 
     def __init__(self, name, parent, skip=False):
-        self.name, self.parent, self.children, self.skip, self.named, self.hint = name, parent, [], skip, False, False
+        self.name, self.parent, self.children, self.skip, self.named, self.part, self.hint = name, parent, [], skip, False, False, False
         self.text, self.chars, self.tags, self.link_chars, self.link_tags, self.density = "", 0, 0, 0, 0, 0.0
         self.open_in = ()  # searches upward from here that are known to find nothing
 
 
 def _marks(node: Node, attributes: str) -> None:
-    """Sets skip (never text), named (furniture by name or label) and hint (a label within a longer class) of a new node."""
+    """Sets skip (never text), named (furniture by name or whole label), part (by a part of a class) and hint (a label within a class of the content) of a new node."""
     node.skip = node.name in HIDDEN
     node.named = node.name in FURNITURE
     if not attributes.strip():
         return
+    judged = node.name not in ("body", "html", "article", "main") and node.name not in SINGLE
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             node.skip = True
-        elif key == "role" and value.lower() in ROLES or key in ("class", "id") and node.name not in ("body", "html", "article", "main") and WHOLE.search(value):
+        elif key == "role" and value.lower() in ROLES and node.name not in SINGLE:
             node.named = True
-        elif key in ("class", "id") and LABELS.search(value):
+        elif key in ("class", "id") and judged:
+            for token in value.lower().split():
+                _label(node, [x for x in re.split("[_-]", token) if x])
+
+
+def _label(node: Node, parts: list[str]) -> None:
+    labels = [bool(LABELS.match(x)) for x in parts]
+    if not parts or parts[0] in STATES and len(parts) > 1:
+        return
+    if all(labels) or len(parts) == 1 and parts[0] in ALONE:
+        node.named = node.named or parts != ["widget"]
+        node.hint = node.hint or parts == ["widget"]
+    elif any(labels):
+        own = not CONTENT.isdisjoint(parts)
+        if own and parts[-1] in ("header", "masthead"):
+            return
+        if own and not labels[-1] or parts[-1] == "widget":
             node.hint = True
+        else:
+            node.part = True
 
 
 def _above(node: Node, root: Node, ends: tuple, scope: tuple, key: str) -> Node | None:
@@ -218,17 +243,34 @@ def judge(root: Node) -> None:
         node, within = stack.pop()
         if node.name == "body":
             body = node
-        if node.named and not (node.name == "header" and within) or node.hint:
+        node.part = node.part and not _one_of_many(node)
+        if node.named and not (node.name == "header" and within) or node.part or node.hint:
             marked.append(node)
         within = within or node.name in ("article", "main")
         stack += [(c, within) for c in inner(node)]
     for node in marked:
-        if node.named:
-            node.skip = node.chars < MOST * root.chars
-        else:
-            node.skip = 2 * node.chars < root.chars and (node.density < body.density or 2 * node.link_chars > node.chars)
+        node.skip = node.named or node.part or 2 * node.chars < root.chars and (node.density < body.density or 2 * node.link_chars > node.chars)
     if any(node.skip for node in marked):
         measure(root)
+        if not root.chars:  # what holds the text was ruled out: back comes what the anchor stands in
+            ruled = [node for node in marked if node.skip]
+            for node in ruled:
+                node.skip = False
+            measure(root)
+            node, path = anchor(root)[0], set()
+            while node is not None:
+                path.add(id(node))
+                node = node.parent
+            for node in ruled:
+                node.skip = id(node) not in path
+            measure(root)
+
+
+def _one_of_many(node: Node) -> bool:
+    """Whether a node is a box of one paragraph among the paragraphs of an article."""
+    blocks_in = [c for c in node.children if c.name in SINGLE]
+    beside = [c for c in node.parent.children if c.name == "p"] if node.parent is not None else []
+    return len(blocks_in) == 1 and len(beside) > 1 and all(c.name in SINGLE or c.name not in BLOCKS for c in node.children)
 
 
 def anchor(root: Node) -> tuple[Node, float]:

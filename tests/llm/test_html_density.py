@@ -122,3 +122,35 @@ def test_time_is_linear_in_stray_markup(shape):
         return best
 
     assert took(12000) < 10 * took(3000) + 0.2  # four times the page; a quadratic walk takes sixteen times as long
+
+
+JUNK = (
+    "comment-body comments-area comment-section user-comments reader-comments disqus_thread site-footer site-header footer-inner ad-container ad-slot adsbox left-sidebar sidebar-left "
+    "cookie-notice-text newsletter-box related-posts related-articles promo-box site-notice alert-box share-bar legal copyright feedback responses discussion post-comments ad banner comments"
+).split()
+
+
+@pytest.mark.parametrize("label", JUNK)
+def test_labelled_blocks_beside_the_article(label):
+    """Two paragraphs, fewer or many more than the article's, under a usual label: never text, in an article element or without."""
+    for n in (2, 12):
+        block = f"<div class='x {label}'>" + "".join(f"<p>{words(30, 900 + 40 * k)}.</p>" for k in range(n)) + "</div>"
+        assert html_text.main_text(f"<body><div><h1>T</h1>{ARTICLE}</div>{block}</body>") == "T\n" + TEXT
+        assert html_text.main_text(f"<body><article><h1>T</h1>{ARTICLE}</article>{block}</body>") == "T\n" + TEXT
+
+
+@pytest.mark.parametrize("long", ["<div class=ad>{}</div>", "<footer>{}</footer>", "<aside>{}</aside>"])
+def test_short_article_beside_long_furniture(long):
+    page = "<body><article><h1>Tiny</h1><p>One line.</p></article>" + long.replace("{}", f"<p>{words(60, 500)}.</p>") + "</body>"
+    assert html_text.main_text(page) == "Tiny\nOne line."
+
+
+@pytest.mark.parametrize("mark", ["class=related", "class=alert", "class=social", "class=share", "class=promo", "class=toolbar", "class=skip", "class=login", "id=menu", "role=alert", "role=form", "class='site-notice'"])
+def test_labelled_paragraph_of_the_article(mark):
+    page = f"<body><article>{ARTICLE}<p {mark}>{words(30, 700)}.</p>{ARTICLE}</article></body>"
+    assert html_text.main_text(page) == f"{TEXT}\n{words(30, 700)}.\n{TEXT}"
+
+
+def test_page_that_labels_would_empty():
+    assert html_text.main_text(f"<body><div class='comments-area'>{ARTICLE}<div class=ad><p>buy</p></div></div></body>") == TEXT
+    assert html_text.main_text(f"<body><article><header class='entry-header'><h1>T</h1></header>{ARTICLE}</article></body>") == "T\n" + TEXT
