@@ -30,7 +30,17 @@ class Engine:
     """A session over one indexed tree; tables are written once and read back."""
 
     def __init__(self, spark: SparkSession, root: str, **options):
-        found = build(materialise(sources.discover(spark, root, **options), "files"))
+        self._begin(spark, sources.discover(spark, root, **options))
+
+    @classmethod
+    def of(cls, spark: SparkSession, files: DataFrame) -> Engine:
+        """A session over files (path, language, content) that are a table already."""
+        engine = cls.__new__(cls)
+        engine._begin(spark, files)
+        return engine
+
+    def _begin(self, spark: SparkSession, files: DataFrame) -> None:
+        found = build(materialise(files, "files"))
         self.spark = spark
         self.index = Index(found.files, *[materialise(getattr(found, n), n) for n in ("symbols", "imports", "edges", "chunks")])
         self._rank: DataFrame | None = None

@@ -32,7 +32,7 @@ def b1_stem(spark, sf_dir):
 
 
 IDENT = "[A-Za-z_][A-Za-z0-9_]{2,}"
-NAMES_SQL = f"""names AS (SELECT doc_id, regexp_extract_all(left(regexp_replace(text, '([a-z])e ([a-z])', '\\1E\\2', 'g'), 1000000), '{IDENT}') AS ids FROM documents)"""
+NAMES_SQL = f"""names AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([a-z])e ([a-z])', '\\1E\\2', 'g'), '{IDENT}') AS ids FROM documents)"""
 
 
 @query(f"""WITH {NAMES_SQL}, w AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(array_to_string(ids, ' '), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), ' ')) AS w FROM names),
