@@ -53,6 +53,15 @@ def test_fused_answer(engine):
     assert engine.query("login service", embedder="hash").count() > 0
 
 
+def test_answer_over_a_table(spark):
+    """Files that are a table already; the best chunk is the one the question names."""
+    from corvane.plans import code
+
+    engine = Engine.of(spark, code.files(spark, "/root/testdata/sf0.001", "go").where("path IN ('g1/m1.go', 'g2/m2.go')"))
+    best = engine.query("Where does T77.Get read its value?", 2048).orderBy(F.desc("score"), "id").first()
+    assert best.file_path == "g1/m1.go" and "T77" in best.content
+
+
 def test_symbol_phrases():
     assert retrieval.symbol_phrases("How does the user session start?", text.SYMBOL_NOISE) == ["the_user", "user_session", "session_start", "session"]
 
