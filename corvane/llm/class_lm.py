@@ -7,20 +7,20 @@ gathered over all training texts.  Words are assigned to ``CLASSES`` classes:
    by exchange: from the bigram counts each round gives every word the class that
    gains most mutual information, until few move; a round that loses is undone.
 2. Every other word with at least ``LEAST`` tokens, however many there are, by the
-   class that makes what stands before it likeliest under the classes of step 1:
-   its counts by class before are gathered by shuffle, tasks pick the class, and
-   the word's class stays in a table that is joined by shuffle.
+   class that makes what stands before and after it likeliest.  Words looked up in
+   the task choose first, from neighbours of step 1, and once more from neighbours
+   of either step; then all others choose, from the classes of all these, by counts
+   gathered by shuffle, and their classes stay in a table joined by shuffle.
 3. Words seen less often, and unseen ones, share one more class; the end of a text
    has its own.
 
-The score of a text is
+A word has one class, as predicted word and as history.  The score of a text is
 
-    sum of log10 P(class | history before) + log10 P(word | class)
+    sum of log10 P(class | class before) + log10 P(word | class)
 
-where the history of a word of step 1 is its class, that of any other word one more
-history, and that of a text's start the end token's.  P(class | history) is
-interpolated with P(class); word emissions come from counts (in the class of rare
-words with added mass for unseen words).
+where an end token stands before a text.  P(class | class before) is interpolated
+with P(class); word emissions come from counts (in the class of rare words with
+added mass for unseen words).
 
 Words with at least ``LOCAL_SHARE`` of all tokens (at most 1 / LOCAL_SHARE) are
 looked up in the task; all others are sent to their counts by a shuffle on the
@@ -47,8 +47,8 @@ from corvane.llm.common import batches, id_bucket, materialise
 
 CLASSES, ROUNDS = 32, 4
 CLUSTER_SHARE, LOCAL_SHARE = 2e-5, 2e-6
-#: Tokens a word must have for a class of its own choice.
-LEAST = 3
+#: Tokens a word must have for a class of its own choice, and how often the words looked up in the task choose.
+LEAST, CHOICES = 3, 2
 ADD, WEIGHT = 0.1, 50.0
 
 
@@ -105,51 +105,128 @@ def pair_counts(train: DataFrame, ids: dict[bytes, int], rare: int, end: int) ->
     return rows.select(F.expr(f"CAST(key DIV {width} AS INT)").alias("a"), (F.col("key") % width).cast("int").alias("b"), "n")
 
 
-def context_counts(train: DataFrame, place: dict[bytes, int], classes: int) -> DataFrame:
-    """word, h, n: how often a word that is not in ``place`` stands after history h."""
-    held = train.sparkSession.sparkContext.broadcast(place)
+def gains(table: np.ndarray, classes: int) -> np.ndarray:
+    """What one neighbour adds to the log likelihood of a word's class: rows are classes before, then classes after."""
+    smooth = table + ADD
+    gain = np.log(smooth / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0, keepdims=True))
+    return np.concatenate((gain[:, :classes], gain[:classes].T))
+
+
+def likeliest(near: pa.ListArray, gain: np.ndarray) -> np.ndarray:
+    """The first best class for lists of (h, n): row of ``gain``, and how often."""
+    flat, offsets = near.flatten(), near.offsets.to_numpy()
+    rows = np.repeat(np.arange(len(near)), np.diff(offsets))
+    counts = np.zeros((len(near), len(gain)))
+    np.add.at(counts, (rows, flat.field(0).to_numpy()), flat.field(1).to_numpy())
+    return (counts @ gain).argmax(axis=1).astype(np.int32)
+
+
+def local_choices(train: DataFrame, number: dict[bytes, int], kind: np.ndarray, first: int, classes: int) -> dict[int, int]:
+    """Number to class of the words numbered ``first`` and beyond, from neighbours whose class ``kind`` has by number (0: of other words)."""
+    width = classes + 2
+    held = train.sparkSession.sparkContext.broadcast((number, np.append(kind, classes + 1)))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys from 0 on: word and neighbour; below: cells of the classes' table."""
+        number, kind = held.value
+        of, end = number.get, len(kind) - 1
+        keys, counts, table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(width * width, np.int64)
+        out = lambda keys, counts: pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
+        for batch in batches(frames):
+            line = [end]
+            for text in batch.column(0).to_pylist():
+                line += [of(w, 0) for w in tokens(text)]
+                line.append(end)
+            x = np.array(line, np.int64)
+            c = kind[x]
+            table += np.bincount(c[:-1] * width + c[1:], minlength=width * width)
+            open_ = (x >= first) & (x < end)
+            left, right = open_[1:], open_[:-1]
+            some, n = np.unique(np.concatenate((x[1:][left] * (2 * width) + c[:-1][left], x[:-1][right] * (2 * width) + width + c[1:][right])), return_counts=True)
+            every = np.concatenate((keys, some))
+            keys, at = np.unique(every, return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+            if len(keys) > 3_000_000:
+                yield out(keys, counts)
+                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cells = np.flatnonzero(table)
+        yield out(np.concatenate((keys, -1 - cells)), np.concatenate((counts, table[cells])))
+
+    found = materialise(train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-near")
+    table = np.zeros(width * width)
+    for r in found.where("key < 0").collect():  # a table of classes
+        table[-1 - r["key"]] = r["n"]
+    gain = gains(table.reshape(width, width), classes)
+    words = found.where("key >= 0").groupBy(F.expr(f"key DIV {2 * width}").alias("id")).agg(F.collect_list(F.struct((F.col("key") % (2 * width)).cast("int").alias("h"), "n")).alias("near"))  # 2 * (classes + 2) entries a word
+
+    def pick(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            yield pa.record_batch([batch.column(0), pa.array(likeliest(batch.column(1), gain))], names=["id", "c"])
+
+    chosen = words.mapInArrow(pick, "id long, c int").toArrow()  # at most 1 / LOCAL_SHARE words
+    return dict(zip(chosen["id"].to_pylist(), chosen["c"].to_pylist(), strict=True))
+
+
+def neighbours(train: DataFrame, number: dict[bytes, int], kind: np.ndarray, classes: int) -> DataFrame:
+    """word, next, h, n around words that have no number.
+
+    Of a word: its neighbour's class h before it, or after it (then h is ``classes + 3`` more); ``classes + 2`` stands for a
+    neighbour without a number, and such a pair is a row (word, next) besides.  Rows without a word are cells of the table of
+    the numbered words' classes, h = before * (classes + 2) + after.
+    """
+    width = classes + 2
+    known = np.append(kind, classes + 1)
+    known[0] = width
+    held = train.sparkSession.sparkContext.broadcast((number, known))
+    names = ["word", "next", "h", "n"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = held.value.get
+        number, kind = held.value
+        of, end = number.get, len(kind) - 1
 
-        def out(found: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([w for w, _ in found], pa.binary()), pa.array([h for _, h in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "h", "n"])
+        def out(near: Counter, pairs: Counter) -> pa.RecordBatch:
+            word, h = zip(*near, strict=True) if near else ((), ())
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.record_batch([pa.array(word + a, pa.binary()), pa.array((None,) * len(word) + b, pa.binary()), pa.array(h + (None,) * len(a), pa.int32()), pa.array([*near.values(), *pairs.values()], pa.int64())], names=names)
 
-        found: Counter = Counter()
+        near, pairs, table = Counter(), Counter(), np.zeros((width + 1) ** 2, np.int64)
         for batch in batches(frames):
             for text in batch.column(0).to_pylist():
                 line = tokens(text)
-                seen = [of(w, classes) for w in line]
-                found.update((w, h) for w, h, c in zip(line, [classes + 1, *seen], seen, strict=False) if c == classes)
-            if len(found) > 500_000:
-                yield out(found)
-                found = Counter()
-        if found:
-            yield out(found)
-
-    return train.select("text").mapInArrow(run, "word binary, h int, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+                x = np.array([end, *[of(w, 0) for w in line], end], np.int64)
+                c = kind[x]
+                table += np.bincount(c[:-1] * (width + 1) + c[1:], minlength=(width + 1) ** 2)
+                at = np.flatnonzero(x == 0)
+                word = [line[i - 1] for i in at.tolist()]
+                near.update(zip(word, c[at - 1].tolist(), strict=True))
+                near.update(zip(word, (c[at + 1] + width + 1).tolist(), strict=True))
+                pairs.update((line[i - 1], line[i]) for i in at[x[at + 1] == 0].tolist())
+            if len(near) + len(pairs) > 500_000:
+                yield out(near, pairs)
+                near, pairs = Counter(), Counter()
+        yield out(near, pairs)
+        table = table.reshape(width + 1, width + 1)[:width, :width].ravel()
+        cells = np.flatnonzero(table)
+        nothing = pa.nulls(len(cells), pa.binary())
+        yield pa.record_batch([nothing, nothing, pa.array(cells, pa.int32()), pa.array(table[cells])], names=names)
+
+    return train.select("text").mapInArrow(run, "word binary, next binary, h int, n long").groupBy("word", "next", "h").agg(F.sum("n").alias("n"))
 
 
 def assigned(contexts: DataFrame, table: np.ndarray, classes: int, least: int = LEAST) -> DataFrame:
-    """word, n, c, near (its counts by history): the class under which what stands before a word is likeliest, given the classes' table.
+    """word, n, c, near (its counts by neighbour): the class under which a word's neighbours are likeliest, given the classes' table.
 
-    That is sum over h of n(h, word) * log(N(h, c) / (N(h) N(c))), with N the table; a word seen less than ``least`` times has
-    the rare class.
+    That is the sum over its neighbours h of n * log(N(h, c) / (N(h) N(c))), before and after it, with N the table; a word
+    seen less than ``least`` times has the rare class.
     """
-    smooth = table[:, :classes] + ADD
-    gain = np.log(smooth / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0, keepdims=True)) if classes else np.zeros((2, 0))
-    words = contexts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("h", "n")).alias("near"))  # classes + 2 entries a word
+    size = len(table)
+    gain = gains(table, classes)
+    words = contexts.groupBy("word").agg(F.sum(F.when(F.col("h") < size, F.col("n")).otherwise(0)).alias("n"), F.collect_list(F.struct("h", "n")).alias("near"))  # 2 * size entries a word
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            near = batch.column(2)
-            flat, offsets = near.flatten(), near.offsets.to_numpy()
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            counts = np.zeros((batch.num_rows, len(gain)))
-            np.add.at(counts, (rows, flat.field(0).to_numpy()), flat.field(1).to_numpy())
-            best = (counts @ gain).argmax(axis=1) if classes else np.zeros(batch.num_rows)
-            best = np.where(batch.column(1).to_numpy() >= least, best, classes)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), near], names=["word", "n", "c", "near"])
+            best = np.where(batch.column(1).to_numpy() >= least, likeliest(batch.column(2), gain), classes)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), batch.column(2)], names=["word", "n", "c", "near"])
 
     return words.mapInArrow(run, "word binary, n long, c int, near array<struct<h:int,n:bigint>>")
 
@@ -247,34 +324,45 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> dict:
     start = np.array([i % classes for i in range(len(top))] + [classes, classes + 1])
     pairs = materialise(pair_counts(train, ids, rare, end), "lm-pairs")
     place = exchange(pairs, start, classes + 2, len(top), rounds) if top else start
-    held = train.sparkSession.createDataFrame(list(enumerate(place.tolist())), "id int, c int")
-    rows = pairs.join(F.broadcast(held.select(F.col("id").alias("a"), F.col("c").alias("ca"))), "a").join(F.broadcast(held.select(F.col("id").alias("b"), F.col("c").alias("cb"))), "b")
-    table = np.zeros((classes + 2, classes + 2))  # history by class
-    for r in rows.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        table[r["ca"], r["cb"]] = r["n"]
-    # all words beyond the clustered ones choose a class, and the table's column of rare words is dealt out among the classes
-    contexts = context_counts(train, {w: int(place[i]) for w, i in ids.items()}, classes)
-    others = materialise(assigned(contexts, table, classes), "lm-classes")
-    table[:, classes] = 0
-    spread = others.select("c", F.explode("near").alias("x")).groupBy("x.h", "c").agg(F.sum("x.n").alias("n"))
-    for r in spread.collect():  # a table of classes
-        table[r["h"], r["c"]] += r["n"]
+    # one class a word: place[...] for the clustered, then a choice for the others in the task, then one for those beyond it
+    number = {w: i + 1 for i, (w, _) in enumerate(known)}  # 0: not looked up in the task
+    count = np.array([0, *[c for _, c in known]], float)
+    kind = np.full(len(known) + 1, classes)
+    kind[1 : len(top) + 1] = place[: len(top)]
+    for _ in range(CHOICES if len(known) > len(top) else 0):
+        for i, c in local_choices(train, number, kind, len(top) + 1, classes).items():
+            kind[i] = c if count[i] >= LEAST else classes
+    width = classes + 2
+    around = materialise(neighbours(train, number, kind, classes), "lm-around")
+    table, wide = np.zeros((width, width)), np.zeros((width + 1, width + 1))  # class before by class
+    sums = around.where("next IS NULL").groupBy(F.col("word").isNull().alias("cell"), "h").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # a table of classes
+        if r["cell"]:
+            table[r["h"] // width, r["h"] % width] = r["n"]
+        elif r["h"] <= width:
+            wide[r["h"], width] = r["n"]
+        else:
+            wide[width, r["h"] - width - 1] = r["n"]
+    wide[:width, :width] = table
+    others = materialise(assigned(around.where("word IS NOT NULL AND next IS NULL"), wide, classes), "lm-classes")
+    for r in others.select("c", F.explode("near").alias("x")).groupBy("x.h", "c").agg(F.sum("x.n").alias("n")).collect():  # a table of classes
+        side, h = divmod(r["h"], width + 1)
+        if h < width:
+            table[(r["c"], h) if side else (h, r["c"])] += r["n"]
+    of = lambda word, c: others.select(F.col("word").alias(word), F.col("c").alias(c))
+    both = around.where("next IS NOT NULL").join(of("word", "a"), "word").join(of("next", "b"), "next")
+    for r in both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # a table of classes
+        table[r["a"], r["b"]] += r["n"]
     in_class = table.sum(axis=0)
     prior = (in_class + ADD) / (in_class.sum() + ADD * len(in_class))
     after = (table + WEIGHT * prior) / (table.sum(axis=1, keepdims=True) + WEIGHT)
-    n_rare = others.where(F.col("c") == classes).count()
+    n_rare = others.where(F.col("c") == classes).count() + int((kind[1:] == classes).sum())
     rare_total = in_class[classes] + ADD * (n_rare + 1)
-    local = others.where(F.col("n") >= n * LOCAL_SHARE).select("word", "c").toArrow()  # at most 1 / LOCAL_SHARE words
-    chosen = dict(zip(local["word"].to_pylist(), local["c"].to_pylist(), strict=True))
-    number = {w: i + 1 for i, (w, _) in enumerate(known)}  # 0: not looked up in the task
-    count = np.array([c for _, c in known], float)
-    kind = np.array([int(place[ids[w]]) if w in ids else chosen[w] for w, _ in known], np.int64)
-    history = np.array([int(place[ids[w]]) if w in ids else classes for w, _ in known], np.int64)
     emit = np.log10(np.where(kind == classes, (count + ADD) / rare_total, count / np.maximum(in_class[kind], 1)))
+    emit[0] = 0.0
     return {
         "counts": others.select("word", "n", "c"), "n": n, "distinct": distinct, "ends": ends, "number": number, "rare": classes, "end": classes + 1,
-        "count": np.append(0, count), "kind": np.append(classes, kind), "history": np.append(classes, history), "emit": np.append(0.0, emit), "after": np.log10(after),
-        "rare_total": float(rare_total), "in_class": in_class,
+        "count": count, "kind": kind, "emit": emit, "after": np.log10(after), "rare_total": float(rare_total), "in_class": in_class,
     }
 
 
@@ -284,14 +372,21 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2, pa.binary(), pa.int32(), pa.int64()]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, h int, k long"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2, pa.binary(), *[pa.int32()] * 2, *[pa.int64()] * 2]
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, h int, g int, k long, at long"
     names = [x.split()[0] for x in schema.split(", ")]
+    width = rare + 2
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two kinds of rows: what a text has in the task (its word is no word: it starts with a space), and words to look up elsewhere, by history."""
+        """Two kinds of rows: what a text has in the task (its word is no word: it starts with a space), and words to look up elsewhere.
+
+        The latter have the classes before and after, -1 for a neighbour that is looked up elsewhere too; then also their place.
+        """
         m = held.value
-        place, kind, history, emit, after, end = m["number"].get, m["kind"], m["history"], m["emit"], m["after"], m["end"]
+        place, emit, after, end = m["number"].get, m["emit"], m["after"], m["end"]
+        kind = np.append(m["kind"], end)
+        kind[0] = -1
+        last = len(kind) - 1
         log_base = np.log10((m["count"] + ADD) / base_total)
         log_base[0] = 0.0
         log_end = math.log10((m["ends"] + ADD) / base_total)
@@ -300,37 +395,45 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for doc_id, out, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 line = tokens(text)
                 x = np.array([place(w, 0) for w in line], np.int64)
-                before = np.concatenate(([end], history[x]))
-                here = x > 0
-                away = Counter((line[i], h) for i, h in zip(np.flatnonzero(~here).tolist(), before[:-1][~here].tolist(), strict=True))
-                k = len(line) - int(here.sum())
-                total = float(after[before[:-1][here], kind[x[here]]].sum() + emit[x].sum() + after[before[-1], end])
+                c = kind[np.concatenate(([last], x, [last]))]
+                here = (c[:-1] >= 0) & (c[1:] >= 0)
+                away = np.flatnonzero(x == 0)
+                h, g = c[away], c[away + 2]
+                alone = (h >= 0) & (g >= 0)
+                two += [(row, line[i], a, b, 1, i) for i, a, b in zip(away[~alone].tolist(), h[~alone].tolist(), g[~alone].tolist(), strict=True)]
+                some = Counter(zip([line[i] for i in away[alone].tolist()], h[alone].tolist(), g[alone].tolist(), strict=True))
+                two += [(row, w, a, b, k, None) for (w, a, b), k in some.items()]
+                k = len(away)
+                total = float(after[c[:-1][here], c[1:][here]].sum() + emit[x].sum())
                 base = float(log_base[x].sum()) + log_end - k * math.log10(base_total)
-                one.append((row, doc_id, out, len(line) + 1, len(line) - k + (m["ends"] > 0), base, total, b" %d" % row, None, None))
-                two += [(row, w, h, j) for (w, h), j in away.items()]
+                one.append((row, doc_id, out, len(line) + 1, len(line) - k + (m["ends"] > 0), base, total, b" %d" % row, None, None, None, None))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*one, strict=True), kinds, strict=True)], names=names)
             if two:
-                row, word, h, k = zip(*two, strict=True)
-                yield pa.record_batch([pa.array(row, kinds[0]), *[pa.nulls(len(row), t) for t in kinds[1:7]], *[pa.array(c, t) for c, t in zip((word, h, k), kinds[7:], strict=True)]], names=names)
+                row, *rest = zip(*two, strict=True)
+                yield pa.record_batch([pa.array(row, kinds[0]), *[pa.nulls(len(row), t) for t in kinds[1:7]], *[pa.array(c, t) for c, t in zip(rest, kinds[7:], strict=True)]], names=names)
 
-    counts = model["counts"].where(F.col("n") < n * LOCAL_SHARE).withColumnRenamed("n", "count")
+    counts = model["counts"].withColumnRenamed("n", "count")
     found = rows.mapInArrow(run, schema).join(counts, "word", "left")
-    # per history and class: what a word adds besides its own count
-    width = rare + 2
+    # per class before and class: what a word adds besides its own count
     emission = np.where(np.arange(width) == rare, math.log10(rare_total), np.log10(np.maximum(model["in_class"], 1)))
-    steps = F.array(*[F.lit(float(v)) for v in (model["after"] - emission).ravel()])
+    steps = F.array(*[F.lit(float(v)) for v in model["after"].ravel()])
+    emissions = F.array(*[F.lit(float(v)) for v in emission])
     count, kind = F.coalesce("count", F.lit(0)), F.coalesce("c", F.lit(rare))
-    step = F.element_at(steps, F.col("h") * width + kind + 1) + F.log10(count + F.when(kind == rare, ADD).otherwise(0.0))
+    moved = lambda a, b: F.element_at(steps, a * width + b + 1)
+    step = F.when(F.col("h") >= 0, moved(F.col("h"), kind)).otherwise(0.0) + F.when(F.col("g") >= 0, moved(kind, F.col("g"))).otherwise(0.0)
+    step = step - F.element_at(emissions, kind + 1) + F.log10(count + F.when(kind == rare, ADD).otherwise(0.0))
     one = lambda name: F.max(name).alias(name)  # noqa: E731  a single row has it
     found = found.groupBy("row").agg(
         one("doc_id"), one("held_out"), one("n_tokens"), one("base_score"), one("score"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(count > 0, F.col("k"))), F.lit(0))).alias("n_known"),
         F.coalesce(F.sum(F.col("k") * F.log10(count + ADD)), F.lit(0.0)).alias("away"),
         F.coalesce(F.sum(F.col("k") * step), F.lit(0.0)).alias("away_class"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", kind.alias("c"))))).alias("side"),  # words of one text
     )
+    follows = F.zip_with("side", F.slice("side", F.lit(2), F.size("side")), lambda a, b: F.when(b["at"] == a["at"] + 1, moved(a["c"], b["c"])).otherwise(0.0))
     return found.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("away")).alias("base_score"), (F.col("score") + F.col("away_class")).alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("away")).alias("base_score"),
+        (F.col("score") + F.col("away_class") + F.aggregate(follows, F.lit(0.0), lambda a, b: a + b)).alias("score"),
     )
 
 

@@ -64,7 +64,6 @@ def test_class_scores(docs, monkeypatch, share):
     train = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0).select("doc_id", "text")
     model = class_lm.fit(train, k, 2)
     kind = {bytes(r.word): r.c for r in model["counts"].collect()} | {w: int(model["kind"][i]) for w, i in model["number"].items()}
-    history = defaultdict(lambda: k, {w: int(model["history"][i]) for w, i in model["number"].items()})
     rows = docs.collect()
     learned = [class_lm.tokens(r.text) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10]
     count = Counter(w for ws in learned for w in ws)
@@ -75,7 +74,7 @@ def test_class_scores(docs, monkeypatch, share):
         for w in [*ws, None]:
             c = k + 1 if w is None else kind[w]
             table_[before, c] += 1
-            before = k + 1 if w is None else history[w]
+            before = k + 1 if w is None else kind.get(w, k)
     for w, n in count.items():
         emitted[kind[w]] += n
     prior = (table_.sum(axis=0) + 0.1) / (table_.sum() + 0.1 * (k + 2))
@@ -90,10 +89,56 @@ def test_class_scores(docs, monkeypatch, share):
             total += math.log10(after[before, c])
             if w is not None:
                 total += math.log10((count[w] + 0.1) / rare if c == k else count[w] / emitted[c])
-            before = k + 1 if w is None else history[w]
+            before = k + 1 if w is None else kind.get(w, k)
         assert got[r.doc_id] == pytest.approx(total, rel=1e-9)
 
 
+def plain_choices(lines, settled, open_, k, unknown, size):
+    """The class of each open word: most of sum of n log(N(h, c) / (N(h) N(c))) over its neighbours before and after."""
+    table, near = np.full((size, size), 0.1), defaultdict(Counter)
+    for ws in lines:
+        seq = [None, *ws, None]
+        at = [k + 1 if w is None else settled.get(w, unknown) for w in seq]
+        for i in range(len(seq) - 1):
+            table[at[i], at[i + 1]] += 1
+            near[seq[i + 1]][0, at[i]] += 1
+            near[seq[i]][1, at[i + 1]] += 1
+    gain = np.log(table / table.sum(axis=1, keepdims=True) / table.sum(axis=0, keepdims=True))
+    return {w: np.array([sum(n * (gain[c, h] if side else gain[h, c]) for (side, h), n in near[w].items()) for c in range(k)]) for w in open_}
+
+
+def test_class_choices(docs):
+    """Words in the task, then words beyond it, choose as the definition says (up to ties in the last digits)."""
+    k = 5
+    lines = [class_lm.tokens(r.text) for r in docs.collect()]
+    order = [w for w, _ in sorted(Counter(w for ws in lines for w in ws).items(), key=lambda x: (-x[1], x[0]))]
+    first, local = 21, order[:60]
+    number = {w: i + 1 for i, w in enumerate(local)}
+    kind = np.array([k, *[i % k for i in range(first - 1)], *[k] * (len(local) - first + 1)])
+    got = class_lm.local_choices(docs.select("text"), number, kind, first, k)
+    want = plain_choices(lines, {w: int(kind[i]) for w, i in number.items()}, local[first - 1 :], k, k, k + 2)
+    assert set(got) == {number[w] for w in want}
+    assert all(v[got[number[w]]] >= v.max() - 1e-6 for w, v in want.items())
+    for i, c in got.items():
+        kind[i] = c
+    around = class_lm.neighbours(docs.select("text"), number, kind, k).collect()
+    table = np.zeros((k + 3, k + 3))
+    for ws in lines:
+        at = [k + 1, *[int(kind[number[w]]) if w in number else k + 2 for w in ws], k + 1]
+        for a, b in zip(at, at[1:], strict=False):
+            table[a, b] += 1
+    cells = {(r.h // (k + 2), r.h % (k + 2)): r.n for r in around if r.word is None}
+    assert cells == {(a, b): table[a, b] for a in range(k + 2) for b in range(k + 2) if table[a, b]}
+    pairs = Counter((a, b) for ws in lines for a, b in zip(ws, ws[1:], strict=False) if a not in number and b not in number)
+    assert pairs == {(bytes(r.word), bytes(r.next)): r.n for r in around if r.next is not None}
+    near = docs.sparkSession.createDataFrame([(r.word, r.h, r.n) for r in around if r.word is not None and r.next is None], "word binary, h int, n long")
+    others = {bytes(r.word): r.c for r in class_lm.assigned(near, table, k).collect()}
+    count = Counter(w for ws in lines for w in ws)
+    want = plain_choices(lines, {w: int(kind[i]) for w, i in number.items()}, set(count) - set(number), k, k + 2, k + 3)
+    assert set(others) == set(want)
+    assert all(others[w] == k if count[w] < class_lm.LEAST else v[others[w]] >= v.max() - 1e-6 for w, v in want.items())
+
+
 ONE, TWO, THREE = "alpha beta gamma delta epsilon zeta", "one two three four five six seven", "completely other words stand in this text here"
 
 
