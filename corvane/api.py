@@ -194,7 +194,12 @@ class Engine:
 
     def outline(self, path: str) -> DataFrame:
         own = self.index.symbols.where(F.col("file_path") == path)
-        return hierarchy.outline_parents(own.select("file_path", F.col("qualified_name").alias("qname")))
+        return hierarchy.outline_levels(own.select("file_path", F.col("qualified_name").alias("qname")))
+
+    def outline_head(self, path: str) -> DataFrame:
+        """file_path, language, lines, tokens of a file; one that is not indexed is of language ``unknown``, with zeros."""
+        own = self.index.chunks.where(F.col("file_path") == path)
+        return own.agg(F.coalesce(F.min("language"), F.lit("unknown")).alias("language"), F.coalesce(F.max("end_line"), F.lit(0)).alias("lines"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")).select(F.lit(path).alias("file_path"), "language", "lines", "tokens")
 
     def symbols(self, words: str, kind: str | None = None, limit: int = 20, language: str | None = None) -> DataFrame:
         """Chunks of symbols in whose names the words stand side by side, from the index of names; by id."""

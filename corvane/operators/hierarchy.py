@@ -30,6 +30,23 @@ def outline_parents(symbols: DataFrame) -> DataFrame:
     return named.join(parents, (named["file_path"] == parents["file_path"]) & (named["__parent"] == parents["parent"]), "left").select(named["file_path"], "qname", "parent")
 
 
+def outline_levels(symbols: DataFrame) -> DataFrame:
+    """file_path, qname, parent, top, depth of every name of a file: its parent, the outermost name above it without a gap (itself at the top), and how many are above.
+
+    A name's ancestors are the beginnings of it; all of them meet the names of their file in one join, so no level waits for another.
+    """
+    names = symbols.select("file_path", "qname").where("qname IS NOT NULL").distinct()
+    parts = F.split("qname", r"(?=::|\.)")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct((F.size(parts) - n).alias("up"), F.array_join(F.slice(parts, 1, n), "").alias("name")))
+    asked = names.select("file_path", "qname", F.explode(above).alias("x")).select("file_path", "qname", "x.up", "x.name")
+    found = asked.join(names.select("file_path", F.col("qname").alias("name"), F.lit(True).alias("there")), ["file_path", "name"], "left")
+    line = F.array_sort(F.collect_list(F.struct("up", "name", F.col("there").isNotNull().alias("there"))))  # the parts of one name
+    gap = F.array_min(F.transform(F.filter("line", lambda x: ~x["there"]), lambda x: x["up"]))
+    depth = F.coalesce(gap, F.size("line")) - 1
+    rows = found.groupBy("file_path", "qname").agg(line.alias("line")).withColumn("depth", depth)
+    return rows.select("file_path", "qname", F.when(F.col("depth") > 0, F.element_at("line", 2)["name"]).alias("parent"), F.element_at("line", F.col("depth") + 1)["name"].alias("top"), "depth")
+
+
 def root_order(tree: DataFrame) -> DataFrame:
     """place, path, is_dir of the top level: folders first, then by path."""
     top = tree.where("depth = 1").select("path", "is_dir")

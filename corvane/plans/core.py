@@ -188,6 +188,17 @@ def j21_outline_parent(spark, sf_dir):
     return hierarchy.outline_parents(q)
 
 
+@query("""WITH RECURSIVE q AS (SELECT DISTINCT o_orderstatus AS file_path, array_to_string(string_split(CAST(o_orderkey AS VARCHAR), ''), '.') AS qname FROM orders),
+up AS (SELECT file_path, qname, qname AS node, 0 AS depth FROM q UNION ALL SELECT up.file_path, up.qname, p.qname, depth + 1 FROM up JOIN q p ON p.file_path = up.file_path AND p.qname = regexp_extract(up.node, '^(.*)(::|\\.)[^.:]*$', 1))
+SELECT file_path, qname, max(CASE WHEN depth = 1 THEN node END) AS parent, arg_max(node, depth) AS top, CAST(max(depth) AS INTEGER) AS depth FROM up GROUP BY file_path, qname""")
+def h3_outline(spark, sf_dir):
+    """Orders as nested names, a level a digit of their key."""
+    from corvane.operators import hierarchy
+
+    name = F.array_join(F.regexp_extract_all(F.col("o_orderkey").cast("string"), F.lit("[0-9]"), 0), ".")
+    return hierarchy.outline_levels(read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("file_path"), name.alias("qname")))
+
+
 # aggregates
 
 

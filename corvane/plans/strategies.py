@@ -15,6 +15,7 @@ from corvane.operators import metrics, retrieval, vectors
 #: engine, question, expected files -> file_path, rank, tokens
 Strategy = Callable[[Engine, str, list[str]], DataFrame]
 STRATEGIES: dict[str, Strategy] = {}
+MEASURES = ["recall", "precision", "f1", "mrr", "ndcg", "map"]
 
 
 def strategy(f: Strategy) -> Strategy:
@@ -76,24 +77,25 @@ def symbol_lookup(engine: Engine, question: str, expected: list[str]) -> DataFra
 
 
 def run_task(engine: Engine, task: dict, names: list[str] | None = None) -> list[dict]:
-    """One row a strategy: task_id, strategy, tokens, wall_ms and the metrics; a strategy that fails is left out."""
+    """One row a strategy: task_id, strategy, tokens, wall_ms and the metrics; a strategy that fails has its error and no measures."""
     spark, out = engine.spark, []
     wanted = spark.createDataFrame([(task["task_id"], f) for f in task["expected_files"]], "task_id string, file_path string")
     for name in names or list(STRATEGIES):
         start = time.perf_counter()
         try:
             rows = STRATEGIES[name](engine, task["question"], task["expected_files"]).withColumn("task_id", F.lit(task["task_id"])).collect()  # the files of one answer
-        except Exception:  # noqa: BLE001  one way to answer must not end the others
+        except Exception as e:  # noqa: BLE001  one way to answer must not end the others
+            out.append(dict.fromkeys(MEASURES) | {"task_id": task["task_id"], "strategy": name, "error": f"{type(e).__name__}: {e}", "tokens": None, "wall_ms": 1000 * (time.perf_counter() - start)})
             continue
         found = spark.createDataFrame([(r["task_id"], r["file_path"], r["rank"]) for r in rows], "task_id string, file_path string, rank int")
         measured = metrics.per_task(found, wanted).first().asDict()
-        out.append(measured | {"strategy": name, "tokens": sum(r["tokens"] or 0 for r in rows), "wall_ms": 1000 * (time.perf_counter() - start)})
+        out.append(measured | {"strategy": name, "error": None, "tokens": sum(r["tokens"] or 0 for r in rows), "wall_ms": 1000 * (time.perf_counter() - start)})
     return out
 
 
 def run_all(engine: Engine, tasks: list[dict], names: list[str] | None = None) -> DataFrame:
     """All tasks by all strategies, with the tokens saved against whole files."""
     rows = [r for task in tasks for r in run_task(engine, task, names)]
-    columns = ["task_id", "strategy", "tokens", "wall_ms", "recall", "precision", "f1", "mrr", "ndcg", "map"]
-    results = engine.spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], "task_id string, strategy string, tokens long, wall_ms double, " + ", ".join(f"{c} double" for c in columns[4:]))
+    columns = ["task_id", "strategy", "error", "tokens", "wall_ms", *MEASURES]
+    results = engine.spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], "task_id string, strategy string, error string, tokens long, wall_ms double, " + ", ".join(f"{c} double" for c in MEASURES))
     return metrics.backfill_savings(results, "raw_files")

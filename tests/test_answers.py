@@ -82,6 +82,27 @@ def test_modules_and_profile(engine):
     assert {r.alternatives[0] for r in engine.decisions().collect()} <= {"Decorators", "Static imports", "Direct calls", "Active record", "Conditional branches", "Custom implementation"}
 
 
+def test_outline_levels(spark, engine):
+    """Several levels, both separators, a gap (the chain ends there), repeats, a null name, another file's names."""
+    names = [("f", "A"), ("f", "A"), ("f", "A::B"), ("f", "A::B.c"), ("f", "X.y.z"), ("f", "X"), ("f", None), ("g", "A::B.c"), ("g", "A::B")]
+    rows = hierarchy.outline_levels(spark.createDataFrame(names, "file_path string, qname string")).collect()
+    assert sorted((r.file_path, r.qname, r.parent, r.top, r.depth) for r in rows) == [
+        ("f", "A", None, "A", 0), ("f", "A::B", "A", "A", 1), ("f", "A::B.c", "A::B", "A", 2), ("f", "X", None, "X", 0), ("f", "X.y.z", None, "X.y.z", 0),
+        ("g", "A::B", None, "A::B", 0), ("g", "A::B.c", "A::B", "A::B", 1),
+    ]
+    assert tuple(engine.outline_head("no such file").first()) == ("no such file", "unknown", 0, 0)
+    assert engine.outline_head("utils.py").first().language == "python"
+
+
+def test_failing_strategy(engine, monkeypatch):
+    def broken(engine, question, expected):
+        raise ValueError("no way")
+
+    monkeypatch.setitem(strategies.STRATEGIES, "broken", broken)
+    rows = {r["strategy"]: r for r in strategies.run_task(engine, {"task_id": "t", "question": "q", "expected_files": ["utils.py"]}, ["broken", "raw_files"])}
+    assert rows["broken"]["error"] == "ValueError: no way" and rows["broken"]["recall"] is None and rows["raw_files"]["error"] is None
+
+
 def test_drawings():
     assert hierarchy.draw_outline([{"qname": "A.m", "kind": "method", "start_line": 2}, {"qname": "A", "kind": "class", "start_line": 1}]) == "class A:1\n  method m:2"
     assert hierarchy.draw_tree([{"path": "b.py", "is_dir": False}, {"path": "a", "is_dir": True}, {"path": "a/c.py", "is_dir": False}]) == "├── a/\n│   └── c.py\n└── b.py"
