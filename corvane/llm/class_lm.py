@@ -35,11 +35,11 @@ counts in training.  Empty table: no rows.  Extra columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +50,8 @@ CLUSTER_SHARE, LOCAL_SHARE = 2e-5, 2e-6
 #: Tokens a word must have for a class of its own choice, and how often the words looked up in the task choose.
 LEAST, CHOICES = 3, 2
 ADD, WEIGHT = 0.1, 50.0
+#: Bytes of text that a task looks at together.
+SLICE = 8 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -57,20 +59,69 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of many texts at once: all words (binary), and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten().cast(pa.binary())
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    ends = np.concatenate(([0], np.cumsum(full)))[parts.offsets.to_numpy()]
+    return words.filter(pa.array(full)), np.diff(ends)
+
+
+def in_order(number: dict[bytes, int]) -> pa.Array:
+    """Words by their numbers, which follow one another."""
+    return pa.array(sorted(number, key=number.get), pa.binary())
+
+
+def numbered(texts: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of some texts, their places in ``known`` from 1 on (0: not there), and how many words each text has."""
+    words, sizes = words_in(texts)
+    return words, pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, sizes
+
+
+def in_line(x: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts with ``end`` before and after each text, and the places of the numbers among them."""
+    line = np.full(len(x) + len(sizes) + 1, end, np.int64)
+    place = np.arange(len(x)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    line[place] = x
+    return line, place
+
+
+def summed(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Keys and their counts added up, in one piece unless there are many keys."""
+
+    def total() -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > most:
+            held = [total()]
+            size = len(held[0][0])
+            if size > most // 2:
+                yield pa.record_batch([pa.array(x) for x in held.pop()], names=["key", "n"])
+                size = 0
+    if size:
+        yield pa.record_batch([pa.array(x) for x in total()], names=["key", "n"])
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """word (binary), n over all texts."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
-            return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays(pc.value_counts(pa.chunked_array(held)).flatten(), names=["word", "n"])
 
-        held: Counter = Counter()
-        for batch in batches(frames):
-            for text in batch.column(0).to_pylist():
-                held.update(tokens(text))
-            if len(held) > 500_000:
+        held, size = [], 0
+        for batch in batches(frames, SLICE):
+            held.append(words_in(batch.column(0))[0])
+            size += held[-1].nbytes
+            if size > 8 * SLICE:
                 yield out(held)
-                held = Counter()
+                held, size = [], 0
         if held:
             yield out(held)
 
@@ -79,29 +130,16 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def pair_counts(train: DataFrame, ids: dict[bytes, int], rare: int, end: int) -> DataFrame:
     """a, b, n: neighbouring tokens by number; a text begins after an end token."""
-    held = train.sparkSession.sparkContext.broadcast(ids)
+    held = train.sparkSession.sparkContext.broadcast(in_order(ids))
     width = end + 1
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = held.value
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches(frames):
-            line = [end]
-            for text in batch.column(0).to_pylist():
-                line += [place.get(w, rare) for w in tokens(text)]
-                line.append(end)
-            x = np.array(line, np.int64)
-            some, n = np.unique(x[:-1] * width + x[1:], return_counts=True)
-            every = np.concatenate((keys, some))
-            keys, at = np.unique(every, return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-            if len(keys) > 3_000_000:
-                yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-    rows = train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def parts(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches(frames, SLICE):
+            _, x, sizes = numbered(batch.column(0), held.value)
+            line, _ = in_line(np.where(x == 0, rare, x - 1), sizes, end)
+            yield np.unique(line[:-1] * width + line[1:], return_counts=True)
+
+    rows = train.select("text").mapInArrow(lambda frames: summed(parts(frames)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return rows.select(F.expr(f"CAST(key DIV {width} AS INT)").alias("a"), (F.col("key") % width).cast("int").alias("b"), "n")
 
 
@@ -112,45 +150,44 @@ def gains(table: np.ndarray, classes: int) -> np.ndarray:
     return np.concatenate((gain[:, :classes], gain[:classes].T))
 
 
-def likeliest(near: pa.ListArray, gain: np.ndarray) -> np.ndarray:
-    """The first best class for lists of (h, n): row of ``gain``, and how often."""
-    flat, offsets = near.flatten(), near.offsets.to_numpy()
-    rows = np.repeat(np.arange(len(near)), np.diff(offsets))
-    counts = np.zeros((len(near), len(gain)))
-    np.add.at(counts, (rows, flat.field(0).to_numpy()), flat.field(1).to_numpy())
+def lengths(lists: pa.ListArray) -> np.ndarray:
+    return np.diff(lists.offsets.to_numpy())
+
+
+def laid_out(rows: np.ndarray, h: np.ndarray, n: np.ndarray | None, shape: tuple[int, int]) -> np.ndarray:
+    """Counts by row and neighbour."""
+    return np.bincount(rows * shape[1] + h, n, shape[0] * shape[1]).reshape(shape)
+
+
+def likeliest(counts: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The first best class for counts by neighbour, each a row of ``gain``."""
     return (counts @ gain).argmax(axis=1).astype(np.int32)
 
 
 def local_choices(train: DataFrame, number: dict[bytes, int], kind: np.ndarray, first: int, classes: int) -> dict[int, int]:
     """Number to class of the words numbered ``first`` and beyond, from neighbours whose class ``kind`` has by number (0: of other words)."""
     width = classes + 2
-    held = train.sparkSession.sparkContext.broadcast((number, np.append(kind, classes + 1)))
+    held = train.sparkSession.sparkContext.broadcast((in_order(number), np.append(kind, classes + 1)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys from 0 on: word and neighbour; below: cells of the classes' table."""
-        number, kind = held.value
-        of, end = number.get, len(kind) - 1
-        keys, counts, table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(width * width, np.int64)
-        out = lambda keys, counts: pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
-        for batch in batches(frames):
-            line = [end]
-            for text in batch.column(0).to_pylist():
-                line += [of(w, 0) for w in tokens(text)]
-                line.append(end)
-            x = np.array(line, np.int64)
-            c = kind[x]
-            table += np.bincount(c[:-1] * width + c[1:], minlength=width * width)
-            open_ = (x >= first) & (x < end)
-            left, right = open_[1:], open_[:-1]
-            some, n = np.unique(np.concatenate((x[1:][left] * (2 * width) + c[:-1][left], x[:-1][right] * (2 * width) + width + c[1:][right])), return_counts=True)
-            every = np.concatenate((keys, some))
-            keys, at = np.unique(every, return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-            if len(keys) > 3_000_000:
-                yield out(keys, counts)
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known, kind = held.value
+        end = len(kind) - 1
+        table = np.zeros(width * width, np.int64)
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches(frames, SLICE):
+                _, x, sizes = numbered(batch.column(0), known)
+                x, _ = in_line(x, sizes, end)
+                c = kind[x]
+                table[:] += np.bincount(c[:-1] * width + c[1:], minlength=width * width)
+                open_ = (x >= first) & (x < end)
+                left, right = open_[1:], open_[:-1]
+                yield np.unique(np.concatenate((x[1:][left] * (2 * width) + c[:-1][left], x[:-1][right] * (2 * width) + width + c[1:][right])), return_counts=True)
+
+        yield from summed(parts())
         cells = np.flatnonzero(table)
-        yield out(np.concatenate((keys, -1 - cells)), np.concatenate((counts, table[cells])))
+        yield pa.record_batch([pa.array(-1 - cells), pa.array(table[cells])], names=["key", "n"])
 
     found = materialise(train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-near")
     table = np.zeros(width * width)
@@ -161,74 +198,139 @@ def local_choices(train: DataFrame, number: dict[bytes, int], kind: np.ndarray,
 
     def pick(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            yield pa.record_batch([batch.column(0), pa.array(likeliest(batch.column(1), gain))], names=["id", "c"])
+            near = batch.column(1)
+            h, n = (x.to_numpy() for x in near.flatten().flatten())
+            counts = laid_out(np.repeat(np.arange(len(near)), lengths(near)), h, n, (len(near), len(gain)))
+            yield pa.record_batch([batch.column(0), pa.array(likeliest(counts, gain))], names=["id", "c"])
 
     chosen = words.mapInArrow(pick, "id long, c int").toArrow()  # at most 1 / LOCAL_SHARE words
     return dict(zip(chosen["id"].to_pylist(), chosen["c"].to_pylist(), strict=True))
 
 
+def with_others(kind: np.ndarray, classes: int) -> np.ndarray:
+    """Class by number with that of an end added; words without a number have ``classes + 2``."""
+    return np.concatenate(([classes + 2], kind[1:], [classes + 1]))
+
+
+def class_table(train: DataFrame, number: dict[bytes, int], kind: np.ndarray, classes: int) -> np.ndarray:
+    """How often one class stands before another; the last is that of words without a number."""
+    width = classes + 3
+    held = train.sparkSession.sparkContext.broadcast((in_order(number), with_others(kind, classes)))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kind = held.value
+        table = np.zeros(width * width, np.int64)
+        for batch in batches(frames, SLICE):
+            _, x, sizes = numbered(batch.column(0), known)
+            c = kind[in_line(x, sizes, len(kind) - 1)[0]]
+            table += np.bincount(c[:-1] * width + c[1:], minlength=width * width)
+        cells = np.flatnonzero(table)
+        yield pa.record_batch([pa.array(cells), pa.array(table[cells])], names=["key", "n"])
+
+    table = np.zeros(width * width)
+    for r in train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a table of classes
+        table[r["key"]] = r["n"]
+    return table.reshape(width, width)
+
+
+def contexts(train: DataFrame, number: dict[bytes, int], kind: np.ndarray, classes: int) -> DataFrame:
+    """word, near, next of words that have no number: a row for a word and slice of the texts.
+
+    near: for each time the word is there, its neighbour's class before it, and that after it (``classes + 3`` more); next: the
+    words without a number that follow it.
+    """
+    size = classes + 3
+    held = train.sparkSession.sparkContext.broadcast((in_order(number), with_others(kind, classes)))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kind = held.value
+        for batch in batches(frames, SLICE):
+            words, x, sizes = numbered(batch.column(0), known)
+            line, _ = in_line(x, sizes, len(kind) - 1)
+            c, at = kind[line], np.flatnonzero(line == 0)
+            coded = words.filter(pa.array(x == 0)).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            near = np.stack((c[at - 1], c[at + 1] + size), axis=1)[order].ravel().astype(np.int32)
+            followed = order[line[at + 1][order] == 0]
+            lists = [np.concatenate(([0], np.cumsum(np.bincount(code[i], minlength=len(coded.dictionary))))).astype(np.int32) for i in (order, followed)]
+            after = coded.dictionary.take(pa.array(code[followed + 1]))
+            yield pa.record_batch([coded.dictionary, pa.ListArray.from_arrays(2 * lists[0], near), pa.ListArray.from_arrays(lists[1], after)], names=["word", "near", "next"])
+
+    return train.select("text").mapInArrow(run, "word binary, near array<int>, next array<binary>")
+
+
 def neighbours(train: DataFrame, number: dict[bytes, int], kind: np.ndarray, classes: int) -> DataFrame:
-    """word, next, h, n around words that have no number.
+    """word, next, h, n: the contexts counted.
 
     Of a word: its neighbour's class h before it, or after it (then h is ``classes + 3`` more); ``classes + 2`` stands for a
     neighbour without a number, and such a pair is a row (word, next) besides.  Rows without a word are cells of the table of
     the numbered words' classes, h = before * (classes + 2) + after.
     """
-    width = classes + 2
-    known = np.append(kind, classes + 1)
-    known[0] = width
-    held = train.sparkSession.sparkContext.broadcast((number, known))
-    names = ["word", "next", "h", "n"]
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, kind = held.value
-        of, end = number.get, len(kind) - 1
-
-        def out(near: Counter, pairs: Counter) -> pa.RecordBatch:
-            word, h = zip(*near, strict=True) if near else ((), ())
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.record_batch([pa.array(word + a, pa.binary()), pa.array((None,) * len(word) + b, pa.binary()), pa.array(h + (None,) * len(a), pa.int32()), pa.array([*near.values(), *pairs.values()], pa.int64())], names=names)
-
-        near, pairs, table = Counter(), Counter(), np.zeros((width + 1) ** 2, np.int64)
-        for batch in batches(frames):
-            for text in batch.column(0).to_pylist():
-                line = tokens(text)
-                x = np.array([end, *[of(w, 0) for w in line], end], np.int64)
-                c = kind[x]
-                table += np.bincount(c[:-1] * (width + 1) + c[1:], minlength=(width + 1) ** 2)
-                at = np.flatnonzero(x == 0)
-                word = [line[i - 1] for i in at.tolist()]
-                near.update(zip(word, c[at - 1].tolist(), strict=True))
-                near.update(zip(word, (c[at + 1] + width + 1).tolist(), strict=True))
-                pairs.update((line[i - 1], line[i]) for i in at[x[at + 1] == 0].tolist())
-            if len(near) + len(pairs) > 500_000:
-                yield out(near, pairs)
-                near, pairs = Counter(), Counter()
-        yield out(near, pairs)
-        table = table.reshape(width + 1, width + 1)[:width, :width].ravel()
-        cells = np.flatnonzero(table)
-        nothing = pa.nulls(len(cells), pa.binary())
-        yield pa.record_batch([nothing, nothing, pa.array(cells, pa.int32()), pa.array(table[cells])], names=names)
+    around, width = contexts(train, number, kind, classes), classes + 2
+    table = class_table(train, number, kind, classes)[:width, :width].ravel()
+    cells = train.sparkSession.createDataFrame([(None, None, i, int(table[i])) for i in np.flatnonzero(table).tolist()], "word binary, next binary, h int, n long")
+    near = around.select("word", F.lit(None).cast("binary").alias("next"), F.explode("near").alias("h"))
+    pairs = around.select("word", F.explode("next").alias("next"), F.lit(None).cast("int").alias("h"))
+    return near.unionByName(pairs).groupBy("word", "next", "h").agg(F.count("*").alias("n")).unionByName(cells)
 
-    return train.select("text").mapInArrow(run, "word binary, next binary, h int, n long").groupBy("word", "next", "h").agg(F.sum("n").alias("n"))
 
+def chosen(around: DataFrame, table: np.ndarray, classes: int, least: int = LEAST) -> DataFrame:
+    """word, next, h, c, n from contexts: a row (word, c, n) for each word, which is there n times and takes class c.
 
-def assigned(contexts: DataFrame, table: np.ndarray, classes: int, least: int = LEAST) -> DataFrame:
-    """word, n, c, near (its counts by neighbour): the class under which a word's neighbours are likeliest, given the classes' table.
-
-    That is the sum over its neighbours h of n * log(N(h, c) / (N(h) N(c))), before and after it, with N the table; a word
-    seen less than ``least`` times has the rare class.
+    That is the class under which its neighbours are likeliest, given the classes' table N: the sum over its neighbours h of
+    log(N(h, c) / (N(h) N(c))), before and after it; a word seen less than ``least`` times has the rare class.  Besides, rows
+    (next, c, n) for a word after one of class c, and rows (h, c, n) for neighbours h of all words of class c.
     """
-    size = len(table)
-    gain = gains(table, classes)
-    words = contexts.groupBy("word").agg(F.sum(F.when(F.col("h") < size, F.col("n")).otherwise(0)).alias("n"), F.collect_list(F.struct("h", "n")).alias("near"))  # 2 * size entries a word
+    size, gain = len(table), gains(table, classes)
+    schema = "word binary, next binary, h int, c int, n long"
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            best = np.where(batch.column(1).to_numpy() >= least, likeliest(batch.column(2), gain), classes)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), batch.column(2)], names=["word", "n", "c", "near"])
+        sums = np.zeros((classes + 1, len(gain)))
+
+        def out(rows: int, **columns) -> pa.RecordBatch:
+            names = [x.split()[0] for x in schema.split(", ")]
+            return pa.record_batch([pa.array(columns[x], t) if x in columns else pa.nulls(rows, t) for x, t in zip(names, kinds, strict=True)], names=names)
 
-    return words.mapInArrow(run, "word binary, n long, c int, near array<struct<h:int,n:bigint>>")
+        def settled(words: pa.Array, counts: np.ndarray, owner: np.ndarray, follow: pa.Array) -> Iterator[pa.RecordBatch]:
+            n = counts[:, :size].sum(axis=1).astype(np.int64)
+            c = np.where(n >= least, likeliest(counts, gain), classes)
+            np.add.at(sums, c, counts)
+            yield out(len(words), word=words, c=c, n=n)
+            if len(follow):
+                yield out(len(follow), next=follow, c=c[owner], n=np.ones(len(follow), np.int64))
+
+        last = None  # of a word that may go on: the word, its counts by neighbour, and what follows it
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            words, near, follow = batch.columns
+            new = np.concatenate(([True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)))
+            group, words = np.cumsum(new) - 1, words.filter(pa.array(new))
+            counts = laid_out(np.repeat(group, lengths(near)), near.flatten().to_numpy(), None, (len(words), len(gain)))
+            owner, follow = np.repeat(group, lengths(follow)), follow.flatten()
+            if last is not None and last[0].equals(words.slice(0, 1)):
+                counts[0] += last[1]
+                owner, follow = np.concatenate((np.zeros(len(last[2]), np.int64), owner)), pa.concat_arrays([last[2], follow])
+            elif last is not None:
+                yield from settled(last[0], last[1][None], np.zeros(len(last[2]), np.int64), last[2])
+            end = len(words) - 1
+            rest = np.searchsorted(owner, end)
+            last = words.slice(end), counts[end], follow.slice(rest)
+            yield from settled(words.slice(0, end), counts[:end], owner[:rest], follow.slice(0, rest))
+        if last is not None:
+            yield from settled(last[0], last[1][None], np.zeros(len(last[2]), np.int64), last[2])
+        c, h = np.nonzero(sums)
+        yield out(len(c), h=h, c=c, n=sums[c, h].astype(np.int64))
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
+
+
+def assigned(counted: DataFrame, table: np.ndarray, classes: int, least: int = LEAST) -> DataFrame:
+    """word, n, c: the choice from counted neighbours (word, h, n)."""
+    around = counted.select("word", F.expr("array_repeat(h, CAST(n AS INT))").alias("near"), F.expr("CAST(array() AS array<binary>)").alias("next"))
+    return chosen(around, table, classes, least).where("word IS NOT NULL").select("word", "n", "c")
 
 
 def information(table: np.ndarray) -> float:
@@ -333,24 +435,16 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> dict:
         for i, c in local_choices(train, number, kind, len(top) + 1, classes).items():
             kind[i] = c if count[i] >= LEAST else classes
     width = classes + 2
-    around = materialise(neighbours(train, number, kind, classes), "lm-around")
-    table, wide = np.zeros((width, width)), np.zeros((width + 1, width + 1))  # class before by class
-    sums = around.where("next IS NULL").groupBy(F.col("word").isNull().alias("cell"), "h").agg(F.sum("n").alias("n"))
-    for r in sums.collect():  # a table of classes
-        if r["cell"]:
-            table[r["h"] // width, r["h"] % width] = r["n"]
-        elif r["h"] <= width:
-            wide[r["h"], width] = r["n"]
-        else:
-            wide[width, r["h"] - width - 1] = r["n"]
-    wide[:width, :width] = table
-    others = materialise(assigned(around.where("word IS NOT NULL AND next IS NULL"), wide, classes), "lm-classes")
-    for r in others.select("c", F.explode("near").alias("x")).groupBy("x.h", "c").agg(F.sum("x.n").alias("n")).collect():  # a table of classes
+    wide = class_table(train, number, kind, classes)
+    table = wide[:width, :width].copy()  # class before by class
+    found = materialise(chosen(contexts(train, number, kind, classes), wide, classes), "lm-classes")
+    others = found.where("word IS NOT NULL").select("word", "n", "c")
+    for r in found.where("h IS NOT NULL").groupBy("h", "c").agg(F.sum("n").alias("n")).collect():  # a table of classes
         side, h = divmod(r["h"], width + 1)
         if h < width:
             table[(r["c"], h) if side else (h, r["c"])] += r["n"]
-    of = lambda word, c: others.select(F.col("word").alias(word), F.col("c").alias(c))
-    both = around.where("next IS NOT NULL").join(of("word", "a"), "word").join(of("next", "b"), "next")
+    pairs = found.where("next IS NOT NULL").groupBy("next", F.col("c").alias("a")).agg(F.sum("n").alias("n"))
+    both = pairs.join(others.select(F.col("word").alias("next"), F.col("c").alias("b")), "next")
     for r in both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # a table of classes
         table[r["a"], r["b"]] += r["n"]
     in_class = table.sum(axis=0)
@@ -361,80 +455,94 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> dict:
     emit = np.log10(np.where(kind == classes, (count + ADD) / rare_total, count / np.maximum(in_class[kind], 1)))
     emit[0] = 0.0
     return {
-        "counts": others.select("word", "n", "c"), "n": n, "distinct": distinct, "ends": ends, "number": number, "rare": classes, "end": classes + 1,
+        "counts": others, "n": n, "distinct": distinct, "ends": ends, "number": number, "rare": classes, "end": classes + 1,
         "count": count, "kind": kind, "emit": emit, "after": np.log10(after), "rare_total": float(rare_total), "in_class": in_class,
     }
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
-    n, base_total, rare_total, rare = model["n"], model["n"] + ADD * (model["distinct"] + 1), model["rare_total"], model["rare"]
-    held = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
+    n, base_total, rare = model["n"], model["n"] + ADD * (model["distinct"] + 1), model["rare"]
+    held = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("counts", "number")} | {"known": in_order(model["number"])})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2, pa.binary(), *[pa.int32()] * 2, *[pa.int64()] * 2]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, h int, g int, k long, at long"
-    names = [x.split()[0] for x in schema.split(", ")]
-    width = rare + 2
+    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+    result = "doc_id: bigint, held_out: boolean, n_tokens: bigint, n_known: bigint, base_score: double, score: double"
+    names = ["row", "word", "h", "g", "k", "doc"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two kinds of rows: what a text has in the task (its word is no word: it starts with a space), and words to look up elsewhere.
+        """Two kinds of rows: what a text has in the task (k is -1; its word is no word: it starts with a space), and words to look up elsewhere.
 
-        The latter have the classes before and after, -1 for a neighbour that is looked up elsewhere too; then also their place.
+        The latter have the classes before and after, and how often (k); -1 for a neighbour that is looked up elsewhere too, then k is their place.
         """
         m = held.value
-        place, emit, after, end = m["number"].get, m["emit"], m["after"], m["end"]
-        kind = np.append(m["kind"], end)
+        kind = np.append(m["kind"], m["end"])
         kind[0] = -1
         last = len(kind) - 1
         log_base = np.log10((m["count"] + ADD) / base_total)
         log_base[0] = 0.0
         log_end = math.log10((m["ends"] + ADD) / base_total)
-        for batch in batches(frames):
-            one, two = [], []
-            for doc_id, out, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                line = tokens(text)
-                x = np.array([place(w, 0) for w in line], np.int64)
-                c = kind[np.concatenate(([last], x, [last]))]
-                here = (c[:-1] >= 0) & (c[1:] >= 0)
-                away = np.flatnonzero(x == 0)
-                h, g = c[away], c[away + 2]
-                alone = (h >= 0) & (g >= 0)
-                two += [(row, line[i], a, b, 1, i) for i, a, b in zip(away[~alone].tolist(), h[~alone].tolist(), g[~alone].tolist(), strict=True)]
-                some = Counter(zip([line[i] for i in away[alone].tolist()], h[alone].tolist(), g[alone].tolist(), strict=True))
-                two += [(row, w, a, b, k, None) for (w, a, b), k in some.items()]
-                k = len(away)
-                total = float(after[c[:-1][here], c[1:][here]].sum() + emit[x].sum())
-                base = float(log_base[x].sum()) + log_end - k * math.log10(base_total)
-                one.append((row, doc_id, out, len(line) + 1, len(line) - k + (m["ends"] > 0), base, total, b" %d" % row, None, None, None, None))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*one, strict=True), kinds, strict=True)], names=names)
-            if two:
-                row, *rest = zip(*two, strict=True)
-                yield pa.record_batch([pa.array(row, kinds[0]), *[pa.nulls(len(row), t) for t in kinds[1:7]], *[pa.array(c, t) for c, t in zip(rest, kinds[7:], strict=True)]], names=names)
+        for batch in batches(frames, SLICE):
+            doc_id, out, text, row = batch.columns
+            words, x, sizes = numbered(text, m["known"])
+            line, place = in_line(x, sizes, last)
+            c, texts = kind[line], np.arange(len(sizes))
+            here = (c[:-1] >= 0) & (c[1:] >= 0)
+            doc, step = np.repeat(texts, sizes), np.repeat(texts, sizes + 1)
+            total = np.bincount(step[here], m["after"][c[:-1][here], c[1:][here]], len(sizes)) + np.bincount(doc, m["emit"][x], len(sizes))
+            k = np.bincount(doc[x == 0], minlength=len(sizes))
+            base = np.bincount(doc, log_base[x], len(sizes)) + log_end - k * math.log10(base_total)
+            mine = pa.StructArray.from_arrays([pa.array(v, t) for v, (_, t) in zip((doc_id, out, sizes + 1, sizes - k + (m["ends"] > 0), base, total), fields, strict=True)], fields=[pa.field(*f) for f in fields])
+            no_word = pc.binary_join_element_wise("", row.cast(pa.string()), " ").cast(pa.binary())
+            none = np.zeros(len(sizes), np.int32)
+            yield pa.record_batch([row, no_word, pa.array(none), pa.array(none), pa.array(none - 1, pa.int64()), mine], names=names)
+            away = np.flatnonzero(x == 0)
+            coded, d = words.take(pa.array(away)).dictionary_encode(), doc[away]
+            word, h, g = coded.indices.to_numpy().astype(np.int64), c[place[away] - 1], c[place[away] + 1]
+            alone = (h >= 0) & (g >= 0)
+            key = ((d * len(coded.dictionary) + word) * (rare + 2) + h) * (rare + 2) + g
+            _, first, often = np.unique(key[alone], return_index=True, return_counts=True)
+            at = np.concatenate((np.flatnonzero(alone)[first], np.flatnonzero(~alone)))
+            times = np.concatenate((often, (away - np.concatenate(([0], np.cumsum(sizes)))[d])[~alone]))
+            if len(at):
+                yield pa.record_batch([row.take(pa.array(d[at])), coded.dictionary.take(pa.array(word[at])), pa.array(h[at], pa.int32()), pa.array(g[at], pa.int32()), pa.array(times), pa.nulls(len(at), mine.type)], names=names)
 
     counts = model["counts"].withColumnRenamed("n", "count")
-    found = rows.mapInArrow(run, schema).join(counts, "word", "left")
-    # per class before and class: what a word adds besides its own count
-    emission = np.where(np.arange(width) == rare, math.log10(rare_total), np.log10(np.maximum(model["in_class"], 1)))
-    steps = F.array(*[F.lit(float(v)) for v in model["after"].ravel()])
-    emissions = F.array(*[F.lit(float(v)) for v in emission])
-    count, kind = F.coalesce("count", F.lit(0)), F.coalesce("c", F.lit(rare))
-    moved = lambda a, b: F.element_at(steps, a * width + b + 1)
-    step = F.when(F.col("h") >= 0, moved(F.col("h"), kind)).otherwise(0.0) + F.when(F.col("g") >= 0, moved(kind, F.col("g"))).otherwise(0.0)
-    step = step - F.element_at(emissions, kind + 1) + F.log10(count + F.when(kind == rare, ADD).otherwise(0.0))
-    one = lambda name: F.max(name).alias(name)  # noqa: E731  a single row has it
-    found = found.groupBy("row").agg(
-        one("doc_id"), one("held_out"), one("n_tokens"), one("base_score"), one("score"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(count > 0, F.col("k"))), F.lit(0))).alias("n_known"),
-        F.coalesce(F.sum(F.col("k") * F.log10(count + ADD)), F.lit(0.0)).alias("away"),
-        F.coalesce(F.sum(F.col("k") * step), F.lit(0.0)).alias("away_class"),
-        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", kind.alias("c"))))).alias("side"),  # words of one text
-    )
-    follows = F.zip_with("side", F.slice("side", F.lit(2), F.size("side")), lambda a, b: F.when(b["at"] == a["at"] + 1, moved(a["c"], b["c"])).otherwise(0.0))
-    return found.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("away")).alias("base_score"),
-        (F.col("score") + F.col("away_class") + F.aggregate(follows, F.lit(0.0), lambda a, b: a + b)).alias("score"),
-    )
+    found = rows.mapInArrow(run, f"row long, word binary, h int, g int, k long, doc struct<{result}>").join(counts, "word", "left")
+    found = found.select("row", "doc", "h", "g", "k", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("c", F.lit(rare)).alias("c"))
+    # per class: what a word adds besides its own count
+    emission = np.where(np.arange(rare + 2) == rare, math.log10(model["rare_total"]), np.log10(np.maximum(model["in_class"], 1)))
+
+    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words looked up are added to the rows of their texts, each of which comes before its words."""
+        after = held.value["after"]
+        open_, side = None, (np.zeros(0, np.int64),) * 3  # of the last text; of its last word with a neighbour looked up elsewhere
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            row, doc, *rest = batch.columns
+            row, (h, g, k, count, c) = row.to_numpy(), (x.to_numpy() for x in rest)
+            alone, own = (h >= 0) & (g >= 0), k < 0
+            group = np.cumsum(own)  # 0: of the text before
+            times = np.where(own, 0, np.where(alone, k, 1))
+            step = np.where(h >= 0, after[h, c], 0.0) + np.where(g >= 0, after[c, g], 0.0) - emission[c] + np.log10(count + np.where(c == rare, ADD, 0.0))
+            known, base, total = (np.bincount(group, times * x, group[-1] + 1) for x in (count > 0, np.log10(count + ADD), step))
+            away = np.flatnonzero(~alone)
+            r, at, kinds = (np.concatenate((a, b[away])) for a, b in zip(side, (row, k, c), strict=True))
+            met = np.flatnonzero((r[1:] == r[:-1]) & (at[1:] == at[:-1] + 1))
+            total += np.bincount(group[away[met + 1 - len(side[0])]], after[kinds[met], kinds[met + 1]], len(total))
+            side = r[-1:], at[-1:], kinds[-1:]
+            texts = [open_] * (open_ is not None) + [pa.RecordBatch.from_struct_array(doc.filter(pa.array(own)))]
+            texts, skip = pa.concat_batches(texts), int(open_ is None)  # a first batch begins with a text
+            sums = {"n_known": known[skip:].astype(np.int64), "base_score": base[skip:], "score": total[skip:]}
+            texts = pa.record_batch([pa.array(texts[f].to_numpy() + sums[f]) if f in sums else texts[f] for f, _ in fields], names=[f for f, _ in fields])
+            open_ = texts.slice(len(texts) - 1)
+            yield texts.slice(0, len(texts) - 1)
+        if open_ is not None:
+            yield open_
+
+    texts = found.repartition("row").sortWithinPartitions("row", "k").mapInArrow(add, result)
+    return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def class_scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
