@@ -41,3 +41,11 @@ def test_no_more_than_needed_is_read():
 def test_python_too(spark):
     df = spark.createDataFrame([("a.py", "python", "import x\ndef f():\n  import y\n"), ("b.go", "go", 'import "z/w"\n')], "path string, language string, content string")
     assert sorted((r.file_path, r.module) for r in parsing.imports_of(df).collect()) == [("a.py", "x"), ("b.go", "z/w")]
+
+
+def test_edges_of_imports_alone(spark, sf):
+    from corvane.plans import code, index
+
+    tree = code.files(spark, sf, *TREES)
+    edges = lambda x: sorted(map(repr, index.edges_of(parsing.resolve(x, tree)).collect()))
+    assert edges(parsing.imports_of(tree)) == edges(parsing.parse(tree)[1])
