@@ -39,37 +39,78 @@ def _lines(files: DataFrame) -> DataFrame:
     return rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.xxhash64("line", i))).alias("token")).join(sizes, "path")
 
 
-def similar_files(gone: DataFrame, come: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """old_path, path, share of all pairs of gone and come files (path, content) that share enough lines.
+def _kinds(gone: DataFrame, come: DataFrame) -> DataFrame:
+    """side (0 gone, 1 come), path, size, kind, weight: the lines of every file, those that stand in just the same files as one row.
+
+    A kind is how many files hold its lines and two hashes of which these are, so what all files share is a row a file, however many lines.
+    """
+    lines = materialise(_lines(gone).withColumn("side", F.lit(0)).unionByName(_lines(come).withColumn("side", F.lit(1))), "lines")
+    held = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "side", "path"))
+    kinds = lines.groupBy("token").agg(F.struct(F.count("*").alias("often"), held(1).alias("h1"), held(2).alias("h2")).alias("kind"))
+    return materialise(lines.join(kinds, "token").groupBy("side", "path", "kind").agg(F.count("*").alias("weight"), F.max("size").alias("size")), "kinds")
+
+
+def _alike(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """old_path, path, share of the pairs of files (of either side's kinds) that share enough.
 
     Pairs meet by their rarest lines: files that share a share ``least`` of the larger one's lines have one in common among
     the rarest of each (all but that share, and one more), so common lines bring nothing together and no pair is lost.
     """
-    a, b = materialise(_lines(gone), "gone-lines"), materialise(_lines(come), "come-lines")
-    often = a.select("token").unionByName(b.select("token")).groupBy("token").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy("often", "token"))
-    rare = lambda x: x.join(often, "token").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("path", "token")
-    pairs = rare(a).withColumnRenamed("path", "old_path").join(rare(b), "token").select("old_path", "path").distinct()
-    both = pairs.join(a.select(F.col("path").alias("old_path"), "token", F.col("size").alias("n")), "old_path").join(b, ["path", "token"])
-    shares = both.groupBy("old_path", "path").agg((F.count("*") / F.greatest(F.max("n"), F.max("size"))).alias("share"))
+    before = F.coalesce(F.sum("weight").over(Window.partitionBy("path").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rare = lambda x: x.withColumn("before", before).where(F.col("before") < F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("path", "kind")
+    pairs = rare(a).withColumnRenamed("path", "old_path").join(rare(b), "kind").select("old_path", "path").distinct()
+    both = pairs.join(a.select(F.col("path").alias("old_path"), "kind", "weight", F.col("size").alias("n")), "old_path").join(b.select("path", "kind", "size"), ["path", "kind"])
+    shares = both.groupBy("old_path", "path").agg((F.sum("weight") / F.greatest(F.max("n"), F.max("size"))).alias("share"))
     return shares.where(F.col("share") >= least)
 
 
+def _sides(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return kinds.where("side = 0").drop("side"), kinds.where("side = 1").drop("side")
+
+
+def similar_files(gone: DataFrame, come: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """old_path, path, share of all pairs of gone and come files (path, content) that share enough lines."""
+    return _alike(*_sides(_kinds(gone, come)), least)
+
+
+#: Shares from which pairs are looked for first; what finds its file there is not compared at the lower ones.
+STEPS = (0.9, 0.75)
+
+
+def _same(a: DataFrame, b: DataFrame) -> DataFrame:
+    """old_path, path of files with the same lines, the first with the first and so on: no pairs are made of many copies."""
+
+    def numbered(x: DataFrame) -> DataFrame:
+        whole = x.groupBy("path").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("kind"))), 256).alias("lines"))
+        return whole.withColumn("n", F.row_number().over(Window.partitionBy("lines").orderBy("path")))
+
+    return numbered(a).withColumnRenamed("path", "old_path").join(numbered(b), ["lines", "n"]).select("old_path", "path")
+
+
 def with_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: float = SIMILAR) -> DataFrame:
     """path, status, old_path: changes in which a deleted and an added file that are alike are one renamed file (R).
 
     One to one, the best share first (ties: by old path, then new path): in each round pairs that are the best of both
-    their files are taken.
+    their files are taken.  Pairs of high shares are looked for first and among few lines; as these would be taken
+    before all others anyway, the files that are left then find the same partners as if all pairs were known.
     """
     named = lambda status, files: files.select("path", "content").join(changes.where(F.col("status") == status).select("path"), "path", "left_semi")
-    left = materialise(similar_files(named("D", old), named("A", new), least), "alike")
-    taken = left.limit(0)
-    while not left.isEmpty():
-        rank = F.struct(-F.col("share"), F.col("old_path"), F.col("path"))
-        best = left.withColumn("rank", rank).withColumn("a", F.min("rank").over(Window.partitionBy("old_path"))).withColumn("b", F.min("rank").over(Window.partitionBy("path")))
-        found = materialise(best.where((F.col("rank") == F.col("a")) & (F.col("rank") == F.col("b"))).select(left.columns), "renamed")
-        taken = taken.unionByName(found)
-        left = materialise(left.join(found.select("old_path"), "old_path", "left_anti").join(found.select("path"), "path", "left_anti"), "alike")
+    a, b = _sides(_kinds(named("D", old), named("A", new)))
+    taken = materialise(_same(a, b), "renamed")
+    a, b = a.join(taken.select(F.col("old_path").alias("path")), "path", "left_anti"), b.join(taken.select("path"), "path", "left_anti")
+    for share in [*[x for x in STEPS if x > least], least]:
+        if a.isEmpty() or b.isEmpty():
+            break
+        left, found = materialise(_alike(a, b, share), "alike"), None
+        while not left.isEmpty():
+            rank = F.struct(-F.col("share"), F.col("old_path"), F.col("path"))
+            best = left.withColumn("rank", rank).withColumn("a", F.min("rank").over(Window.partitionBy("old_path"))).withColumn("b", F.min("rank").over(Window.partitionBy("path")))
+            now = materialise(best.where((F.col("rank") == F.col("a")) & (F.col("rank") == F.col("b"))).select("old_path", "path"), "renamed")
+            found = now if found is None else found.unionByName(now)
+            left = materialise(left.join(now.select("old_path"), "old_path", "left_anti").join(now.select("path"), "path", "left_anti"), "alike")
+        if found is not None:
+            taken = taken.unionByName(found)
+            a, b = a.join(found.select(F.col("old_path").alias("path")), "path", "left_anti"), b.join(found.select("path"), "path", "left_anti")
     gone = taken.select(F.col("old_path").alias("path")).unionByName(taken.select("path"))
     rest = changes.join(gone, "path", "left_anti").select("path", "status", F.lit(None).cast("string").alias("old_path"))
     return rest.unionByName(taken.select("path", F.lit("R").alias("status"), "old_path"))

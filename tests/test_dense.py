@@ -43,3 +43,37 @@ def test_renames(spark):
     assert got == {("x.py", "R", "a.py"), ("y.py", "R", "b.py"), ("s1.py", "R", "same1.py"), ("s2.py", "R", "same2.py"), ("c.py", "D", None), ("d.py", "D", None), ("z.py", "A", None), ("e.py", "A", None), ("keep.py", "M", None)}
     shares = {(r.old_path, r.path): round(r.share, 3) for r in delta.similar_files(frame({"a": body(1), "b": body(2)}), frame(new)).collect()}
     assert shares[("a", "x.py")] == 1.0 and all(v >= 0.5 for v in shares.values())
+
+
+def test_renames_among_files_of_common_lines(spark):
+    """Every pair is alike; the choice is that of all pairs in order, and as few rows as kinds of lines are compared."""
+    import random
+
+    draw = random.Random(3)
+    common = [f"common {i}" for i in range(30)]
+
+    def some(n, seed):
+        own = random.Random(seed)
+        return {f"{seed}{i:02d}": "\n".join(common + [f"own {own.randrange(8)}" for _ in range(own.randrange(12))]) for i in range(n)}
+
+    old, new = some(14, "old"), some(12, "new")
+    moved = dict(zip(draw.sample(sorted(old), 5), (f"new{i}" for i in range(50, 55)), strict=True))
+    new |= {to: old[at] for at, to in moved.items()} | {"new60": old["old00"], "new61": old["old00"]}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "path string, content string")
+    from collections import Counter
+
+    count = lambda x: Counter(x.split("\n"))
+    pairs = [((count(x) & count(y)).total() / max(count(x).total(), count(y).total()), a, b) for a, x in old.items() for b, y in new.items()]
+    expected, left = set(), {*old, *new}
+    for share, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        if share >= 0.5 and {a, b} <= left:
+            expected.add((a, b))
+            left -= {a, b}
+    changes = delta.snapshot_delta(frame(old), frame(new), "path", "content")
+    got = delta.with_renames(changes, frame(old), frame(new)).collect()
+    assert {(r.old_path, r.path) for r in got if r.status == "R"} == expected
+    assert {(r.path, r.status) for r in got if r.status != "R"} == {(x, "D" if x in old else "A") for x in left}
+    shares = {(r.old_path, r.path): r.share for r in delta.similar_files(frame(old), frame(new), 0.7).collect()}
+    assert shares == {(a, b): share for share, a, b in pairs if share >= 0.7}
+    rows = delta._kinds(frame({f"a{i}": "\n".join(common) + f"\n{i}" for i in range(20)}), frame({"b": "\n".join(common)}))
+    assert rows.count() == 41
