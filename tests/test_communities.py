@@ -35,3 +35,23 @@ def test_pairs_and_loops(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("d", "e")], "source string, target string")
     assert {r.node: r.community for r in graph.louvain(df).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d"}
     assert graph.louvain(df.limit(0)).collect() == []
+
+
+def test_rounds_write_rows_of_nodes_only(spark, monkeypatch):
+    """Links are made once and dealt once a level; nodes too many to send to every task give the same communities."""
+    df = spark.createDataFrame(drawn(2) + [(99, 99)], "source long, target long")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    written, plain = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda rows, label: written.append((label, plain(rows, label))) or written[-1][1])
+    found = sorted(map(tuple, graph.louvain(df.mapInPandas(counted, df.schema)).collect()))
+    assert made.value == df.count()
+    sizes = [rows.count() for label, rows in written if label in ("louvain-votes", "louvain-state")]
+    assert len(sizes) > 4 and max(sizes) == len(found) == 49
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, graph.louvain(df).collect())) == found
