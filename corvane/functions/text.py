@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +130,11 @@ def import_line(module: Column, names: Column, alias: Column) -> Column:
     return F.when(F.size(names) > 0, F.concat(F.lit("from "), module, F.lit(" import "), F.array_join(F.transform(names, one), ", "))).otherwise(whole)
 
 
+def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """keep and the new columns, each computed once a row: a generated row is a step the optimizer does not copy expressions through."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def estimated_tokens(text: Column) -> Column:
     """Whole part of 1.3 tokens a word."""
     return F.floor(F.size(words(text)) * F.lit(13) / F.lit(10)).cast("long")
@@ -200,17 +207,14 @@ def folded(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)) if not word.isascii() else word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def folded_stems(tokens: pd.Series) -> pd.Series:
-    """Stems of the tokens without their accents."""
-    known: dict[str, str] = {}
-
-    def stem(w: str) -> str:
-        if w not in known:
-            known[w] = porter(folded(w))
-        return known[w]
-
-    return tokens.map(lambda ws: [stem(w) for w in ws])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def folded_stems(tokens: pa.Array) -> pa.Array:
+    """Stems of the tokens without their accents; a different word of a batch is stemmed once."""
+    coded = tokens.flatten().dictionary_encode()
+    stems = pa.array([w if w is None else porter(folded(w)) for w in coded.dictionary.to_pylist()], pa.string())
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pa.ListArray.from_arrays(ends, stems.take(coded.indices), mask=tokens.is_null())
 
 
 def analysed(text: Column) -> Column:

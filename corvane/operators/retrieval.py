@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import tokens
+from corvane.functions.text import once, tokens
 from corvane.sources.store import materialise, shared_folder
 
 K1, B = 1.2, 0.75
@@ -72,11 +72,6 @@ def matches(chunks: DataFrame, terms: list[Unit], fields: dict[str, float] | Non
     return once(held, ["id", "length"], {"f": f})
 
 
-def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
-    """keep and the new columns, each computed once a row: a generated row is a step the optimizer does not copy expressions through."""
-    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def _idf(n: int, total: int) -> float:
     x = math.log((total - n + 0.5) / (n + 0.5))
     return x if x > 0 else 1e-6

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import once
+
 _MARK = r"(?:@ \w+(?: \. \w+)*(?: \( \))? )"
 _ANGLES = r"< (?:[^<>]|< (?:[^<>]|< [^<>]* >)* >)* > "
 
@@ -142,10 +144,11 @@ def symbols(statements: DataFrame) -> DataFrame:
     """The declarations among the statements, in the columns of symbols."""
     languages = list(RULES)
     rows = statements.where(~F.col("head").rlike("^(?:import|use|name|require|using|package) "))
-    rows = rows.withColumn("near", F.coalesce(F.get("above", F.size("above") - 1), F.lit("")))
-    rows = rows.withColumn("holders", F.filter(_case(languages, lambda x: F.transform("above", lambda h: _holder(x, h))), lambda x: x != ""))
+    keep = ["file_path", "language", "head", "group", "signature", "start_line", "end_line"]
+    near = F.coalesce(F.get("above", F.size("above") - 1), F.lit(""))
+    rows = once(rows, keep, {"near": near, "holders": F.filter(_case(languages, lambda x: F.transform("above", lambda h: _holder(x, h))), lambda x: x != "")})
     rows = rows.withColumn("holder", F.coalesce(F.get("holders", F.size("holders") - 1), F.lit("")))
-    rows = rows.withColumn("found", _case(languages, _found)).where("found IS NOT NULL")
+    rows = once(rows, [*keep, "near", "holders", "holder"], {"found": _case(languages, _found)}).where("found IS NOT NULL")
     kind, head = F.col("found.kind"), F.col("head")
     plain = F.regexp_replace("found.names", _PARTS, "")  # commas between types part no names
     names = F.filter(F.regexp_extract_all(plain, F.lit(r"(?:^| , )([\w$#]+)"), 1), lambda x: x != "_")
